@@ -139,3 +139,14 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     exact = parted.where(is_whole).withColumn("copies", F.col("whole"))
     cols = ["key", "n", "source", "size", "source_size", "target", "copies"]
     return rounded_up.select(cols).unionByName(exact.select(cols)).withColumnRenamed("key", key)
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
+    """The mix itself: each document as many times as it is taken, with the caller's columns."""
+    columns = docs.columns
+    numbered = docs.withColumn("__nth", F.lit(0))
+    if docs.groupBy(key).count().where("count > 1").limit(1).count():
+        numbered = docs.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(source, F.md5(F.coalesce(F.col(text), F.lit(""))))))
+    taken = copies(numbered, key, source, text, "__nth", seed).select(F.col(key).alias("__key"), F.col("n").alias("__n"), F.col("copies").cast("int").alias("__copies")).where("__copies > 0")
+    found = numbered.join(taken, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__nth") == F.col("__n")))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chat, decontam, html_extract, licenses, mixing, ngram_join, quality, sharding
+from sluiceway.llm import chat, decontam, html_extract, licenses, mixing, ngram_join, quality, sharding, token_counts, token_store
 from sluiceway.llm import sql as sql_text
 from sluiceway.llm.common import table
 
@@ -51,17 +51,31 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text gets a head, a tag with its language in the middle, in place of up to five code points, and an end."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda at, drop, insert: F.struct(at.cast("int").alias("at"), drop.cast("int").alias("drop"), insert.alias("insert"))
+    middle = F.least(size - F.floor(size / 2), F.lit(5))
+    edits = F.array(edit(F.lit(0), F.lit(0), F.lit("# ")), edit(F.floor(size / 2), middle, F.concat(F.lit(" ["), F.coalesce("lang", F.lit("")), F.lit("] "))), edit(size, F.lit(0), F.lit("\nEnd.")))
+    return token_counts.recount(docs.withColumn("edits", edits))
+
+
 def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.default_known(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_rendezvous_shards, op6_ngram_join, op8_extract_html, op10_license_scan, mix_targets)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_rendezvous_shards, op6_ngram_join, op7_token_counts, op8_extract_html, op9_token_store, op10_license_scan, mix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
