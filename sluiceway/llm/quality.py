@@ -94,7 +94,8 @@ def with_statistics(docs: DataFrame, text: str = "text", out: str = "stats") ->
         "n_ended": F.size(F.filter("__l", lambda x: F.substring(F.rtrim(x, F.lit(SPACES)), -1, 1).isin(".", "!", "?"))),
     }
     packed = F.struct(*[v.cast("long").alias(k) for k, v in stats.items()])
-    return arrays.withColumn(out, packed).drop("__w", "__l", "__b", "__s")
+    # as a generator's output the statistics are made once: filters on them can't be pushed below and compute them again
+    return arrays.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.explode(F.array(packed)).alias(out))
 
 
 def with_votes(scored: DataFrame, stats: str = "stats", out: str = "votes") -> DataFrame:
