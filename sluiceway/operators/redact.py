@@ -15,11 +15,10 @@ def matches(line: Column, pattern: str) -> Column:
     p = java(pattern)
     found = F.filter(F.regexp_extract_all(line, F.lit(p), F.lit(0)), lambda m: m != "")
     between = F.split(line, p, -1)
-    pairs = F.arrays_zip(F.transform(F.slice(between, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("hit"))
-    step = lambda acc, x: F.struct((acc["at"] + x["0"] + x["1"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["0"]).alias("start"), (acc["at"] + x["0"] + x["1"]).alias("end")))).alias("out"))
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("end")))).alias("out"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    zipped = F.transform(pairs, lambda x: F.struct(x["0"].alias("0"), x["1"].alias("1")))
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
 def redact(line: Column, patterns: list[str], mark: str = MARK) -> Column:

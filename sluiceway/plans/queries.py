@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 # -- lines: inclusion, exclusion, redaction ------------------------------------------------------------------
 
 
-@query(rf"WITH {LINES} SELECT app, count(*) AS n_lines, sum(octet_length(line::BLOB))::BIGINT AS n_bytes FROM (SELECT app, regexp_replace(line, '(?:[0-9]+)+', '[REDACTED]', 'g') AS line FROM lines WHERE regexp_matches(line, '(?:the|die|que)') AND NOT regexp_matches(line, '(?:!!|###)')) GROUP BY app")
+@query(rf"WITH {LINES} SELECT app, count(*) AS n_lines, sum(strlen(line))::BIGINT AS n_bytes FROM (SELECT app, regexp_replace(line, '(?:[0-9]+)+', '[REDACTED]', 'g') AS line FROM lines WHERE regexp_matches(line, '(?:the|die|que)') AND NOT regexp_matches(line, '(?:!!|###)')) GROUP BY app")
 def line_pipeline(spark, d):
     """The flagship: documents as lines, included, excluded, redacted and counted by source."""
     kept = rules.LineRules(("the", "die", "que"), ("!!", "###")).apply(inputs.document_lines(spark, d))
@@ -77,7 +77,7 @@ def split_lines(spark, d):
     return inputs.document_lines(spark, d).select("doc_id", "n", "line")
 
 
-@query(f"""WITH {LINES} SELECT doc_id, n, e - sz AS "start", e AS "end" FROM (SELECT doc_id, n, octet_length(line::BLOB) + 1 AS sz, sum(octet_length(line::BLOB) + 1) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS e FROM lines)""")
+@query(f"""WITH {LINES} SELECT doc_id, n, e - sz AS "start", e AS "end" FROM (SELECT doc_id, n, strlen(line) + 1 AS sz, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS e FROM lines)""")
 def split_lines_spans(spark, d):
     return text_source.with_offsets(inputs.document_lines(spark, d), "doc_id").select("doc_id", "n", "start", "end")
 
@@ -419,7 +419,7 @@ def status_classify(spark, d):
 # -- metrics ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_type, count(*) AS n, sum(octet_length(props::BLOB))::BIGINT AS bytes FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, sum(strlen(props))::BIGINT AS bytes FROM events GROUP BY event_type")
 def counters_by_type(spark, d):
     return metrics.counters(table(spark, d, "events").withColumn("bytes", F.octet_length("props")), ["event_type"], "bytes")
 
@@ -507,7 +507,7 @@ def event_highwater(spark, d):
     return events.high_water(e, key="user_id").select("event_id")
 
 
-@query(f"SELECT event_id FROM events WHERE epoch_us(TIMESTAMP '{CLOCK}') - epoch_us(ts) < 30000000 * 2880")
+@query(f"SELECT event_id FROM events WHERE epoch_us(TIMESTAMP '{CLOCK}') - epoch_us(ts) < 86400000000")
 def stale_reject(spark, d):
     now = F.lit(CLOCK).cast("timestamp")
     return table(spark, d, "events").where(~rules.stale(F.col("ts").cast("timestamp"), now, 86400)).select("event_id")
