@@ -3,7 +3,7 @@
 Each page becomes lines (the text of one block each). Lines under menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments, known by their markup, are boilerplate; lines inside an
 article or main element are its text. All other lines are compared with those of the page that
-is nearest by URL path on the same host: both are aligned by longest common subsequence, and lines that
+is nearest by URL path among those of the same host that have such lines: both are aligned by longest common subsequence, and lines that
 they share are deleted. A partner with the same lines throughout is a copy and says nothing, so nothing
 is deleted then. Lines of an article are not deleted where another page of the host has them too:
 pages do repeat passages of articles.
@@ -175,7 +175,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             places = [[k for k, x in enumerate(a) if x in set(g)] for a, g in zip(b.column(2).to_pylist(), gone, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], ["key", "url", "gone"])
 
-    comparable = _nearest(narrow).where("size(lines) > 0 AND size(partner) > 0").select("key", "url", "lines", "partner")
+    comparable = _nearest(narrow.where("size(lines) > 0")).where("size(partner) > 0").select("key", "url", "lines", "partner")
     gone = cut(comparable.mapInArrow(compared, f"key {key_type}, url string, gone array<int>").where("size(gone) > 0").dropDuplicates(["key", "url"]))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

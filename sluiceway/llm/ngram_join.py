@@ -282,9 +282,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with one row of each group of linked documents: that of the smallest key. Texts without words all stay."""
+    """The documents with one row of each group of linked documents: that of the smallest key. Texts without words all stay.
+
+    Rows of one key, or of null keys, that stand for a group all stay but for exact copies among them."""
     groups = cut(near_groups(docs, key, text, n, threshold))
-    stays = groups.where(F.col("set_id").isNull() | (F.col(key) == F.col("class_id"))).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
+    stays = groups.where(F.col("set_id").isNull() | F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
     kept = docs.join(stays, F.col(key).eqNullSafe(F.col("__key")), "inner").drop("__key")
     repeated = groups.groupBy(key).count().where("count > 1").limit(1).count()
     if repeated:  # rows of one key: those of one shingle set are copies, and one of them stays
