@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.bpe import SPECIAL, Encoder, default_tokenizer
+from sluiceway.llm.bpe import SPECIAL, Encoder, default_tokenizer, encoder_for
 from sluiceway.llm.common import small_batches
 
 LEAF = 32
@@ -148,7 +148,7 @@ def recount(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: str
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         for batch in batches:
             out = []
             for t, changes in zip(batch.column(1), batch.column(2), strict=True):

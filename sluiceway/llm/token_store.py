@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.bpe import Encoder, default_tokenizer
+from sluiceway.llm.bpe import default_tokenizer, encoder_for
 from sluiceway.llm.common import cut, shared_dir, small_batches
 
 DOCS_PER_SHARD = 8000
@@ -165,7 +165,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     bounds, name = np.array(cuts, np.int64), tokenizer or default_tokenizer()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(name, width)
+        encoder = encoder_for(name, width)
         end = np.array([end_id], encoder.kind).tobytes()
         for b in batches:
             own = b.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
