@@ -140,7 +140,7 @@ def _nearest(pages: DataFrame) -> DataFrame:
     ends = ranged.groupBy("range").agg(F.min_by(page, F.struct(*order)).alias("head"), F.max_by(page, F.struct(*order)).alias("tail"))
     over = Window.orderBy("range")  # one row for each range
     ends = ends.select("range", F.lag("tail").over(over).alias("tail_before"), F.lead("head").over(over).alias("head_after"))
-    placed = placed.join(F.broadcast(ends), "range").withColumn("before", F.coalesce("before", "tail_before")).withColumn("after", F.coalesce("after", "head_after"))
+    placed = placed.join(ends, "range").withColumn("before", F.coalesce("before", "tail_before")).withColumn("after", F.coalesce("after", "head_after"))
     own = lambda c: F.when(F.col(f"{c}.host").eqNullSafe(F.col("host")), F.col(c))
     placed = placed.withColumn("before", own("before")).withColumn("after", own("after"))
     common = lambda c: F.size(F.array_intersect(F.split(F.coalesce("path", F.lit("")), "/"), F.split(F.coalesce(F.col(f"{c}.path"), F.lit("")), "/")))
