@@ -187,7 +187,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
         yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.int32()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64())], ["shard", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(encoded, "shard int, key bigint, ids binary")
-    dealt = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "ids")
+    dealt = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "ids")
     manifest = cut(dealt.mapInArrow(stored, "shard int, n_docs bigint, n_ids bigint"))
     sizes = {r.shard: r.n_ids for r in manifest.collect()}  # one row for each shard
     starts, total = [], 0
@@ -249,7 +249,7 @@ def lookup(keys: DataFrame, path: str, manifest: DataFrame, bounds: list[int], k
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["key", "start", "n_tokens", "ids_crc32", "ids"])
 
     rows = keys.select(F.col(key).cast("bigint").alias("key")).mapInArrow(placed, "shard int, key bigint")
-    dealt = rows.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "key")
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key")
     return dealt.mapInArrow(read, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary").withColumnRenamed("key", key)
 
 
