@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,31 +13,53 @@ MARK = "[REDACTED]"
 
 
 def matches(line: Column, pattern: str) -> Column:
-    """Ranges (start, end) of a pattern's matches; what stands between them gives the places."""
+    """Lengths of what stands before each match of a pattern and of the match, in turn: their running sum gives the places."""
     p = java(pattern)
     found = F.filter(F.regexp_extract_all(line, F.lit(p), F.lit(0)), lambda m: m != "")
     between = F.split(line, p, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("end")))).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.array(F.length(gap), F.length(hit)))
+    return F.flatten(pairs)
+
+
+def cover(line: str, runs: list[np.ndarray], mark: str) -> str:
+    """The line with a mark for each maximal run of matched text, in one pass over the sorted matches."""
+    places = [np.cumsum(r, dtype=np.int64).reshape(-1, 2) for r in runs]
+    spans = np.concatenate(places)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    if not len(spans):
+        return line
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
+    starts, ends = spans[first, 0].tolist(), reach[np.r_[first[1:] - 1, len(spans) - 1]].tolist()
+    out, at = [], 0
+    for start, end in zip(starts, ends, strict=True):
+        out += (line[at:start], mark)
+        at = end
+    out.append(line[at:])
+    return "".join(out)
 
 
 def redact(line: Column, patterns: list[str], mark: str = MARK) -> Column:
     """Each maximal run of matched text becomes one mark. All patterns see the text as it was; ranges that
-    overlap or touch are one. Lines without any match skip the work, null stays null."""
-    spans = F.sort_array(F.flatten(F.array(*[matches(line, p) for p in patterns])))
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] <= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(-1))), joined).otherwise(F.concat(acc, F.array(s)))
-
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    merged = F.aggregate(spans, empty, merge)
-    write = lambda acc, s: F.struct(F.concat(acc["text"], F.substring(line, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("text"), s["end"].alias("at"))
-    out = F.aggregate(merged, F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), write, lambda acc: F.concat(acc["text"], F.substring(line, acc["at"] + 1, F.length(line))))
-    return F.when(line.rlike(any_of(patterns)), out).otherwise(line) if patterns else line
+    overlap or touch are one. Lines without any match skip the work, null stays null.
+
+    Spark finds the matches, and an Arrow function joins them: its work grows with the matches, not with their square."""
+    if not patterns:
+        return line
+
+    @F.arrow_udf("string")
+    def covered(lines: pa.Array, runs: pa.Array) -> pa.Array:
+        out = []
+        for text, row in zip(lines, runs, strict=True):
+            out.append(cover(text.as_py(), [x.to_numpy(zero_copy_only=False) for x in _lists(row.values)], mark) if text.is_valid else None)
+        return pa.array(out, pa.string())
+
+    hit = F.when(line.rlike(any_of(patterns)), line)
+    return F.coalesce(covered(hit, F.array(*[matches(hit, p) for p in patterns])), line)
+
+
+def _lists(lists: pa.ListArray) -> list[pa.Array]:
+    return [x.values for x in lists]
 
 
 def redact_lines(lines: DataFrame, patterns: list[str], column: str = "line") -> DataFrame:
