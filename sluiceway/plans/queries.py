@@ -203,9 +203,9 @@ def substitute_defaults(spark, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND t <> '' THEN t ELSE p END AS line FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t, CASE WHEN doc_id % 2 = 0 AND string_split(text, chr(10))[1] <> '' THEN '2024-01-02T03:04:05.123456789Z stdout F ' ELSE 'plain ' END || string_split(text, chr(10))[1] AS p FROM documents)")
 def crio_strip(spark, d):
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    prefix = F.when((F.col("doc_id") % 2 == 0) & (first != ""), "2024-01-02T03:04:05.123456789Z stdout F ").otherwise("plain ")
-    return table(spark, d, "documents").select("doc_id", meta.strip_runtime_prefix(F.concat(prefix, first)).alias("line"))
+    """Every line of every document."""
+    prefix = F.when((F.col("doc_id") % 2 == 0) & (F.col("line") != ""), "2024-01-02T03:04:05.123456789Z stdout F ").otherwise("plain ")
+    return inputs.document_lines(spark, d).select("doc_id", meta.strip_runtime_prefix(F.concat(prefix, "line")).alias("line"))
 
 
 @query("""SELECT event_id, props AS meta FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '{"k":' || json_extract_string(props, '$.k') || '}' END AS props FROM events)""")
@@ -552,7 +552,7 @@ def listing_diff(spark, d):
 
 @query("SELECT 'doc' AS source_kind, string_split(text, chr(10))[1] AS line, source AS app FROM documents UNION ALL SELECT 'event', props, NULL FROM events UNION ALL SELECT 'chat', text, role FROM conversations")
 def union_sources(spark, d):
-    docs = table(spark, d, "documents").select(F.lit("doc").alias("source_kind"), F.get(F.split("text", "\n"), F.lit(0)).alias("line"), F.col("source").alias("app"))
+    docs = inputs.document_lines(spark, d).select(F.lit("doc").alias("source_kind"), "line", "app")
     ev = table(spark, d, "events").select(F.lit("event").alias("source_kind"), F.col("props").alias("line"))
     chat = table(spark, d, "conversations").select(F.lit("chat").alias("source_kind"), F.col("text").alias("line"), F.col("role").alias("app"))
     return text_source.union_sources(docs, ev, chat)

@@ -26,3 +26,20 @@ def test_redact_of_many_matches_in_one_text(spark):
     text = "a1 b2é " * 60_000
     out = spark.createDataFrame([(text,)], "line string").select(redact(F.col("line"), ["[0-9]", "[a-f]"])).first()[0]
     assert out == "[REDACTED] [REDACTED]é " * 60_000
+
+
+def lines_of(text):
+    lines = (text or "").split("\n")
+    return lines[:-1] if len(lines) > 1 and not lines[-1] else lines
+
+
+@tables
+def test_union_and_strip_take_every_line_of_every_document(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()
+    assert any(len(lines_of(r.text)) > 1 for r in docs)
+    got = QUERIES["union_sources"](spark, DATA).where("source_kind = 'doc'").select("line", "app").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((x, r.source)) for r in docs for x in lines_of(r.text))
+    others = sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("events", "conversations"))
+    assert QUERIES["union_sources"](spark, DATA).where("source_kind <> 'doc'").count() == others
+    stripped = [(r.doc_id, x if r.doc_id % 2 == 0 and x else f"plain {x}") for r in docs for x in lines_of(r.text)]
+    assert sorted(map(tuple, QUERIES["crio_strip"](spark, DATA).collect())) == sorted(stripped)
