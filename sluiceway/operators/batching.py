@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceway.operators.folds import fold
+
 CAPACITY = 2 * 1024 * 1024
 FLUSH_SECONDS = 5.0
 
@@ -14,26 +16,22 @@ def assign_batches(lines: DataFrame, stream: str, order: str, size: str, capacit
     reaches it included, or, with ``ts``, when a line comes later than ``flush_seconds`` after the batch's first.
 
     Where a batch ends depends on all lines before it in the stream, so each stream is one fold over its
-    narrow rows (order, size, time); streams are folded in parallel, and lines join back by order.
+    lines in order; streams are folded in parallel, and a task holds one state, not a stream. A null size adds nothing.
     """
     when = F.unix_micros(ts) if ts else F.lit(0).cast("long")
-    rows = lines.groupBy(stream).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"), when.alias("t")))).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        late = (acc["bytes"] > 0) & (x["t"] - acc["began"] > int(flush_seconds * 1e6))
-        new = (acc["bytes"] >= capacity) | late
-        batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            (F.when(new, 0).otherwise(acc["bytes"]) + x["s"]).alias("bytes"),
-            F.when(new | (acc["bytes"] == 0), x["t"]).otherwise(acc["began"]).alias("began"),
-            F.concat(acc["out"], F.array(batch)).alias("out"),
-        )
-
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("batch"), zero.alias("bytes"), zero.alias("began"), F.array().cast("array<bigint>").alias("out"))
-    dealt = rows.withColumn("b", F.aggregate("rows", start, step, lambda a: a["out"])).select(stream, F.explode(F.arrays_zip("rows", "b")).alias("x"))
-    return lines.join(dealt.select(stream, F.col("x.rows.o").alias(order), F.col("x.b").alias("batch_id")), [stream, order])
+    late = int(flush_seconds * 1e6)
+
+    def step(state: tuple, s: int | None, t: int | None) -> tuple[tuple, int]:
+        batch, held, began = state
+        new = held >= capacity or (held > 0 and t is not None and began is not None and t - began > late)
+        if new:
+            batch, held = batch + 1, 0
+        if held == 0:
+            began = t
+        return (batch, held + (s or 0), began), batch
+
+    size_ = F.col(size).cast("long")
+    return fold(lines, F.col(stream), [F.col(order), size_, when], [size_, when], (0, 0, None), step, "batch_id", "bigint")
 
 
 def bodies(batched: DataFrame, stream: str, order: str) -> DataFrame:

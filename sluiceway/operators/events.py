@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.quantities import human_duration
+from sluiceway.operators.folds import fold
 
 
 def event_age(first: Column, last: Column) -> Column:
@@ -43,20 +44,19 @@ def high_water(events: DataFrame, key: str | None = None, order: str = "seq", ts
 
     Before any is accepted the bound is ``floor`` less the slack, or none. Rows without a time pass never
     but where an accepted one has none. An accepted event moves the mark to its time. As the mark can fall by the slack only, the mark before
-    a row is the fold of the rows before it; a fold for each key, over its events in order.
+    a row is the fold of the rows before it; a fold for each key, over its events in order, that holds the mark alone.
     """
-    keyed = events.withColumn("__key", F.col(key) if key else F.lit(0))
-    rows = keyed.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.unix_micros(ts).alias("t")))).alias("rows"))
     slack = slack_seconds * 1_000_000
     bound = F.unix_micros(floor) if floor is not None else F.lit(None).cast("long")
 
-    def step(acc: Column, x: Column) -> Column:
-        mark = F.coalesce(acc["mark"], bound)
-        ok = F.coalesce((x["t"] > mark - slack) | (mark.isNull() & x["t"].isNotNull()), F.lit(False))
-        return F.struct(F.when(ok, x["t"]).otherwise(acc["mark"]).alias("mark"), F.when(ok, F.concat(acc["kept"], F.array(x["o"].cast("long")))).otherwise(acc["kept"]).alias("kept"))
+    def step(mark: int | None, t: int | None, low: int | None) -> tuple[int | None, bool]:
+        least = low if mark is None else mark
+        ok = t is not None and (least is None or t > least - slack)
+        return (t if ok else mark), ok
 
-    kept = rows.select("__key", F.explode(F.aggregate("rows", F.struct(F.lit(None).cast("long").alias("mark"), F.array().cast("array<bigint>").alias("kept")), step, lambda a: a["kept"])).alias(order))
-    return keyed.join(kept, ["__key", order], "left_semi").drop("__key")
+    time = F.unix_micros(ts)
+    folded = fold(events, F.col(key) if key else F.lit(0), [F.col(order), time], [time, bound], None, step, "__ok", "boolean")
+    return folded.where("__ok").drop("__ok")
 
 
 def journal_app(record: Column) -> Column:
@@ -74,12 +74,21 @@ def coalesce_writes(events: DataFrame, path: str = "path", order: str = "seq", t
 
 
 def rate_limited(calls: DataFrame, key: str, ts: str, limit: int, interval_seconds: float) -> DataFrame:
-    """Calls with ``allowed``: a window begins with the first call behind the last window's end and holds ``limit`` calls."""
-    rows = calls.groupBy(key).agg(F.sort_array(F.collect_list(F.unix_micros(ts))).alias("ts"))
-    step = lambda acc, t: F.when(acc["start"].isNull() | (t - acc["start"] > int(interval_seconds * 1e6)), F.struct(t.alias("start"), F.lit(1).alias("n"), F.concat(acc["out"], F.array(F.lit(limit >= 1))).alias("out"))).otherwise(F.struct(acc["start"].alias("start"), (acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(acc["n"] < limit)).alias("out")))
-    start = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out"))
-    folded = rows.withColumn("ok", F.aggregate("ts", start, step, lambda a: a["out"]))
-    return folded.select(key, F.explode(F.arrays_zip("ts", "ok")).alias("x")).select(key, F.timestamp_micros("x.ts").alias(ts), F.col("x.ok").alias("allowed"))
+    """Calls with ``allowed``: a window begins with the first call behind the last window's end and holds ``limit`` calls.
+
+    A call without a time has no verdict (null) and counts in no window."""
+    longest = int(interval_seconds * 1e6)
+
+    def step(state: tuple, t: int | None) -> tuple[tuple, bool | None]:
+        start, n = state
+        if t is None:
+            return state, None
+        if start is None or t - start > longest:
+            return (t, 1), limit >= 1
+        return (start, n + 1), n < limit
+
+    time = F.unix_micros(ts)
+    return fold(calls.select(key, ts), F.col(key), [time], [time], (None, 0), step, "allowed", "boolean")
 
 
 def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:

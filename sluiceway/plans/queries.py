@@ -307,7 +307,12 @@ def span_coalesce(spark, d):
 
 
 def _span_arrays(spark, d) -> DataFrame:
-    return inputs.order_spans(spark, d).groupBy("file_id").agg(spans.merge_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("spans"))
+    """Each file's coalesced spans, joined before they are collected; a file without a proper span has none."""
+    rows = inputs.order_spans(spark, d).select("file_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    none = F.lit(None).cast("long")
+    files = rows.where("NOT coalesce(start <= end, false)").select("file_id", none.alias("start"), none.alias("end"))
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    return spans.coalesce_spans(rows, "file_id").unionByName(files).groupBy("file_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 @query(f"""WITH {SPANS}, {ISLANDS}, o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY "start") AS i, lead("start") OVER (PARTITION BY file_id ORDER BY "start") AS nxt FROM isl)

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sluiceway.operators import batching, events
 from sluiceway.operators.redact import redact
 from sluiceway.plans.queries import QUERIES
 
@@ -43,3 +44,16 @@ def test_union_and_strip_take_every_line_of_every_document(spark):
     assert QUERIES["union_sources"](spark, DATA).where("source_kind <> 'doc'").count() == others
     stripped = [(r.doc_id, x if r.doc_id % 2 == 0 and x else f"plain {x}") for r in docs for x in lines_of(r.text)]
     assert sorted(map(tuple, QUERIES["crio_strip"](spark, DATA).collect())) == sorted(stripped)
+
+
+def test_folds_of_one_large_group_and_of_null_keys(spark):
+    """Three hundred thousand rows of one key, and rows of null keys, which joins would lose."""
+    n, size = 300_000, 10
+    rows = spark.range(n + 4).select(F.when(F.col("id") < n, "hot").alias("k"), F.col("id").alias("seq"), F.lit(size).alias("n"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    dealt = batching.assign_batches(rows, "k", "seq", "n", 2 * size).groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.max("batch_id").alias("last")).collect()
+    assert {(r.k, r.rows, r.last) for r in dealt} == {("hot", n, n // 2 - 1), (None, 4, 1)}
+    new = events.high_water(rows.withColumn("creation_ts", F.when(F.col("seq") % 3 == 0, F.timestamp_seconds(F.lit(0))).otherwise(F.col("ts"))), key="k").groupBy("k").count().collect()
+    # an old time passes at the very first row and within the slack only; null has 300000 to 300003, of which the last comes late
+    assert {(r.k, r["count"]) for r in new} == {("hot", 1 + n * 2 // 3), (None, 3)}
+    calls = events.rate_limited(rows, "k", "ts", 2, 3).groupBy("k").agg(F.count(F.lit(1)).alias("calls"), F.count_if("allowed").alias("allowed")).collect()
+    assert {(r.k, r.calls, r.allowed) for r in calls} == {("hot", n, n // 2), (None, 4, 2)}
