@@ -8,6 +8,7 @@ each row gets its shard. All stages but the last return the columns of documents
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluiceway.llm import decontam, mixing, ngram_join, quality, sharding
 from sluiceway.llm.common import cut, table
@@ -24,8 +25,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # contamination is a matter of the text, so its digest names the rows: keys may be null or repeated
+    named = docs.withColumn("__digest", F.sha2("text", 256))
+    found = decontam.contamination(named, table(spark, sf_dir, "benchmark"), key="__digest")
+    return named.join(found.where("contaminated").select("__digest").distinct(), "__digest", "left_anti").select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -266,21 +266,26 @@ def _whole_items(tests: list[tuple]) -> tuple[np.ndarray, list[list], dict[str,
 
 def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", test_text: str = "text", window: int = WINDOW, distance: int | None = None) -> DataFrame:
     """Per document: key, n_words, n_hit, items (ids as strings, sorted), spans, contaminated."""
-    parts, index = [], None
-    for block in _blocks(tests, item, test_text):
+    blocks = _blocks(tests, item, test_text)
+    heads = list(islice(blocks, 2))
+    several = len(heads) > 1
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    # each block indexes the documents anew: with several, texts are told apart by digest, and the documents' keys join at the end
+    named = docs.select(digest.alias("digest"), F.col(text).alias("text")) if several else docs.select(F.col(key).alias("digest"), F.col(text).alias("text"))
+    parts = []
+    for block in chain(heads, blocks):
         terms = list({w: None for _, t in block for w in words(t)})
-        index = cut(build_index(docs, key, text, terms))
+        index = cut(build_index(named, "digest", "text", terms))
         doc_table = index.where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("keys", "lengths")).alias("doc", "d")).select("segment", "doc", F.col("d.keys").alias("key"), F.col("d.lengths").alias("n_words"))
         parts.append(doc_table.join(search(index, block, window, distance), ["segment", "doc"], "left"))
-    if len(parts) == 1:
+    if not several:
         found = parts[0].select("key", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"))
     else:
-        # each block indexes the documents anew: rows of one key and length join, repeated rows share what is found
-        merged = parts[0]
+        merged = parts[0].dropDuplicates(["key"])
         for more in parts[1:]:
-            merged = merged.unionByName(more)
-        per = merged.groupBy("key", "n_words").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"))
-        found = per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("key", "n_words", "items", "spans")
+            merged = merged.unionByName(more.dropDuplicates(["key"]))
+        per = merged.groupBy(F.col("key").alias("digest")).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        found = docs.select(F.col(key).alias("key"), digest.alias("digest")).join(per, "digest").select("key", "n_words", "items", "spans")
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(s["first"] - 1, acc["end"]))).alias("n"), F.greatest(s["last"], acc["end"]).alias("end"))
     n_hit = F.aggregate(F.sort_array("spans"), F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")), step, lambda a: a["n"])
     return found.select(F.col("key").alias(key), F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.sort_array(F.array_distinct("items")).alias("items"), "spans", (n_hit > 0).alias("contaminated"))

@@ -88,7 +88,7 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 7) -> DataFrame:
-    """Per document: key, set_id (128-bit hash of its shingle set; null if empty) and one hash for each band."""
+    """Per document: key, own (digest of its text), set_id (128-bit hash of its shingle set; null if empty) and one hash for each band."""
     bands, rows = bands_and_rows(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +106,16 @@ def signatures(docs: DataFrame, key: str, text: str, n: int = N, threshold: floa
                 ids.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 sig = signature(s, a, b).reshape(bands, rows)
                 found.append([xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(sig)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["key", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["key", "own", "set_id", "bands"])
 
     key_type = docs.schema[key].dataType.simpleString()
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {key_type}, set_id string, bands array<bigint>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _own(text).alias("own")).mapInArrow(run, f"key {key_type}, own string, set_id string, bands array<bigint>")
+
+
+def _own(text: str) -> Column:
+    """A text's digest: with the key it names a row, where keys are null or repeated."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
 def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
@@ -256,11 +261,21 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """Per document: key, set_id, class_id (the smallest key of its group of linked documents), n_links
     (other documents whose similarity reaches the threshold, copies included), n_text_links (other shingle
     sets that do), n_copies (documents of the same set, itself included)."""
+    return _groups(docs, key, text, n, threshold, recall).drop("own", "root")
+
+
+def _groups(docs: DataFrame, key: str, text: str, n: int, threshold: float, recall: float = RECALL) -> DataFrame:
+    """The rows of ``near_groups`` with ``own``, the text's digest, and ``root``, which names the group."""
     signed = cut(signatures(docs, key, text, n, threshold, recall))
-    reps = cut(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"), F.first("bands").alias("bands")))
+    reps = cut(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"), F.min(F.when(F.col("key").isNull(), F.col("own"))).alias("first_own"), F.first("bands").alias("bands")))
     blocks = cut(_blocks(reps.select("set_id", "rows", "bands")))
     wanted = blocks.select("set_id").distinct().join(reps.select("set_id", "first_key"), "set_id").select("first_key").distinct()
     texts = docs.select(F.col(key).alias("first_key"), F.col(text).alias("text")).join(wanted, "first_key", "left_semi").select("text")
+    keyless = reps.where("first_key IS NULL")
+    if keyless.limit(1).count():  # sets of null keys only: their texts are found by digest
+        own = blocks.select("set_id").distinct().join(keyless.select("set_id", F.col("first_own").alias("own")), "set_id").select("own").distinct()
+        more = docs.where(F.col(key).isNull()).select(_own(text).alias("own"), F.col(text).alias("text")).join(own, "own", "left_semi")
+        texts = texts.unionByName(more.dropDuplicates(["own"]).select("text"))
     sets = shingle_sets(texts, n).groupBy("set_id").agg(F.first("shingles").alias("shingles"))
     result = "set_id string, doc_links bigint, text_links bigint, root string"
     found = blocks.join(sets, "set_id").groupBy("scope", "i", "j").applyInArrow(lambda t: compare(t, threshold), result)
@@ -269,12 +284,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     roots = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     sets_of = reps.join(links, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     names = sets_of.groupBy("root").agg(F.min("first_key").alias("class_id"))
-    known = sets_of.join(names, "root").select("set_id", "class_id", "rows", F.coalesce("doc_links", F.lit(0)).alias("doc_links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
-    out = signed.select("key", "set_id").join(known, "set_id", "left")
+    known = sets_of.join(names, "root").select("set_id", "root", "class_id", "rows", F.coalesce("doc_links", F.lit(0)).alias("doc_links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
+    out = signed.select("key", "own", "set_id").join(known, "set_id", "left")
     return out.select(
         F.col("key").alias(key),
+        "own",
         "set_id",
-        F.coalesce("class_id", "key").alias("class_id"),
+        "root",
+        F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         (F.coalesce("doc_links", F.lit(0)) + F.coalesce(F.col("rows") - 1, F.lit(0))).alias("n_links"),
         F.coalesce("text_links", F.lit(0)).alias("n_text_links"),
         F.coalesce("rows", F.lit(1)).alias("n_copies"),
@@ -284,12 +301,17 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one row of each group of linked documents: that of the smallest key. Texts without words all stay.
 
-    Rows of one key, or of null keys, that stand for a group all stay but for exact copies among them."""
-    groups = cut(near_groups(docs, key, text, n, threshold))
-    stays = groups.where(F.col("set_id").isNull() | F.col(key).eqNullSafe(F.col("class_id"))).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
-    kept = docs.join(stays, F.col(key).eqNullSafe(F.col("__key")), "inner").drop("__key")
+    A row is known by its key and its text's digest, so rows of one key or of null keys are told apart; of exact copies
+    one stays, and where all keys of a group are null, the smallest digest's row."""
+    groups = cut(_groups(docs, key, text, n, threshold))
+    first = groups.where(F.col("set_id").isNotNull() & F.col(key).eqNullSafe(F.col("class_id")))
+    chosen = first.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), F.col("own").alias("o"))).alias("w")).select(F.col("w.k").alias("__key"), F.col("w.o").alias("__own"))
+    wordless = groups.where("set_id IS NULL").select(F.col(key).alias("__key"), F.col("own").alias("__own")).distinct()
+    stays = chosen.withColumn("__one", F.lit(True)).unionByName(wordless.withColumn("__one", F.lit(False)))
+    named = docs.withColumn("__text", _own(text))
+    kept = named.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__own")), "inner")
     repeated = groups.groupBy(key).count().where("count > 1").limit(1).count()
-    if repeated:  # rows of one key: those of one shingle set are copies, and one of them stays
-        own = Window.partitionBy(key, F.md5(F.coalesce(F.col(text), F.lit("")))).orderBy(F.lit(0))
-        kept = kept.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
-    return kept.drop("__rows")
+    if repeated:  # rows of one key and text are copies, and one of them stays
+        copy = Window.partitionBy(key, "__text").orderBy(F.lit(0))
+        kept = kept.withColumn("__n", F.row_number().over(copy)).where("__n = 1 OR NOT __one").drop("__n")
+    return kept.drop("__key", "__own", "__one", "__text")
