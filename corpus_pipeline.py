@@ -17,7 +17,9 @@ SHARDS = 40
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.with_verdicts(docs).where("kept").select(docs.columns)
+    # the caller's columns pass as one struct, so that none is taken for a verdict
+    row = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return quality.with_verdicts(row).where("kept").select("__row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,12 @@ def test_several_blocks_of_tests_and_repeated_keys(spark, monkeypatch):
     assert [x[-1] for x in want].count(True) == 2
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 40)
     assert found() == want
+
+
+def test_quality_stage_keeps_the_callers_columns(spark):
+    names = ["stats", "votes", "posterior", "base_failed", "kept"]
+    rows = [(i, prose(40 + i, 80), *[f"{c}-{i}" for c in names]) for i in range(8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    left = corpus_pipeline.quality_rules(spark, docs, "")
+    found = [tuple(r) for r in left.collect()]
+    assert left.columns == docs.columns and found and set(found) <= set(rows)
