@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sluiceway-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,10 +43,45 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
+    """The rows, written, with a number of their own each: an identity that holds where keys are null or repeated."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+#: Keys with more than this share of all rows are split. No more than 1 / HOT keys can have it, which bounds their broadcast.
+HOT = 1 / 1000
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, by: str, how: str = "inner") -> DataFrame:
+    """Rows joined with one row for each key, where a key may hold any share of all rows.
+
+    ``count`` is per_key's column with the number of ``rows`` of the key, ``total`` their sum. The rows of a hot key are
+    dealt, by the column ``by``, over as many parts as they have shares of HOT, and its one row is copied to each part.
+    """
+    part = max(1, int(total * HOT))
+    parts = F.ceil(F.col(count) / part).cast("int")
+    hot = per_key.where(F.col(count) > part).select(F.col(key).alias("__hot"), parts.alias("__parts"))  # 1 / HOT rows at most
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__part", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("__parts"))).cast("int")).drop("__hot", "__parts")
+    copied = per_key.withColumn("__part", F.explode(F.when(F.col(count) > part, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [key, "__part"], how).drop("__part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Arrow batches of few rows for what is executed inside; the session's setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, so that long texts don't make large batches; the count holds for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

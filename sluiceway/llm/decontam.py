@@ -1,14 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of segments: whole documents of about SEGMENT_WORDS words together. For each
-segment it has one row for each term with the sorted positions of the term, and one row (null term) with
-the documents' keys, first positions and word counts. A position is left free between documents, so no
-phrase crosses two. Segments are bounded, so a term that fills a third of the corpus is as many bounded
-lists as there are segments. ``terms`` limits postings to a vocabulary: no other list takes part in a search.
+The index is a table of segments of about SEGMENT_WORDS words: for each term of a segment the sorted list
+of its positions, and the documents that lie in it. A position is left free between documents, so no
+phrase crosses two. A document longer than a segment is cut into pieces that overlap by what a phrase
+needs. Segments are bounded, so a term that fills a third of the corpus is as many bounded lists as there are segments.
 
-A search starts each phrase from its rarest term in the segment and intersects the other terms' lists,
-shifted by their offsets, from the rarest on. Test phrases come to the tasks in blocks of bounded size, by
-a broadcast each; what several blocks find in one document is joined by document.
+A search takes the segments as they lie, with no shuffle: it starts each phrase from its rarest term in the segment
+and intersects the other terms' lists, shifted by their offsets, from the rarest on. Test phrases come to the
+tasks in blocks of bounded size, by a broadcast each, against the one index; what blocks and pieces find in
+one document is joined by the document's name in the index, which is its row's, not its key.
 
 Null and blank texts have no words: they hit nothing, and items without words have no windows. Repeated
 rows are documents of their own; repeated items count once by id; null item ids are not reported, but
@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import cut, small_batches
+from sluiceway.llm.common import batch_rows, cut
 
 WINDOW = 10
 SEGMENT_WORDS = 200_000
@@ -44,83 +43,78 @@ def words(text: bytes | str | None) -> list[bytes]:
     return (text if isinstance(text, bytes) else text.encode("utf-8", "replace")).translate(FOLD).split()
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: list[bytes] | None = None, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Rows (segment, term, positions, keys, starts, lengths); the caller writes them."""
-    spark = docs.sparkSession
-    small_batches(spark)
+SPAN = "struct<first:bigint,last:bigint>"
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, overlap: int = WINDOW - 1) -> DataFrame:
+    """Rows (origin, docs, postings), one for each segment; the caller writes them.
+
+    ``docs``: number, key, first (the piece's first word in its document), start (its place in the segment), words.
+    ``origin`` and number name a document. ``postings``: term, positions. Searches of up to ``overlap`` + 1 words find
+    all that a document cut in pieces holds.
+    """
     key_type = docs.schema[key].dataType.simpleString()
-    known = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)}) if terms is not None else None
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(key_type)
-
-    def segment(keys: list, lists: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
-        lengths = np.array([len(x) for x in lists], np.int32)
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int32)
-        gap = np.full(1, -1, np.int32)
-        ids = np.concatenate([x for one in lists for x in (one, gap)])
-        at = np.flatnonzero(ids >= 0).astype(np.int32)
-        at = at[np.argsort(ids[at], kind="stable")]
-        found, first = np.unique(ids[at], return_index=True)
-        ends = np.concatenate([first, [len(at)]]).astype(np.int32)
-        n = len(found)
-        offsets = np.concatenate([ends, [len(at)]]).astype(np.int32)  # the document row has no positions
-        none_then_all = pa.array(np.concatenate([np.zeros(n + 1, np.int32), [len(keys)]]).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([uuid.uuid4().hex] * (n + 1)),
-                pa.array([names[i].decode("utf-8", "replace") for i in found] + [None], pa.string()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(at)),
-                pa.ListArray.from_arrays(none_then_all, pa.array(keys, arrow_key)),
-                pa.ListArray.from_arrays(none_then_all, pa.array(starts)),
-                pa.ListArray.from_arrays(none_then_all, pa.array(lengths)),
-            ],
-            ["segment", "term", "positions", "keys", "starts", "lengths"],
-        )
+    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = known.value if known is not None else {}
-        names = list(vocabulary)
-        keys, lists, total = [], [], 0
+        origin, number = uuid.uuid4().hex, 0
+        vocabulary: dict[bytes, int] = {}
+        pieces: list[tuple] = []  # (number, key, first, term numbers)
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            out = segment(keys, lists, names)
-            out = out.set_column(0, "segment", pa.array([out.column(0)[0].as_py()] * out.num_rows))
-            keys.clear()
-            lists.clear()
-            return out
+            gap = np.full(1, -1, np.int32)
+            ids = np.concatenate([x for piece in pieces for x in (piece[3], gap)])
+            at = np.flatnonzero(ids >= 0).astype(np.int32)
+            at = at[np.argsort(ids[at], kind="stable")]
+            ends = np.searchsorted(ids[at], np.arange(len(vocabulary) + 1)).astype(np.int32)
+            sizes = np.array([len(p[3]) for p in pieces], np.int32)
+            starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int32)
+            terms = pa.array([w.decode("utf-8", "replace") for w in vocabulary], pa.string())
+            postings = pa.StructArray.from_arrays([terms, pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], ["term", "positions"])
+            own = pa.StructArray.from_arrays([pa.array([p[0] for p in pieces], pa.int64()), pa.array([p[1] for p in pieces], arrow_key), pa.array([p[2] for p in pieces], pa.int64()), pa.array(starts), pa.array(sizes)], ["number", "key", "first", "start", "words"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([pa.array([origin]), one(own), one(postings)], ["origin", "docs", "postings"])
 
         for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-                ws = words(t.as_py())
-                if known is None:
-                    for w in ws:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                ws, first = words(t.as_py()), 0
+                while True:
+                    part = ws[first : first + segment_words]
+                    for w in part:
                         if w not in vocabulary:
-                            vocabulary[w] = len(names)
-                            names.append(w)
-                keys.append(k.as_py())
-                lists.append(np.fromiter(map(vocabulary.get, ws, repeat(-1)), np.int32, len(ws)))
-                total += len(ws) + 1
-                if total >= segment_words:
-                    yield flush()
-                    total = 0
-                    if known is None:
-                        vocabulary, names = {}, []
-        if keys:
+                            vocabulary[w] = len(vocabulary)
+                    pieces.append((number, k, first, np.fromiter(map(vocabulary.__getitem__, part), np.int32, len(part))))
+                    held += len(part) + 1
+                    if held >= segment_words:
+                        yield flush()
+                        vocabulary, pieces, held = {}, [], 0
+                    if first + len(part) >= len(ws):
+                        break
+                    first += max(1, len(part) - overlap)
+                number += 1
+        if pieces:
             yield flush()
 
-    schema = f"segment string, term string, positions array<int>, keys array<{key_type}>, starts array<int>, lengths array<int>"
+    schema = f"origin string, docs array<struct<number:bigint,key:{key_type},first:bigint,start:int,words:int>>, postings array<struct<term:string,positions:array<int>>>"
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def documents_of(index: DataFrame) -> DataFrame:
+    """Rows (origin, number, key, n_words) of the documents in an index."""
+    pieces = index.select("origin", F.explode("docs").alias("d"))
+    per = pieces.groupBy("origin", F.col("d.number").alias("number"))
+    return per.agg(F.any_value("d.key").alias("key"), F.max(F.col("d.first") + F.col("d.words")).alias("n_words"))
+
+
 class Postings:
-    """The lists of one segment, as one sorted array of term number and position."""
+    """The lists of one segment that a vocabulary asks for, as one sorted array of term number and position."""
 
-    def __init__(self, table: pa.Table, vocabulary: dict[str, int], n_terms: int):
-        terms, lists = table["term"].to_pylist(), table["positions"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    def __init__(self, postings: pa.StructArray, docs: pa.StructArray, vocabulary: dict[str, int], n_terms: int):
+        lists = postings.field("positions")
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        number = np.array([-1 if t is None else vocabulary.get(t, -1) for t in terms], np.int64)
-        doc_row = terms.index(None)
-        self.starts = np.array(table["starts"][doc_row].as_py(), np.int64)
+        number = np.fromiter((vocabulary.get(t, -1) for t in postings.field("term").to_pylist()), np.int64, len(postings))
+        self.starts = docs.field("start").to_numpy().astype(np.int64)
         order = [k for k in np.argsort(number, kind="stable") if number[k] >= 0]
         self.count = np.zeros(n_terms, np.int64)
         self.first = np.zeros(n_terms, np.int64)
@@ -223,40 +217,47 @@ def _blocks(tests: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
 
 
 def search(index: DataFrame, tests: list[tuple], window: int = WINDOW, distance: int | None = None) -> DataFrame:
-    """Rows (segment, doc, items, spans) of documents with matches of one block of tests (item, text).
+    """Rows (origin, number, items, spans) of documents with matches of one block of tests (item, text); a document in pieces may have several.
 
     Spans are merged word ranges [first, last] inside the document; items are ids as strings. With
     ``distance``, a whole item matches where its distinct words stand within that many words, in any order.
     """
-    rows, owners, vocabulary = _windows(tests, 100_000 if distance else window) if distance is None else _whole_items(tests)
-    shared = index.sparkSession.sparkContext.broadcast((rows, owners, vocabulary))
+    rows, owners, vocabulary = _windows(tests, window) if distance is None else _whole_items(tests)
+    shared = index.sparkSession.sparkContext.broadcast((rows, owners, vocabulary))  # a block's windows: bounded by BLOCK_WORDS
 
-    def run(table: pa.Table) -> pa.Table:
+    def matches(origin: str, postings: pa.StructArray, docs: pa.StructArray) -> list[tuple]:
         windows, owned, known = shared.value
-        lists = Postings(table, known, max(1, len(known)))
+        lists = Postings(postings, docs, known, max(1, len(known)))
         if distance is None:
             which, first = lists.phrases(windows)
             last = first + (windows >= 0).sum(axis=1)[which] - 1
         else:
             hits = [(k, a, b) for k in range(len(windows)) for a, b in lists.near(windows[k], distance)]
             which, first, last = np.array(hits, np.int64).reshape(-1, 3).T
-        doc = np.searchsorted(lists.starts, first, side="right") - 1
-        order = np.lexsort((first, doc))
+        piece = np.searchsorted(lists.starts, first, side="right") - 1
+        numbers, offsets = docs.field("number").to_numpy(), docs.field("first").to_numpy()
         out: dict[int, tuple[set, list]] = {}
-        for k in order:
-            items, spans = out.setdefault(int(doc[k]), (set(), []))
+        for k in np.lexsort((first, piece)):
+            at = int(piece[k])
+            items, spans = out.setdefault(at, (set(), []))
             items.update(str(x) for x in owned[which[k]] if x is not None)
-            a, b = int(first[k] - lists.starts[doc[k]]), int(last[k] - lists.starts[doc[k]])
+            move = int(offsets[at]) - int(lists.starts[at])
+            a, b = int(first[k]) + move, int(last[k]) + move
             if spans and a <= spans[-1]["last"] + 1:
                 spans[-1]["last"] = max(spans[-1]["last"], b)
             else:
                 spans.append({"first": a, "last": b})
-        name = table["segment"][0].as_py()
-        span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        return pa.table({"segment": pa.array([name] * len(out), pa.string()), "doc": pa.array(list(out), pa.int32()), "items": pa.array([sorted(x[0]) for x in out.values()], pa.list_(pa.string())), "spans": pa.array([x[1] for x in out.values()], span)})
+        return [(origin, int(numbers[at]), sorted(items), spans) for at, (items, spans) in out.items()]
 
-    schema = "segment string, doc int, items array<string>, spans array<struct<first:int,last:int>>"
-    return index.select("segment", "term", "positions", "starts").groupBy("segment").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
+        for b in batches:
+            for k in range(b.num_rows):
+                found = matches(b.column(0)[k].as_py(), b.column(2)[k].values, b.column(1)[k].values)
+                columns = list(zip(*found, strict=True)) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["origin", "number", "items", "spans"])
+
+    return index.select("origin", "docs", "postings").mapInArrow(run, f"origin string, number bigint, items array<string>, spans array<{SPAN}>")
 
 
 def _whole_items(tests: list[tuple]) -> tuple[np.ndarray, list[list], dict[str, int]]:
@@ -266,26 +267,17 @@ def _whole_items(tests: list[tuple]) -> tuple[np.ndarray, list[list], dict[str,
 
 def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", test_text: str = "text", window: int = WINDOW, distance: int | None = None) -> DataFrame:
     """Per document: key, n_words, n_hit, items (ids as strings, sorted), spans, contaminated."""
-    blocks = _blocks(tests, item, test_text)
-    heads = list(islice(blocks, 2))
-    several = len(heads) > 1
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    # each block indexes the documents anew: with several, texts are told apart by digest, and the documents' keys join at the end
-    named = docs.select(digest.alias("digest"), F.col(text).alias("text")) if several else docs.select(F.col(key).alias("digest"), F.col(text).alias("text"))
-    parts = []
-    for block in chain(heads, blocks):
-        terms = list({w: None for _, t in block for w in words(t)})
-        index = cut(build_index(named, "digest", "text", terms))
-        doc_table = index.where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("keys", "lengths")).alias("doc", "d")).select("segment", "doc", F.col("d.keys").alias("key"), F.col("d.lengths").alias("n_words"))
-        parts.append(doc_table.join(search(index, block, window, distance), ["segment", "doc"], "left"))
-    if not several:
-        found = parts[0].select("key", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"))
-    else:
-        merged = parts[0].dropDuplicates(["key"])
-        for more in parts[1:]:
-            merged = merged.unionByName(more.dropDuplicates(["key"]))
-        per = merged.groupBy(F.col("key").alias("digest")).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-        found = docs.select(F.col(key).alias("key"), digest.alias("digest")).join(per, "digest").select("key", "n_words", "items", "spans")
-    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(s["first"] - 1, acc["end"]))).alias("n"), F.greatest(s["last"], acc["end"]).alias("end"))
-    n_hit = F.aggregate(F.sort_array("spans"), F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")), step, lambda a: a["n"])
-    return found.select(F.col("key").alias(key), F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.sort_array(F.array_distinct("items")).alias("items"), "spans", (n_hit > 0).alias("contaminated"))
+    spark = docs.sparkSession
+    with batch_rows(spark):
+        index = cut(build_index(docs, key, text, overlap=(distance or window) - 1))
+    found = None
+    for block in _blocks(tests, item, test_text):
+        with batch_rows(spark, 4):  # a row is a segment
+            more = cut(search(index, block, window, distance))
+        found = more if found is None else found.unionByName(more)
+    per = found.groupBy("origin", "number").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    rows = documents_of(index).join(per, ["origin", "number"], "left")
+    rows = rows.withColumn("items", F.sort_array(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))).withColumn("spans", F.sort_array(F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))))
+    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0).cast("bigint"), s["last"] - F.greatest(s["first"] - 1, acc["end"]))).alias("n"), F.greatest(s["last"], acc["end"]).alias("end"))
+    n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("end")), step, lambda a: a["n"])
+    return rows.select(F.col("key").alias(key), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), "items", "spans", (n_hit > 0).alias("contaminated"))

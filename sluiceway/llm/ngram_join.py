@@ -6,10 +6,11 @@ agree on a band are candidates; each candidate pair is verified on the full sets
 from the threshold and the target recall at it.
 
 Copies and hot groups:
+- Buckets, components and copies of one set may hold any share of all rows: joins with them split hot keys.
 - Documents of one shingle set are a class. Only one representative of a class is compared; counts of
   links are weighted by class sizes, so copies are never expanded.
 - Buckets join into candidate groups (connected components over bucket membership). A group is compared
-  in blocks of bounded size: pairs of chunks of CHUNK members, each pair of members in one block. Large
+  in blocks: pairs of chunks of about CHUNK members and CHUNK_SHINGLES shingles at most, each pair of members in one block. Large
   groups whose buckets are much smaller than the group are compared by bucket instead, each pair in the
   first band it shares. Every block is a task's share of work of bounded memory and emits one row for each
   member (its number of links and the root of a spanning forest), never pairs.
@@ -27,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import cut, small_batches
+from sluiceway.llm.common import batch_rows, cut, numbered, spread_join
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-CHUNK = 512
+CHUNK, CHUNK_SHINGLES = 512, 1_000_000
 BIN_ROWS = 2000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,100 +88,107 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
-def signatures(docs: DataFrame, key: str, text: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 7) -> DataFrame:
-    """Per document: key, own (digest of its text), set_id (128-bit hash of its shingle set; null if empty) and one hash for each band."""
-    bands, rows = bands_and_rows(threshold, recall)
+def signatures(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 7) -> DataFrame:
+    """Of rows (row, key, text): row, key, set_id (128-bit hash of its shingle set; null if empty), size (of the set) and one hash for each band."""
+    bands, per = bands_and_rows(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, (a, b) = WordHashes(), _multipliers(bands * rows, seed)
+        hashes, (a, b) = WordHashes(), _multipliers(bands * per, seed)
         for batch in batches:
-            ids, found = [], []
-            for t in batch.column(1):
+            ids, sizes, found = [], [], []
+            for t in batch.column(2):
                 s = shingles(t.as_py(), n, hashes)
+                sizes.append(len(s))
                 if not len(s):
                     ids.append(None)
                     found.append(None)
                     continue
                 ids.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-                sig = signature(s, a, b).reshape(bands, rows)
+                sig = signature(s, a, b).reshape(bands, per)
                 found.append([xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(sig)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["key", "own", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["row", "key", "set_id", "size", "bands"])
 
-    key_type = docs.schema[key].dataType.simpleString()
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _own(text).alias("own")).mapInArrow(run, f"key {key_type}, own string, set_id string, bands array<bigint>")
+    key_type = rows.schema["key"].dataType.simpleString()
+    return rows.select("row", "key", "text").mapInArrow(run, f"row bigint, key {key_type}, set_id string, size bigint, bands array<bigint>")
 
 
-def _own(text: str) -> Column:
-    """A text's digest: with the key it names a row, where keys are null or repeated."""
-    return F.md5(F.coalesce(F.col(text), F.lit("")))
-
-
-def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """Rows (text) to rows (set_id, shingles) for texts that have some."""
+def shingle_sets(rows: DataFrame, n: int = N) -> DataFrame:
+    """Rows (row, text) to rows (rep, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes = WordHashes()
         for batch in batches:
-            sets = [s for t in batch.column(0) if len(s := shingles(t.as_py(), n, hashes))]
+            sets = [shingles(t.as_py(), n, hashes) for t in batch.column(1)]
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["set_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["rep", "shingles"])
 
-    return docs.mapInArrow(run, "set_id string, shingles array<bigint>")
+    return rows.select("row", "text").mapInArrow(run, "rep bigint, shingles array<bigint>")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Edges (a, b) to rows (node, root): the smallest node of each one's component; nodes without edges have no row.
 
     Alternating large-star and small-star steps; the edges shrink to stars in logarithmically many
-    rounds. Each round is written, and what reaches the driver is a count and a checksum.
+    rounds. Each round is written, and what reaches the driver is a count and a checksum. A node that holds
+    many edges, as the middle of a star does, is joined in parts.
     """
+
+    def state(of: DataFrame) -> tuple[int, int | None]:
+        return tuple(of.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    def with_least(of: DataFrame, total: int) -> DataFrame:
+        return spread_join(of, of.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "a", "n", total, "b")
+
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before = state(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        large = with_least(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        small = with_least(large, 2 * before[0]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = cut(small)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        after = state(now)
+        if after == before:
             break
-        before = state
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _chunks(sets: str, shingles: str) -> Column:
+    """Into how many chunks a group goes: each has about CHUNK sets and CHUNK_SHINGLES shingles at most."""
+    return F.greatest(F.ceil(F.col(sets) / CHUNK), F.ceil(F.col(shingles) / CHUNK_SHINGLES)).cast("int")
+
+
 def _blocks(reps: DataFrame) -> DataFrame:
-    """Representatives (set_id, rows, bands) that share a band with another, dealt to blocks.
+    """Representatives (rep, rows, size, bands) that share a band with another, dealt to blocks.
 
     Columns: scope, i, j (the block), part (the group inside the scope), chunk, band (the band compared
-    by, or -1 for all), set_id, rows, bands.
+    by, or -1 for all), rep, rows, bands.
     """
-    placed = reps.select("set_id", F.posexplode("bands").alias("band", "value"))
-    buckets = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"), F.min("set_id").alias("hub")).where("m > 1")
-    member = cut(placed.join(buckets, ["band", "value"]))
-    groups = components(member.select(F.col("set_id").alias("a"), F.col("hub").alias("b")))
-    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    by_bucket = member.groupBy("hub", "band", "m").count().join(groups.withColumnRenamed("node", "hub"), "hub").groupBy("root").agg(F.sum(F.col("m") * F.ceil(F.col("m") / CHUNK)).alias("bucket_cost"))
-    plan = cut(sized.join(by_bucket, "root").withColumn("whole", F.col("size") * F.ceil(F.col("size") / CHUNK) <= F.col("bucket_cost")))
-    grouped = reps.join(plan.withColumnRenamed("node", "set_id"), "set_id")
-    bins = max(1, -(-plan.count() // BIN_ROWS))
-    chunk = lambda m: F.pmod(F.xxhash64("set_id"), F.ceil(F.col(m) / CHUNK)).cast("int")
-    other = lambda m: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(m) / CHUNK) - 1).cast("int")))
-    keep = ["scope", "i", "j", "part", "chunk", "band", "set_id", "rows", "bands"]
-    few = grouped.where(f"whole AND size <= {CHUNK}").select(F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string").alias("scope"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("root").alias("part"), F.lit(0).alias("chunk"), F.lit(-1).alias("band"), "set_id", "rows", "bands")
-    many = grouped.where(f"whole AND size > {CHUNK}").withColumn("chunk", chunk("size")).withColumn("x", other("size")).withColumn("scope", F.col("root")).withColumn("band", F.lit(-1))
-    loose = grouped.where("NOT whole").select("set_id", "rows", "bands").join(member.select("set_id", "band", "value", "m"), "set_id")
-    loose = loose.withColumn("chunk", chunk("m")).withColumn("x", other("m")).withColumn("scope", F.concat_ws("/", "band", "value"))
-    wide = [d.withColumn("i", F.least("chunk", "x")).withColumn("j", F.greatest("chunk", "x")).withColumn("part", F.col("scope")).select(keep) for d in (many, loose)]
+    total = reps.count()
+    placed = reps.select("rep", "size", F.posexplode("bands").alias("band", "value")).select("rep", "size", F.struct("band", "value").alias("bucket"))
+    buckets = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"), F.min("rep").alias("hub")).where("m > 1"))
+    member = cut(spread_join(placed.drop("size"), buckets, "bucket", "m", total * MOST_HASHES, "rep"))
+    groups = cut(components(member.select(F.col("rep").alias("a"), F.col("hub").alias("b"))))
+    per_root = groups.join(reps.select(F.col("rep").alias("node"), "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    by_bucket = buckets.join(groups.withColumnRenamed("node", "hub"), "hub").groupBy("root").agg(F.sum(F.col("m") * _chunks("m", "s")).alias("bucket_cost"))
+    plan = cut(per_root.withColumn("chunks", _chunks("n", "s")).join(by_bucket, "root").withColumn("whole", F.col("n") * F.col("chunks") <= F.col("bucket_cost")))
+    held = plan.agg(F.sum("n"), F.sum("s")).first()
+    bins = max(1, -(-(held[0] or 0) // BIN_ROWS), -(-(held[1] or 0) // CHUNK_SHINGLES))
+    planned = spread_join(groups, plan, "root", "n", held[0] or 0, "node").withColumnRenamed("node", "rep")
+    grouped = cut(reps.drop("size").join(planned.select("rep", "root", "chunks", "whole"), "rep"))
+    own_chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    keep = ["scope", "i", "j", "part", "chunk", "band", "rep", "rows", "bands"]
+    few = grouped.where("whole AND chunks <= 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string").alias("scope"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("root").alias("part"), F.lit(0).alias("chunk"), F.lit(-1).alias("band"), "rep", "rows", "bands")
+    many = grouped.where("whole AND chunks > 1").withColumn("scope", F.concat(F.lit("g"), F.col("root").cast("string"))).withColumn("band", F.lit(-1))
+    loose = grouped.where("NOT whole").select("rep", "rows", "bands").join(member.select("rep", "bucket", _chunks("m", "s").alias("chunks")), "rep")
+    loose = loose.withColumn("scope", F.concat_ws("/", "bucket.band", "bucket.value")).withColumn("band", F.col("bucket.band"))
+    wide = [d.withColumn("chunk", own_chunk).withColumn("x", others).withColumn("i", F.least("chunk", "x")).withColumn("j", F.greatest("chunk", "x")).withColumn("part", F.lit(-1).cast("bigint")).select(keep) for d in (many, loose)]
     return few.select(keep).unionByName(wide[0]).unionByName(wide[1])
 
 
@@ -220,8 +228,8 @@ def links_of(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 def compare(batch: pa.Table, threshold: float) -> pa.Table:
     """One block: per member its links (in documents, in texts) and the root of its tree in the block's forest."""
-    part, chunk = np.array(batch["part"].to_pylist(), object), batch["chunk"].to_numpy()
-    ids, rows, band = batch["set_id"].to_pylist(), batch["rows"].to_numpy(), batch["band"].to_numpy()
+    part, chunk = batch["part"].to_numpy(), batch["chunk"].to_numpy()
+    ids, rows, band = batch["rep"].to_pylist(), batch["rows"].to_numpy(), batch["band"].to_numpy()
     flat = batch["shingles"].combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     ends, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
@@ -254,41 +262,38 @@ def compare(batch: pa.Table, threshold: float) -> pa.Table:
                 new = np.flatnonzero(linked[front.pop()] & ~seen)
                 seen[new] = True
                 front.extend(new.tolist())
-    return pa.table({"set_id": pa.array(ids, pa.string()), "doc_links": docs, "text_links": texts, "root": pa.array(roots, pa.string())})
+    return pa.table({"rep": pa.array(ids, pa.int64()), "doc_links": docs, "text_links": texts, "root": pa.array(roots, pa.int64())})
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Per document: key, set_id, class_id (the smallest key of its group of linked documents), n_links
     (other documents whose similarity reaches the threshold, copies included), n_text_links (other shingle
     sets that do), n_copies (documents of the same set, itself included)."""
-    return _groups(docs, key, text, n, threshold, recall).drop("own", "root")
-
-
-def _groups(docs: DataFrame, key: str, text: str, n: int, threshold: float, recall: float = RECALL) -> DataFrame:
-    """The rows of ``near_groups`` with ``own``, the text's digest, and ``root``, which names the group."""
-    signed = cut(signatures(docs, key, text, n, threshold, recall))
-    reps = cut(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"), F.min(F.when(F.col("key").isNull(), F.col("own"))).alias("first_own"), F.first("bands").alias("bands")))
-    blocks = cut(_blocks(reps.select("set_id", "rows", "bands")))
-    wanted = blocks.select("set_id").distinct().join(reps.select("set_id", "first_key"), "set_id").select("first_key").distinct()
-    texts = docs.select(F.col(key).alias("first_key"), F.col(text).alias("text")).join(wanted, "first_key", "left_semi").select("text")
-    keyless = reps.where("first_key IS NULL")
-    if keyless.limit(1).count():  # sets of null keys only: their texts are found by digest
-        own = blocks.select("set_id").distinct().join(keyless.select("set_id", F.col("first_own").alias("own")), "set_id").select("own").distinct()
-        more = docs.where(F.col(key).isNull()).select(_own(text).alias("own"), F.col(text).alias("text")).join(own, "own", "left_semi")
-        texts = texts.unionByName(more.dropDuplicates(["own"]).select("text"))
-    sets = shingle_sets(texts, n).groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    result = "set_id string, doc_links bigint, text_links bigint, root string"
-    found = blocks.join(sets, "set_id").groupBy("scope", "i", "j").applyInArrow(lambda t: compare(t, threshold), result)
-    found = cut(found)
-    links = found.groupBy("set_id").agg(F.sum("doc_links").alias("doc_links"), F.sum("text_links").alias("text_links"))
-    roots = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
-    sets_of = reps.join(links, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    names = sets_of.groupBy("root").agg(F.min("first_key").alias("class_id"))
-    known = sets_of.join(names, "root").select("set_id", "root", "class_id", "rows", F.coalesce("doc_links", F.lit(0)).alias("doc_links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
-    out = signed.select("key", "own", "set_id").join(known, "set_id", "left")
+    rows = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "row")
+    return _groups(rows, n, threshold, recall).drop("row", "root").withColumnRenamed("key", key)
+
+
+def _groups(rows: DataFrame, n: int, threshold: float, recall: float = RECALL) -> DataFrame:
+    """Of written rows (row, key, text): those of ``near_groups`` with ``row`` and ``root``, which names the group."""
+    with batch_rows(rows.sparkSession):
+        signed = cut(signatures(rows, n, threshold, recall))
+    reps = cut(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    blocks = cut(_blocks(reps.select("rep", "rows", "size", "bands")))
+    wanted = blocks.select(F.col("rep").alias("row")).distinct()
+    sets = shingle_sets(rows.join(wanted, "row", "left_semi"), n)
+    result = "rep bigint, doc_links bigint, text_links bigint, root bigint"
+    with batch_rows(rows.sparkSession):
+        found = cut(blocks.join(sets, "rep").groupBy("scope", "i", "j").applyInArrow(lambda t: compare(t, threshold), result))
+    links = found.groupBy("rep").agg(F.sum("doc_links").alias("doc_links"), F.sum("text_links").alias("text_links"))
+    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    sets_of = reps.drop("bands", "size").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    sets_of = cut(sets_of.withColumn("root", F.coalesce("root", "rep")).fillna(0, ["doc_links", "text_links"]))
+    names = sets_of.groupBy("root").agg(F.min("first_key").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    known = spread_join(sets_of, names, "root", "n", sets_of.count(), "rep").select("set_id", "root", "class_id", "rows", "doc_links", "text_links")
+    out = spread_join(signed.select("row", "key", "set_id"), known, "set_id", "rows", signed.count(), "row", "left")
     return out.select(
-        F.col("key").alias(key),
-        "own",
+        "row",
+        "key",
         "set_id",
         "root",
         F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
@@ -301,17 +306,13 @@ def _groups(docs: DataFrame, key: str, text: str, n: int, threshold: float, reca
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one row of each group of linked documents: that of the smallest key. Texts without words all stay.
 
-    A row is known by its key and its text's digest, so rows of one key or of null keys are told apart; of exact copies
-    one stays, and where all keys of a group are null, the smallest digest's row."""
-    groups = cut(_groups(docs, key, text, n, threshold))
-    first = groups.where(F.col("set_id").isNotNull() & F.col(key).eqNullSafe(F.col("class_id")))
-    chosen = first.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), F.col("own").alias("o"))).alias("w")).select(F.col("w.k").alias("__key"), F.col("w.o").alias("__own"))
-    wordless = groups.where("set_id IS NULL").select(F.col(key).alias("__key"), F.col("own").alias("__own")).distinct()
-    stays = chosen.withColumn("__one", F.lit(True)).unionByName(wordless.withColumn("__one", F.lit(False)))
-    named = docs.withColumn("__text", _own(text))
-    kept = named.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__own")), "inner")
-    repeated = groups.groupBy(key).count().where("count > 1").limit(1).count()
-    if repeated:  # rows of one key and text are copies, and one of them stays
-        copy = Window.partitionBy(key, "__text").orderBy(F.lit(0))
-        kept = kept.withColumn("__n", F.row_number().over(copy)).where("__n = 1 OR NOT __one").drop("__n")
-    return kept.drop("__key", "__own", "__one", "__text")
+    Rows are known by numbers of their own, so those of null or of repeated keys are told apart. Where several rows of a group
+    have its smallest key, or all are null, the digest of the row's columns decides."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    digest = F.md5(F.concat(F.coalesce(F.col(text), F.lit("")), F.to_json(F.struct(*others)))) if others else F.md5(text)
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc"), digest.alias("own")), "row")
+    groups = _groups(rows.select("row", F.col(f"doc.`{key}`").alias("key"), F.col(f"doc.`{text}`").alias("text")), n, threshold).select("row", "key", "set_id", "root").join(rows.select("row", "own"), "row")
+    order = F.struct(F.col("key").isNull().alias("n"), "key", "own", "row")
+    chosen = groups.where("set_id IS NOT NULL").groupBy("root").agg(F.min(order).alias("w")).select("w.row")
+    stays = chosen.unionByName(groups.where("set_id IS NULL").select("row"))
+    return rows.join(stays, "row", "left_semi").select("doc.*")
