@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm import decontam, mixing, ngram_join, quality, sharding
-from sluiceway.llm.common import cut, table
+from sluiceway.llm.common import cut, numbered, table
 
 SHARDS = 40
 
@@ -27,10 +27,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # contamination is a matter of the text, so its digest names the rows: keys may be null or repeated
-    named = docs.withColumn("__digest", F.sha2("text", 256))
-    found = decontam.contamination(named, table(spark, sf_dir, "benchmark"), key="__digest")
-    return named.join(found.where("contaminated").select("__digest").distinct(), "__digest", "left_anti").select(docs.columns)
+    # rows are known by numbers of their own: keys may be null or repeated
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc")), "row")
+    found = decontam.contamination(rows.select("row", "doc.text"), table(spark, sf_dir, "benchmark"), key="row")
+    return rows.join(found.where("NOT contaminated").select("row"), "row", "left_semi").select("doc.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
