@@ -280,10 +280,10 @@ def _groups(rows: DataFrame, n: int, threshold: float, recall: float = RECALL) -
     reps = cut(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     blocks = cut(_blocks(reps.select("rep", "rows", "size", "bands")))
     wanted = blocks.select(F.col("rep").alias("row")).distinct()
-    sets = shingle_sets(rows.join(wanted, "row", "left_semi"), n)
+    sets = shingle_sets(rows.join(wanted.hint("merge"), "row", "left_semi"), n)
     result = "rep bigint, doc_links bigint, text_links bigint, root bigint"
     with batch_rows(rows.sparkSession):
-        found = cut(blocks.join(sets, "rep").groupBy("scope", "i", "j").applyInArrow(lambda t: compare(t, threshold), result))
+        found = cut(blocks.hint("merge").join(sets, "rep").groupBy("scope", "i", "j").applyInArrow(lambda t: compare(t, threshold), result))
     links = found.groupBy("rep").agg(F.sum("doc_links").alias("doc_links"), F.sum("text_links").alias("text_links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sets_of = reps.drop("bands", "size").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
