@@ -1,154 +1,248 @@
 """HTML extraction by nearest-URL page differencing.
 
-Each page becomes lines (the text of one block each). Lines under menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, known by their markup, are boilerplate; lines inside an
-article or main element are its text. All other lines are compared with those of the page that
-is nearest by URL path among those of the same host that have such lines: both are aligned by longest common subsequence, and lines that
-they share are deleted. A partner with the same lines throughout is a copy and says nothing, so nothing
-is deleted then. Lines of an article are not deleted where another page of the host has them too:
-pages do repeat passages of articles.
-
-What is exchanged between pages are hashes of their comparable lines, not their texts. Nearest pages come
-from a global sort by host and path: neighbours within a range and, by the ranges' first and last rows,
-across ranges, so a host that holds a third of all pages is many ranges.
-
-Null html is empty text. Null urls are a host of their own. Repeated rows have one result each. An empty
-table gives an empty result. Other columns are ignored.
+Each page becomes lines (the text of one block each), each in one of three places: inside an article, under
+markup that is known for menus, headers, footers, sidebars, notices, adverts, forms or comments, or open (neither). All
+lines outside articles are compared with those of the pages nearest by URL path on the same host (of pages that have open
+lines, too, or of pages that have none): the lines of both are
+aligned by longest common subsequence, and those of the page's lines that the alignment pairs are deleted. The markup
+is a help for what differs from page to page: its lines go too. What is left, articles and open lines that the
+neighbours don't have, is the text. Lines inside an article stay where another page has them too: articles repeat passages.
+
+A neighbour that shares most of a page's text outside the marked places (SAME of its characters) is a copy of it and says
+nothing; the next nearest is taken then, NEIGHBOURS on either side at most, and where all are copies nothing is deleted by differencing.
+Pages of a host with the very same lines are one page to the search, so no number of copies hides the neighbours.
+
+What is exchanged between pages are hashes and sizes of lines, not texts. Neighbours come from a global order by host
+and path: rows get their places in it, and buckets of places overlap by NEIGHBOURS, so a host that holds a third of all pages
+is many buckets.
+
+Null html is empty text. Null urls are a host of their own. Rows of one url and html have one result each, the same. An
+empty table gives an empty result. Other columns are ignored. Broken markup is read as browsers read it: a quote counts in a
+tag only, behind an equals sign, and what never ends runs to the end of the page. Reading is linear in the page.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import cut, small_batches
+from sluiceway.llm.common import batch_rows, cut, small_batches
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NEIGHBOURS = 2
+SAME = 0.8
+BUCKET_PAGES = 20_000
+
+#: A tag whose attributes have no surprises; possessive, so that it never looks at a character twice.
+PLAIN = re.compile(r"""<(/?)([A-Za-z][^\s/><]*+)((?>\s++(?:[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=`]++))?+)?+)*+)\s*+/?+>""")
+NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=]?[^\s/>=]*+)\s*+(=\s*+(?:"([^"]*+)("?)|'([^']*+)('?)|([^\s>]*+)))?""")
+SIGNS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
 
 # Elements that are never text of an article, those that hold one, and those that may hold others.
-CHROME = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog"}
+CHROME = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "noscript", "template", "svg", "select", "object", "canvas", "audio", "video"}
 ARTICLE = {"article", "main"}
 HOLDERS = CHROME | ARTICLE | {"html", "body", "header", "div", "section", "ul", "ol", "dl", "table", "tbody", "tr", "td", "th", "blockquote", "figure", "details"}
 #: These end a block; other elements are inline.
-BLOCKS = HOLDERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "br", "title", "caption", "figcaption", "address", "summary", "option", "thead", "tfoot"}
-#: Words in class, id or role that mark boilerplate.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|sidebar|side|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|header|masthead|footer|comment|comments|commentlist|disqus|replies|reply|related|share|sharing|social|widget|search|contentinfo|complementary|skip)(?:$|[\s_-])", re.I)
-
-
-def lines_of(page: str | None) -> list[tuple[str, bool]]:
-    """The visible lines of a page outside known boilerplate: (text, whether it is inside an article)."""
-    out: list[tuple[str, bool]] = []
+BLOCKS = HOLDERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "br", "title", "caption", "figcaption", "address", "summary", "option", "thead", "tfoot", "fieldset", "legend", "center"}
+IN_HEAD = {"head", "base", "link", "meta", "title", "style", "script", "noscript", "template"}
+# Words in class, id or role that mark boilerplate wherever they stand, and those that do so outside articles only.
+STRONG = set("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent popup modal newsletter subscribe sidebar breadcrumb breadcrumbs pagination pager comment comments commentlist disqus replies related share sharing social navigation complementary".split())
+WEAK = set("banner notice notices alert signup login side nav navbar menu header masthead footer reply widget search contentinfo skip".split())
+
+INSIDE, OPEN, MARKED = 2, 1, 0
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """The tags of a page in order: (start, end, name in lower case, whether it closes, attributes as written). Comments and
+    the contents of scripts and the like are tags of the name "" that cover them."""
+    at, size = 0, len(page)
+    while (start := page.find("<", at)) >= 0:
+        if m := PLAIN.match(page, start):
+            end, name, closes, attributes = m.end(), m[2].lower(), m[1] == "/", m[3]
+        elif page.startswith("<!--", start):
+            stop = page.find("-->", start + 2)
+            at = size if stop < 0 else stop + 3
+            yield start, at, "", False, ""
+            continue
+        elif m := NAME.match(page, start):
+            end = m.end()
+            while end < size and page[end] != ">":
+                a = ATTRIBUTE.match(page, end)
+                open_quote = a[3] is not None and not a[4] or a[5] is not None and not a[6]
+                end = size if open_quote else a.end() if a.end() > end else end + 1
+            name, closes, attributes = m[1].lower(), page[start + 1] == "/", page[m.end() : end]
+            end = min(size, end + 1)
+        elif page[start + 1 : start + 2] in ("!", "?", "/"):
+            stop = page.find(">", start)
+            at = size if stop < 0 else stop + 1
+            yield start, at, "", False, ""
+            continue
+        else:
+            at = start + 1  # a lone < is text
+            continue
+        yield start, end, name, closes, attributes
+        at = end
+        if name in RAW and not closes:
+            m = RAW[name].search(page, end)
+            at = m.start() if m else size
+            yield end, at, "", False, ""
+
+
+def marked(attributes: str, inside: bool, whole_only: bool) -> bool:
+    """Whether class, id or role say boilerplate; ``whole_only``: by whole words, not by parts of them."""
+    for m in SIGNS.finditer(attributes):
+        for word in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = {word} if whole_only else {word, *re.split(r"[-_]", word)}
+            if parts & STRONG or not inside and parts & WEAK:
+                return True
+    return False
+
+
+def lines_of(page: str | None) -> list[tuple[str, int]]:
+    """The visible lines of a page: (text, INSIDE an article, MARKED as boilerplate or OPEN)."""
+    page = page or ""
+    out: list[tuple[str, int]] = []
     words: list[str] = []
-    holders: list[tuple[str, bool]] = []  # open holders and whether each is boilerplate
+    holders: list[list] = []  # open holders: [name, whether it is boilerplate, whether it is an article]
     hidden = article = 0
 
     def end() -> None:
         line = " ".join(html_lib.unescape("".join(words)).split())
         words.clear()
         if line:
-            out.append((line, article > 0))
+            out.append((line, MARKED if hidden else INSIDE if article else OPEN))
 
-    def close(count: int) -> None:
+    def close(name: str) -> None:
         nonlocal hidden, article
-        for name, chrome in holders[len(holders) - count :]:
-            hidden -= chrome
-            article -= name in ARTICLE and not chrome
-        del holders[len(holders) - count :]
-
-    at, page = 0, page or ""
-    for m in TAG.finditer(page):
-        if not hidden and m.start() > at:
-            words.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if m[1]:
-            if not hidden:
-                words.append(" ")
-            continue
+        for k in range(len(holders) - 1, -1, -1):
+            if holders[k][0] == name:
+                for _, chrome, holds in holders[k:]:
+                    hidden -= chrome
+                    article -= holds
+                del holders[k:]
+                return
+
+    at = 0
+    for start, stop, name, closes, attributes in tags(page):
+        if start > at:
+            words.append(page[at:start])
+        at = stop
         if name not in BLOCKS:
+            if not name:
+                words.append("")
             continue
         end()
+        if holders and holders[-1][0] == "head" and name not in IN_HEAD:  # a head that was never closed ends here
+            close("head")
         if name not in HOLDERS:
             continue
-        if m[2]:
-            back = next((k for k in range(1, len(holders) + 1) if holders[-k][0] == name), 0)
-            close(back)
+        if closes:
+            close(name)
             continue
-        if name == "body":  # a head that was never closed ends here
-            close(next((k for k in range(1, len(holders) + 1) if holders[-k][0] == "head"), 0))
+        holds = name in ARTICLE
+        if holds and hidden and all(x[0] == "form" for x in holders if x[1]):  # a form around the whole page hides no article
+            for x in holders:
+                x[1] = False
+            hidden = 0
         chrome = name in CHROME or name == "header" and not article
-        if not chrome and name not in ("html", "body", *ARTICLE):
-            chrome = any(MARKED.search(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[4] or ""))
-        if not (m[4] or "").rstrip().endswith("/"):
-            holders.append((name, chrome))
-            hidden += chrome
-            article += name in ARTICLE and not chrome
-    if not hidden:
-        words.append(page[at:])
+        if not chrome and name not in ("html", "body"):
+            chrome = marked(attributes, article > 0, holds)
+        holders.append([name, chrome, holds and not chrome])
+        hidden += chrome
+        article += holds and not chrome
+    words.append(page[at:])
     end()
-    return out
+    return [x for x in out if x[0]]
 
 
-def shared_lines(a: list, b: list) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski: an increasing run of matches)."""
-    where: dict = {}
+def _ahead(a: list, b: list) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` with b[:0], b[:1] and so on: a row of bits for each element of ``a``."""
+    masks: dict = {}
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    links: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            else:
-                tails[k], links[k] = j, link
-    places, link = [], links[-1] if links else None
-    while link:
-        places.append(link[0])
-        link = link[1]
-    return places[::-1]
-
-
-def _hashes(lines: list[tuple[str, bool]]) -> list[int]:
-    import xxhash
-
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, inside in lines if not inside]
-
-
-def _nearest(pages: DataFrame) -> DataFrame:
-    """Rows (key, url, host, path, lines) with ``partner``, the lines of the nearest page of the host, or null.
-
-    Of the page before and the page after in order of path, the one that shares the longer start of the path is nearest.
-    """
-    order = ["host", "path", "url", "key"]
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full  # a bit that is 0 is a place where the length grows
+    for x in a:
+        u = row & masks.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+    lengths, n = [0], 0
+    for bit in format(row, f"0{len(b)}b")[::-1] if b else "":
+        n += bit == "0"
+        lengths.append(n)
+    return lengths
+
+
+def shared_lines(a: list, b: list) -> list[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``: halving ``a`` and finding where ``b`` parts (Hirschberg),
+    so memory is linear, and repeated lines cost no more than others."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append(a0)
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append(a1)
+        if a0 >= a1 or b0 >= b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append(a0)
+            continue
+        mid = (a0 + a1) // 2
+        left, right = _ahead(a[a0:mid], b[b0:b1]), _ahead(a[mid:a1][::-1], b[b0:b1][::-1])
+        n = b1 - b0
+        cut_at = max(range(n + 1), key=lambda j: left[j] + right[n - j])
+        todo += [(a0, mid, b0, b0 + cut_at), (mid, a1, b0 + cut_at, b1)]
+    return sorted(out)
+
+
+def deleted(lines: list[int], sizes: list[int], inside: int, neighbours: list[list[int]]) -> list[int]:
+    """Places of the lines that the nearest neighbour which is no copy has too. ``sizes``: characters of open lines, 0 for marked ones; ``inside``: those of the page's articles."""
+    own = sum(sizes) + inside
+    for other in neighbours:
+        places = shared_lines(lines, other)
+        same = sum(sizes[k] for k in places)
+        if not own or same < SAME * own:
+            return places
+    return []
+
+
+def _neighbours(pages: DataFrame) -> DataFrame:
+    """Distinct pages (host, path, lines) with ``near``: the lines of up to NEIGHBOURS pages of the host on either side in
+    order of path, those with the longest common start of the path first, then the nearer ones."""
+    order = ["host", "path", "lines"]
     count = pages.count()
-    ranged = pages.repartitionByRange(max(1, -(-count // 20_000)), *order).withColumn("range", F.spark_partition_id())
-    ranged = cut(ranged)
-    w = Window.partitionBy("range").orderBy(*order)
+    ranged = cut(pages.repartitionByRange(max(1, -(-count // BUCKET_PAGES)), *order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = ranged.join(starts, "range").withColumn("place", F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1)
+    # a page also stands in the buckets of its neighbours
+    home = F.floor(F.col("place") / BUCKET_PAGES)
+    buckets = F.array_distinct(F.array(*[F.floor((F.col("place") + d) / BUCKET_PAGES) for d in (-NEIGHBOURS, 0, NEIGHBOURS)]))
+    dealt = placed.withColumn("home", home).withColumn("bucket", F.explode(buckets))
+    w = Window.partitionBy("bucket").orderBy("place")
     page = F.struct("host", "path", "lines")
-    placed = ranged.withColumn("before", F.lag(page).over(w)).withColumn("after", F.lead(page).over(w))
-    ends = ranged.groupBy("range").agg(F.min_by(page, F.struct(*order)).alias("head"), F.max_by(page, F.struct(*order)).alias("tail"))
-    over = Window.orderBy("range")  # one row for each range
-    ends = ends.select("range", F.lag("tail").over(over).alias("tail_before"), F.lead("head").over(over).alias("head_after"))
-    placed = placed.join(ends, "range").withColumn("before", F.coalesce("before", "tail_before")).withColumn("after", F.coalesce("after", "head_after"))
-    own = lambda c: F.when(F.col(f"{c}.host").eqNullSafe(F.col("host")), F.col(c))
-    placed = placed.withColumn("before", own("before")).withColumn("after", own("after"))
-    common = lambda c: F.size(F.array_intersect(F.split(F.coalesce("path", F.lit("")), "/"), F.split(F.coalesce(F.col(f"{c}.path"), F.lit("")), "/")))
-    pick = F.when(F.col("before").isNull() | (F.col("after").isNotNull() & (common("after") > common("before"))), F.col("after")).otherwise(F.col("before"))
-    return placed.withColumn("partner", pick["lines"]).select("key", "url", "host", "path", "lines", "partner")
-
-
-def _url_parts() -> tuple:
+    found = dealt.select("*", *[f(page, d).over(w).alias(f"{n}{d}") for d in range(1, NEIGHBOURS + 1) for n, f in (("b", F.lag), ("a", F.lead))]).where("bucket = home")
+    parts = lambda c: F.split(F.coalesce(c, F.lit("")), "/")
+
+    def start_of(other: Column) -> Column:
+        """How many segments the two paths share from their start on."""
+        same = F.zip_with(parts(F.col("path")), parts(other["path"]), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same))
+
+    near = [F.when(F.col(c)["host"] == F.col("host"), F.struct((-start_of(F.col(c))).alias("s"), F.lit(d).alias("d"), F.lit(k).alias("k"), F.col(c)["lines"].alias("lines"))) for d in range(1, NEIGHBOURS + 1) for k, c in enumerate((f"b{d}", f"a{d}"))]
+    return found.select("host", "path", "lines", F.transform(F.array_sort(F.array_compact(F.array(*near))), lambda x: x["lines"]).alias("near"))
+
+
+def _url_parts() -> tuple[Column, Column]:
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.lower(F.substring_index(bare, "/", 1)), r"^www\.|:[0-9]+$", "")
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?#]*([^?#]*)", 1), r"/+$", "")
@@ -156,40 +250,63 @@ def _url_parts() -> tuple:
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per page: key, url, text (main text, blocks joined by one space; empty if none)."""
-    small_batches(pages.sparkSession)
+    """Per page: key, url, text (main text, blocks joined by one space; empty if none), n_lines (blocks of the page) and
+    n_shared (those that a neighbour has too and that differencing deleted)."""
+    spark = pages.sparkSession
     key_type = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            lines = pa.array([_hashes(lines_of(x.as_py())) for x in b.column(2)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lines], ["key", "url", "lines"])
+            lines, sizes, inside = [], [], []
+            for x in b.column(2):
+                found = lines_of(x.as_py())
+                lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, where in found if where != INSIDE])
+                sizes.append([len(t) if where == OPEN else 0 for t, where in found if where != INSIDE])
+                inside.append(sum(len(t) for t, where in found if where == INSIDE))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(inside, pa.int64())], ["digest", "url", "lines", "sizes", "inside"])
 
     host, path = _url_parts()
-    narrow = cut(rows.mapInArrow(hashed, f"key {key_type}, url string, lines array<bigint>").withColumn("host", host).withColumn("path", path))
+    # a page is known by its url and html: rows that share both have the same text
+    digest = F.md5(F.coalesce("html", F.lit("")))
+    with batch_rows(spark):
+        narrow = cut(rows.select(digest.alias("digest"), "url", "html").mapInArrow(hashed, "digest string, url string, lines array<bigint>, sizes array<int>, inside bigint").where("size(lines) > 0").withColumn("path", path))
+    # pages with open lines are compared with one another, and so are those that have none
+    narrow = narrow.withColumn("host", F.concat_ws(" ", host, F.exists("sizes", lambda n: n > 0).cast("string")))
+    # of the pages of a host with the same lines the first by path stands for all
+    known = narrow.groupBy("host", "lines").agg(F.min("path").alias("path"))
+    near = _neighbours(known).select("host", "lines", "near")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = [sorted({a[k] for k in shared_lines(a, p)}) if a != p else [] for a, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            places = [[k for k, x in enumerate(a) if x in set(g)] for a, g in zip(b.column(2).to_pylist(), gone, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], ["key", "url", "gone"])
+            places = [deleted(*x) for x in zip(*[b.column(k).to_pylist() for k in range(2, 6)], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], ["digest", "url", "gone"])
 
-    comparable = _nearest(narrow.where("size(lines) > 0")).where("size(partner) > 0").select("key", "url", "lines", "partner")
-    gone = cut(comparable.mapInArrow(compared, f"key {key_type}, url string, gone array<int>").where("size(gone) > 0").dropDuplicates(["key", "url"]))
+    once = narrow.dropDuplicates(["url", "digest"])
+    with batch_rows(spark, 1000):
+        gone = cut(once.join(near, ["host", "lines"]).select("digest", "url", "lines", "sizes", "inside", "near").mapInArrow(compared, "digest string, url string, gone array<int>").where("size(gone) > 0"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [lines_of(x.as_py()) for x in b.column(2)]
-            lines = pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))
-            inside = pa.array([[i for _, i in x] for x in found], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lines, inside], ["key", "url", "texts", "inside"])
-
-    seen = rows.mapInArrow(texts, f"key {key_type}, url string, texts array<string>, inside array<boolean>")
-    gone = gone.withColumnRenamed("key", "k").withColumnRenamed("url", "u")
-    joined = seen.join(gone, seen["key"].eqNullSafe(gone["k"]) & seen["url"].eqNullSafe(gone["u"]), "left")
-    # the n-th comparable line is the n-th that no article holds
-    nth = lambda i: F.size(F.filter(F.slice("inside", 1, i + 1), lambda x: ~x)) - 1
-    left = F.filter("texts", lambda t, i: F.get("inside", i) | ~F.array_contains("gone", nth(i)))
-    text = F.array_join(F.when(F.col("gone").isNull(), F.col("texts")).otherwise(left), " ")
-    return joined.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"))
+            out, all_, shared = [], [], []
+            for x, places in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+                found, drop, k, kept = lines_of(x.as_py()), set(places or ()), 0, []
+                for t, where in found:
+                    if where == INSIDE:
+                        kept.append(t)
+                        continue
+                    if where == OPEN and k not in drop:
+                        kept.append(t)
+                    k += 1
+                out.append(" ".join(kept))
+                all_.append(len(found))
+                shared.append(len(drop))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(all_, pa.int64()), pa.array(shared, pa.int64())], ["key", "url", "text", "n_lines", "n_shared"])
+
+    named = gone.select(F.col("digest").alias("__digest"), F.col("url").alias("__url"), "gone")
+    joined = rows.withColumn("digest", digest).join(named, (F.col("digest") == F.col("__digest")) & F.col("url").eqNullSafe(F.col("__url")), "left")
+    small_batches(spark)
+    found = joined.select("key", "url", "html", "gone").mapInArrow(texts, f"key {key_type}, url string, text string, n_lines bigint, n_shared bigint")
+    return found.withColumnsRenamed({"key": key, "url": url})

@@ -216,6 +216,11 @@ def test_perfect_hash():
 PAGE = "<html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li>Home</li></ul></nav>{main}<aside>side</aside><div class='comments'><p>first!</p></div><form><p>mail</p></form><script>x()</script><footer>(c)</footer></body></html>"
 
 
+def extracted(spark, pages):
+    table = spark.createDataFrame([(*p, "other") for p in pages], "page_id bigint, url string, html string, host string").repartition(3)
+    return ordered((r.page_id, r.text) for r in html_extract.extract(table).collect())
+
+
 def test_html(spark):
     pages = [
         (1, "http://h.x/a/1", PAGE.format(main="<article><h1>Head &amp; tail</h1><p>One\n <b>two</b>&nbsp;three</p><div class='ad'>buy</div></article>")),
@@ -226,10 +231,59 @@ def test_html(spark):
         (6, "http://z/", "<p>a<p>b <!-- no --> c"),
         (6, "http://z/", "<p>a<p>b <!-- no --> c"),
     ]
-    table = spark.createDataFrame([(*p, "other") for p in pages], "page_id bigint, url string, html string, host string")
-    got = ordered((r.page_id, r.text) for r in html_extract.extract(table).collect())
-    assert got == ordered([(1, "Head & tail One two three"), (2, "Only here"), (3, "Other words"), (4, ""), (5, ""), (6, "a b c"), (6, "a b c")])
+    assert extracted(spark, pages) == ordered([(1, "Head & tail One two three"), (2, "Only here"), (3, "Other words"), (4, ""), (5, ""), (6, "a b c"), (6, "a b c")])
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     assert html_extract.extract(table.where("false")).count() == 0
+    counts = {r.page_id: r.n_shared for r in html_extract.extract(table).collect()}
+    assert counts[2] == counts[3] == 8 and counts[1] == 0  # marked lines are shared, too; page 1 has no page of its kind
+
+
+def test_differencing_deletes_places_of_the_alignment_only(spark):
+    """A menu that a page repeats as a heading is kept there; equal pages and near copies of a page don't delete it."""
+    body = lambda *lines: "".join(f"<div>{x}</div>" for x in lines)
+    long = "a long passage that this page alone has, of many words indeed"
+    pages = [
+        (1, "http://h/x/1", body("Menu", "Sale", "Text " + long, "Menu", "Foot")),
+        (2, "http://h/x/2", body("Menu", "Sale", "Else " + long[::-1], "Foot")),
+        (2, "http://h/x/2", body("B1 " + long, "Menu", "Sale", "B2 " + long, "Foot", "B3 " + long)),  # a row of the same key and url
+        (3, "http://h/y/1", body("Menu", "Sale", "Copied " + long, "Foot")),
+        (4, "http://h/y/2", body("Menu", "Sale", "Copied " + long, "Foot")),
+        (5, "http://h/y/3", body("Menu", "Sale", "Copied " + long, "Foot", "one more")),
+        (6, "http://h/y/4", body("Menu", "Sale", "Fresh " + long.upper(), "Foot")),
+    ]
+    want = [(1, f"Text {long} Menu"), (2, "Else " + long[::-1]), (2, f"B1 {long} B2 {long} B3 {long}"), (3, f"Copied {long}"), (4, f"Copied {long}"), (5, f"Copied {long} one more"), (6, f"Fresh {long.upper()}")]
+    assert extracted(spark, pages) == ordered(want)
+
+
+def test_neighbours_by_brute_force(spark, monkeypatch):
+    """Buckets of few pages find the neighbours that a look at all pages finds."""
+    monkeypatch.setattr(html_extract, "BUCKET_PAGES", 4)
+    rng = random.Random(6)
+    pages = {(f"h{rng.randrange(3)}", f"/{rng.choice('abc')}/{rng.choice('de')}/{i}"): [i, i + 1] for i in range(60)}
+    table = spark.createDataFrame([(h, p, x) for (h, p), x in pages.items()], "host string, path string, lines array<bigint>").repartition(3)
+    got = {(r.host, r.path): r.near for r in html_extract._neighbours(table).collect()}
+    start = lambda p, q: next((i for i, (x, y) in enumerate(zip(p.split("/"), q.split("/"), strict=False)) if x != y), min(p.count("/"), q.count("/")) + 1)
+    for (h, p), near in got.items():
+        own = sorted(q for g, q in pages if g == h)
+        k = own.index(p)
+        able = sorted((-start(p, own[j]), abs(j - k), j > k, j) for j in range(max(0, k - 2), min(len(own), k + 3)) if j != k)
+        assert near == [pages[h, own[j]] for *_, j in able]
+
+
+def test_broken_markup_is_linear_and_loses_no_text():
+    import time
+
+    began = time.perf_counter()
+    for piece in ("<a ", '<a x="', "<a b='", "<", "</", "<!--", "<div", "<p class=x ", "<script>", "<div>", "&"):
+        html_extract.lines_of(piece * 40_000)
+    assert time.perf_counter() - began < 20  # a quadratic reader takes minutes for one of them
+    text = lambda page: [t for t, _ in html_extract.lines_of(page)]
+    assert text("<p title=it's>Hello world</p><p>I don't know</p>") == ["Hello world", "I don't know"]
+    assert text("<title>a<b></title>1 < 2 <3 & <p>x") == ["1 < 2 <3 & ", "x"] or text("<title>a<b></title>1 < 2 <3 & <p>x") == ["1 < 2 <3 &", "x"]
+    kept = lambda page: [t for t, where in html_extract.lines_of(page) if where]
+    assert kept("<article><div class='post-header'><h1>Head</h1></div><p>body</p><div class='ad-box'>buy</div></article>") == ["Head", "body"]
+    assert kept("<form><div><article><p>in a form</article></div></form>") == ["in a form"]
+    assert kept("<head><title>t</title><p>a head without end") == ["a head without end"]
 
 
 def test_longest_common_subsequence():
@@ -241,5 +295,6 @@ def test_longest_common_subsequence():
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         at = html_extract.shared_lines(a, b)
+        assert html_extract.deleted(a, [1] * len(a), 10**6, [b]) == at
         rest = iter(b)
         assert len(at) == best[-1][-1] and at == sorted(set(at)) and all(any(a[k] == y for y in rest) for k in at)
