@@ -1,7 +1,7 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
-A text's canonical form has lower case, equivalent spellings made one, copyright lines and punctuation
-removed and white space joined; its SHA-256 is looked up by a hash join in a table of known licences'
+A text's canonical form has lower case, copyright lines and punctuation removed, white space joined and
+equivalent spellings made one; its SHA-256 is looked up by a hash join in a table of known licences'
 digests. The join holds one row of 64 hex digits per known licence, a table the caller states; texts
 that are copies of one another share a digest and need no shuffle when the known table is broadcast,
 which Spark decides by its size.
@@ -14,68 +14,27 @@ canonical text, the smallest id in string order is reported.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Spellings that licence texts use for one another, after lower-casing; the right one stays.
-SPELLINGS = [
-    ("acknowledgment", "acknowledgement"),
-    ("analogue", "analog"),
-    ("analyse", "analyze"),
-    ("artefact", "artifact"),
-    ("authorisation", "authorization"),
-    ("authorised", "authorized"),
-    ("calibre", "caliber"),
-    ("cancelled", "canceled"),
-    ("capitalisations", "capitalizations"),
-    ("catalogue", "catalog"),
-    ("categorise", "categorize"),
-    ("centre", "center"),
-    ("emphasised", "emphasized"),
-    ("favour", "favor"),
-    ("fulfil ", "fulfill "),
-    ("fulfilment", "fulfillment"),
-    ("initialise", "initialize"),
-    ("judgment", "judgement"),
-    ("labelling", "labeling"),
-    ("labour", "labor"),
-    ("licence", "license"),
-    ("maximise", "maximize"),
-    ("modelled", "modeled"),
-    ("modelling", "modeling"),
-    ("non-commercial", "noncommercial"),
-    ("offence", "offense"),
-    ("optimise", "optimize"),
-    ("organisation", "organization"),
-    ("organise", "organize"),
-    ("practise", "practice"),
-    ("programme", "program"),
-    ("realise", "realize"),
-    ("recognise", "recognize"),
-    ("signalling", "signaling"),
-    ("sub-license", "sublicense"),
-    ("sub license", "sublicense"),
-    ("utilisation", "utilization"),
-    ("whilst", "while"),
-    ("wilful", "willful"),
-    ("copyright holder", "copyright owner"),
-    ("http:", "https:"),
-]
+#: Lines that name owners and years only, and the words that reserve rights at the start of a line.
+COPYRIGHT_LINE = r"(?:\A|\n)[^\n\p{L}]*(?:(?:portions[ \t]+)?copyright(?:[ \t]*(?:\(c\)|©|:))*(?:[ \t]+(?:by|[0-9(©\[<]|all rights|holder: )[^\n]*|[ \t]+[^\n]*[0-9]{4}[^\n]*)|©[^\n]*|\(c\)[^\n]*|all rights reserved[.]?)"
 
-#: Lines that name owners and years only, or reserve rights.
-COPYRIGHT_LINE = r"(?m)^[^\n\p{L}]*(?:(?:portions )?copyright(?: \(c\)| ©|:)?(?: (?:by|[0-9(©]|all rights|holder: )[^\n]*| [^\n]*[0-9]{4}[^\n]*)|©[^\n]*|\(c\)[^\n]*|all rights reserved\.?[ \t\r]*)$"
+#: Equivalent spellings lose what they differ in, as harbour and harbor do; that other words lose letters too does no harm, as known texts
+#: lose the same. In turn: -our; -ise, -yse, -ice and -ence with their forms; doubled l; -ogue; -dgement; and words with other ends,
+#: among them sub-, non- and per- with and without a space, https, and the owner or holder of a copyright.
+SPELLING = r"([a-z]o)u(r)|(licen|i|aly|en)[csz](e|ing|ation)|(l|og)(?:l|ue)|(dg)e(m)|( sub| non| per) |(copyright |art|whil|among|program|http|cent)(?:st|me|s|owner|holder|re|er|e|i)"
+SPELLING_KEPT = range(1, 10)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"[\t\x0b\x0c\r  ]+", " ")
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
-    t = F.regexp_replace(t, r"\s+", " ")
-    for old, new in SPELLINGS:
-        t = F.replace(t, F.lit(old), F.lit(new))
+    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
-    return F.trim(t)
+    return F.trim(F.regexp_replace(t, SPELLING, "".join(f"${n}" for n in SPELLING_KEPT)))
 
 
 def digest(text: Column) -> Column:
@@ -94,70 +53,38 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     return rows.join(known.select("digest", "license_id"), "digest", "left").select(F.col("key").alias(key), "digest", "license_id")
 
 
-MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-
-ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-
-BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
-BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
-BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
-BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
-BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-
-ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution."""
-
-UNLICENSE = """This is free and unencumbered software released into the public domain.
-
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
-
-In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
-
-For more information, please refer to <https://unlicense.org>"""
-
-APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-
-# Public licence texts, and one-line notices that stand for a licence.
-KNOWN = [
-    ("0BSD", ISC.replace("provided that the above copyright notice and this permission notice appear in all copies", "").replace("granted, .", "granted.")),
-    ("Apache-2.0", APACHE_NOTICE),
+# The public licence texts of the folder, and what may stand above them.
+TEXTS = Path(__file__).parent / "licence_texts"
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "Unlicense": ["The Unlicense"],
+}
+# Short notices that are a document's whole text.
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", BSD_HEAD + BSD_1 + BSD_2 + BSD_TAIL),
-    ("BSD-3-Clause", BSD_HEAD + BSD_1 + BSD_2 + BSD_3 + BSD_TAIL),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", ISC),
-    ("ISC", "ISC License\n" + ISC),
-    ("MIT", MIT),
-    ("MIT", "MIT License\n" + MIT),
-    ("MIT", "The MIT License\n" + MIT),
-    ("MIT", "The MIT License (MIT)\n" + MIT),
     ("MIT", "Released under the MIT License."),
-    ("Unlicense", UNLICENSE),
-    ("Zlib", ZLIB),
 ]
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(licence id, text) of the texts in the folder, named ``id__n.txt``, with and without headings, and of the notices."""
+    out = list(NOTICES)
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem.partition("__")[0], path.read_text(encoding="utf-8")
+        out += [(name, text)] + [(name, f"{h}\n\n{text}") for h in HEADINGS.get(name, [])]
+    return out
+
+
 def default_known(spark: SparkSession) -> DataFrame:
-    """Digests of the licences listed here; callers with a fuller list pass their own table."""
-    return known_digests(spark.createDataFrame(KNOWN, "license_id string, text string"))
+    """Digests of the licences of the folder; callers with a fuller list pass their own table."""
+    return known_digests(spark.createDataFrame(known_texts(), "license_id string, text string"))

@@ -51,15 +51,11 @@ def quality_sql() -> str:
 
 def license_sql() -> str:
     def canonical(x: str) -> str:
-        t = f"lower(coalesce({x}, ''))"
-        t = rf"regexp_replace({t}, '[\t\x0b\x0c\r \x{{00a0}}]+', ' ', 'g')"
-        t = f"regexp_replace({t}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
-        t = rf"regexp_replace({t}, '[ \t\n\x0b\x0c\r]+', ' ', 'g')"
-        for old, new in licenses.SPELLINGS:
-            t = f"replace({t}, '{old}', '{new}')"
-        return rf"trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        t = f"regexp_replace(lower(coalesce({x}, '')), '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+        t = rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
+        return f"trim(regexp_replace({t}, '{licenses.SPELLING}', '{''.join(chr(92) + str(n) for n in licenses.SPELLING_KEPT)}', 'g'))"
 
-    known = ", ".join(f"('{i}', '{t.replace(chr(39), chr(39) * 2)}')" for i, t in licenses.KNOWN)
+    known = ", ".join(f"('{i}', '{t.replace(chr(39), chr(39) * 2)}')" for i, t in licenses.known_texts())
     return f"""WITH k AS (SELECT sha256(c) AS digest, min(i) AS license_id FROM (SELECT i, {canonical("t")} AS c FROM (VALUES {known}) AS v(i, t)) WHERE c <> '' GROUP BY 1),
 d AS (SELECT doc_id, sha256({canonical("text")}) AS digest FROM documents)
 SELECT doc_id, d.digest, license_id FROM d LEFT JOIN k USING (digest)"""
