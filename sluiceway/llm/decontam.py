@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,15 @@ def words(text: bytes | str | None) -> list[bytes]:
     return (text if isinstance(text, bytes) else text.encode("utf-8", "replace")).translate(FOLD).split()
 
 
+def split_words(texts: list[bytes | None]) -> list[pa.StringArray]:
+    """The words of many texts, each an Arrow array."""
+    folded = pa.array([b"" if t is None else t.translate(FOLD).strip() for t in texts], pa.large_binary()).cast(pa.large_string(), safe=False)
+    lists = pc.ascii_split_whitespace(folded)
+    values, ends, empty = lists.values.cast(pa.string(), safe=False), lists.offsets.to_numpy(), pa.array([], pa.string())
+    blank = pc.equal(folded, "").to_pylist()
+    return [empty if none else values.slice(a, b - a) for none, a, b in zip(blank, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 SPAN = "struct<first:bigint,last:bigint>"
 
 
@@ -58,37 +68,33 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         origin, number = uuid.uuid4().hex, 0
-        vocabulary: dict[bytes, int] = {}
-        pieces: list[tuple] = []  # (number, key, first, term numbers)
+        pieces: list[tuple] = []  # (number, key, first, words)
         held = 0
 
         def flush() -> pa.RecordBatch:
-            gap = np.full(1, -1, np.int32)
-            ids = np.concatenate([x for piece in pieces for x in (piece[3], gap)])
-            at = np.flatnonzero(ids >= 0).astype(np.int32)
-            at = at[np.argsort(ids[at], kind="stable")]
-            ends = np.searchsorted(ids[at], np.arange(len(vocabulary) + 1)).astype(np.int32)
             sizes = np.array([len(p[3]) for p in pieces], np.int32)
             starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int32)
-            terms = pa.array([w.decode("utf-8", "replace") for w in vocabulary], pa.string())
-            postings = pa.StructArray.from_arrays([terms, pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], ["term", "positions"])
+            coded = pa.concat_arrays([p[3] for p in pieces]).dictionary_encode()
+            ids = coded.indices.to_numpy(zero_copy_only=False)
+            place = (np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)).astype(np.int32)
+            at = place[np.argsort(ids, kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(coded.dictionary)))]).astype(np.int32)
+            postings = pa.StructArray.from_arrays([coded.dictionary, pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], ["term", "positions"])
             own = pa.StructArray.from_arrays([pa.array([p[0] for p in pieces], pa.int64()), pa.array([p[1] for p in pieces], arrow_key), pa.array([p[2] for p in pieces], pa.int64()), pa.array(starts), pa.array(sizes)], ["number", "key", "first", "start", "words"])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             return pa.RecordBatch.from_arrays([pa.array([origin]), one(own), one(postings)], ["origin", "docs", "postings"])
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ws, first = words(t.as_py()), 0
+            found = split_words(batch.column(1).cast(pa.binary()).to_pylist())
+            for k, ws in zip(batch.column(0).to_pylist(), found, strict=True):
+                first = 0
                 while True:
-                    part = ws[first : first + segment_words]
-                    for w in part:
-                        if w not in vocabulary:
-                            vocabulary[w] = len(vocabulary)
-                    pieces.append((number, k, first, np.fromiter(map(vocabulary.__getitem__, part), np.int32, len(part))))
+                    part = ws.slice(first, segment_words)
+                    pieces.append((number, k, first, part))
                     held += len(part) + 1
                     if held >= segment_words:
                         yield flush()
-                        vocabulary, pieces, held = {}, [], 0
+                        pieces, held = [], 0
                     if first + len(part) >= len(ws):
                         break
                     first += max(1, len(part) - overlap)
@@ -110,21 +116,20 @@ def documents_of(index: DataFrame) -> DataFrame:
 class Postings:
     """The lists of one segment that a vocabulary asks for, as one sorted array of term number and position."""
 
-    def __init__(self, postings: pa.StructArray, docs: pa.StructArray, vocabulary: dict[str, int], n_terms: int):
+    def __init__(self, postings: pa.StructArray, docs: pa.StructArray, vocabulary: pa.StringArray, n_terms: int):
         lists = postings.field("positions")
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        number = np.fromiter((vocabulary.get(t, -1) for t in postings.field("term").to_pylist()), np.int64, len(postings))
+        number = pc.index_in(postings.field("term"), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         self.starts = docs.field("start").to_numpy().astype(np.int64)
-        order = [k for k in np.argsort(number, kind="stable") if number[k] >= 0]
+        order = np.argsort(number, kind="stable")
+        order = order[number[order] >= 0]
+        sizes = (ends[order + 1] - ends[order]).astype(np.int64)
         self.count = np.zeros(n_terms, np.int64)
         self.first = np.zeros(n_terms, np.int64)
-        parts, done = [], 0
-        for k in order:
-            p = flat[ends[k] : ends[k + 1]].astype(np.int64)
-            self.count[number[k]], self.first[number[k]] = len(p), done
-            parts.append((number[k] << 32) + p)
-            done += len(p)
-        self.keys = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        before = np.cumsum(sizes) - sizes
+        self.count[number[order]], self.first[number[order]] = sizes, before
+        at = np.repeat(ends[order] - before, sizes) + np.arange(sizes.sum())
+        self.keys = (np.repeat(number[order], sizes) << 32) + flat[at].astype(np.int64)
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Whether each position is in its term's list."""
@@ -223,11 +228,11 @@ def search(index: DataFrame, tests: list[tuple], window: int = WINDOW, distance:
     ``distance``, a whole item matches where its distinct words stand within that many words, in any order.
     """
     rows, owners, vocabulary = _windows(tests, window) if distance is None else _whole_items(tests)
-    shared = index.sparkSession.sparkContext.broadcast((rows, owners, vocabulary))  # a block's windows: bounded by BLOCK_WORDS
+    shared = index.sparkSession.sparkContext.broadcast((rows, owners, list(vocabulary)))  # a block's windows: bounded by BLOCK_WORDS
 
     def matches(origin: str, postings: pa.StructArray, docs: pa.StructArray) -> list[tuple]:
         windows, owned, known = shared.value
-        lists = Postings(postings, docs, known, max(1, len(known)))
+        lists = Postings(postings, docs, pa.array(known, pa.string()), max(1, len(known)))
         if distance is None:
             which, first = lists.phrases(windows)
             last = first + (windows >= 0).sum(axis=1)[which] - 1
