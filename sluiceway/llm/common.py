@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space and \t \n \v \f \r.
@@ -66,6 +66,28 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, total
     return dealt.join(copied, [key, "__part"], how).drop("__part")
 
 
+#: About as many rows as are numbered in one task.
+RUN = 20_000
+
+
+def ranked(rows: DataFrame, group: list[str], by: list[str], total: int, row: str = "__row", name: str = "__rank") -> DataFrame:
+    """Written rows with their places, from 0 without gaps, in each group, whatever share of all rows a group or a value of ``by`` holds.
+
+    A group's rows are dealt to runs by a hash of ``by``, and runs that come out too long are dealt again by the row's number;
+    places count the runs before, then inside the run in the order of ``by``.
+    """
+    runs = max(1, -(-total // RUN))
+    dealt = rows.withColumn("__run", F.struct(*group, F.pmod(F.xxhash64(*by, F.lit("run")), F.lit(runs)).alias("__r")))
+    sizes = dealt.groupBy("__run").agg(F.count(F.lit(1)).alias("__n"))
+    dealt = spread_join(dealt, sizes, "__run", "__n", total, row).withColumn("__piece", F.pmod(F.xxhash64(row), F.ceil(F.col("__n") / RUN)).cast("int")).drop("__n")
+    counts = dealt.groupBy("__run", "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*[f"__run.{g}" for g in group]).orderBy("__run.__r", "__piece").rowsBetween(Window.unboundedPreceding, -1)  # one row for each run
+    starts = counts.select("__run", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__run", "__piece").orderBy(*by, row)
+    placed = dealt.withColumn("__at", F.row_number().over(inside) - 1).join(starts, ["__run", "__piece"])
+    return placed.withColumn(name, F.col("__start") + F.col("__at")).drop("__run", "__piece", "__start", "__at")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,14 +6,17 @@ document's size) moves from one to the other, in a random direction whose odds k
 until one of the two is integral. Each pair keeps its words in sum, so a source's words stay at
 its target but for the one fraction that is left at the end, which is rounded to the nearer side.
 
-Pairs meet in a reduction tree: a block of documents folds into decisions and one residual at most,
-blocks of residuals fold again. Blocks are dealt by a hash of the key, never by source alone, so a hot
+Rows of one key, source and size are one unit of the rounding: of n such rows, floor(n p) are taken once more, and
+what is left of n p is the unit's fraction. So no key, null among them, is more than a few units, however many rows it has.
+
+Pairs meet in a reduction tree: a block of units folds into decisions and one residual at most,
+blocks of residuals fold again. Blocks are dealt by a hash of the key and size, never by source alone, so a hot
 source spreads over as many blocks as its rows need.
 
-Null texts have size 0; documents of size 0 are taken as often as others of their source, and add no
-words. Null sources are a source of their own, the last. Repeated rows count each by itself. An empty
+Null texts have size 0; rows of size 0 add no words, so their units are rounded each by itself. Null sources are a source
+of their own, the last. Repeated rows count each by itself. An empty
 table gives an empty result. A table with other columns is fine: only key, source and text are read.
-Random numbers are hashes of key and seed, so reruns agree.
+Random numbers are hashes of key, size and seed, so reruns agree. Targets take one row for each source in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import cut, words
+from sluiceway.llm.common import cut, numbered, ranked, spread_join, words
 
 FAN_IN = 64
 WEIGHTS = (1, 2, 3)
@@ -65,7 +68,7 @@ def _fold(units: Column, key_type: str, seed: int) -> Column:
     as much as makes one of them integral. The odds are inverse to the amounts, so both keep their expectation.
     """
     eps = 1e-9
-    unit = f"struct<key:{key_type},n:int,size:bigint,p:double>"
+    unit = f"struct<key:{key_type},n:bigint,size:bigint,p:double>"
     start = F.struct(F.array().cast(f"array<{unit}>").alias("done"), F.lit(None).cast(unit).alias("held"))
 
     def moved(x: Column, p: Column) -> Column:
@@ -74,11 +77,10 @@ def _fold(units: Column, key_type: str, seed: int) -> Column:
 
     def step(acc: Column, b: Column) -> Column:
         a = acc["held"]
-        # sizes of 0 have no mass: they move by whole units, as if all sizes were 1
-        sa, sb = [F.when((a["size"] == 0) | (b["size"] == 0), 1).otherwise(x["size"]).cast("double") for x in (a, b)]
+        sa, sb = [x["size"].cast("double") for x in (a, b)]
         up = F.least((1 - a["p"]) * sa, b["p"] * sb)
         down = F.least(a["p"] * sa, (1 - b["p"]) * sb)
-        rises = _uniform(a["key"], a["n"], b["key"], b["n"], F.lit(seed)) * (up + down) < down
+        rises = _uniform(a["key"], a["size"], b["key"], b["size"], F.lit(seed)) * (up + down) < down
         amount = F.when(rises, up).otherwise(-down)
         pair = F.array(moved(a, a["p"] + amount / sa), moved(b, b["p"] - amount / sb))
         integral = lambda x: (x["p"] <= 0) | (x["p"] >= 1)
@@ -88,19 +90,19 @@ def _fold(units: Column, key_type: str, seed: int) -> Column:
     return F.aggregate(units, start, step)
 
 
-def rounded(fractions: DataFrame, total_rows: int, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
-    """Rows (source, key, n, size, p with 0 < p < 1) to the same with p 0 or 1.
+def rounded(fractions: DataFrame, total_units: int, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
+    """Units (source, key, n, size, p with 0 < p < 1; sizes above 0, key and size distinct in a source) to the same with p 0 or 1.
 
-    Level 0 folds blocks of about ``fan_in`` rows, by source, largest sizes first, which keeps the
+    Level 0 folds blocks of about ``fan_in`` units, by source, largest sizes first, which keeps the
     masses that meet alike. Each later level folds the residuals of ``fan_in`` blocks; the number of
-    levels is the logarithm of the row count. A level's narrow rows are written before the next reads them.
+    levels is the logarithm of the unit count. A level's narrow rows are written before the next reads them.
     """
     key_type = fractions.schema["key"].dataType.simpleString()
-    blocks = max(1, -(-total_rows // fan_in))
-    level = fractions.select("source", "key", "n", "size", "p", F.pmod(F.xxhash64("key", "n", F.lit(seed)), F.lit(blocks)).alias("block"))
+    blocks = max(1, -(-total_units // fan_in))
+    level = fractions.select("source", "key", F.col("n").cast("long").alias("n"), F.col("size").cast("long").alias("size"), "p", F.pmod(F.xxhash64("key", "size", F.lit(seed)), F.lit(blocks)).alias("block"))
     decided, depth = [], 0
     while True:
-        order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("s"), F.xxhash64("key", "n").alias("h"), "key", "n", "size", "p")))
+        order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("s"), F.xxhash64("key", "size").alias("h"), "key", "n", "size", "p")))
         folded = cut(level.groupBy("source", "block").agg(order.alias("o")).select("source", "block", _units("o").alias("units")).select("source", "block", _fold(F.col("units"), key_type, seed + depth).alias("f")))
         decided.append(folded.select("source", F.inline("f.done")))
         level = folded.where("f.held IS NOT NULL").select("source", "f.held.*", F.floor(F.col("block") / fan_in).alias("block"))
@@ -118,35 +120,50 @@ def _units(column: str) -> Column:
     return F.transform(column, lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"), x["size"].alias("size"), x["p"].alias("p")))
 
 
-def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", nth: str | None = None, seed: int = 0) -> DataFrame:
-    """Per document: key, n, source, size, source_size, target and ``copies``, how often the mix takes it (0 to 3).
-
-    ``nth``: a column that tells rows of one key apart, for callers that join the result by it.
-    """
-    n = F.col(nth).cast("int") if nth else F.lit(0)
-    sized = docs.select(F.col(key).alias("key"), n.alias("n"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"))
-    sized = cut(sized)
+def _decided(sized: DataFrame, seed: int) -> DataFrame:
+    """Of written rows (key, source, size) the units: key, source, size, n (rows), source_size, target, whole (copies of each row) and more (rows with one copy more)."""
     targets = source_targets(sized).withColumnRenamed("source", "s")
     want = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    wanted = sized.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight").withColumn("want", want)
-    whole = F.floor(F.col("want") + 1e-9)
-    parted = cut(wanted.withColumn("whole", whole).withColumn("p", F.greatest(F.col("want") - F.col("whole"), F.lit(0.0))).drop("want"))
-    is_whole = F.col("p") <= 1e-9
-    fraction = parted.where(~is_whole)
-    done = rounded(fraction, fraction.count(), seed)
-    per = parted.select("source", "source_size", "target", "whole").distinct().withColumnRenamed("source", "s")
-    rounded_up = done.join(per, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.col("whole") + F.col("p").cast("long"))
-    exact = parted.where(is_whole).withColumn("copies", F.col("whole"))
-    cols = ["key", "n", "source", "size", "source_size", "target", "copies"]
-    return rounded_up.select(cols).unionByName(exact.select(cols)).withColumnRenamed("key", key)
+    units = sized.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    units = units.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight").withColumn("want", want).withColumn("whole", F.floor(F.col("want") + 1e-9))
+    units = units.withColumn("up", F.col("n") * F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)))
+    units = cut(units.withColumn("more", F.floor(F.col("up") + 1e-9)).withColumn("p", F.greatest(F.col("up") - F.col("more"), F.lit(0.0))).drop("want", "up"))
+    loose = (F.col("p") > 1e-9) & (F.col("size") > 0)
+    fraction = units.where(loose)
+    done = rounded(fraction, fraction.count(), seed).withColumnsRenamed({"source": "s"})
+    per = units.groupBy("source").agg(*[F.any_value(c).alias(c) for c in ("source_size", "target", "whole")])
+    share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) - F.col("whole")
+    done = done.join(per, F.col("s").eqNullSafe(F.col("source"))).withColumn("more", F.floor(F.col("n") * share + 1e-9) + F.col("p").cast("long"))
+    rest = units.where(~loose).withColumn("more", F.col("more") + F.when(_uniform(F.col("key"), F.col("source"), F.lit(seed)) < F.col("p"), 1).otherwise(0))
+    cols = ["key", "source", "size", "n", "source_size", "target", "whole", "more"]
+    return done.select(cols).unionByName(rest.select(cols))
+
+
+#: Rows of one unit that one task writes at most.
+UNIT_ROWS = 1000
+
+
+def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
+    """Per document: key, source, size, source_size, target and ``copies``, how often the mix takes it (0 to 3)."""
+    units = cut(_decided(_sized(docs, key, source, text), seed))
+    few = units.where(F.col("n") <= UNIT_ROWS).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    many = units.where(F.col("n") > UNIT_ROWS).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(UNIT_ROWS).cast("long")))).repartition("key", "size", "first")
+    many = many.withColumn("nth", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + UNIT_ROWS, F.col("n")) - 1))).drop("first")
+    taken = F.col("whole") + F.when(F.col("nth") < F.col("more"), 1).otherwise(0)
+    return few.unionByName(many).select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.alias("copies"))
+
+
+def _sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    return cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size")))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the caller's columns."""
-    columns = docs.columns
-    numbered = docs.withColumn("__nth", F.lit(0))
-    if docs.groupBy(key).count().where("count > 1").limit(1).count():
-        numbered = docs.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(source, F.md5(F.coalesce(F.col(text), F.lit(""))))))
-    taken = copies(numbered, key, source, text, "__nth", seed).select(F.col(key).alias("__key"), F.col("n").alias("__n"), F.col("copies").cast("int").alias("__copies")).where("__copies > 0")
-    found = numbered.join(taken, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__nth") == F.col("__n")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(columns)
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size")).alias("unit")))
+    sized, total = rows.select("__row", "unit"), rows.count()
+    units = _decided(sized.select("unit.*"), seed).select(F.struct("key", "source", "size").alias("unit"), "n", "whole", "more")
+    known = spread_join(sized, units, "unit", "n", total, "__row")
+    alone = known.where("n = 1").withColumn("__rank", F.lit(0).cast("long"))
+    several = ranked(cut(known.where("n > 1")), ["unit"], ["unit"], total)
+    taken = alone.unionByName(several).select("__row", (F.col("whole") + F.when(F.col("__rank") < F.col("more"), 1).otherwise(0)).cast("int").alias("__copies")).where("__copies > 0")
+    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("doc.*")

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import SPACES, words
+from sluiceway.llm.common import SPACES, cut, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -152,22 +152,19 @@ def _majority(pattern: Column) -> Column:
 def with_verdicts(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents with ``stats``, ``votes``, ``posterior``, ``base_failed`` and ``kept`` (columns of these names are replaced).
 
-    The votes are computed twice, once for the pattern counts and once beside the text, which costs
-    CPU but moves and stores no text.
+    Statistics are made once: the documents are written with their votes, and the votes alone are read again to be counted.
     """
-    voted = with_votes(with_statistics(docs.drop("stats", "votes", "posterior", "base_failed", "kept"), text))
-    posteriors = F.broadcast(pattern_posteriors(with_votes(with_statistics(docs.select(F.col(text).alias("t")), "t"))))
-    joined = voted.join(posteriors.withColumnRenamed("pattern", "votes"), "votes", "left")
+    voted = cut(with_votes(with_statistics(docs.drop("stats", "votes", "posterior", "base_failed", "kept"), text)))
+    posteriors = F.broadcast(pattern_posteriors(voted)).withColumnRenamed("pattern", "votes")
+    joined = voted.join(posteriors, "votes", "left")
     failed = (F.col("stats.n_words") < MIN_WORDS) | (100 * F.col("stats.n_repeat_words") > 50 * F.col("stats.n_words"))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: its key, statistics, votes, posterior, ``base_failed`` and ``kept``. Texts are read once.
-
-    The narrow votes table is kept on the executors (memory, then disk); a lost part is computed again.
-    """
-    voted = with_votes(with_statistics(docs.select(F.col(key).alias("key"), F.col(text).alias("t")), "t")).drop("t").persist()
+    """Per document: its key, statistics, votes, posterior, ``base_failed`` and ``kept``. Texts are read once, and what is written of them is narrow."""
+    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    voted = cut(with_votes(with_statistics(narrow, "t")).drop("t"))
     posteriors = F.broadcast(pattern_posteriors(voted)).withColumnRenamed("pattern", "votes")
     failed = (F.col("stats.n_words") < MIN_WORDS) | (100 * F.col("stats.n_repeat_words") > 50 * F.col("stats.n_words"))
     joined = voted.join(posteriors, "votes", "left").withColumn("base_failed", failed)

@@ -2,8 +2,8 @@
 
 The score of a shard is -weight / ln(u), u a hash of key and shard in (0, 1): shards get keys in
 proportion to their weights, and one more shard takes keys only into itself, since no other score
-changes. Places inside a shard come from counts of small hash buckets and a row number inside each
-bucket, so no shard's rows meet in one task.
+changes. Places inside a shard come from counts of short runs of rows and a row number inside each
+run, so neither a shard's rows nor those of one key meet in one task.
 
 Null keys hash like any other value, to one shard. Null texts have 0 bytes and the checksum of the
 empty text. Repeated rows go to one shard, each with a place of its own. An empty table gives an empty
@@ -12,11 +12,12 @@ result. Other columns of the caller's table are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.llm.common import numbered, ranked
+
 LAW = "key"
-BUCKET_ROWS = 20_000
 
 
 def rendezvous(key: Column, weights: list[float], seed: int = 0) -> Column:
@@ -26,21 +27,6 @@ def rendezvous(key: Column, weights: list[float], seed: int = 0) -> Column:
     return -F.greatest(*scores)["shard"] if len(scores) > 1 else F.lit(0)
 
 
-def place(records: DataFrame, key: str, shard: Column, total_rows: int, tie: Column | None = None) -> DataFrame:
-    """Adds ``shard`` and ``slot``: a place from 0 without gaps inside the shard.
-
-    Order inside a shard is by hash bucket, key and ``tie``. Buckets hold about BUCKET_ROWS rows each.
-    """
-    buckets = max(1, -(-total_rows // BUCKET_ROWS))
-    dealt = records.drop("shard", "slot").withColumn("shard", shard.cast("int")).withColumn("__bucket", F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)))
-    counts = dealt.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
-    inside = Window.partitionBy("shard", "__bucket").orderBy(F.col(key), tie if tie is not None else F.lit(0))
-    ranked = dealt.withColumn("__at", F.row_number().over(inside) - 1)
-    return ranked.join(starts, ["shard", "__bucket"]).withColumn("slot", (F.col("__start") + F.col("__at")).cast("long")).drop("__bucket", "__start", "__at")
-
-
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, seed: int = 0) -> DataFrame:
     """Per document: key, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard, slot, grown_shard.
 
@@ -49,7 +35,8 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     weights = weights or [1.0] * shards
     known = F.coalesce(F.col(text), F.lit(""))
     narrow = docs.select(F.col(key).alias("key"), (F.octet_length(known).cast("long") + 16).alias("size"), F.crc32(known.cast("binary")).alias("text_crc32"))
+    narrow = numbered(narrow)
     more = [*weights, sum(weights) / len(weights)]
-    narrow = narrow.withColumn("law", F.lit(LAW)).withColumn("grown_shard", rendezvous(F.col("key"), more, seed).cast("int"))
-    placed = place(narrow, "key", rendezvous(F.col("key"), weights, seed), docs.count(), F.struct("size", "text_crc32"))
+    dealt = narrow.withColumn("law", F.lit(LAW)).withColumn("shard", rendezvous(F.col("key"), weights, seed).cast("int")).withColumn("grown_shard", rendezvous(F.col("key"), more, seed).cast("int"))
+    placed = ranked(dealt, ["shard"], ["key", "size", "text_crc32"], narrow.count(), name="slot")
     return placed.select(F.col("key").alias(key), "size", "text_crc32", "law", "shard", "slot", "grown_shard")

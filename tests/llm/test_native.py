@@ -80,11 +80,65 @@ def test_shard_weights(spark):
 
 def test_licences(spark, odd_docs, odd_rows, no_docs):
     known = licenses.default_known(spark)
-    shouted = "Copyright (c) 2031 Some One\n\n" + licenses.MIT.upper().replace("NONINFRINGEMENT", "non-infringement".replace("-", "")).replace(",", " ,")
+    mit = (licenses.TEXTS / "MIT__1.txt").read_text()
     british = "Copyright 1999 by X\nLICENCED"
-    docs = spark.createDataFrame([(1, shouted), (2, licenses.MIT + " more"), (3, None), (4, british), (4, british)], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, mit.upper()), (2, mit + " more"), (3, None), (4, british), (4, british)], "doc_id int, text string")
     assert ordered((r.doc_id, r.license_id) for r in licenses.scan(docs, known).collect()) == ordered([(1, "MIT"), (2, None), (3, None), (4, None), (4, None)])
     mine = licenses.known_digests(spark.createDataFrame([("b", "the LICENSED!"), ("a", "The licenced"), ("c", " .")], "license_id string, text string"))
     assert [r.license_id for r in licenses.scan(spark.createDataFrame([(1, "the\nlicensed")], "doc_id int, text string"), mine).collect()] == ["a"]
     assert licenses.scan(odd_docs, known).count() == len(odd_rows) and licenses.scan(no_docs, known).count() == 0
     assert licenses.scan(odd_docs, known.where("false")).where("license_id is not null").count() == 0
+
+
+def test_every_known_licence_is_found_under_another_face(spark):
+    """Each text with other letters, breaks, marks, owners, years and spellings; and each with a word more, which is none."""
+    british = [("license", "licence"), ("favor", "favour"), ("organization", "organisation"), ("authorized", "authorised"), ("acknowledgment", "acknowledgement"), ("copyright owner", "copyright holder"), ("fulfill", "fulfil"), ("http:", "https:")]
+    planted = []
+    for k, (name, text) in enumerate(licenses.known_texts()):
+        other = text.lower()
+        for a, b in british:
+            other = other.replace(a, b)
+        planted.append((4 * k, name, text.upper()))
+        planted.append((4 * k + 1, name, f"Copyright (c) 20{k:02d} Some One <a@b.c>\nCopyright 1999-2001 by Any Body\nAll rights reserved.\n\n" + other.replace(",", " ,").replace("\n", "\r\n  ")))
+        planted.append((4 * k + 2, name, " ".join(text.replace('"', "``").split()) if "copyright" not in text.lower() else text + "\n\n"))
+        planted.append((4 * k + 3, None, text + " Moreover"))
+    docs = spark.createDataFrame([(k, t) for k, _, t in planted], "doc_id int, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.default_known(spark)).collect()}
+    assert got == {k: name for k, name, _ in planted}
+    assert {"Apache-2.0", "MPL-2.0", "GPL-3.0", "CC0-1.0", "BSL-1.0", "MIT", "BSD-3-Clause"} <= set(got.values())
+
+
+def test_hot_keys_spread(spark, monkeypatch):
+    """A key, a size and a null key that hold most rows, with runs and units of few rows."""
+    from sluiceway.llm import common
+
+    monkeypatch.setattr(common, "RUN", 20)
+    monkeypatch.setattr(mixing, "UNIT_ROWS", 7)
+    rows = [(5, "a b c", "web")] * 90 + [(None, "x " * (i % 4), "web") for i in range(120)] + [(i, "w " * (i % 9), ["web", "books", None][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = sharding.assign(docs, 3).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    taken = mixing.copies(docs).collect()
+    want = Counter((r.doc_id, r.source, r.size, r.copies) for r in taken)
+    assert Counter((r.doc_id, r.source, r.size) for r in taken) == Counter((k, s, len(t.split())) for k, t, s in rows)
+    sizes, words, largest = Counter(), Counter(), Counter()
+    for r in taken:
+        sizes[r.source] += r.size
+        words[r.source] += r.size * r.copies
+        largest[r.source] = max(largest[r.source], r.size)
+    goal = plain.targets(dict(sizes))
+    assert all(abs(words[s] - goal[s]) <= largest[s] for s in goal)
+    mix = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed(docs).collect())
+    assert mix == +Counter({u: sum(n * c for (*v, c), n in want.items() if tuple(v) == u) for u in {k[:3] for k in want}})
+
+
+def test_hot_joins_lose_nothing(spark):
+    from sluiceway.llm import common
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    found = common.spread_join(rows, per, "k", "n", 6000, "v")
+    assert ordered(found.select("k", "v", "n", "s").collect()) == ordered(rows.join(per, "k").select("k", "v", "n", "s").collect())
