@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The path of a container's log, and the directory of these.
 CONTAINER_PATH = r"^/var/log/containers/([a-z0-9A-Z\-.]+)_([a-z0-9A-Z\-.]+)_([a-z0-9A-Z\-.]+)-([a-z0-9]{64})\.log$"
 CONTAINER_DIR = "/var/log/containers/"
 

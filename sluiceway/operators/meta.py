@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sluiceway.functions.templates import substitute
 from sluiceway.operators.enrich import CONTAINER_DIR
 
-#: A container runtime's line: time, stream, partial or full, text.
+# Fixed value: a container runtime's line: time, stream, partial or full, text.
 CRIO = r"([0-9]{4}(?:-[0-9]{2}){2}T(?:[0-9]{2}:){2}[0-9]{2}.[0-9]{1,9}(?:[+-][0-9]{2}:[0-9]{2}|Z)) (stdout|stderr) ([PF]) (.*)"
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+import re
+
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,30 +14,36 @@ from sluiceway.functions.regexes import any_of, java
 MARK = "[REDACTED]"
 
 
-def matches(line: Column, pattern: str) -> Column:
-    """Lengths of what stands before each match of a pattern and of the match, in turn: their running sum gives the places."""
-    p = java(pattern)
-    found = F.filter(F.regexp_extract_all(line, F.lit(p), F.lit(0)), lambda m: m != "")
-    between = F.split(line, p, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.array(F.length(gap), F.length(hit)))
-    return F.flatten(pairs)
+def may_be_empty(pattern: str) -> bool:
+    """Whether a pattern may match nothing, such as ``x*`` or ``(?=a)``; unsure patterns may."""
+    try:
+        return re._parser.parse(pattern).getwidth()[0] == 0  # noqa: SLF001
+    except (re.error, AttributeError, RecursionError, OverflowError):
+        return True
+
+
+def finder(pattern: str) -> regex.Pattern:
+    """The pattern for the search in Python: $ is the very end, as for Spark's search."""
+    if pattern.endswith("$") and (len(pattern) - len(pattern[:-1].rstrip("\\")) - 1) % 2 == 0:
+        pattern = pattern[:-1] + r"\Z"
+    return regex.compile(pattern)
 
 
-def cover(line: str, runs: list[np.ndarray], mark: str) -> str:
-    """The line with a mark for each maximal run of matched text, in one pass over the sorted matches."""
-    places = [np.cumsum(r, dtype=np.int64).reshape(-1, 2) for r in runs]
-    spans = np.concatenate(places)
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    if not len(spans):
+def cover(line: str, finders: list[regex.Pattern], mark: str) -> str:
+    """The line with a mark for each maximal run of matched text, in one pass over the sorted matches. Matches of nothing hide nothing."""
+    spans = [(a, b) for f in finders for a, b in (m.span() for m in f.finditer(line)) if a < b]
+    if not spans:
         return line
-    reach = np.maximum.accumulate(spans[:, 1])
-    first = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
-    starts, ends = spans[first, 0].tolist(), reach[np.r_[first[1:] - 1, len(spans) - 1]].tolist()
-    out, at = [], 0
-    for start, end in zip(starts, ends, strict=True):
-        out += (line[at:start], mark)
-        at = end
-    out.append(line[at:])
+    if len(finders) > 1:
+        spans.sort()
+    out, at, (start, reach) = [], 0, spans[0]
+    for a, b in spans:
+        if a > reach:
+            out += (line[at:start], mark)
+            at, start, reach = reach, a, b
+        elif b > reach:
+            reach = b
+    out += (line[at:start], mark, line[reach:])
     return "".join(out)
 
 
@@ -43,23 +51,20 @@ def redact(line: Column, patterns: list[str], mark: str = MARK) -> Column:
     """Each maximal run of matched text becomes one mark. All patterns see the text as it was; ranges that
     overlap or touch are one. Lines without any match skip the work, null stays null.
 
-    Spark finds the matches, and an Arrow function joins them: its work grows with the matches, not with their square."""
+    One pattern whose matches hold something is a replacement of its runs. Places of several patterns' matches, or of
+    matches of nothing, come from an Arrow function, linear in the text and sorted matches; Spark's search picks the lines that it sees.
+    """
     if not patterns:
         return line
+    if len(patterns) == 1 and not may_be_empty(patterns[0]):
+        return F.regexp_replace(line, F.lit(f"(?:{java(patterns[0])})+"), F.lit(mark.replace("\\", "\\\\").replace("$", "\\$")))
 
     @F.arrow_udf("string")
-    def covered(lines: pa.Array, runs: pa.Array) -> pa.Array:
-        out = []
-        for text, row in zip(lines, runs, strict=True):
-            out.append(cover(text.as_py(), [x.to_numpy(zero_copy_only=False) for x in _lists(row.values)], mark) if text.is_valid else None)
-        return pa.array(out, pa.string())
-
-    hit = F.when(line.rlike(any_of(patterns)), line)
-    return F.coalesce(covered(hit, F.array(*[matches(hit, p) for p in patterns])), line)
-
+    def covered(lines: pa.Array) -> pa.Array:
+        finders = [finder(p) for p in patterns]
+        return pa.array([cover(x, finders, mark) if x is not None else None for x in lines.to_pylist()], pa.string())
 
-def _lists(lists: pa.ListArray) -> list[pa.Array]:
-    return [x.values for x in lists]
+    return F.coalesce(covered(F.when(line.rlike(any_of(patterns)), line)), line)
 
 
 def redact_lines(lines: DataFrame, patterns: list[str], column: str = "line") -> DataFrame:

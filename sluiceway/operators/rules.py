@@ -64,9 +64,28 @@ class PathRules:
     def passes(self, path: Column) -> Column:
         return self.included(path) & ~self.excluded(path)
 
+    @classmethod
+    def of_dirs(cls, dirs: list[str]) -> PathRules:
+        """Rules for what lies in the given directories, themselves included."""
+        stems = [d.rstrip("/") for d in dirs]
+        return cls(tuple(x for d, s in zip(dirs, stems, strict=True) for x in (f"{s}/*", d)), ())
+
+
+def is_target(path: Column, is_dir: Column, dirs: PathRules, master: PathRules) -> Column:
+    """Paths inside the watched directories that pass the file rules or are directories."""
+    return dirs.passes(path) & (master.passes(path) | F.coalesce(is_dir, F.lit(False)))
+
+
+def _alnum(c: str) -> bool:
+    return "a" <= c <= "z" or "0" <= c <= "9"
+
 
-_VALUE = r"[a-z0-9]*(?:-?[a-z0-9])*"
-_KEY = r"[a-z0-9]+(?:[-/]|.)*?[a-z0-9]*"
+def _leading_value(text: str) -> str:
+    """What a value holds at most: lower-case letters and digits, and single hyphens that have one of these behind them."""
+    end = 0
+    while end < len(text) and (_alnum(text[end]) or text[end] == "-" and end + 1 < len(text) and _alnum(text[end + 1])):
+        end += 1
+    return text[:end]
 
 
 @dataclass(frozen=True)
@@ -83,19 +102,22 @@ class K8sRules:
         found: dict[str, list] = {"namespace": [], "name": [], "label": [], "annotation": []}
         for rule in rules:
             for kind in ("namespace", "name"):
-                if m := re.match(rf"{kind}:({_VALUE})", rule):
-                    found[kind].append(m[1])
+                if rule.startswith(kind + ":"):
+                    found[kind].append(_leading_value(rule[len(kind) + 1 :]))
             for kind in ("label", "annotation"):
-                if m := re.match(rf"{kind}.({_KEY}):({_VALUE})", rule):
-                    found[kind].append((m[1], m[2]))
+                key, colon, value = rule[len(kind) + 1 :].partition(":")
+                if rule.startswith(kind) and colon and key and _alnum(key[0]) and "\n" not in key:
+                    found[kind].append((key, _leading_value(value)))
         return cls(*[tuple(x) for x in found.values()])
 
 
-_POD, _ID = "([a-z0-9A-Z\\-.]+)", "([a-z0-9]{64}).log$"
+# The paths of container logs of a namespace and of a pod, whose name comes in place of NAME.
+IN_NAMESPACE = r"/([a-z0-9A-Z\-.]+)_NAME_([a-z0-9A-Z\-.]+)-([a-z0-9]{64}).log$"
+OF_POD = r"/NAME_([a-z0-9A-Z\-.]+)_([a-z0-9A-Z\-.]+)-([a-z0-9]{64}).log$"
 
 
 def _file_test(file: Column, namespaces: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> Column:
-    patterns = [f"/{_POD}_{re.escape(x)}_{_POD}-{_ID}" for x in namespaces] + [f"/{re.escape(x)}_{_POD}_{_POD}-{_ID}" for x in names]
+    patterns = [IN_NAMESPACE.replace("NAME", re.escape(x)) for x in namespaces] + [OF_POD.replace("NAME", re.escape(x)) for x in names]
     return file.rlike(any_of(patterns))
 
 

@@ -120,3 +120,28 @@ def test_settings():
     s = layered({"log_dirs": "/a, /b", "body_size": "10 MB"}, properties("exclude = *.tmp\n# no\nlookback: start\nother=1"), {"lookback": "tail"})
     assert s.log_dirs == ("/a", "/b") and s.body_size == 10_000_000 and s.exclude == ("*.tmp",) and s.lookback == "tail" and s.extra["other"] == "1"
     assert expand("${A}-${B|x}-${C}", {"A": "1"}) == "1-x-${C}"
+
+
+def test_redaction_of_empty_matches_lookbehind_and_anchors(spark):
+    from sluiceway.operators.redact import MARK, cover, finder, redact
+
+    def plain(text, patterns):
+        """A mark for each run of places that matches cover; two runs that touch are one."""
+        inside = {i for p in patterns for m in finder(p).finditer(text) for i in range(*m.span())}
+        return "".join(MARK if i in inside and i - 1 not in inside else "" if i in inside else c for i, c in enumerate(text))
+
+    cases = [("foo=1 bar=2", ["(?<==)[0-9]", "x*"]), ("abcd", ["ab", "cd"]), ("abc", ["ab", "bc"]), ("aab", ["^a", "b$"]), ("xxa", ["x*"]), ("", ["x*"]), ("a1b22c", ["[0-9]+", "[a-b]", "(?=c)"]), ("CD 1 CDA 2", ["(?i:AB)", "(?i:CD)", "\\w{2}", "\\w{3}"]), ("none", ["z", "q+"])]
+    for text, patterns in cases:
+        want = plain(text, patterns)
+        assert cover(text, [finder(p) for p in patterns], MARK) == want
+        assert spark.createDataFrame([(text,)], "line string").select(redact(F.col("line"), patterns)).first()[0] == want
+    assert "1" not in cover("foo=1 bar=2", [finder(p) for p in cases[0][1]], MARK)
+    many = spark.createDataFrame([("a$b aa",), (None,)], "line string").select(redact(F.col("line"), ["a|a\\$"], "<$1>")).collect()
+    assert [r[0] for r in many] == ["<$1>$b <$1>", None]
+
+
+def test_rules_are_read_up_to_what_they_can_hold():
+    from sluiceway.operators.rules import K8sRules
+
+    got = K8sRules.parse(["namespace:nation-3", "name:a--b", "label.app.k8s.io/name:x-y-", "annotation.owner:core!", "label.none", "namespace:Upper"])
+    assert got == K8sRules(("nation-3", ""), ("a",), (("app.k8s.io/name", "x-y"),), (("owner", "core"),))
