@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators.events import journal_app
+from sluiceway.sources.text import file_uri
 
 NAME = re.compile(rb"[A-Z_][A-Z0-9_]*\Z")
 
 
-def records(data: bytes) -> Iterator[dict[str, bytes]]:
-    """The records of an export. A line that is no field spoils its record; reading goes on behind the next empty line."""
-    at, record, spoilt = 0, {}, False
-    while at < len(data):
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end
-        line = data[at:end]
-        at = end + 1
+def records(data: bytes | BinaryIO) -> Iterator[dict[str, bytes]]:
+    """The records of an export, as they are read. A line that is no field spoils its record; reading goes on behind the next empty line."""
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
+    size = source.seek(0, io.SEEK_END)
+    source.seek(0)
+    record, spoilt = {}, False
+    while line := source.readline():
+        line = line.removesuffix(b"\n")
         if not line:
             if record and not spoilt:
                 yield record
@@ -36,12 +39,18 @@ def records(data: bytes) -> Iterator[dict[str, bytes]]:
         elif equals:
             record[name.decode()] = value
         else:  # a length of 8 bytes, the value, a line end
-            size = struct.unpack_from("<Q", data, at)[0] if at + 8 <= len(data) else None
-            if size is None or at + 8 + size >= len(data) + 1 or data[at + 8 + size : at + 9 + size] not in (b"\n", b""):
+            at = source.tell()
+            head = source.read(8)
+            length = struct.unpack("<Q", head)[0] if len(head) == 8 else None
+            if length is None or at + 8 + length > size:
                 spoilt = True
-                continue
-            record[name.decode()] = data[at + 8 : at + 8 + size]
-            at += size + 9
+            else:
+                value = source.read(length)
+                spoilt = source.read(1) not in (b"\n", b"")
+            if spoilt:
+                source.seek(at)
+            else:
+                record[name.decode()] = value
     if record and not spoilt:
         yield record
 
@@ -49,22 +58,28 @@ def records(data: bytes) -> Iterator[dict[str, bytes]]:
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """Lines of export files: line, file (the app), timestamp (seconds, null if the record has none). Records without MESSAGE are left out.
 
-    One task reads one file; values that aren't UTF-8 have U+FFFD for what isn't.
+    One task reads one file, from its start on, since a record's border can't be known without what is before it; it holds a
+    record at a time. Values that aren't UTF-8 have U+FFFD for what isn't.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for r in records(content.as_py() or b""):
-                    rows.append([(k, v.decode("utf-8", "replace")) for k, v in r.items()])
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(rows, kind)], ["record"])
-                        rows = []
+            for uri in batch.column(0).to_pylist():
+                files, own = fs.FileSystem.from_uri(uri)
+                rows, held = [], 0
+                with files.open_input_file(own) as raw:
+                    for r in records(io.BufferedReader(raw, 1 << 20)):
+                        rows.append([(k, v.decode("utf-8", "replace")) for k, v in r.items()])
+                        held += sum(map(len, r.values()))
+                        if len(rows) == 4096 or held > 1 << 24:
+                            yield pa.RecordBatch.from_arrays([pa.array(rows, kind)], ["record"])
+                            rows, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(rows, kind)], ["record"])
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record map<string,string>")
+    found = spark.read.format("binaryFile").load(path).select(file_uri(F.col("path")).alias("path")).mapInArrow(run, "record map<string,string>")
     r = F.col("record")
     seconds = F.element_at(r, "__REALTIME_TIMESTAMP").try_cast("long") / 1000000
     return found.where(F.element_at(r, "MESSAGE").isNotNull()).select(F.element_at(r, "MESSAGE").alias("line"), journal_app(r).alias("file"), F.floor(seconds).alias("timestamp"))

@@ -2,28 +2,121 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.operators.folds import fold
+from sluiceway.operators.rules import retry_due
+from sluiceway.sources.text import file_uri
+
 SCHEMA = "stream string, batch_id bigint, body string, offsets string, tries int, failed_ms bigint"
 
 
 def store(failed: DataFrame, folder: str, limit_bytes: int | None = None) -> int:
     """Appends failed bodies (schema SCHEMA) to the folder; returns how many were dropped for the limit.
 
-    Spark writes under temporary names and commits whole files. Over the limit, bodies are dropped and counted.
+    Spark writes under temporary names and commits whole files. Bodies count in the order of stream and batch: one
+    that would lead beyond the limit, with what is stored and with those before it that were kept, is dropped and counted.
     """
-    if limit_bytes is not None:
-        used = stored_bytes(failed.sparkSession, folder)
-        fits = F.octet_length("body") <= max(0, limit_bytes - used)
-        dropped = failed.where(~fits).count()
-        failed = failed.where(fits)
-    else:
-        dropped = 0
-    failed.write.mode("append").option("compression", "gzip").json(folder)
+    if limit_bytes is None:
+        failed.write.mode("append").option("compression", "gzip").json(folder)
+        return 0
+    left = max(0, limit_bytes - stored_bytes(failed.sparkSession, folder))
+
+    def step(used: int, size: int | None) -> tuple[int, bool]:
+        fits = used + (size or 0) <= left
+        return (used + (size or 0) if fits else used), fits
+
+    # the fold sees one row of sizes for each body of a micro-batch
+    sizes = failed.select("stream", "batch_id", F.octet_length("body").cast("long").alias("size"))
+    kept = fold(sizes, F.lit(0), [F.col("stream"), F.col("batch_id")], [F.col("size")], 0, step, "fits", "boolean").where("fits")
+    same = (F.col("s") == F.col("stream")) & (F.col("b") == F.col("batch_id"))
+    fits = failed.join(kept.select(F.col("stream").alias("s"), F.col("batch_id").alias("b")), same, "left_semi").persist()
+    try:
+        dropped = failed.count() - fits.count()
+        fits.write.mode("append").option("compression", "gzip").json(folder)
+    finally:
+        fits.unpersist()
     return dropped
 
 
+def retry_name(epoch: Column, *parts: Column) -> Column:
+    """``<epoch>_<uuid>.retry``; the uuid is made of the parts, so a task that runs again writes the same file."""
+    h = F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]))
+    dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return F.concat(epoch.cast("long").cast("string"), F.lit("_"), dashed, F.lit(".retry"))
+
+
+def write_files(failed: DataFrame, folder: str, epoch: Column) -> DataFrame:
+    """One compressed file for each body (stream, batch_id, body, offsets), written by the tasks under its final name once whole: rows (name, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
+
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for b in batches:
+            sizes = []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data = gzip.compress(text.encode())
+                with files.open_output_stream(f"{root}/{name}.part") as out:
+                    out.write(data)
+                files.move(f"{root}/{name}.part", f"{root}/{name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["name", "bytes"])
+
+    text = F.to_json(F.struct("body", "offsets"))
+    return failed.select(retry_name(epoch, F.col("stream"), F.col("batch_id")).alias("name"), text.alias("text")).mapInArrow(run, "name string, bytes bigint")
+
+
+def read_files(spark: SparkSession, folder: str, now_epoch: Column, base_delay: int) -> DataFrame:
+    """Files ``<epoch>_<uuid>.retry`` of a sufficient age: name, path, body, offsets. They are gzip or, if they aren't, plain text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
+        import zlib
+
+        for b in batches:
+            out = []
+            for data in b.column(2).to_pylist():
+                try:
+                    out.append(gzip.decompress(data).decode("utf-8", "replace"))
+                except (OSError, EOFError, zlib.error):
+                    out.append(data.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["name", "path", "text"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.retry").load(folder)
+    name = F.substring_index("path", "/", -1)
+    ready = found.withColumn("name", name).where(retry_due(F.col("name"), now_epoch, base_delay))
+    texts = ready.select("name", file_uri(F.col("path")).alias("path"), "content").mapInArrow(run, "name string, path string, text string")
+    row = F.from_json("text", "body string, offsets string")
+    return texts.select("name", "path", row["body"].alias("body"), row["offsets"].alias("offsets"))
+
+
+def delete_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Deletes files from the tasks; rows (path, deleted). A file that is gone already is no error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            done = []
+            for p in b.column(0).to_pylist():
+                files, own = fs.FileSystem.from_uri(p)
+                there = files.get_file_info(own).type != fs.FileType.NotFound
+                if there:
+                    files.delete_file(own)
+                done.append(there)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.bool_())], ["path", "deleted"])
+
+    return paths.select(F.col(path).alias("path")).mapInArrow(run, "path string, deleted boolean")
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(folder)
 

@@ -52,3 +52,8 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 def strip_cr(line: Column) -> Column:
     return F.regexp_replace(line, r"\r\z", "")
+
+
+def file_uri(path: Column) -> Column:
+    """A path as Spark lists it, in the form that other readers take."""
+    return F.regexp_replace(path, "^file:/+", "file:///")

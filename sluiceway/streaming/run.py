@@ -19,19 +19,25 @@ def chain(lines: DataFrame, *stages: Stage | None) -> DataFrame:
     return lines
 
 
-def supervise(start: Callable[[], StreamingQuery], restarts: int = 10, every_seconds: float | None = None, delay_seconds: float = 1.0) -> int:
-    """Runs a query until it ends by itself; starts it anew from its checkpoint when it fails or, with ``every_seconds``, at intervals. Returns the number of restarts."""
-    for n in range(restarts + 1):
+def supervise(start: Callable[[], StreamingQuery], restarts: int = 10, every_seconds: float | None = None, delay_seconds: float = 1.0, until: Callable[[], bool] | None = None) -> int:
+    """Runs a query until it ends by itself or ``until`` says so; starts it anew from its checkpoint when it fails and, with
+    ``every_seconds``, at intervals. Failures in a row are counted against ``restarts``, intervals are not. Returns how often it started anew."""
+    failures = began = 0
+    while True:
         query = start()
+        began += 1
         try:
             if query.awaitTermination(every_seconds) or every_seconds is None:
-                return n
+                return began - 1
             query.stop()
+            failures = 0
         except Exception:
-            if n == restarts:
+            failures += 1
+            if failures > restarts:
                 raise
-            time.sleep(delay_seconds * 2**n)
-    return restarts
+            time.sleep(delay_seconds * 2 ** (failures - 1))
+        if until is not None and until():
+            return began - 1
 
 
 class Progress(StreamingQueryListener):

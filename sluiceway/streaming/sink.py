@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators import batching
@@ -57,7 +57,9 @@ class BatchSink:
     """For ``foreachBatch``: batches lines of each file, posts them, stores failures for later, commits offsets.
 
     Offsets of delivered and of stored bodies are written below ``state``, one folder for each micro-batch,
-    overwritten if it runs again: at-least-once delivery.
+    overwritten if it runs again. Delivery is at least once: rows are kept while a micro-batch is handled so that a body is
+    posted once as a rule, but an executor that is lost, or a micro-batch that runs again, posts its bodies again. A fatal answer fails the
+    micro-batch once all its bodies had their answers, and what may be sent again is stored first.
     """
 
     def __init__(self, post: Post, retry_folder: str, state: str, capacity: int = batching.CAPACITY, limit_bytes: int | None = None):
@@ -68,17 +70,23 @@ class BatchSink:
         sized = lines.withColumn("bytes", F.octet_length("line") + 1)
         batched = batching.assign_batches(sized, "file_id", "start", "bytes", self.capacity)
         bodies = batching.bodies(batched.select("file_id", "start", "batch_id", "line", "file"), "file_id", "start")
-        results = deliver(bodies, self.post, "file_id").withColumn("outcome", batching.outcome(F.col("status"))).persist()  # a body is posted once while its row is kept
+        results = deliver(bodies, self.post, "file_id").withColumn("outcome", batching.outcome(F.col("status"))).persist()
         try:
-            if fatal := results.where("outcome = 'fatal'").select("status").limit(1).collect():
-                raise DeliveryError(f"status {fatal[0].status}")
+            fatal = results.where("outcome = 'fatal'").agg(F.min("status")).first()[0]  # posts all bodies
             failed = results.where("outcome = 'retry'").select(F.col("stream").cast("string").alias("stream"), "batch_id", "body", F.lit(None).cast("string").alias("offsets"), F.lit(1).alias("tries"), F.lit(int(time.time() * 1000)).cast("long").alias("failed_ms"))
             self.dropped += retry.store(failed, self.retry_folder, self.limit_bytes)
+            if fatal is not None:
+                raise DeliveryError(f"status {fatal}")
             coalesce_spans(lines.select("file_id", "start", (F.col("end") - 1).alias("end")), "file_id").write.mode("overwrite").json(f"{self.state}/batch={epoch}")
         finally:
             results.unpersist()
 
 
+def saved_offsets(spark: SparkSession, state: str) -> DataFrame:
+    """What the sink has written below ``state``, all micro-batches coalesced: rows (file_id, start, end), ends inclusive."""
+    return coalesce_spans(spark.read.schema("file_id bigint, start bigint, end bigint").json(f"{state}/batch=*"), "file_id")
+
+
 def send_due(spark, folder: str, post: Post, now_ms: int, base_delay_ms: int) -> DataFrame:
     """Posts stored bodies that are due; rows with their outcome. The caller rewrites the folder from what is left."""
     ready = retry.due(retry.read(spark, folder), F.lit(now_ms), base_delay_ms)

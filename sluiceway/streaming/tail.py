@@ -2,7 +2,9 @@
 
 Offsets are byte positions by inode, so a renamed file goes on where it was, a truncated one starts anew, and a new
 one starts as the lookback says. A range ends behind a line end: a last line without one waits. The driver lists
-files and looks for the last line end; executors read the ranges, in pieces of ``maxBytesPerTask``.
+files and looks for the last line end; executors read the ranges, in pieces of ``maxBytesPerTask``. A trigger takes
+``maxBytesPerTrigger`` or, where one line is longer, that line. Spark tells a source that starts anew from its checkpoint where the
+last trigger began only after it was asked where the next one ends, so the first trigger after a restart takes all that is there.
 """
 
 from __future__ import annotations
@@ -57,6 +59,25 @@ def _whole(path: str, start: int, size: int) -> int:
     return start
 
 
+def _next(path: str, start: int, size: int) -> int:
+    """The place behind the first line end in [start, size), or start."""
+    try:
+        with open(path, "rb") as f:
+            f.seek(start)
+            at = start
+            while at < size:
+                piece = f.read(min(TAIL_BYTES, size - at))
+                if not piece:
+                    break
+                hit = piece.find(b"\n")
+                if hit >= 0:
+                    return at + hit + 1
+                at += len(piece)
+    except OSError:
+        pass
+    return start
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -74,15 +95,21 @@ class TailReader(DataSourceStreamReader):
         return {"positions": json.dumps(begin, sort_keys=True)}
 
     def latestOffset(self) -> dict:
-        known = dict(getattr(self, "now", {}))
-        left = self.per_trigger
+        now = getattr(self, "now", None)  # unknown after a restart
+        known, left = dict(now or {}), self.per_trigger
         for inode, (path, size) in _files(self.root, self.pattern).items():
             start = known.get(str(inode), 0)
             start = 0 if start > size else start
-            end = _whole(path, start, min(size, start + left))
+            if now is None:
+                end = _whole(path, 0, size)
+            else:
+                end = _whole(path, start, min(size, start + max(0, left)))
+                if end == start and left == self.per_trigger:  # a line longer than all that a trigger takes
+                    end = _next(path, start, size)
             left -= end - start
             known[str(inode)] = end
-        self.now = known
+        if now is not None:
+            self.now = known
         return {"positions": json.dumps(known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from sluiceway.operators.rules import PathRules
 from sluiceway.sources import journal, retry, text
-from sluiceway.streaming.run import chain
+from sluiceway.streaming.run import chain, supervise
 from sluiceway.streaming.sink import BatchSink, DeliveryError
 from sluiceway.streaming.stateful import exact_batches, high_water_stream, use_rocksdb
-from sluiceway.streaming.tail import TailSource
+from sluiceway.streaming.tail import TailReader, TailSource
 
 
 def test_journal_records():
@@ -44,6 +44,70 @@ def test_retry_folder(spark, tmp_path):
     assert [r.batch_id for r in retry.due(retry.read(spark, folder), F.lit(5000), 3000).collect()] == [1]
 
 
+def test_retry_quota_counts_bodies_together(spark, tmp_path):
+    folder = str(tmp_path / "retry")
+    rows = spark.createDataFrame([("s", i, "x" * 40, None, 1, 1000) for i in range(10)] + [("s", 10, "y" * 15, None, 1, 1000)], retry.SCHEMA).repartition(3)
+    assert retry.store(rows, folder, 100) == 8
+    assert sorted(r.batch_id for r in retry.read(spark, folder).collect()) == [0, 1, 10]
+
+
+def test_retry_files_replay(spark, tmp_path):
+    """Named files, written twice as a task that runs again would, read when due, plain ones too, and deleted."""
+    folder = f"file://{tmp_path}/files"
+    failed = spark.createDataFrame([("s", 1, '{"lines":[]}', "o1"), ("s", 2, "{}", None)], "stream string, batch_id bigint, body string, offsets string")
+    for _ in range(2):
+        assert retry.write_files(failed, folder, F.lit(1000)).count() == 2
+    (tmp_path / "files" / "1001_plain.retry").write_text('{"body": "plain", "offsets": null}')
+    (tmp_path / "files" / "5000_late.retry").write_text('{"body": "late"}')
+    (tmp_path / "files" / "1000_x.other").write_text("no")
+    ready = retry.read_files(spark, folder, F.lit(2000), 15)
+    assert sorted((r.body, r.offsets) for r in ready.collect()) == [("plain", None), ('{"lines":[]}', "o1"), ("{}", None)]
+    assert all(r.deleted for r in retry.delete_files(ready).collect())
+    assert sorted(x.name for x in (tmp_path / "files").iterdir() if not x.name.startswith(".")) == ["1000_x.other", "5000_late.retry"]
+
+
+def test_tail_reads_a_line_longer_than_a_trigger_and_restarts_where_it_was(tmp_path):
+    (tmp_path / "a.log").write_text("x" * 50 + "\nshort\n")
+    options = {"path": str(tmp_path), "lookback": "start", "maxbytespertrigger": "10"}
+    reader = TailReader(options)
+    start = reader.initialOffset()
+    end = reader.latestOffset()
+    assert [(r.start, r.end) for r in reader.partitions(start, end)] == [(0, 51)]
+    later = reader.latestOffset()
+    assert [(r.start, r.end) for r in reader.partitions(end, later)] == [(51, 57)]
+    with open(tmp_path / "a.log", "a") as f:
+        f.write("more\n" * 10)
+    again = TailReader(options)  # a new reader of a query that goes on from its checkpoint
+    now = again.latestOffset()
+    assert [(r.start, r.end) for r in again.partitions(later, now)] == [(57, 107)]
+    with open(tmp_path / "a.log", "a") as f:
+        f.write("last\n" * 4)
+    assert [(r.start, r.end) for r in again.partitions(now, again.latestOffset())] == [(107, 117)]
+
+
+def test_supervision_counts_failures_not_intervals():
+    class Query:
+        def __init__(self, fails):
+            self.fails = fails
+
+        def awaitTermination(self, seconds):  # noqa: N802
+            if self.fails:
+                raise ValueError
+            return False
+
+        def stop(self):
+            pass
+
+    plan = [False] * 20 + [True, False, True, False]
+    queries = iter(plan)
+    assert supervise(lambda: Query(next(queries)), restarts=1, every_seconds=0.0, delay_seconds=0.0, until=lambda: queries.__length_hint__() == 0) == len(plan) - 1
+    try:
+        supervise(lambda: Query(True), restarts=2, every_seconds=0.0, delay_seconds=0.0)
+        raise AssertionError("it must give up")
+    except ValueError:
+        pass
+
+
 def _drain(query):
     query.processAllAvailable()
     query.stop()
@@ -73,6 +137,9 @@ def test_sink_keeps_failures_and_commits(spark, tmp_path):
     sink(lines, 0)
     assert [r.stream for r in retry.read(spark, str(tmp_path / "retry")).collect()] == ["2"]
     assert sorted((r.file_id, r.start, r.end) for r in spark.read.json(str(tmp_path / "state")).collect()) == [(1, 0, 3), (2, 0, 1)]
+    from sluiceway.streaming.sink import saved_offsets
+
+    assert sorted(map(tuple, saved_offsets(spark, str(tmp_path / "state")).select("file_id", "start", "end").collect())) == [(1, 0, 3), (2, 0, 1)]
     try:
         BatchSink(lambda body: 404, str(tmp_path / "r2"), str(tmp_path / "s2"))(lines, 0)
         raise AssertionError("a client error must stop the query")
