@@ -62,3 +62,27 @@ def observed(lines: DataFrame, name: str, line: str = "line") -> tuple[DataFrame
 def drops(kept: DataFrame, by: str = "source_kind", test: str = "kept") -> DataFrame:
     """Lines in, out and dropped by kind of source; every dropped line counts."""
     return kept.groupBy(by).agg(F.count(F.lit(1)).alias("ingress"), F.count_if(F.col(test)).alias("egress"), F.count_if(~F.coalesce(F.col(test), F.lit(False))).alias("dropped"))
+
+
+#: Outcomes of a request, and the names of their counts.
+OUTCOMES = {"success": "requests_succeeded", "failure": "requests_failed", "timeout": "requests_timed_out"}
+
+
+def request_summary(requests: DataFrame, outcome: str = "outcome", seconds: str = "seconds", size: str = "size", by: list[str] | None = None) -> DataFrame:
+    """Requests as one row for each group: how many and how large, the counts by outcome, and the duration as the sum of the three outcomes' sums."""
+    by = by or []
+    per = [F.count_if(F.col(outcome) == o).alias(n) for o, n in OUTCOMES.items()]
+    spent = [F.coalesce(F.sum(F.when(F.col(outcome) == o, F.col(seconds))), F.lit(0.0)) for o in OUTCOMES]
+    return requests.groupBy(*by).agg(F.count(size).alias("requests"), F.coalesce(F.sum(size), F.lit(0)).alias("requests_size"), *per, (spent[0] + spent[1] + spent[2]).alias("requests_duration"))
+
+
+def summary_line(groups: dict[str, Column]) -> Column:
+    """The periodic line of metrics: one JSON object with an object for each group (a struct)."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in groups.items()]))
+
+
+def event_summary(events: DataFrame, kind: str = "kind", lines: str = "lines", size: str = "bytes") -> DataFrame:
+    """One row: creates, deletes and writes, their sum as events, lines and bytes."""
+    counts = {"creates": "create", "deletes": "remove", "writes": "write"}
+    rows = events.agg(*[F.count_if(F.col(kind) == k).alias(n) for n, k in counts.items()], F.coalesce(F.sum(lines), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    return rows.select((F.col("creates") + F.col("deletes") + F.col("writes")).alias("events"), *counts, "lines", "bytes")

@@ -87,3 +87,13 @@ def initial_spans(mode: Column, file_len: Column, created: Column, agent_start:
     one = F.get(saved, F.lit(0))
     kept = F.when(F.size(saved) == 1, F.array(F.struct(F.lit(0).cast("long").alias("start"), one["end"].cast("long").alias("end")))).otherwise(saved.cast(EMPTY))
     return F.when(saved.isNotNull() & (F.size(saved) > 0) & (one["end"] <= file_len), kept).otherwise(default)
+
+
+def with_saved(files: DataFrame, saved: DataFrame, inode: str = "inode") -> DataFrame:
+    """Files with the state saved for their inode; files that have none pass with nulls."""
+    return files.join(saved, inode, "left")
+
+
+def live_only(saved: DataFrame, files: DataFrame, inode: str = "inode") -> DataFrame:
+    """Saved state without that of inodes that no file has any more."""
+    return saved.join(files.select(inode), inode, "left_semi")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +10,12 @@ from sluiceway.functions.templates import substitute
 from sluiceway.operators import batching, enrich, events, kube, meta, metrics, redact, rules, spans
 from sluiceway.plans import inputs
 from sluiceway.plans.inputs import CONTAINER_COUNTS, CONTAINERS, ISLANDS, LINES, NODE_ROWS, POD_COUNTS, PODS, SPANS, table
+from sluiceway.plans.registry import QUERIES, SQL, query
 from sluiceway.sources import text as text_source
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 CLOCK = "2024-01-31 00:00:00"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # -- lines: inclusion, exclusion, redaction ------------------------------------------------------------------
 
 
@@ -65,7 +52,7 @@ def redact_single(spark, d):
     return redact.redact_lines(table(spark, d, "documents").select("doc_id", F.col("text").alias("line")), ["th|er"])
 
 
-@query("SELECT doc_id, regexp_replace(text, '[0-9a-f.@]+', '[REDACTED]', 'g') AS line FROM documents WHERE length(text) < 3000")
+@query("SELECT doc_id, regexp_replace(text, '[0-9a-f.@]+', '[REDACTED]', 'g') AS line FROM documents")
 def redact_multi_runs(spark, d):
     """Three classes whose matches touch and join: the same as one run of their union."""
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("line"))
@@ -105,12 +92,12 @@ def path_rules_regex(spark, d):
     return inputs.container_lines(spark, d).where(r.passes(F.col("file"))).select("c_custkey")
 
 
-@query("""SELECT o_orderkey, path NOT IN ('/var/log/wtmp.log') AND NOT regexp_matches(path, '^/var/log/(asl/|sa/|sar|pods/)') AS passes FROM
-(SELECT o_orderkey, ['/var/log/wtmp.log', '/var/log/asl/x.log', '/var/log/sa/y.log', '/var/log/sar1.log', '/var/log/pods/a/b.log', '/var/log/app/c.log', '/var/log/d.log'][o_orderkey % 7 + 1] AS path FROM orders) WHERE path <> '/var/log/wtmp.log'""")
+@query("""SELECT o_orderkey, NOT regexp_matches(path, '^/var/log/(asl/|sa/|sar|pods/)') AS passes FROM
+(SELECT o_orderkey, ['/var/log/wtmp.log', '/var/log/asl/x.log', '/var/log/sa/y.log', '/var/log/sar1.log', '/var/log/pods/a/b.log', '/var/log/app/c.log', '/var/log/d.log'][o_orderkey % 7 + 1] AS path FROM orders)""")
 def default_excludes(spark, d):
     paths = ["/var/log/wtmp.log", "/var/log/asl/x.log", "/var/log/sa/y.log", "/var/log/sar1.log", "/var/log/pods/a/b.log", "/var/log/app/c.log", "/var/log/d.log"]
     o = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, paths)), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("path"))
-    return o.where("path <> '/var/log/wtmp.log'").select("o_orderkey", rules.PathRules().passes(F.col("path")).alias("passes"))
+    return o.select("o_orderkey", rules.PathRules().passes(F.col("path")).alias("passes"))
 
 
 @query(f"WITH {CONTAINERS} SELECT c_custkey, CASE WHEN file LIKE '/var/log/containers/%' THEN pod END AS pod, CASE WHEN file LIKE '/var/log/containers/%' THEN ns END AS namespace, CASE WHEN file LIKE '/var/log/containers/%' THEN segment END AS container FROM cl")
@@ -201,20 +188,13 @@ def substitute_defaults(spark, d):
     return table(spark, d, "nation").select("n_nationkey", substitute("${name}-${even|odd}-${gone}-${gone|}", known.get).alias("t"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND t <> '' THEN t ELSE p END AS line FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t, CASE WHEN doc_id % 2 = 0 AND string_split(text, chr(10))[1] <> '' THEN '2024-01-02T03:04:05.123456789Z stdout F ' ELSE 'plain ' END || string_split(text, chr(10))[1] AS p FROM documents)")
+@query(f"WITH {LINES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND line <> '' THEN line ELSE 'plain ' || line END AS line FROM lines")
 def crio_strip(spark, d):
     """Every line of every document."""
     prefix = F.when((F.col("doc_id") % 2 == 0) & (F.col("line") != ""), "2024-01-02T03:04:05.123456789Z stdout F ").otherwise("plain ")
     return inputs.document_lines(spark, d).select("doc_id", meta.strip_runtime_prefix(F.concat(prefix, "line")).alias("line"))
 
 
-@query("""SELECT event_id, props AS meta FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '{"k":' || json_extract_string(props, '$.k') || '}' END AS props FROM events)""")
-def meta_json(spark, d):
-    """A meta template that is JSON for most rows; where it isn't, meta is null."""
-    made = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no json "), "props")).otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", F.to_json(F.try_parse_json(made)).alias("meta"))
-
-
 # -- quantities and the usage report -----------------------------------------------------------------------------
 
 
@@ -365,18 +345,6 @@ def lookback_offset(spark, d):
     return _files(spark, d).select("inode", F.coalesce(F.get(read, F.lit(0))["end"], F.lit(0)).alias("offset"))
 
 
-@query("SELECT c_custkey AS inode, s_acctbal AS saved FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
-def saved_offset_join(spark, d):
-    saved = table(spark, d, "supplier").select(F.col("s_suppkey").alias("inode"), F.col("s_acctbal").alias("saved"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("inode")).join(saved, "inode", "left")
-
-
-@query("SELECT s_suppkey AS inode, s_acctbal AS saved FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
-def offset_gc_semi(spark, d):
-    live = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("inode"))
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("inode"), F.col("s_acctbal").alias("saved")).join(live, "inode", "left_semi")
-
-
 # -- batches, delivery, retry -----------------------------------------------------------------------------------------
 
 
@@ -396,7 +364,9 @@ def batch_by_time(spark, d):
     return batching.assign_batches(e, "user_id", "event_id", "bytes", 4, "ts", 7200).select("user_id", "event_id", "batch_id")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, 50 + event_id % 400 AS bytes FROM events),
+b AS (SELECT user_id, event_id, event_type, bytes, i, bytes::BIGINT AS used, 0::BIGINT AS batch_id FROM x WHERE i = 1 UNION ALL SELECT x.user_id, x.event_id, x.event_type, x.bytes, x.i, CASE WHEN b.used >= 1000 THEN 0 ELSE b.used END + x.bytes, b.batch_id + CASE WHEN b.used >= 1000 THEN 1 ELSE 0 END FROM b JOIN x ON x.user_id = b.user_id AND x.i = b.i + 1)
+SELECT user_id, batch_id, '{"lines":[' || string_agg('{"event_id":' || event_id || ',"bytes":' || bytes || ',"line":"' || event_type || '"}', ',' ORDER BY event_id) || ']}' AS body FROM b GROUP BY user_id, batch_id""")
 def batch_bodies(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 400 + 50).alias("bytes"), F.col("event_type").alias("line"))
     return batching.bodies(batching.assign_batches(e, "user_id", "event_id", "bytes", 1000), "user_id", "event_id")
@@ -555,7 +525,7 @@ def listing_diff(spark, d):
 # -- unions and the rest --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'doc' AS source_kind, string_split(text, chr(10))[1] AS line, source AS app FROM documents UNION ALL SELECT 'event', props, NULL FROM events UNION ALL SELECT 'chat', text, role FROM conversations")
+@query(f"WITH {LINES} SELECT 'doc' AS source_kind, line, app FROM lines UNION ALL SELECT 'event', props, NULL FROM events UNION ALL SELECT 'chat', text, role FROM conversations")
 def union_sources(spark, d):
     docs = inputs.document_lines(spark, d).select(F.lit("doc").alias("source_kind"), "line", "app")
     ev = table(spark, d, "events").select(F.lit("event").alias("source_kind"), F.col("props").alias("line"))
@@ -587,3 +557,6 @@ def pod_release_anti(spark, d):
 def retry_times(spark, d):
     n = F.col("o_orderkey") % 5
     return table(spark, d, "orders").select("o_orderkey", batching.retry_time(F.lit(1700000000123), F.lit(15000), n + 1).alias("due_ms"), batching.backoff_ms(n).alias("backoff"))
+
+
+from sluiceway.plans import file_queries  # noqa: E402, F401  registers its queries
