@@ -3,13 +3,16 @@
 The library encodes each pre-token by itself, so a text's ids are those of its pre-tokens in order, and a
 corpus has far fewer distinct pre-tokens than pre-tokens. Where no space stands beside other white space,
 no pre-token crosses from one word (what stands between two spaces, with the space before it) to the
-next, so most words need no look at the pattern. Texts are split here by the vocabulary's
-published pattern where this surely agrees with the library (characters below U+0500, no special token, no
-control character that counts as white space to one of the two only); other texts go to the library whole.
+next, so most words need no look at the pattern. Texts are split here by the published byte-level
+pattern where this surely agrees with the library (characters below U+0500, no added token, no
+control character that counts as white space to one of the two only); other texts go to the library whole. So do all
+texts of a tokenizer whose file says something else: another pre-tokenizer or pattern, a prefix space, a normalizer,
+a model that isn't plain BPE, or added tokens that look beyond themselves.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -74,12 +77,25 @@ class Encoder:
         self.library, self.width = Tokenizer.from_file(path), width
         if self.library.get_vocab_size(with_added_tokens=True) > 1 << 8 * width:
             raise ValueError("ids don't fit the width")
+        self.added, self.plain = self._read(self.library.to_str())
+        #: Code points before an edit whose pre-tokens it may change: one for greedy ends, one for white space that looks ahead, else an added token that the edit completes.
+        self.context = max(map(len, self.added), default=0) + 2
         self.kind, self.code = np.dtype(f"<u{width}"), {1: "B", 2: "H", 4: "I"}[width]
         self.tokenize = self.library.model.tokenize  # the model alone takes one pre-token, its bytes written as letters
         self.known, self.words = _Cache(self._piece, most), _Cache(self._word, most)
 
+    @staticmethod
+    def _read(config: str) -> tuple[list[str], bool]:
+        """The added tokens, and whether a text's ids are those of the published pattern's pre-tokens."""
+        c = json.loads(config)
+        added, pre, model = c["added_tokens"], c["pre_tokenizer"] or {}, c["model"]
+        looks = any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added)
+        level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        bpe = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        return [x["content"] for x in added], bool(level and bpe and c["normalizer"] is None and not looks and not c["truncation"] and not c["padding"])
+
     def sure(self, text: str) -> bool:
-        return SPECIAL not in text and not UNSURE.search(text)
+        return self.plain and not UNSURE.search(text) and not any(x in text for x in self.added)
 
     def _piece(self, piece: str) -> bytes:
         plain = piece.isascii() and piece.isprintable()
@@ -117,14 +133,18 @@ class Encoder:
         if self.sure(text):
             found = PATTERN.findall(text)
             return list(map(len, found)), [len(self.known[x]) // self.width for x in found]
-        lengths, counts = [], []
-        for k, part in enumerate(text.split(SPECIAL)):
-            if k:
-                lengths.append(len(SPECIAL))
-                counts.append(1)
-            spans = [s for _, s in self.library.pre_tokenizer.pre_tokenize_str(part)] if part else []
-            found = [part[a:b] for a, b in spans]
-            if found:
-                lengths += map(len, found)
-                counts += [len(e.ids) for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
+        found = self.library.encode(text, add_special_tokens=False)
+        lengths, counts, at = [], [], 0
+        # tokens of one pre-token share its number; an added token is one by itself
+        spans: list[list] = []
+        for word, (a, b) in zip(found.word_ids, found.offsets, strict=True):
+            if spans and word is not None and spans[-1][0] == word and spans[-1][1] == word:
+                spans[-1][3], spans[-1][4] = max(spans[-1][3], b), spans[-1][4] + 1
+            else:
+                spans.append([word, word, a, b, 1])
+        for n, (_, _, _, end, count) in enumerate(spans):
+            end = len(text) if n + 1 == len(spans) else max(at, spans[n + 1][2])
+            lengths.append(end - at)
+            counts.append(count)
+            at = end
         return lengths, counts
