@@ -1,13 +1,16 @@
 """Token counts that follow edits.
 
-Each document has a tree over its pre-tokens: leaves are runs of LEAF pre-tokens, inner nodes hold the
+Each document has a tree over its pre-tokens, a row of a table: leaves are runs of about LEAF pre-tokens, each with its text and the lengths
+and token counts of its pre-tokens; inner nodes, which are made of the leaves when a row is read, hold the
 sums of code points and of tokens below them. An edit (at, drop, insert; places in the text before all
 edits) descends by sums to the pre-tokens that it touches, re-encodes these with the context that can
-change their borders, until a border of the old text is met again, and updates the sums on the way up.
+change their borders, until a border of the old text is met again, and updates the sums on the way up. Only leaves that an
+edit touches are made anew; one that grows beyond MOST pre-tokens is cut.
 
 Null texts are empty. Edits of null, or that are null, do nothing; edits must not overlap, places beyond
 the end count as the end. Repeated rows are counted each by itself. An empty table gives an empty
-result. Other columns are ignored. Documents are counted one at a time, in the tasks that read them.
+result. Other columns are ignored. Documents are counted one at a time, in the tasks that read them. A tokenizer whose
+pre-tokens can't be known one by one (see ``bpe``) has its whole texts encoded again.
 """
 
 from __future__ import annotations
@@ -18,29 +21,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.bpe import SPECIAL, Encoder, default_tokenizer, encoder_for
+from sluiceway.llm.bpe import Encoder, default_tokenizer, encoder_for
 from sluiceway.llm.common import small_batches
 
-LEAF = 32
-#: Code points before an edit whose pre-tokens it may change: one for greedy ends, one for white space that looks ahead, else a special token that the edit completes.
-CONTEXT = len(SPECIAL) + 2
+LEAF, MOST = 32, 128
 WINDOW = 64
+LEAVES = "array<struct<text:string,lengths:array<int>,counts:array<int>>>"
+EDITS = "array<struct<at:int,drop:int,insert:string>>"
+
+
+def leaves_of(text: str, lengths: list[int], counts: list[int]) -> list[tuple[str, list[int], list[int]]]:
+    """Pre-tokens as leaves (text, lengths, counts)."""
+    out, at = [], 0
+    for i in range(0, len(lengths), LEAF):
+        own = lengths[i : i + LEAF]
+        size = sum(own)
+        out.append((text[at : at + size], own, counts[i : i + LEAF]))
+        at += size
+    return out
 
 
 class TokenTree:
     """Sums of code points and tokens over runs of pre-tokens, in a heap of nodes."""
 
-    def __init__(self, text: str, encoder: Encoder):
-        self.text, self.encoder = text, encoder
-        lengths, counts = encoder.pieces(text)
-        self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)] or [([], [])]
+    def __init__(self, leaves: list[tuple[str, list[int], list[int]]], encoder: Encoder):
+        self.encoder, self.reencoded = encoder, 0
+        self._grow(leaves)
+        self.pretokens = sum(len(x[1]) for x in self.leaves)
+
+    @classmethod
+    def of_text(cls, text: str, encoder: Encoder) -> TokenTree:
+        return cls(leaves_of(text, *encoder.pieces(text)), encoder)
+
+    def _grow(self, leaves: list[tuple[str, list[int], list[int]]]) -> None:
+        self.leaves = leaves or [("", [], [])]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        for k, (a, b) in enumerate(self.leaves):
-            self.chars[self.base + k], self.tokens[self.base + k] = sum(a), sum(b)
+        for k, (text, _, counts) in enumerate(self.leaves):
+            self.chars[self.base + k], self.tokens[self.base + k] = len(text), sum(counts)
         for k in range(self.base - 1, 0, -1):
             self._sum(k)
-        self.pretokens, self.reencoded = len(lengths), 0
 
     def _sum(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -50,53 +70,84 @@ class TokenTree:
     def total(self) -> int:
         return self.tokens[1]
 
-    def _find(self, place: int) -> tuple[int, int, int]:
-        """(leaf, pre-token in it, its first place) of the pre-token that holds a place; the last one for the end."""
+    @property
+    def size(self) -> int:
+        """Code points."""
+        return self.chars[1]
+
+    @property
+    def text(self) -> str:
+        return "".join(x[0] for x in self.leaves)
+
+    def _leaf(self, place: int) -> tuple[int, int]:
+        """(leaf, its first place) of the leaf that holds a place; the last one that holds something for the end."""
         k, start = 1, 0
         while k < self.base:
             k *= 2
             if start + self.chars[k] <= place and self.chars[k + 1]:
                 start += self.chars[k]
                 k += 1
-        leaf, at = k - self.base, 0
-        lengths = self.leaves[leaf][0]
+        return k - self.base, start
+
+    def _find(self, place: int) -> tuple[int, int, int]:
+        """(leaf, pre-token in it, its first place) of the pre-token that holds a place; the last one for the end."""
+        leaf, start = self._leaf(place)
+        at, lengths = 0, self.leaves[leaf][1]
         while at < len(lengths) - 1 and start + lengths[at] <= place:
             start += lengths[at]
             at += 1
         return leaf, at, start
 
+    def _between(self, start: int, end: int) -> str:
+        """The text of some places."""
+        parts, (leaf, first) = [], self._leaf(start)
+        while start < end:
+            text = self.leaves[leaf][0]
+            parts.append(text[start - first : end - first])
+            first += len(text)
+            start, leaf = max(start, first), leaf + 1
+        return "".join(parts)
+
     def _borders(self, leaf: int, at: int, start: int) -> Iterator[tuple[int, int, int]]:
         """Pre-tokens from one on: (leaf, pre-token, first place), and at last the end of the text."""
         while leaf < len(self.leaves):
-            for k in range(at, len(self.leaves[leaf][0])):
+            for k in range(at, len(self.leaves[leaf][1])):
                 yield leaf, k, start
-                start += self.leaves[leaf][0][k]
+                start += self.leaves[leaf][1][k]
             leaf, at = leaf + 1, 0
         yield leaf, 0, start
 
     def edit(self, at: int, drop: int, insert: str) -> None:
         """Replaces ``drop`` code points at ``at`` by ``insert``."""
-        old = self.text
-        at = min(max(at, 0), len(old))
-        drop = min(max(drop, 0), len(old) - at)
+        size, context = self.size, self.encoder.context
+        at = min(max(at, 0), size)
+        drop = min(max(drop, 0), size - at)
         if not drop and not insert:
             return
-        first_leaf, first, start = self._find(max(0, at - CONTEXT))
+        if not self.encoder.plain:
+            text = self.text
+            text = text[:at] + insert + text[at + drop :]
+            self._grow(leaves_of(text, *self.encoder.pieces(text)))
+            self.pretokens = sum(len(x[1]) for x in self.leaves)
+            self.reencoded += self.pretokens
+            return
+        first_leaf, first, start = self._find(max(0, at - context))
         end, shift = at + drop, len(insert) - drop
         window = WINDOW
+        head = self._between(start, at) + insert
+        over = (len(self.leaves), 0, size)
         while True:
-            stop = min(len(old), end + window)
-            region = old[start:at] + insert + old[end:stop]
+            stop = min(size, end + window)
+            region = head + self._between(end, stop)
             lengths, counts = self.encoder.pieces(region)
             # what stands near the cut of the region may be cut itself, so it isn't trusted
             borders, place = {start}, start
             for n in lengths:
                 place += n
-                if stop == len(old) or place <= stop + shift - CONTEXT:
+                if stop == size or place <= stop + shift - context:
                     borders.add(place)
-            last_leaf, last, at_end = self._find(end) if end < len(old) else (len(self.leaves), 0, len(old))
             met = None
-            for leaf, k, where in self._borders(last_leaf, last, at_end) if end < len(old) else [(len(self.leaves), 0, len(old))]:
+            for leaf, k, where in self._borders(*self._find(end)) if end < size else [over]:
                 if where > stop:
                     break
                 if where >= end and where + shift in borders:
@@ -106,60 +157,100 @@ class TokenTree:
                 break
             window *= 4
         leaf, k, where = met
-        take, size = 0, 0
-        while start + size < where + shift:
-            size += lengths[take]
+        take, long = 0, 0
+        while start + long < where + shift:
+            long += lengths[take]
             take += 1
-        lengths, counts = lengths[:take], counts[:take]
         self.reencoded += take
-        self.text = old[:at] + insert + old[end:]
-        self._splice(first_leaf, first, leaf, k, lengths, counts)
+        self._splice(first_leaf, first, leaf, k, region[:long], lengths[:take], counts[:take])
 
-    def _splice(self, first_leaf: int, first: int, leaf: int, k: int, lengths: list[int], counts: list[int]) -> None:
+    def _splice(self, first_leaf: int, first: int, leaf: int, k: int, text: str, lengths: list[int], counts: list[int]) -> None:
         """Pre-tokens from (first_leaf, first) to before (leaf, k) become the given ones, all in the first leaf."""
-        head = self.leaves[first_leaf]
-        tail = tuple(x[k:] for x in self.leaves[leaf]) if leaf < len(self.leaves) else ([], [])
-        gone = sum(len(self.leaves[x][0]) for x in range(first_leaf, min(leaf + 1, len(self.leaves)))) - first - len(tail[0])
+        last = min(leaf, len(self.leaves) - 1)
+        gone = sum(len(self.leaves[x][1]) for x in range(first_leaf, last + 1)) - first
+        front, tail = self.leaves[first_leaf], ("", [], [])
+        if leaf < len(self.leaves):
+            behind = self.leaves[leaf]
+            tail = (behind[0][sum(behind[1][:k]) :], behind[1][k:], behind[2][k:])
+            gone -= len(tail[1])
         self.pretokens += len(lengths) - gone
-        for x in range(first_leaf + 1, min(leaf + 1, len(self.leaves))):
-            self.leaves[x] = ([], [])
-        if leaf > first_leaf and leaf < len(self.leaves):
-            self.leaves[leaf] = (list(tail[0]), list(tail[1]))
-            tail = ([], [])
-        self.leaves[first_leaf] = (head[0][:first] + lengths + list(tail[0]), head[1][:first] + counts + list(tail[1]))
-        nodes = range(self.base + first_leaf, self.base + min(leaf, len(self.leaves) - 1) + 1)
-        for n in nodes:
-            a, b = self.leaves[n - self.base]
-            self.chars[n], self.tokens[n] = sum(a), sum(b)
-        lo, hi = nodes[0] // 2, nodes[-1] // 2
+        for x in range(first_leaf + 1, last + 1):
+            self.leaves[x] = ("", [], [])
+        if first_leaf < leaf < len(self.leaves):
+            self.leaves[leaf], tail = tail, ("", [], [])
+        self.leaves[first_leaf] = (front[0][: sum(front[1][:first])] + text + tail[0], front[1][:first] + lengths + tail[1], front[2][:first] + counts + tail[2])
+        if len(self.leaves[first_leaf][1]) > MOST:  # as many pre-tokens were made as a new heap costs
+            own = self.leaves[first_leaf]
+            self._grow([x for x in self.leaves[:first_leaf] + leaves_of(*own) + self.leaves[first_leaf + 1 :] if x[1]])
+            return
+        for x in range(first_leaf, last + 1):
+            self.chars[self.base + x], self.tokens[self.base + x] = len(self.leaves[x][0]), sum(self.leaves[x][2])
+        lo, hi = (self.base + first_leaf) // 2, (self.base + last) // 2
         while lo:
             for n in range(lo, hi + 1):
                 self._sum(n)
             lo, hi = lo // 2, hi // 2
 
 
-def recount(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
-    """Per document: key, n_tokens (before), n_tokens_edited, n_chars_edited, n_pretokens, n_reencoded.
+def _arrow_leaves(rows: list[list[tuple]]) -> pa.Array:
+    flat = [x for row in rows for x in row]
+    kind = pa.list_(pa.int32())
+    leaf = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], kind), pa.array([x[2] for x in flat], kind)], ["text", "lengths", "counts"])
+    ends = [0]
+    for row in rows:
+        ends.append(ends[-1] + len(row))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaf)
 
-    ``edits`` is a column of array<struct<at:int, drop:int, insert:string>> in code points of the text before all edits.
-    """
+
+def build_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """Per document: key, ``leaves`` (of its tree) and n_tokens. The caller may write them, and count edits of them later. Columns of ``keep`` pass."""
     small_batches(docs.sparkSession)
-    key_type = docs.schema[key].dataType.simpleString()
     path = tokenizer or default_tokenizer()
+    others = [c for c in docs.columns if c not in (key, text, "leaves", "n_tokens")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(path)
+        for batch in batches:
+            rows = [leaves_of(t, *encoder.pieces(t)) for t in ((x or "") for x in batch.column(1).to_pylist())]
+            totals = pa.array([sum(sum(x[2]) for x in row) for row in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_leaves(rows), totals, *batch.columns[2:]], ["key", "leaves", "n_tokens", *others])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in others])
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, leaves {LEAVES}, n_tokens bigint{more}").withColumnRenamed("key", key)
+
+
+def apply_edits(trees: DataFrame, key: str = "doc_id", edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """Trees with a column of edits to the trees after them: key, leaves, n_tokens (before), n_tokens_edited, n_chars_edited, n_pretokens, n_reencoded.
+
+    ``edits`` is array<struct<at:int, drop:int, insert:string>> in code points of the text before all edits.
+    """
+    small_batches(trees.sparkSession)
+    path = tokenizer or default_tokenizer()
+    names = ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         for batch in batches:
-            out = []
-            for t, changes in zip(batch.column(1), batch.column(2), strict=True):
-                tree = TokenTree(t.as_py() or "", encoder)
+            out, rows = [], []
+            for leaves, changes in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                own = leaves.values
+                texts, lengths, counts = (own.field(f).to_pylist() for f in ("text", "lengths", "counts")) if own is not None else ([], [], [])
+                tree = TokenTree(list(zip(texts, lengths, counts, strict=True)), encoder)
                 before = tree.total
-                known = [e for e in changes.as_py() or [] if e and e["at"] is not None]
+                known = [e for e in changes or [] if e and e["at"] is not None]
                 for e in sorted(known, key=lambda e: (e["at"], e["drop"] or 0), reverse=True):  # from the end, so places stay
                     tree.edit(e["at"], e["drop"] or 0, e["insert"] or "")
-                out.append((before, tree.total, len(tree.text), tree.pretokens, tree.reencoded))
+                out.append((before, tree.total, tree.size, tree.pretokens, tree.reencoded))
+                rows.append([x for x in tree.leaves if x[1]])
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), pa.int64()) for c in columns]], ["key", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens", "n_reencoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_leaves(rows), *[pa.array(list(c), pa.int64()) for c in columns]], ["key", "leaves", *names])
+
+    schema = f"key {trees.schema[key].dataType.simpleString()}, leaves {LEAVES}, " + ", ".join(f"{n} bigint" for n in names)
+    return trees.select(F.col(key).alias("key"), "leaves", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
-    schema = f"key {key_type}, n_tokens bigint, n_tokens_edited bigint, n_chars_edited bigint, n_pretokens bigint, n_reencoded bigint"
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(edits).cast("array<struct<at:int,drop:int,insert:string>>").alias("edits")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+def recount(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """Trees of the documents, and the counts that their ``edits`` lead to: see ``apply_edits``."""
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias(text), F.col(edits).alias(edits))
+    return apply_edits(build_trees(rows, key, text, tokenizer), key, edits, tokenizer)
