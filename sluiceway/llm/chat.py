@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.common import small_batches
 
-MARK = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#.*?#\}", re.S)
+#: What a mark holds: strings, which may hold the mark's end, and other characters.
+HELD = r"""((?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?)"""
+MARK = re.compile(rf"\{{\{{(-?){HELD}(-?)\}}\}}|\{{%(-?){HELD}(-?)%\}}|\{{#.*?#\}}", re.S)
 TOKEN = re.compile(r"""\s*(?:(?P<s>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<n>\d+)|(?P<w>[A-Za-z_]\w*)|(?P<o>==|!=|<=|>=|[<>+~.\[\]()|]))""", re.S)
 WORDS = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
 FILTERS: dict[str, Callable] = {
     "trim": lambda x: _text(x).strip(),
     "upper": lambda x: _text(x).upper(),
     "lower": lambda x: _text(x).lower(),
-    "length": len,
+    "length": lambda x: len(x) if isinstance(x, (str, list, tuple, dict)) else 0,
     "string": lambda x: _text(x),
 }
 
@@ -189,11 +191,18 @@ class _Expression:
         raise TemplateError(f"unexpected {word!r}")
 
 
+def _no_mark(text: str) -> str:
+    """Text between marks; a mark in it has no end, or a string in it has none."""
+    if m := re.search(r"\{[{%#]", text):
+        raise TemplateError(f"no end of {text[m.start() : m.start() + 20]!r}")
+    return text
+
+
 def _pieces(source: str) -> Iterator[tuple[str, str]]:
     """(text | print | tag, content), with white space stripped where marks ask for it."""
     at, strip = 0, False
     for m in MARK.finditer(source):
-        text = source[at : m.start()]
+        text = _no_mark(source[at : m.start()])
         text = text.lstrip() if strip else text
         if (m[1] or m[4]) == "-":
             text = text.rstrip()
@@ -204,7 +213,8 @@ def _pieces(source: str) -> Iterator[tuple[str, str]]:
             yield "print", m[2]
         elif m[5] is not None:
             yield "tag", m[5].strip()
-    yield "text", source[at:].lstrip() if strip else source[at:]
+    rest = _no_mark(source[at:])
+    yield "text", rest.lstrip() if strip else rest
 
 
 def parse(source: str) -> Node:

@@ -26,7 +26,8 @@ def test_template_language():
     assert go("a {%- set n = 1 + 2 -%} b{{ n }}{# note #}{{ 'y' if n > 2 else 'z' }}")[0] == "ab3y"
     text, spans = go("u{% generation %}{{ t }}{% endgeneration %}v", t="héy")
     assert text == "uhéyv" and [text[a:b] for a, b in spans] == ["héy"]
-    for bad in ("{{ x.__class__ }}", "{{ f() }}", "{% if x %}", "{% what %}", "{{ x | eval }}", "{{ 'a' 'b' }}"):
+    assert go("{{ '}}' }}{{ \"%}\" }}{% if x == '%}' %}y{% endif %}{{ gone | length }}{{ none | upper }}", x="%}")[0] == "}}%}y0"
+    for bad in ("{{ 'a }}", "a {% if x", "{{ x", "{{ x.__class__ }}", "{{ f() }}", "{% if x %}", "{% what %}", "{{ x | eval }}", "{{ 'a' 'b' }}"):
         with pytest.raises(chat.TemplateError):
             go(bad)
     assert go("{{ x.upper }}{{ x['__class__'] }}", x="s")[0] == ""
@@ -164,13 +165,49 @@ def test_counts_follow_edits(library):
     bits = ["a", " ", "  ", "\n", "'", "ll", "é", "12", "<|endof", "text|>", "日本"]
     for n in range(120):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(400)))
-        tree = token_counts.TokenTree(text, encoder)
+        tree = token_counts.TokenTree.of_text(text, encoder)
         for _ in range(4):
             at, drop, new = rng.randrange(len(text) + 3), rng.randrange(6), "".join(rng.choice(bits) for _ in range(rng.randrange(4)))
             tree.edit(at, drop, new)
             a = min(at, len(text))
             text = text[:a] + new + text[a + drop :]
-            assert tree.text == text and tree.total == len(library.encode(text, add_special_tokens=False).ids)
+            assert tree.text == text and tree.size == len(text) and tree.total == len(library.encode(text, add_special_tokens=False).ids)
+            assert all(len(x[1]) <= token_counts.MOST and sum(x[1]) == len(x[0]) for x in tree.leaves) and tree.pretokens == sum(len(x[1]) for x in tree.leaves)
+            tree = token_counts.TokenTree([x for x in tree.leaves if x[1]], encoder)  # as read from a table
+
+
+def test_trees_are_kept_and_edited_again(spark, tmp_path, library):
+    docs = spark.createDataFrame([(1, "one two three " * 50), (2, None)], "doc_id bigint, text string")
+    token_counts.build_trees(docs).write.parquet(str(tmp_path / "trees0"))
+    texts = {1: "one two three " * 50, 2: ""}
+    for n, (at, drop, new) in enumerate([(5, 3, "big " * 300), (40, 500, ""), (0, 0, "Begin. "), (10**6, 1, " end")]):
+        from pyspark.sql import functions as F
+
+        trees = spark.read.parquet(str(tmp_path / f"trees{n}")).select("doc_id", "leaves").withColumn("edits", F.array(F.struct(F.lit(at).alias("at"), F.lit(drop).alias("drop"), F.lit(new).alias("insert"))))
+        token_counts.apply_edits(trees).write.parquet(str(tmp_path / f"trees{n + 1}"))
+        texts = {k: t[:at] + new + t[min(at, len(t)) + drop :] for k, t in texts.items()}
+        got = {r.doc_id: (r.n_tokens_edited, r.n_chars_edited) for r in spark.read.parquet(str(tmp_path / f"trees{n + 1}")).collect()}
+        assert got == {k: (len(library.encode(t, add_special_tokens=False).ids), len(t)) for k, t in texts.items()}
+
+
+def test_other_tokenizers_go_to_the_library_whole(tmp_path, library):
+    """A prefix space, a normalizer or another added token changes the ids: the encoder follows the file."""
+    import json
+
+    config = json.loads(library.to_str())
+    prefixed, lowered, added = (json.loads(json.dumps(config)) for _ in range(3))
+    prefixed["pre_tokenizer"]["add_prefix_space"] = True
+    lowered["normalizer"] = {"type": "Lowercase"}
+    added["added_tokens"].append({**config["added_tokens"][0], "id": 50257, "content": "[X]"})
+    for name, other in (("prefixed", prefixed), ("lowered", lowered), ("added", added)):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(other))
+        own, encoder = Tokenizer.from_file(str(path)), bpe.Encoder(str(path))
+        for t in ["Hello World", "a [X] b", " x", "", *HARD]:
+            assert np.frombuffer(encoder.encode(t), "<u2").tolist() == own.encode(t, add_special_tokens=False).ids
+        tree = token_counts.TokenTree.of_text("Hello WORLD and more", encoder)
+        tree.edit(6, 5, "[X] Moon")
+        assert tree.total == len(own.encode("Hello [X] Moon and more", add_special_tokens=False).ids)
 
 
 def test_edits_touch_little(spark, odd_docs, no_docs):
@@ -197,14 +234,30 @@ def test_token_store(spark, odd_docs, odd_rows, no_docs, library, tmp_path):
 def test_store_of_many_shards_and_unknown_keys(spark, tmp_path):
     docs = spark.range(300).selectExpr("id * 7 AS doc_id", "concat('text ', id) AS text")
     path = f"file://{tmp_path}/many"
-    manifest, bounds = token_store.write(docs, path, docs_per_shard=40)
+    manifest = token_store.write(docs, path, docs_per_shard=40)
     assert manifest.count() > 4
     asked = spark.createDataFrame([(k,) for k in [0, 7, 8, 2093, 2100, -5, 7]], "doc_id bigint")
-    assert sorted(r.doc_id for r in token_store.lookup(asked, path, manifest, bounds).collect()) == [0, 7, 2093]
-    again, _ = token_store.write(docs, path, docs_per_shard=40)  # a second run leaves the same files
+    assert sorted(r.doc_id for r in token_store.lookup(asked, path, manifest).collect()) == [0, 7, 2093]
+    again = token_store.write(docs, path, docs_per_shard=40)  # a second run leaves the same files
     assert ordered(again.collect()) == ordered(manifest.collect())
 
 
+def test_a_key_of_many_records_is_many_shards(spark, tmp_path):
+    least = -(1 << 63)
+    rows = [(7, f"text {i}") for i in range(150)] + [(None, "same")] * 100 + [(least, "least"), (8, "eight"), (7, "text 0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    path = f"file://{tmp_path}/hot"
+    manifest = token_store.write(docs, path, docs_per_shard=20)
+    assert manifest.where("first_key = 7 AND last_key = 7").count() > 2
+    got = token_store.lookup(docs, path, manifest).collect()
+    keys = sorted((r.doc_id for r in got), key=str)
+    assert keys == sorted((k for k, _ in rows), key=str)
+    spans = sorted((r.start, r.n_tokens) for r in got)
+    assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+    asked = spark.createDataFrame([(least,), (9,)], "doc_id bigint")
+    assert [r.doc_id for r in token_store.lookup(asked, path, manifest).collect()] == [least]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 20_000))
     table = token_store.PerfectHash.build(keys)
