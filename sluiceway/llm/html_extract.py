@@ -35,7 +35,7 @@ from sluiceway.llm.common import batch_rows, cut, small_batches
 
 NEIGHBOURS = 2
 SAME = 0.8
-BUCKET_PAGES = 20_000
+BUCKET_PAGES = 500
 
 #: A tag whose attributes have no surprises; possessive, so that it never looks at a character twice.
 PLAIN = re.compile(r"""<(/?)([A-Za-z][^\s/><]*+)((?>\s++(?:[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=`]++))?+)?+)*+)\s*+/?+>""")
