@@ -48,3 +48,55 @@ def test_quality_stage_keeps_the_callers_columns(spark):
     left = corpus_pipeline.quality_rules(spark, docs, "")
     found = [tuple(r) for r in left.collect()]
     assert left.columns == docs.columns and found and set(found) <= set(rows)
+
+
+def test_pipeline_of_null_and_repeated_keys(spark, tmp_path):
+    """All stages over rows whose keys say nothing, against plain versions that know rows by their places."""
+    from collections import Counter
+
+    import duckdb
+    import plain
+
+    from sluiceway.llm import sql
+
+    test = prose(90, 30)
+    texts = [prose(100 + i, 90) + "." for i in range(24)]
+    rows = []
+    for i, t in enumerate(texts):
+        rows += [(None if i % 2 else 5, t, "en", ["web", "books", None][i % 3], len(t))] * (1 + i % 3)
+        if i % 4 == 0:
+            rows.append((None if i % 3 else 5, near(t, "changed"), "en", "web", len(t)))
+        if i % 6 == 1:
+            rows.append((5, f"{prose(200 + i, 60)}. {test} end.", "en", "books", 0))
+    rows += [(5, None, "en", "web", 0), (None, "", None, None, 0), (None, "too short", "en", "web", 9)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, test)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [(i, r[1]) for i, r in enumerate(rows)])
+    good = [rows[i] for (i,) in c.execute(f"WITH {sql.quality_ctes()} SELECT doc_id FROM scored WHERE kept ORDER BY doc_id").fetchall()]
+    assert 0 < len(good) < len(rows)
+    groups = plain.groups([(i, r[1]) for i, r in enumerate(good)])
+    left = [r for i, r in enumerate(good) if groups[i][0] == i]  # one row for each group, whichever
+    clean = [r for r in left if not plain.hits(r[1], [(1, test)])[1]]
+    assert len(clean) < len(left)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.doc_id in (5, None) for r in got) and len({(r.shard, r.slot) for r in got}) == len(got)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, kept = kept.count(), corpus_pipeline.cut(stage(spark, kept, str(tmp_path)))
+        assert kept.columns == docs.columns and kept.count() < before, name
+    own = Counter(plain.shingles(r.text) for r in kept.collect())
+    assert len(own) == len(clean) and not any(plain.hits(r.text, [(1, test)])[1] for r in kept.collect())
+    # each group that is left has a row with its smallest key, where it has a key
+    by_place = {groups[i][0]: [good[j] for j in range(len(good)) if groups[j][0] == groups[i][0]] for i in range(len(good))}
+    for r in kept.collect():
+        group = next(g for g in by_place.values() if any(x[1] == r.text for x in g))
+        assert r.doc_id == min((x[0] for x in group if x[0] is not None), default=None)
+    mix = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.source_mixing(spark, kept, "").collect())
+    per = Counter()
+    for r in kept.collect():
+        per[r.source] += len(r.text.split())
+    for s, goal in plain.targets(dict(per)).items():
+        assert abs(sum(n * len(t.split()) for (_, t, x), n in mix.items() if x == s) - goal) <= 120
