@@ -63,3 +63,12 @@ def released_pods(deleted: DataFrame, open_files: DataFrame) -> DataFrame:
 def fan_out(lines: DataFrame, paths: str = "paths") -> DataFrame:
     """One line for each path under which its file is watched."""
     return lines.withColumn("file", F.explode(paths)).drop(paths)
+
+
+def reflected(watch: DataFrame, keys: tuple[str, ...] = ("namespace", "pod"), order: str = "seq", kind: str = "kind") -> DataFrame:
+    """The pod dimension that a watch leads to: of each pod what its last event says, without those that were deleted.
+
+    Events may come again: the last by ``order`` counts. One aggregation, combined before it is shuffled."""
+    others = [c for c in watch.columns if c not in keys]
+    last = watch.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order)).alias("__last"))
+    return last.where(f"__last.`{kind}` <> 'delete'").select(*keys, "__last.*").drop(order, kind)

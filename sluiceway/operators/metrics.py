@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-# Bucket bounds of request sizes (bytes), durations in milliseconds and in seconds.
+# Bucket bounds of request sizes (bytes), durations in milliseconds and in seconds, and of journal records.
 SIZE_BOUNDS = [500.0 * 2**i for i in range(13)]
 MS_BOUNDS = [0.1 * 4**i for i in range(10)]
 SECOND_BOUNDS = [0.0001 * 4**i for i in range(10)]
+JOURNAL_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
 
 def counters(rows: DataFrame, by: list[str], size: str | None = None) -> DataFrame:

@@ -151,3 +151,18 @@ def container_image_any_case(spark, d):
     image = F.concat(F.lit("reg/"), F.col("p_size").cast("string"))
     containers = F.array(one(F.lit("side"), F.lit("x")), one(F.when(F.col("p_size") % 2 == 0, F.upper("p_brand")).otherwise(F.lit("none")), image))
     return table(spark, d, "part").select("p_partkey", F.lower("p_brand").alias("name"), enrich.container_image(containers, F.lower("p_brand")).alias("image"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '{"Image Name":"' || p_brand || '"}' ELSE '{"Image Name":"' || p_brand || '","Tag":"' || p_size || '"}' END AS meta FROM part""")
+def image_meta(spark, d):
+    """The image as a line's metadata; without a tag its entry is left out."""
+    image = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(":"), F.col("p_size").cast("string")))
+    return table(spark, d, "part").select("p_partkey", enrich.image_meta(image).alias("meta"))
+
+
+@query("""SELECT user_id % 50 AS namespace, user_id AS pod, arg_max(event_id % 9, event_id) AS containers FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'""")
+def pod_reflector(spark, d):
+    """Pods by a watch's last word on each; an error event stands for a deletion."""
+    kind = F.when(F.col("event_type") == "error", "delete").otherwise("apply")
+    watch = table(spark, d, "events").select((F.col("user_id") % 50).alias("namespace"), F.col("user_id").alias("pod"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 9).alias("containers"))
+    return enrich.reflected(watch)

@@ -414,6 +414,18 @@ def histogram_ms(spark, d):
     return metrics.histogram(table(spark, d, "events"), "value", metrics.MS_BOUNDS, ["event_type"])
 
 
+@query(_histogram_sql("(event_id % 1000 / 1000.0)::DOUBLE", "events", metrics.SECOND_BOUNDS, "event_type"))
+def histogram_seconds(spark, d):
+    e = table(spark, d, "events").withColumn("seconds", (F.col("event_id") % 1000 / 1000.0).cast("double"))
+    return metrics.histogram(e, "seconds", metrics.SECOND_BOUNDS, ["event_type"])
+
+
+@query(_histogram_sql("(event_id % 1000 / 64.0)::DOUBLE", "events", metrics.JOURNAL_BOUNDS, "event_type"))
+def histogram_journal(spark, d):
+    e = table(spark, d, "events").withColumn("records", (F.col("event_id") % 1000 / 64.0).cast("double"))
+    return metrics.histogram(e, "records", metrics.JOURNAL_BOUNDS, ["event_type"])
+
+
 @query("SELECT event_type, arg_max(event_id, ts) AS total, round(arg_max(event_id, ts) / nullif(floor((epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1000), 0), 6) AS rate, max(event_id) AS peak FROM events GROUP BY event_type")
 def rate_lines(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -93,3 +93,35 @@ def high_water_stream(events: DataFrame, key: str, seq: str, ts: str, slack_seco
     rows = events.select(F.col(key).alias("key"), F.col(seq).cast("long").alias("seq"), F.unix_micros(ts).alias("t"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.groupBy("key").transformWithStateInPandas(HighWater(slack_seconds * 1_000_000), f"key {kind}, seq bigint, t bigint", "Append", "None")
+
+
+class PodRelease(StatefulProcessor):
+    """Lets a deleted pod go once none of its files is open: the state is what is known of one pod."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "deleted boolean, open bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        deleted, files = tuple(self.known.get()) if self.known.exists() else (False, 0)
+        for frame in rows:
+            for kind in frame.sort_values("seq")["kind"]:
+                if kind == "open":
+                    files += 1
+                elif kind == "close":
+                    files = max(0, files - 1)
+                else:
+                    deleted = kind == "delete"
+        if deleted and not files:
+            self.known.clear()
+            yield pd.DataFrame({"namespace": [key[0]], "pod": [key[1]]})
+        else:
+            self.known.update((deleted, files))
+
+    def close(self) -> None:
+        pass
+
+
+def pod_release_stream(events: DataFrame) -> DataFrame:
+    """Events (namespace, pod, seq, kind: create, delete, open, close) to the pods (namespace, pod) that may be forgotten now."""
+    rows = events.select("namespace", "pod", "seq", "kind")
+    return rows.groupBy("namespace", "pod").transformWithStateInPandas(PodRelease(), "namespace string, pod string", "Append", "None")

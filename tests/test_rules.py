@@ -145,3 +145,25 @@ def test_rules_are_read_up_to_what_they_can_hold():
 
     got = K8sRules.parse(["namespace:nation-3", "name:a--b", "label.app.k8s.io/name:x-y-", "annotation.owner:core!", "label.none", "namespace:Upper"])
     assert got == K8sRules(("nation-3", ""), ("a",), (("app.k8s.io/name", "x-y"),), (("owner", "core"),))
+
+
+def test_settings_from_yaml_environment_and_arguments():
+    from sluiceway.functions.settings import from_arguments, from_env, from_yaml, overridden
+
+    yaml = """
+http:
+  body_size: 1000
+  retry_disk_limit: 2 MiB
+  params: {hostname: box, tags: [a, b]}
+log:
+  dirs: ["${ROOT}/x"]
+  include: {glob: ["*.txt"], regex: []}
+  line_exclusion_regex: ["DEBUG"]
+  db_path: /state
+"""
+    base = layered(from_yaml(yaml, {"ROOT": "/srv"}))
+    assert (base.log_dirs, base.include, base.include_regex, base.body_size, base.retry_disk_limit) == (("/srv/x",), ("*.txt",), (), 1000, 2 << 20)
+    assert (base.hostname, base.tags, base.extra) == ("box", ("a", "b"), {"log.db_path": "/state"})
+    more = overridden(base, from_env("AGENT", {"AGENT_TAGS": "b,c", "AGENT_LOOKBACK": "start", "AGENT_IP": ""}), from_arguments(["-d", "/y,/z", "--logdir", "/w", "--lookback", "none", "--ingest-buffer-size", "2000"]))
+    assert (more.tags, more.log_dirs, more.lookback, more.body_size, more.ip) == (("a", "b", "c"), ("/srv/x", "/y", "/z", "/w"), "none", 2000, "")
+    assert layered(from_yaml("")) == layered()

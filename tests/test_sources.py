@@ -166,5 +166,25 @@ def test_stateful(spark, tmp_path):
     assert sorted(r.seq for r in spark.sql("SELECT seq FROM high").collect()) == [0, 1, 3]
 
 
+def test_deleted_pods_go_once_their_files_are_closed(spark, tmp_path):
+    from sluiceway.streaming.stateful import pod_release_stream
+
+    use_rocksdb(spark)
+    rows = [("n", "a", 1, "create"), ("n", "a", 2, "open"), ("n", "a", 3, "delete"), ("n", "b", 4, "open"), ("n", "b", 5, "delete"), ("n", "b", 6, "close"), ("n", "c", 7, "delete"), ("n", "c", 8, "create")]
+    schema = "namespace string, pod string, seq bigint, kind string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "pods"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "pods"))
+    query = pod_release_stream(stream).writeStream.format("memory").queryName("released").outputMode("append").option("checkpointLocation", str(tmp_path / "cp3")).start()
+    query.processAllAvailable()
+    assert [tuple(r) for r in spark.sql("SELECT * FROM released").collect()] == [("n", "b")]
+    spark.createDataFrame([("n", "a", 9, "close")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "pods"))
+    _drain(query)
+    assert sorted(r.pod for r in spark.sql("SELECT * FROM released").collect()) == ["a", "b"]
+
+
+def test_a_directory_that_is_not_there_holds_nothing(spark, tmp_path):
+    assert text.listing(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_chain_skips_missing_stages(spark):
     assert chain(spark.range(3), None, lambda d: d.where("id > 0")).count() == 2
