@@ -37,14 +37,21 @@ def http_post(url: str, headers: dict[str, str] | None = None, timeout: float =
     return post
 
 
-def deliver(bodies: DataFrame, post: Post, stream: str) -> DataFrame:
-    """Posts each body from the tasks; rows (stream, batch_id, body, status)."""
+#: Requests that one task has under way at a time.
+CONCURRENT = 8
+
+
+def deliver(bodies: DataFrame, post: Post, stream: str, concurrent: int = CONCURRENT) -> DataFrame:
+    """Posts each body from the tasks, several at a time; rows (stream, batch_id, body, status)."""
     kind = bodies.schema[stream].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            status = [post(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status, pa.int32())], ["stream", "batch_id", "body", "status"])
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(concurrent) as pool:
+            for b in batches:
+                status = list(pool.map(post, b.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status, pa.int32())], ["stream", "batch_id", "body", "status"])
 
     return bodies.select(F.col(stream).alias("stream"), "batch_id", "body").mapInArrow(run, f"stream {kind}, batch_id bigint, body string, status int")
 

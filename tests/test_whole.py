@@ -57,3 +57,27 @@ def test_folds_of_one_large_group_and_of_null_keys(spark):
     assert {(r.k, r["count"]) for r in new} == {("hot", 1 + n * 2 // 3), (None, 3)}
     calls = events.rate_limited(rows, "k", "ts", 2, 3).groupBy("k").agg(F.count(F.lit(1)).alias("calls"), F.count_if("allowed").alias("allowed")).collect()
     assert {(r.k, r.calls, r.allowed) for r in calls} == {("hot", n, n // 2), (None, 4, 2)}
+
+
+@tables
+def test_report_lines_say_what_the_reports_say(spark):
+    """Each line is one report row: its entries are the row's values, null ones left out."""
+    import json
+    from collections import Counter
+
+    import duckdb
+
+    from sluiceway.plans.queries import SQL
+
+    duck = duckdb.connect()
+    duck.execute("SET TimeZone='UTC'")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    lines = [json.loads(r.line)["kube"] for r in QUERIES["report_json"](spark, DATA).collect()]
+    assert all(x["type"] == "metric" and None not in x.values() for x in lines)
+    for resource, name in (("node", "node_report"), ("container", "container_report"), ("cluster", "cluster_report")):
+        found = duck.execute(SQL[name])
+        names = [c[0] for c in found.description]
+        want = Counter(tuple(sorted((k, str(v)) for k, v in zip(names, row, strict=True) if v is not None)) for row in found.fetchall())
+        own = Counter(tuple(sorted((k, str(v)) for k, v in x.items() if k in names)) for x in lines if x["resource"] == resource)
+        assert own == want and own
