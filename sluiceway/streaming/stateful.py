@@ -125,3 +125,54 @@ def pod_release_stream(events: DataFrame) -> DataFrame:
     """Events (namespace, pod, seq, kind: create, delete, open, close) to the pods (namespace, pod) that may be forgotten now."""
     rows = events.select("namespace", "pod", "seq", "kind")
     return rows.groupBy("namespace", "pod").transformWithStateInPandas(PodRelease(), "namespace string, pod string", "Append", "None")
+
+
+class LineRetries(StatefulProcessor):
+    """Holds lines of a file whose metadata isn't known yet, and lets them go again later: the state is the file's waiting lines.
+
+    A line that isn't ready is tried again after the delay times its tries so far (once at least), in whole seconds;
+    after ``tries`` of them it is sent as it is. What comes back ready is sent, and waits no more.
+    """
+
+    def __init__(self, tries: int, delay_ms: int):
+        self.tries, self.delay_ms = tries, delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "start bigint, end bigint", "line string, tries int, due bigint")
+
+    def _row(self, key: tuple, span: tuple, line: str, tries: int, outcome: str) -> dict:
+        return {"file_id": key[0], "start": int(span[0]), "end": int(span[1]), "line": line, "tries": tries, "outcome": outcome}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, now = [], timerValues.getCurrentProcessingTimeInMs()
+        for frame in rows:
+            for start, end, line, ready in frame.sort_values("start")[["start", "end", "line", "ready"]].itertuples(index=False):
+                span = (int(start), int(end))
+                tries = self.waiting.getValue(span)[1] if self.waiting.containsKey(span) else 0
+                if ready or tries >= self.tries:
+                    if tries:
+                        self.waiting.removeKey(span)
+                    out.append(self._row(key, span, line, tries, "sent" if ready else "sent_as_is"))
+                    continue
+                due = max((now + self.delay_ms * max(1, tries)) // 1000 * 1000, now + 1)
+                self.waiting.updateValue(span, (line, tries + 1, due))
+                self.handle.registerTimer(due)
+        if out:
+            yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        out = [self._row(key, span, line, tries, "retry") for span, (line, tries, due) in ((tuple(k), tuple(v)) for k, v in self.waiting.iterator()) if due == now]
+        if out:
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def line_retries(lines: DataFrame, tries: int = 5, delay_ms: int = 5000) -> DataFrame:
+    """Lines (file_id, start, end, line, ready) to rows with tries and outcome: sent, sent_as_is, or retry for those to be looked up and handed in again."""
+    schema = "file_id bigint, start bigint, end bigint, line string, tries int, outcome string"
+    rows = lines.select("file_id", "start", "end", "line", "ready")
+    return rows.groupBy("file_id").transformWithStateInPandas(LineRetries(tries, delay_ms), schema, "Append", "ProcessingTime")

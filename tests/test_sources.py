@@ -182,6 +182,30 @@ def test_deleted_pods_go_once_their_files_are_closed(spark, tmp_path):
     assert sorted(r.pod for r in spark.sql("SELECT * FROM released").collect()) == ["a", "b"]
 
 
+def test_lines_without_metadata_are_tried_again(spark, tmp_path):
+    from sluiceway.streaming.stateful import line_retries
+
+    use_rocksdb(spark)
+    schema = "file_id bigint, start bigint, end bigint, line string, ready boolean"
+    write = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    write((1, 0, 5, "late", False), (1, 5, 9, "here", True), (2, 0, 3, "never", False))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "late"))
+    query = line_retries(stream, 1, 1000).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp4")).start()
+
+    def wait(outcome, count):
+        for _ in range(120):
+            if spark.sql("SELECT * FROM late").where(f"outcome = '{outcome}'").count() >= count:
+                return
+            time.sleep(0.5)
+
+    wait("retry", 2)
+    write((1, 0, 5, "late", True), (2, 0, 3, "never", False))
+    wait("sent_as_is", 1)
+    query.stop()
+    got = sorted((r.file_id, r.line, r.tries, r.outcome) for r in spark.sql("SELECT * FROM late").collect())
+    assert got == [(1, "here", 0, "sent"), (1, "late", 1, "retry"), (1, "late", 1, "sent"), (2, "never", 1, "retry"), (2, "never", 1, "sent_as_is")]
+
+
 def test_a_directory_that_is_not_there_holds_nothing(spark, tmp_path):
     assert text.listing(spark, str(tmp_path / "none")).count() == 0
 
