@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,21 @@ def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
     return cut(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def identified(df: DataFrame) -> DataFrame:
+    """The rows with ``__f`` and ``__i``, an identity of each that holds where keys are null or repeated.
+
+    Of rows that come straight from files it is the file and the place in it, which costs no copy; it is looked at whether
+    all are different, as rows that were joined or repeated share theirs. Other rows are written with numbers.
+    """
+    try:
+        known = df.select("*", F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+    except AnalysisException:  # no files, or none that number their rows
+        known = None
+    if known is None or known.groupBy("__f", "__i").count().where("count > 1").limit(1).count():
+        return numbered(df, "__i").withColumn("__f", F.lit(0).cast("long"))
+    return known
+
+
 #: Keys with more than this share of all rows are split. No more than 1 / HOT keys can have it, which bounds their broadcast.
 HOT = 1 / 1000
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import batch_rows, cut, numbered, spread_join
+from sluiceway.llm.common import batch_rows, cut, identified, numbered, spread_join
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 CHUNK, CHUNK_SHINGLES = 512, 1_000_000
@@ -89,7 +89,7 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 7) -> DataFrame:
-    """Of rows (row, key, text): row, key, set_id (128-bit hash of its shingle set; null if empty), size (of the set) and one hash for each band."""
+    """Of rows (__f, __i, key, own, text): all but the text, set_id (128-bit hash of its shingle set; null if empty), size (of the set) and one hash for each band."""
     bands, per = bands_and_rows(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def signatures(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
         hashes, (a, b) = WordHashes(), _multipliers(bands * per, seed)
         for batch in batches:
             ids, sizes, found = [], [], []
-            for t in batch.column(2):
+            for t in batch.column(4):
                 s = shingles(t.as_py(), n, hashes)
                 sizes.append(len(s))
                 if not len(s):
@@ -108,14 +108,14 @@ def signatures(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 ids.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 sig = signature(s, a, b).reshape(bands, per)
                 found.append([xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(sig)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["row", "key", "set_id", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["__f", "__i", "key", "own", "set_id", "size", "bands"])
 
     key_type = rows.schema["key"].dataType.simpleString()
-    return rows.select("row", "key", "text").mapInArrow(run, f"row bigint, key {key_type}, set_id string, size bigint, bands array<bigint>")
+    return rows.select("__f", "__i", "key", "own", "text").mapInArrow(run, f"__f bigint, __i bigint, key {key_type}, own string, set_id string, size bigint, bands array<bigint>")
 
 
 def shingle_sets(rows: DataFrame, n: int = N) -> DataFrame:
-    """Rows (row, text) to rows (rep, shingles)."""
+    """Rows (rep, text) to rows (rep, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -125,7 +125,7 @@ def shingle_sets(rows: DataFrame, n: int = N) -> DataFrame:
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["rep", "shingles"])
 
-    return rows.select("row", "text").mapInArrow(run, "rep bigint, shingles array<bigint>")
+    return rows.select("rep", "text").mapInArrow(run, "rep bigint, shingles array<bigint>")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -269,31 +269,35 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """Per document: key, set_id, class_id (the smallest key of its group of linked documents), n_links
     (other documents whose similarity reaches the threshold, copies included), n_text_links (other shingle
     sets that do), n_copies (documents of the same set, itself included)."""
-    rows = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "row")
-    return _groups(rows, n, threshold, recall).drop("row", "root").withColumnRenamed("key", key)
+    rows = identified(docs).select("__f", "__i", F.col(key).alias("key"), F.lit(None).cast("string").alias("own"), F.col(text).alias("text"))
+    return _groups(rows, n, threshold, recall).drop("__f", "__i", "own", "root").withColumnRenamed("key", key)
 
 
 def _groups(rows: DataFrame, n: int, threshold: float, recall: float = RECALL) -> DataFrame:
-    """Of written rows (row, key, text): those of ``near_groups`` with ``row`` and ``root``, which names the group."""
+    """Of rows (__f, __i, key, own, text): those of ``near_groups`` with __f, __i, own and ``root``, which names the group."""
     with batch_rows(rows.sparkSession):
-        signed = cut(signatures(rows, n, threshold, recall))
-    reps = cut(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+        signed = numbered(signatures(rows, n, threshold, recall), "row")
+    first = F.min(F.struct("row", "__f", "__i"))
+    reps = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(first.alias("r"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = cut(reps.select("set_id", F.col("r.row").alias("rep"), "r.__f", "r.__i", "rows", "first_key", "size", "bands"))
     blocks = cut(_blocks(reps.select("rep", "rows", "size", "bands")))
-    wanted = blocks.select(F.col("rep").alias("row")).distinct()
-    sets = shingle_sets(rows.join(wanted.hint("merge"), "row", "left_semi"), n)
+    wanted = reps.select("rep", "__f", "__i").join(blocks.select("rep").distinct(), "rep")
+    sets = shingle_sets(rows.select("__f", "__i", "text").join(wanted.hint("merge"), ["__f", "__i"]), n)
     result = "rep bigint, doc_links bigint, text_links bigint, root bigint"
     with batch_rows(rows.sparkSession):
         found = cut(blocks.hint("merge").join(sets, "rep").groupBy("scope", "i", "j").applyInArrow(lambda t: compare(t, threshold), result))
     links = found.groupBy("rep").agg(F.sum("doc_links").alias("doc_links"), F.sum("text_links").alias("text_links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    sets_of = reps.drop("bands", "size").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    sets_of = reps.drop("bands", "size", "__f", "__i").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     sets_of = cut(sets_of.withColumn("root", F.coalesce("root", "rep")).fillna(0, ["doc_links", "text_links"]))
     names = sets_of.groupBy("root").agg(F.min("first_key").alias("class_id"), F.count(F.lit(1)).alias("n"))
     known = spread_join(sets_of, names, "root", "n", sets_of.count(), "rep").select("set_id", "root", "class_id", "rows", "doc_links", "text_links")
-    out = spread_join(signed.select("row", "key", "set_id"), known, "set_id", "rows", signed.count(), "row", "left")
+    out = spread_join(signed.drop("size", "bands"), known, "set_id", "rows", signed.count(), "row", "left")
     return out.select(
-        "row",
+        "__f",
+        "__i",
         "key",
+        "own",
         "set_id",
         "root",
         F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
@@ -306,13 +310,13 @@ def _groups(rows: DataFrame, n: int, threshold: float, recall: float = RECALL) -
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one row of each group of linked documents: that of the smallest key. Texts without words all stay.
 
-    Rows are known by numbers of their own, so those of null or of repeated keys are told apart. Where several rows of a group
+    Rows have identities of their own, so those of null or of repeated keys are told apart. Where several rows of a group
     have its smallest key, or all are null, the digest of the row's columns decides."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    digest = F.md5(F.concat(F.coalesce(F.col(text), F.lit("")), F.to_json(F.struct(*others)))) if others else F.md5(text)
-    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc"), digest.alias("own")), "row")
-    groups = _groups(rows.select("row", F.col(f"doc.`{key}`").alias("key"), F.col(f"doc.`{text}`").alias("text")), n, threshold).select("row", "key", "set_id", "root").join(rows.select("row", "own"), "row")
-    order = F.struct(F.col("key").isNull().alias("n"), "key", "own", "row")
-    chosen = groups.where("set_id IS NOT NULL").groupBy("root").agg(F.min(order).alias("w")).select("w.row")
-    stays = chosen.unionByName(groups.where("set_id IS NULL").select("row"))
-    return rows.join(stays, "row", "left_semi").select("doc.*")
+    digest = F.md5(F.concat(F.coalesce(F.col(text), F.lit("")), F.to_json(F.struct(*others)))) if others else F.md5(F.coalesce(F.col(text), F.lit("")))
+    named = identified(docs)
+    groups = cut(_groups(named.select("__f", "__i", F.col(key).alias("key"), digest.alias("own"), F.col(text).alias("text")), n, threshold).select("__f", "__i", "key", "own", "set_id", "root"))
+    order = F.struct(F.col("key").isNull().alias("n"), "key", "own", "__f", "__i")
+    chosen = groups.where("set_id IS NOT NULL").groupBy("root").agg(F.min(order).alias("w")).select("w.__f", "w.__i")
+    stays = chosen.unionByName(groups.where("set_id IS NULL").select("__f", "__i"))
+    return named.join(stays, ["__f", "__i"], "left_semi").select(docs.columns)
