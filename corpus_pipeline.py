@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm import decontam, mixing, ngram_join, quality, sharding
-from sluiceway.llm.common import cut, numbered, table
+from sluiceway.llm.common import cut, identified, table
 
 SHARDS = 40
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the caller's columns pass as one struct, so that none is taken for a verdict
-    row = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    return quality.with_verdicts(row).where("kept").select("__row.*")
+    # the caller's columns pass as one struct, so that none is taken for a verdict, and the text is written once
+    rows = docs.select(F.struct(*docs.columns).alias("__row"))
+    return quality.with_verdicts(rows, "__row.text").where("kept").select("__row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows are known by numbers of their own: keys may be null or repeated
-    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc")), "row")
-    found = decontam.contamination(rows.select("row", "doc.text"), table(spark, sf_dir, "benchmark"), key="row")
-    return rows.join(found.where("NOT contaminated").select("row"), "row", "left_semi").select("doc.*")
+    # rows have identities of their own: keys may be null or repeated
+    rows = identified(docs)
+    named = rows.select(F.concat_ws("/", "__f", "__i").alias("row"), "text")
+    found = decontam.contamination(named, table(spark, sf_dir, "benchmark"), key="row").where("contaminated")
+    gone = found.select(F.split("row", "/").alias("r")).select(F.col("r")[0].cast("bigint").alias("__f"), F.col("r")[1].cast("bigint").alias("__i"))
+    return rows.join(gone, ["__f", "__i"], "left_anti").select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
