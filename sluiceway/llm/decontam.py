@@ -56,13 +56,14 @@ def split_words(texts: list[bytes | None]) -> list[pa.StringArray]:
 SPAN = "struct<first:bigint,last:bigint>"
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, overlap: int = WINDOW - 1) -> DataFrame:
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_words: int | None = None, overlap: int = WINDOW - 1) -> DataFrame:
     """Rows (origin, docs, postings), one for each segment; the caller writes them.
 
     ``docs``: number, key, first (the piece's first word in its document), start (its place in the segment), words.
     ``origin`` and number name a document. ``postings``: term, positions. Searches of up to ``overlap`` + 1 words find
     all that a document cut in pieces holds.
     """
+    segment_words = segment_words or SEGMENT_WORDS
     key_type = docs.schema[key].dataType.simpleString()
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
 

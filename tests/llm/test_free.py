@@ -81,6 +81,17 @@ def test_decontamination(spark, odd_docs, odd_rows, no_docs, monkeypatch):
     assert ordered(decontam.contamination(odd_docs, tests).select("doc_id", "n_words", "n_hit", "items").collect()) == ordered(want)
 
 
+def test_long_documents_in_pieces(spark, monkeypatch):
+    """Documents of many segments, with windows that lie across their pieces and items at both ends of them."""
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 40)
+    texts = {i: prose(60 + i, n) for i, n in enumerate((1, 39, 40, 41, 500, 1000))}
+    ws = {i: t.split() for i, t in texts.items()}
+    items = [(k, " ".join(ws[i][a : a + n])) for k, (i, a, n) in enumerate([(4, 32, 12), (4, 488, 12), (5, 0, 10), (5, 35, 200), (3, 31, 10), (0, 0, 1), (4, 60, 4), (5, 700, 9)])]
+    docs, tests = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.contamination(docs, tests).select("doc_id", "n_words", "n_hit", "items").collect()
+    assert ordered(got) == ordered((k, *plain.hits(t, items)) for k, t in texts.items())
+
+
 def test_small_segments_and_proximity(spark):
     rows = [(i, f"w{i} red {'x ' * (i % 4)}blue far green") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
