@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chat, decontam, html_extract, licenses, mixing, ngram_join, quality, sharding, simhash, token_counts, token_store
+from sluiceway.llm import chat, decontam, html_extract, licenses, mixing, ngram_join, quality, sharding, simhash, spelling, token_counts, token_store
 from sluiceway.llm import sql as sql_text
 from sluiceway.llm.common import table
 
@@ -74,12 +74,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.default_known(spark))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_rendezvous_shards, op6_ngram_join, op7_token_counts, op8_extract_html, op9_token_store, op10_license_scan, op12_simhash_near_dedup, mix_targets)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_rendezvous_shards, op6_ngram_join, op7_token_counts, op8_extract_html, op9_token_store, op10_license_scan, op11_spelling_variants, op12_simhash_near_dedup, mix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
