@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chat, decontam, html_extract, licenses, mixing, ngram_join, quality, sharding, simhash, spelling, token_counts, token_store
+from sluiceway.llm import chat, decontam, filter_audit, html_extract, licenses, mixing, ngram_join, quality, sharding, simhash, spelling, token_counts, token_store
 from sluiceway.llm import sql as sql_text
 from sluiceway.llm.common import table
 
@@ -82,9 +82,13 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_rendezvous_shards, op6_ngram_join, op7_token_counts, op8_extract_html, op9_token_store, op10_license_scan, op11_spelling_variants, op12_simhash_near_dedup, mix_targets)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_rendezvous_shards, op6_ngram_join, op7_token_counts, op8_extract_html, op9_token_store, op10_license_scan, op11_spelling_variants, op12_simhash_near_dedup, op13_filter_audit, mix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql_text.quality_sql(), "op10_license_scan": sql_text.license_sql(), "mix_targets": sql_text.mix_targets_sql()}
+    return {"op1_quality_rules": sql_text.quality_sql(), "op10_license_scan": sql_text.license_sql(), "op13_filter_audit": sql_text.filter_audit_sql(), "mix_targets": sql_text.mix_targets_sql()}

@@ -69,3 +69,20 @@ c AS (SELECT *, 3 * source_size AS cap, sum(3 * source_size) OVER o AS cum, sum(
 x AS (SELECT *, total - coalesce(cum, 0) AS lft, tw - coalesce(cw, 0) AS heavy FROM c),
 f AS (SELECT arg_min(lft, cap / weight) AS lft, arg_min(heavy, cap / weight) AS heavy FROM x WHERE cap * heavy > weight * lft)
 SELECT source, source_size, weight::BIGINT AS weight, (CASE WHEN x.cap * x.heavy <= weight * x.lft THEN cap ELSE weight * f.lft / f.heavy END)::DOUBLE AS target FROM x, f"""
+
+
+def filter_audit_sql() -> str:
+    """Every document's failures, every order, every step: what was removed before a step is looked up in the order's letters."""
+    return rf"""WITH t AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+f AS MATERIALIZED (SELECT t.doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+  coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS v FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS MATERIALIZED (SELECT part, v, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, v),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS a),
+o AS (SELECT p.a || q.a || r.a || s.a || z.a AS filter_order FROM x p, x q, x r, x s, x z WHERE len(list_distinct([p.a, q.a, r.a, s.a, z.a])) = 5),
+g AS (SELECT c.*, filter_order, step, filter_order[step] AS letter, v[ascii(filter_order[step]) - 64] AS fails,
+  len(list_filter(range(1, 6), lambda i: i < step AND v[ascii(filter_order[i]) - 64])) > 0 AS gone FROM c, o, range(1, 6) AS st(step)),
+m AS (SELECT part, filter_order, step::INTEGER AS step, letter, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND len(list_filter(v, lambda b: b)) = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM g GROUP BY part, filter_order, step, letter)
+SELECT m.* EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM m"""
