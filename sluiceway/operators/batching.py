@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.operators.folds import fold
@@ -52,11 +52,21 @@ def outcome(status: Column, timed_out: Column | None = None) -> Column:
     return F.when(late | status.isNull() | status.isin(*RETRY_STATUSES), "retry").when(status == 200, "delivered").otherwise("fatal")
 
 
-def within_quota(files: DataFrame, limit: int, group: str, order: str = "name", size: str = "bytes") -> DataFrame:
-    """Retry files in order of arrival with ``used`` (the sum up to and with each) and ``kept``; those beyond the limit are counted as dropped, not hidden."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(size).over(w)
-    return files.withColumn("used", used).withColumn("kept", F.col("used") <= limit)
+def within_quota(files: DataFrame, limit: int, group: str | None, order: str = "name", size: str = "bytes", used: int = 0) -> DataFrame:
+    """Retry files in order of arrival with ``used`` (what is stored once the file was dealt with) and ``kept``.
+
+    A file that would lead beyond the limit is dropped and counts for nothing, so a smaller one behind it may still fit. ``used`` bytes are stored before the first.
+    What fits depends on all files before, so it is a fold for each group; a null size counts for nothing.
+    """
+
+    def step(held: int, n: int | None) -> tuple[int, int]:
+        needed = held + (n or 0)
+        return (needed, needed) if needed <= limit else (held, -1 - held)
+
+    n = F.col(size).cast("long")
+    folded = fold(files, F.col(group) if group else F.lit(0), [F.col(order), n], [n], used, step, "__held", "bigint")
+    kept = F.col("__held") >= 0
+    return folded.withColumn("used", F.when(kept, F.col("__held")).otherwise(-1 - F.col("__held"))).withColumn("kept", kept).drop("__held")
 
 
 def retry_time(now_ms: Column, delay_ms: Column, tries: Column) -> Column:

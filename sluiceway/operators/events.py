@@ -39,23 +39,30 @@ def event_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def mark_step(mark: int | None, t: int | None, low: int | None, slack: int) -> tuple[int | None, bool]:
+    """One event against the mark, in microseconds: the mark behind it, and whether the event passes."""
+    bound = low if mark is None else mark
+    if bound is None:
+        ok = True
+    elif t is None:
+        ok = mark is not None
+    else:
+        ok = t > bound
+    # the mark is the second of the last event that passed less the slack; zero says nothing
+    return (t // 1_000_000 * 1_000_000 - slack if ok and t is not None else 0) or mark, ok
+
+
 def high_water(events: DataFrame, key: str | None = None, order: str = "seq", ts: str = "creation_ts", slack_seconds: int = 2, floor: Column | None = None) -> DataFrame:
-    """Events that are not old: created after the last accepted one's time less the slack.
+    """Events that are not old: created after the mark, which is the second of the last event with a time that passed less the slack.
 
-    Before any is accepted the bound is ``floor`` less the slack, or none. Rows without a time pass never
-    but where an accepted one has none. An accepted event moves the mark to its time. As the mark can fall by the slack only, the mark before
+    Before there is a mark the bound is ``floor`` (when the one that logged before went away) or, without one, none, and all pass. An event without a time
+    passes, but where the floor alone is known, and leaves the mark where it is. As the mark can fall, the mark before
     a row is the fold of the rows before it; a fold for each key, over its events in order, that holds the mark alone.
     """
     slack = slack_seconds * 1_000_000
     bound = F.unix_micros(floor) if floor is not None else F.lit(None).cast("long")
-
-    def step(mark: int | None, t: int | None, low: int | None) -> tuple[int | None, bool]:
-        least = low if mark is None else mark
-        ok = t is not None and (least is None or t > least - slack)
-        return (t if ok else mark), ok
-
     time = F.unix_micros(ts)
-    folded = fold(events, F.col(key) if key else F.lit(0), [F.col(order), time], [time, bound], None, step, "__ok", "boolean")
+    folded = fold(events, F.col(key) if key else F.lit(0), [F.col(order), time], [time, bound], None, lambda mark, t, low: mark_step(mark, t, low, slack), "__ok", "boolean")
     return folded.where("__ok").drop("__ok")
 
 

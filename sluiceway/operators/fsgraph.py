@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds of link following; a chain of links longer than this is cut, as cycles are.
-MOST_LINKS = 40
-
+from sluiceway.operators.lineage import cut
 
 def ancestors(path: Column) -> Column:
     """The path and all directories above it but the root, the deepest first."""
@@ -15,24 +13,29 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
 
 
-def reachable(entries: DataFrame, path: str = "path", target: str = "link_target", watched: str = "is_target", rounds: int = MOST_LINKS) -> DataFrame:
+def reachable(entries: DataFrame, path: str = "path", target: str = "link_target", watched: str = "is_target") -> DataFrame:
     """Entries with ``reachable``: watched themselves, or at or below the target of a symbolic link that is reachable.
 
     ``entries``: one row for each path, with a symbolic link's target (null for others) and whether the rules watch the path.
-    Each round follows the links found so far by one join; links that were met are not followed again, so cycles end.
+    Links of any number in a row are followed. The targets make a graph: one leads to those of the links at or below it. Each round joins
+    the steps with themselves, so they get twice as long, and takes all that they reach from what is found; when a round finds nothing
+    new, nothing is further away, so cycles end. Steps and found targets are written each round.
     """
     links = entries.where(F.col(target).isNotNull()).select(F.col(path).alias("link"), F.col(target).alias("to"), F.col(watched).alias("seed"))
-    above = links.select("link", "to", F.explode(ancestors(F.col("link"))).alias("at"))
-    found = links.where("seed").select("link", "to")
-    for _ in range(rounds):
-        # links that lie at or below what a known link points to
-        more = above.join(found.select(F.col("to").alias("at")).distinct(), "at", "left_semi").select("link", "to").unionByName(found).distinct()
-        more = more.checkpoint() if entries.sparkSession.sparkContext.getCheckpointDir() else more.persist()
-        if more.count() == found.count():
+    above = links.select("to", F.explode(ancestors(F.col("link"))).alias("at"))
+    nodes = links.select(F.col("to").alias("at")).distinct()
+    steps = cut(above.join(nodes, "at", "left_semi").select("at", "to").distinct())
+    found = cut(links.where("seed").select(F.col("to").alias("at")).distinct())
+    known = found.count()
+    while True:
+        found = cut(found.unionByName(found.join(steps, "at").select(F.col("to").alias("at"))).distinct())
+        now = found.count()
+        if now == known:
             break
-        found = more
-    targets = found.select(F.col("to").alias("at")).distinct()
-    own = entries.select(F.col(path).alias("p"), F.explode(ancestors(F.col(path))).alias("at")).join(targets, "at", "left_semi").select("p").distinct()
+        known = now
+        further = steps.select(F.col("at").alias("to"), F.col("to").alias("end"))
+        steps = cut(steps.join(further, "to").select("at", F.col("end").alias("to")).distinct())
+    own = entries.select(F.col(path).alias("p"), F.explode(ancestors(F.col(path))).alias("at")).join(found, "at", "left_semi").select("p").distinct()
     marked = entries.join(own.withColumn("__linked", F.lit(True)), F.col(path) == F.col("p"), "left")
     return marked.withColumn("reachable", F.col(watched) | F.coalesce("__linked", F.lit(False))).drop("p", "__linked")
 

@@ -40,6 +40,19 @@ def reachable_links(spark, d):
     return fsgraph.reachable(entries).select("path", "reachable")
 
 
+@query("""SELECT '/chain/c' || o_custkey || '/o' || o_orderkey AS path, o_custkey % 97 >= 5 AS reachable FROM orders
+UNION ALL SELECT '/chain/c' || c_custkey || '/next', c_custkey % 97 >= 5 FROM customer UNION ALL SELECT '/watch/c' || c_custkey, true FROM customer WHERE c_custkey % 97 = 5""")
+def reachable_chains(spark, d):
+    """Customers' directories, each with a link to the next one's: chains of 97 links, watched from the sixth on, and the orders as files."""
+    name = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    none, k, o = F.lit(None).cast("string"), F.col("c_custkey"), F.col("o_custkey")
+    files = table(spark, d, "orders").select(name("/chain/c", o, "/o", F.col("o_orderkey")).alias("path"), none.alias("link_target"), F.lit(False).alias("is_target"))
+    c = table(spark, d, "customer")
+    links = c.select(name("/chain/c", k, "/next").alias("path"), F.when(k % 97 == 96, F.lit("/none")).otherwise(name("/chain/c", k + 1)).alias("link_target"), F.lit(False).alias("is_target"))
+    watched = c.where("c_custkey % 97 = 5").select(name("/watch/c", k).alias("path"), name("/chain/c", k).alias("link_target"), F.lit(True).alias("is_target"))
+    return fsgraph.reachable(files.unionByName(links).unionByName(watched)).select("path", "reachable")
+
+
 @query("SELECT '/var/log/o' || o_orderkey AS path, 'write' AS kind, l_shipdate AS ts, o_orderkey AS inode FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0")
 def resume_events(spark, d):
     files = table(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("inode"), F.concat(F.lit("/var/log/o"), F.col("o_orderkey").cast("string")).alias("path"))

@@ -348,144 +348,9 @@ def lookback_offset(spark, d):
 # -- batches, delivery, retry -----------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, 50 + event_id % 400 AS bytes FROM events),
-b AS (SELECT user_id, event_id, i, bytes::BIGINT AS used, 0::BIGINT AS batch_id FROM x WHERE i = 1 UNION ALL SELECT x.user_id, x.event_id, x.i, CASE WHEN b.used >= 1000 THEN 0 ELSE b.used END + x.bytes, b.batch_id + CASE WHEN b.used >= 1000 THEN 1 ELSE 0 END FROM b JOIN x ON x.user_id = b.user_id AND x.i = b.i + 1)
-SELECT user_id, event_id, batch_id FROM b""")
-def batch_by_size(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 400 + 50).alias("bytes"))
-    return batching.assign_batches(e, "user_id", "event_id", "bytes", 1000).select("user_id", "event_id", "batch_id")
-
-
-@query("""WITH RECURSIVE x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, epoch_us(ts) AS t FROM events),
-b AS (SELECT user_id, event_id, i, t AS began, 1 AS n, 0::BIGINT AS batch_id FROM x WHERE i = 1 UNION ALL SELECT x.user_id, x.event_id, x.i, CASE WHEN b.n >= 4 OR x.t - b.began > 7200000000 THEN x.t ELSE b.began END, CASE WHEN b.n >= 4 OR x.t - b.began > 7200000000 THEN 1 ELSE b.n + 1 END, b.batch_id + CASE WHEN b.n >= 4 OR x.t - b.began > 7200000000 THEN 1 ELSE 0 END FROM b JOIN x ON x.user_id = b.user_id AND x.i = b.i + 1)
-SELECT user_id, event_id, batch_id FROM b""")
-def batch_by_time(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", F.lit(1).alias("bytes"), F.col("ts").cast("timestamp").alias("ts"))
-    return batching.assign_batches(e, "user_id", "event_id", "bytes", 4, "ts", 7200).select("user_id", "event_id", "batch_id")
-
-
-@query("""WITH RECURSIVE x AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, 50 + event_id % 400 AS bytes FROM events),
-b AS (SELECT user_id, event_id, event_type, bytes, i, bytes::BIGINT AS used, 0::BIGINT AS batch_id FROM x WHERE i = 1 UNION ALL SELECT x.user_id, x.event_id, x.event_type, x.bytes, x.i, CASE WHEN b.used >= 1000 THEN 0 ELSE b.used END + x.bytes, b.batch_id + CASE WHEN b.used >= 1000 THEN 1 ELSE 0 END FROM b JOIN x ON x.user_id = b.user_id AND x.i = b.i + 1)
-SELECT user_id, batch_id, '{"lines":[' || string_agg('{"event_id":' || event_id || ',"bytes":' || bytes || ',"line":"' || event_type || '"}', ',' ORDER BY event_id) || ']}' AS body FROM b GROUP BY user_id, batch_id""")
-def batch_bodies(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 400 + 50).alias("bytes"), F.col("event_type").alias("line"))
-    return batching.bodies(batching.assign_batches(e, "user_id", "event_id", "bytes", 1000), "user_id", "event_id")
-
-
-@query("SELECT o_orderkey, o_orderkey % 4 <> 3 AND 1700000000 - (1700000000 - o_orderkey % 40) >= 15 AS due FROM orders")
-def retry_due(spark, d):
-    k = F.col("o_orderkey")
-    name = F.concat((1700000000 - k % 40).cast("string"), F.lit("_"), k.cast("string"), F.when(k % 4 == 3, ".partial").otherwise(".retry"))
-    return table(spark, d, "orders").select("o_orderkey", rules.retry_due(name, F.lit(1700000000), 15).alias("due"))
-
-
-@query("SELECT o_orderkey, used::BIGINT AS used, used <= 3000 AS kept FROM (SELECT o_orderkey, sum(o_orderkey % 900) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS used FROM orders)")
-def retry_quota(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 900).alias("bytes"))
-    return batching.within_quota(o, 3000, "o_custkey", "o_orderkey").select("o_orderkey", "used", "kept")
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'retry' WHEN s = 200 THEN 'delivered' WHEN s IN (429, 500, 501, 502, 503, 504, 507) THEN 'retry' ELSE 'fatal' END AS outcome FROM (SELECT o_orderkey, [200, 200, 429, 500, 404, 503, 401, 507][o_orderkey % 8 + 1] AS s FROM orders)")
-def status_classify(spark, d):
-    s = F.element_at(F.array(*map(F.lit, [200, 200, 429, 500, 404, 503, 401, 507])), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", batching.outcome(s, F.col("o_orderkey") % 11 == 0).alias("outcome"))
-
-
-# -- metrics ----------------------------------------------------------------------------------------------------------
-
-
-@query("SELECT event_type, count(*) AS n, sum(strlen(props))::BIGINT AS bytes FROM events GROUP BY event_type")
-def counters_by_type(spark, d):
-    return metrics.counters(table(spark, d, "events").withColumn("bytes", F.octet_length("props")), ["event_type"], "bytes")
-
-
-def _histogram_sql(value: str, table_: str, bounds: list[float], by: str) -> str:
-    cells = " UNION ALL ".join([f"SELECT {by}, '{float(b)!r}' AS le, count(*) FILTER ({value} <= {b!r}) AS n FROM {table_} GROUP BY {by}" for b in bounds] + [f"SELECT {by}, '+Inf', count(*) FROM {table_} GROUP BY {by}"])
-    return cells
-
-
-@query(_histogram_sql("n_chars", "documents", metrics.SIZE_BOUNDS, "source"))
-def histogram_size(spark, d):
-    return metrics.histogram(table(spark, d, "documents"), "n_chars", metrics.SIZE_BOUNDS, ["source"])
-
-
-@query(_histogram_sql("value", "events", metrics.MS_BOUNDS, "event_type"))
-def histogram_ms(spark, d):
-    return metrics.histogram(table(spark, d, "events"), "value", metrics.MS_BOUNDS, ["event_type"])
-
-
-@query(_histogram_sql("(event_id % 1000 / 1000.0)::DOUBLE", "events", metrics.SECOND_BOUNDS, "event_type"))
-def histogram_seconds(spark, d):
-    e = table(spark, d, "events").withColumn("seconds", (F.col("event_id") % 1000 / 1000.0).cast("double"))
-    return metrics.histogram(e, "seconds", metrics.SECOND_BOUNDS, ["event_type"])
-
-
-@query(_histogram_sql("(event_id % 1000 / 64.0)::DOUBLE", "events", metrics.JOURNAL_BOUNDS, "event_type"))
-def histogram_journal(spark, d):
-    e = table(spark, d, "events").withColumn("records", (F.col("event_id") % 1000 / 64.0).cast("double"))
-    return metrics.histogram(e, "records", metrics.JOURNAL_BOUNDS, ["event_type"])
-
-
-@query("SELECT event_type, arg_max(event_id, ts) AS total, round(arg_max(event_id, ts) / nullif(floor((epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1000), 0), 6) AS rate, max(event_id) AS peak FROM events GROUP BY event_type")
-def rate_lines(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return metrics.rates(e, ["event_type"], "ts", "event_id").withColumn("rate", F.round("rate", 6))
-
-
-@query("SELECT event_id, event_type FROM (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events) WHERE value < b")
-def monotonic_check(spark, d):
-    return metrics.falling(table(spark, d, "events"), ["event_type"], "event_id", "value").select("event_id", "event_type")
-
-
-@query("SELECT source AS file, count(*) AS n, arg_max(lang, doc_id) AS last_level, arg_max(n_chars::VARCHAR, doc_id) AS last_meta FROM documents GROUP BY source")
-def lines_per_file(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("lang").alias("level"), F.col("n_chars").cast("string").alias("meta"), F.col("doc_id").alias("timestamp"))
-    return metrics.per_file(docs)
-
-
-@query("SELECT event_type, sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END)::BIGINT AS value FROM events GROUP BY event_type")
-def gauge_open(spark, d):
-    return metrics.gauge(table(spark, d, "events").withColumn("delta", F.when(F.col("event_id") % 3 == 0, -1).otherwise(1)), "event_type", "delta")
-
-
-@query("""SELECT event_type, 'lines_total{kind="' || event_type || '",z="a\\"b"} ' || count(*) AS sample FROM events GROUP BY event_type""")
-def metrics_exposition(spark, d):
-    n = metrics.counters(table(spark, d, "events"), ["event_type"])
-    return n.select("event_type", metrics.exposition(F.lit("lines_total"), F.create_map(F.lit("z"), F.lit('a"b'), F.lit("kind"), F.col("event_type")), F.col("n")).alias("sample"))
-
-
-@query("SELECT source AS source_kind, count(*) AS ingress, count(*) FILTER (n_chars > 1000) AS egress, count(*) FILTER (n_chars <= 1000) AS dropped FROM documents GROUP BY source")
-def drop_counts(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("source_kind"), (F.col("n_chars") > 1000).alias("kept"))
-    return metrics.drops(docs)
-
-
-# -- events -------------------------------------------------------------------------------------------------------------
-
-
-def _cluster_events(spark, d) -> DataFrame:
-    """Driver events as cluster events: pods and other objects, with and without counts and times."""
-    e, k = table(spark, d, "events"), F.col("event_id")
-    ts = F.col("ts").cast("timestamp")
-    return e.select(
-        "event_id", F.when(k % 4 != 0, F.initcap("event_type")).alias("type"), F.upper("event_type").alias("reason"), F.concat(F.lit("m"), k.cast("string")).alias("message"),
-        F.when(k % 3 != 0, (k % 50).cast("int")).alias("count"), F.lit("kubelet").alias("component"), F.when(k % 5 == 0, "Node").otherwise("Pod").alias("obj_kind"), F.concat(F.lit("o-"), F.col("user_id").cast("string")).alias("obj_name"),
-        F.when(k % 2 == 0, F.concat(F.lit("spec.containers{c"), (k % 9).cast("string"), F.lit("}"))).alias("field_path"),
-        F.when(k % 3 != 0, F.timestamp_add("SECOND", -(k % 90061).cast("int"), ts)).alias("first_ts"), F.when(k % 3 != 0, ts).alias("last_ts"), ts.alias("event_ts"), ts.alias("creation_ts"), k.alias("seq"), "user_id",
-    )
-
-
-@query("""WITH e AS (SELECT *, event_id % 90061 AS s FROM events)
-SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Node/o-' || user_id ELSE 'o-' || user_id END AS event_host, CASE WHEN event_id % 5 <> 0 AND event_id % 2 = 0 THEN 'c' || (event_id % 9) ELSE 'kubelet' END AS app,
-CASE WHEN event_id % 4 <> 0 THEN upper(event_type[1]) || event_type[2:] ELSE 'Normal' END AS level, CASE WHEN event_id % 3 <> 0 THEN s END AS age,
-CASE WHEN event_id % 3 <> 0 THEN upper(event_type) || '  (x' || (event_id % 50) || ' ' || CASE WHEN s = 0 THEN 'just now' ELSE 'over ' || concat_ws(' ', CASE WHEN s >= 86400 THEN '1day' END, CASE WHEN s // 3600 % 24 > 0 THEN (s // 3600 % 24) || 'h' END, CASE WHEN s // 60 % 60 > 0 THEN (s // 60 % 60) || 'm' END, CASE WHEN s % 60 > 0 THEN (s % 60) || 's' END) END || ')  m' || event_id ELSE upper(event_type) || '  m' || event_id END AS message_line FROM e""")
-def event_format(spark, d):
-    return events.event_lines(_cluster_events(spark, d)).select("event_id", "event_host", "app", "level", "age", "message_line")
-
-
 @query("""WITH RECURSIVE x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 10 = 0 THEN NULL ELSE epoch_us(ts) - CASE WHEN event_id % 7 = 0 THEN 7200000000 ELSE 0 END END AS t FROM events),
-b AS (SELECT user_id, event_id, i, t AS mark, t IS NOT NULL AS ok FROM x WHERE i = 1
-UNION ALL SELECT x.user_id, x.event_id, x.i, CASE WHEN coalesce(x.t > b.mark - 2000000, b.mark IS NULL AND x.t IS NOT NULL, false) THEN x.t ELSE b.mark END, coalesce(x.t > b.mark - 2000000, b.mark IS NULL AND x.t IS NOT NULL, false) FROM b JOIN x ON x.user_id = b.user_id AND x.i = b.i + 1)
+b AS (SELECT user_id, event_id, i, t // 1000000 - 2 AS mark, true AS ok FROM x WHERE i = 1
+UNION ALL SELECT x.user_id, x.event_id, x.i, CASE WHEN x.t IS NOT NULL AND (b.mark IS NULL OR x.t > b.mark * 1000000) THEN x.t // 1000000 - 2 ELSE b.mark END, b.mark IS NULL OR x.t IS NULL OR x.t > b.mark * 1000000 FROM b JOIN x ON x.user_id = b.user_id AND x.i = b.i + 1)
 SELECT event_id FROM b WHERE ok""")
 def event_highwater(spark, d):
     k = F.col("event_id")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.operators.folds import fold
+from sluiceway.operators.batching import within_quota
 from sluiceway.operators.rules import retry_due
 from sluiceway.sources.text import file_uri
 
@@ -24,15 +24,9 @@ def store(failed: DataFrame, folder: str, limit_bytes: int | None = None) -> int
     if limit_bytes is None:
         failed.write.mode("append").option("compression", "gzip").json(folder)
         return 0
-    left = max(0, limit_bytes - stored_bytes(failed.sparkSession, folder))
-
-    def step(used: int, size: int | None) -> tuple[int, bool]:
-        fits = used + (size or 0) <= left
-        return (used + (size or 0) if fits else used), fits
-
     # the fold sees one row of sizes for each body of a micro-batch
-    sizes = failed.select("stream", "batch_id", F.octet_length("body").cast("long").alias("size"))
-    kept = fold(sizes, F.lit(0), [F.col("stream"), F.col("batch_id")], [F.col("size")], 0, step, "fits", "boolean").where("fits")
+    sizes = failed.select("stream", "batch_id", F.struct("stream", "batch_id").alias("at"), F.octet_length("body").alias("size"))
+    kept = within_quota(sizes, limit_bytes, None, "at", "size", stored_bytes(failed.sparkSession, folder)).where("kept")
     same = (F.col("s") == F.col("stream")) & (F.col("b") == F.col("batch_id"))
     fits = failed.join(kept.select(F.col("stream").alias("s"), F.col("batch_id").alias("b")), same, "left_semi").persist()
     try:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sluiceway.operators.events import mark_step
+
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -64,7 +66,7 @@ def exact_batches(lines: DataFrame, capacity: int, flush_ms: int) -> DataFrame:
 
 
 class HighWater(StatefulProcessor):
-    """Keeps events later than the last kept one's time less the slack."""
+    """Keeps the events that ``operators.events.high_water`` keeps: the state is the mark."""
 
     def __init__(self, slack_us: int):
         self.slack = slack_us
@@ -78,8 +80,7 @@ class HighWater(StatefulProcessor):
             frame = frame.sort_values("seq")
             kept = []
             for t in frame["t"]:
-                ok = not pd.isna(t) and (mark is None or t > mark - self.slack)
-                mark = int(t) if ok else mark
+                mark, ok = mark_step(mark, None if pd.isna(t) else int(t), None, self.slack)
                 kept.append(ok)
             yield frame[kept][["key", "seq", "t"]]
         if mark is not None:

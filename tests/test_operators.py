@@ -116,7 +116,27 @@ def test_high_water(spark):
     t = dt.datetime(2024, 1, 1)
     at = [0, 10, 9, 7, None, 30, 28, 29]
     rows = spark.createDataFrame([(i, None if x is None else t + dt.timedelta(seconds=x)) for i, x in enumerate(at)], "seq int, creation_ts timestamp")
-    assert sorted(r.seq for r in events.high_water(rows).collect()) == [0, 1, 2, 5, 7]
+    assert sorted(r.seq for r in events.high_water(rows).collect()) == [0, 1, 2, 4, 5, 7]
+    # with nothing but a floor known, a row without a time is dropped; behind one that passed it is kept
+    at = [None, 3, 5, None, 4]
+    rows = spark.createDataFrame([(i, None if x is None else t + dt.timedelta(seconds=x)) for i, x in enumerate(at)], "seq int, creation_ts timestamp")
+    assert sorted(r.seq for r in events.high_water(rows, floor=F.lit(t + dt.timedelta(seconds=3))).collect()) == [2, 3, 4]
+    assert sorted(r.seq for r in events.high_water(rows.where("seq <> 1")).collect()) == [0, 2, 3, 4]
+
+
+def test_a_body_that_fits_behind_one_that_does_not(spark):
+    sizes = [60, 50, 30, 20, None, 10, 1]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "name int, bytes int")
+    got = [(r.kept, r.used) for r in batching.within_quota(rows, 100, None).orderBy("name").collect()]
+    assert got == [(True, 60), (False, 60), (True, 90), (False, 90), (True, 90), (True, 100), (False, 100)]
+
+
+def test_long_chains_and_cycles_of_links(spark):
+    from sluiceway.operators.fsgraph import reachable
+
+    rows = [(f"/d{i}/next", f"/d{i + 1}", False) for i in range(60)] + [(f"/d{i}/file", None, False) for i in range(62)] + [("/watch/l", "/d0", True), ("/d60/back", "/d7", False), ("/far/a", "/far", False)]
+    found = {r.path for r in reachable(spark.createDataFrame(rows, "path string, link_target string, is_target boolean")).where("reachable").collect()}
+    assert found == {p for p, _, _ in rows} - {"/d61/file", "/far/a"}
 
 
 def test_cluster_sums(spark):
