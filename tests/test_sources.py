@@ -85,6 +85,80 @@ def test_tail_reads_a_line_longer_than_a_trigger_and_restarts_where_it_was(tmp_p
     assert [(r.start, r.end) for r in again.partitions(now, again.latestOffset())] == [(107, 117)]
 
 
+def test_tail_reads_gaps_first_and_keeps_its_limit_after_a_restart(tmp_path):
+    from sluiceway.streaming.tail import gaps, union, without
+
+    assert union([[5, 7], [0, 2], [2, 3], [6, 9], [4, 4]]) == [[0, 3], [5, 9]]
+    assert without([[0, 10], [20, 30]], [[2, 4], [8, 22], [29, 40]]) == [[0, 2], [4, 8], [22, 29]]
+    assert gaps([[3, 5], [9, 12]], 20) == [(0, 3, True), (5, 9, True), (12, 20, False)] and gaps([[0, 9]], 4) == []
+    logs, state, saved = tmp_path / "logs", tmp_path / "reader", tmp_path / "sink"
+    logs.mkdir()
+    saved.mkdir()
+    (logs / "a.log").write_text("0123\n" * 20)
+    inode = (logs / "a.log").stat().st_ino
+    # what a sink has saved: ends are inclusive
+    (saved / "part.json").write_text(f'{{"file_id": {inode}, "start": 0, "end": 9}}\n{{"file_id": {inode}, "start": 30, "end": 49}}\n')
+    options = {"path": str(logs), "lookback": "none", "maxbytespertrigger": "13", "state": str(state), "saved": str(saved)}
+    reader = TailReader(options)
+    at, seen = reader.initialOffset(), []
+    for _ in range(10):
+        end = reader.latestOffset()
+        ranges = reader.partitions(at, end)
+        assert sum(r.end - r.start for r in ranges) <= 13
+        seen += [(r.start, r.end) for r in ranges]
+        lines = [x for r in ranges for b in reader.read(r) for x in b.to_pylist()]
+        assert all(x["line"] == "0123" and x["end"] - x["start"] == 5 and x["tries"] == 0 for x in lines) and len(lines) * 5 == sum(r.end - r.start for r in ranges)
+        at, reader = end, TailReader(options)  # each trigger is one of a new process
+    assert seen == [(10, 20), (20, 30), (50, 60), (60, 70), (70, 80), (80, 90), (90, 100)]
+    (logs / "a.log").write_text("new\n")  # truncated, under the same inode
+    reader = TailReader(options)
+    assert [(r.start, r.end) for r in reader.partitions(at, reader.latestOffset())] == [(0, 4)]
+
+
+def test_tail_deals_its_limit_over_files(tmp_path):
+    for name, n in (("a", 100), ("b", 2), ("c", 100)):
+        (tmp_path / f"{name}.log").write_text("0123\n" * n)
+    reader = TailReader({"path": str(tmp_path), "lookback": "start", "maxbytespertrigger": "100"})
+    start = reader.initialOffset()
+    assert sorted((r.path[-5], r.end) for r in reader.partitions(start, reader.latestOffset())) == [("a", 45), ("b", 10), ("c", 45)]
+
+
+def test_lines_that_are_asked_for_again_come_back_through_the_tail(spark, tmp_path):
+    """Ten triggers and more: a limit of one line, a restart in between, and lines without metadata that are read again as gaps."""
+    from sluiceway.streaming.tail import ask_again
+
+    spark.dataSource.register(TailSource)
+    logs, again = tmp_path / "logs", str(tmp_path / "again")
+    logs.mkdir()
+    (logs / "a.log").write_text("".join(f"line{i}\n" for i in range(10)))
+    seen, sizes = [], []
+
+    def batch(lines, epoch):
+        lines = lines.persist()
+        rows = lines.collect()
+        sizes.append(len(rows))
+        waits = lines.where("line IN ('line3', 'line7')").where("tries < 2 OR line = 'line7'")
+        given_up = ask_again(waits, again, delay_ms=300, most=3).collect()
+        asked = {r.line for r in waits.collect()} - {r.line for r in given_up}
+        seen.extend((r.line, r.tries) for r in rows if r.line not in asked)
+        lines.unpersist()
+
+    def run(until):
+        lines = spark.readStream.format("tail").options(path=str(logs), lookback="start", maxBytesPerTrigger="6", retries=again, state=str(tmp_path / "reader")).load()
+        query = lines.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="100 milliseconds").start()
+        for _ in range(300):
+            if until() or not query.isActive:
+                break
+            time.sleep(0.1)
+        query.stop()
+        assert query.exception() is None
+
+    run(lambda: len(sizes) >= 4)
+    run(lambda: len(seen) >= 10)
+    assert sorted(seen) == sorted([(f"line{i}", {3: 2, 7: 3}.get(i, 0)) for i in range(10)])
+    assert max(sizes) <= 2 and len(sizes) >= 10
+
+
 def test_supervision_counts_failures_not_intervals():
     class Query:
         def __init__(self, fails):
