@@ -1,129 +1,99 @@
-"""The retry folder: failed bodies as compressed JSON, read again when due."""
+"""The retry folder: bodies that couldn't be delivered, each a compressed file with the byte ranges of its lines, read again when due."""
 
 from __future__ import annotations
 
+import gzip
+import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.operators.batching import within_quota
 from sluiceway.operators.rules import retry_due
+from sluiceway.sources import files
 from sluiceway.sources.text import file_uri
 
-SCHEMA = "stream string, batch_id bigint, body string, offsets string, tries int, failed_ms bigint"
-
-
-def store(failed: DataFrame, folder: str, limit_bytes: int | None = None) -> int:
-    """Appends failed bodies (schema SCHEMA) to the folder; returns how many were dropped for the limit.
-
-    Spark writes under temporary names and commits whole files. Bodies count in the order of stream and batch: one
-    that would lead beyond the limit, with what is stored and with those before it that were kept, is dropped and counted.
-    """
-    if limit_bytes is None:
-        failed.write.mode("append").option("compression", "gzip").json(folder)
-        return 0
-    # the fold sees one row of sizes for each body of a micro-batch
-    sizes = failed.select("stream", "batch_id", F.struct("stream", "batch_id").alias("at"), F.octet_length("body").alias("size"))
-    kept = within_quota(sizes, limit_bytes, None, "at", "size", stored_bytes(failed.sparkSession, folder)).where("kept")
-    same = (F.col("s") == F.col("stream")) & (F.col("b") == F.col("batch_id"))
-    fits = failed.join(kept.select(F.col("stream").alias("s"), F.col("batch_id").alias("b")), same, "left_semi").persist()
-    try:
-        dropped = failed.count() - fits.count()
-        fits.write.mode("append").option("compression", "gzip").json(folder)
-    finally:
-        fits.unpersist()
-    return dropped
+ENDING = ".retry"
 
 
 def retry_name(epoch: Column, *parts: Column) -> Column:
     """``<epoch>_<uuid>.retry``; the uuid is made of the parts, so a task that runs again writes the same file."""
     h = F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]))
     dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    return F.concat(epoch.cast("long").cast("string"), F.lit("_"), dashed, F.lit(".retry"))
+    return F.concat(epoch.cast("long").cast("string"), F.lit("_"), dashed, F.lit(ENDING))
 
 
-def write_files(failed: DataFrame, folder: str, epoch: Column) -> DataFrame:
-    """One compressed file for each body (stream, batch_id, body, offsets), written by the tasks under its final name once whole: rows (name, bytes)."""
+def packed(body: str, offsets: str | None) -> bytes:
+    """A file's contents: the ranges (JSON, or any text) and the body."""
+    return gzip.compress(json.dumps({"offsets": offsets, "body": body}).encode(), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
 
-        from pyarrow import fs
+def unpacked(data: bytes) -> tuple[str | None, str | None]:
+    """(body, offsets) of a file's contents, which are gzip or, if they aren't, plain text."""
+    try:
+        data = gzip.decompress(data)
+    except (OSError, EOFError, zlib.error):
+        pass
+    try:
+        said = json.loads(data.decode("utf-8", "replace"))
+    except ValueError:
+        return None, None
+    return said.get("body"), said.get("offsets")
+
 
-        files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
+def write_files(failed: DataFrame, folder: str, epoch: Column) -> DataFrame:
+    """One file for each body (stream, batch_id, body, offsets), written by the tasks under its final name once whole: rows (name, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = []
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = gzip.compress(text.encode())
-                with files.open_output_stream(f"{root}/{name}.part") as out:
-                    out.write(data)
-                files.move(f"{root}/{name}.part", f"{root}/{name}")
+            for name, body, offsets in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                data = packed(body, offsets)
+                files.write_whole(folder, name, data)
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["name", "bytes"])
 
-    text = F.to_json(F.struct("body", "offsets"))
-    return failed.select(retry_name(epoch, F.col("stream"), F.col("batch_id")).alias("name"), text.alias("text")).mapInArrow(run, "name string, bytes bigint")
+    named = failed.select(retry_name(epoch, F.col("stream"), F.col("batch_id")).alias("name"), "body", F.col("offsets").cast("string").alias("offsets"))
+    return named.mapInArrow(run, "name string, bytes bigint")
 
 
 def read_files(spark: SparkSession, folder: str, now_epoch: Column, base_delay: int) -> DataFrame:
-    """Files ``<epoch>_<uuid>.retry`` of a sufficient age: name, path, body, offsets. They are gzip or, if they aren't, plain text."""
+    """Files ``<epoch>_<uuid>.retry`` of a sufficient age: name, path, body, offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-        import zlib
-
         for b in batches:
-            out = []
-            for data in b.column(2).to_pylist():
-                try:
-                    out.append(gzip.decompress(data).decode("utf-8", "replace"))
-                except (OSError, EOFError, zlib.error):
-                    out.append(data.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["name", "path", "text"])
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.retry").load(folder)
+            said = [unpacked(data) for data in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([x[k] for x in said], pa.string()) for k in (0, 1)]], ["name", "path", "body", "offsets"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ENDING}").load(folder)
     name = F.substring_index("path", "/", -1)
     ready = found.withColumn("name", name).where(retry_due(F.col("name"), now_epoch, base_delay))
-    texts = ready.select("name", file_uri(F.col("path")).alias("path"), "content").mapInArrow(run, "name string, path string, text string")
-    row = F.from_json("text", "body string, offsets string")
-    return texts.select("name", "path", row["body"].alias("body"), row["offsets"].alias("offsets"))
+    return ready.select("name", file_uri(F.col("path")).alias("path"), "content").mapInArrow(run, "name string, path string, body string, offsets string")
 
 
 def delete_files(paths: DataFrame, path: str = "path") -> DataFrame:
     """Deletes files from the tasks; rows (path, deleted). A file that is gone already is no error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for b in batches:
-            done = []
-            for p in b.column(0).to_pylist():
-                files, own = fs.FileSystem.from_uri(p)
-                there = files.get_file_info(own).type != fs.FileType.NotFound
-                if there:
-                    files.delete_file(own)
-                done.append(there)
+            done = [files.remove(*p.rsplit("/", 1)) for p in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.bool_())], ["path", "deleted"])
 
     return paths.select(F.col(path).alias("path")).mapInArrow(run, "path string, deleted boolean")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(folder)
-
+def stored_bytes(folder: str) -> int:
+    """What the bodies that wait take up; bodies of micro-batches that aren't done don't count."""
+    return sum(i.size for i in files.files_in(folder, ENDING))
 
-def due(stored: DataFrame, now_ms: Column, base_delay_ms: int) -> DataFrame:
-    return stored.where(now_ms - F.col("failed_ms") >= base_delay_ms)
 
-
-def stored_bytes(spark: SparkSession, folder: str) -> int:
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(folder)
-        return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    except Exception as e:  # noqa: BLE001  no folder yet
-        if "PATH_NOT_FOUND" in str(e):
-            return 0
-        raise
+def keep_within(names: list[tuple[str, int]], limit: int | None, used: int) -> tuple[list[str], list[str]]:
+    """Files (name, bytes) in order of arrival to those that are kept and those that are dropped: a file that would lead beyond the limit counts for nothing."""
+    kept, dropped = [], []
+    for name, size in names:
+        fits = limit is None or used + size <= limit
+        used += size if fits else 0
+        (kept if fits else dropped).append(name)
+    return kept, dropped

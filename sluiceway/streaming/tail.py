@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from sluiceway.sources.files import files_in, filesystem, json_lines, remove, write_whole
+
 SMALL_FILE = 8192
 TAIL_BYTES = 65536
 #: Lines of about this many bytes go to Spark at once.
@@ -135,24 +137,6 @@ def gaps(spans: Spans, size: int) -> list[tuple[int, int, bool]]:
     return [(a, size if z is None else min(z, size), z is not None) for a, z in zip(ends, starts, strict=True) if a < size and (z is None or a < z)]
 
 
-def _filesystem(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
-def _read_json_lines(folder: str) -> Iterator[dict]:
-    from pyarrow import fs
-
-    files, root = _filesystem(folder)
-    for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
-        if info.type == fs.FileType.File and info.base_name.endswith((".json", ".retry")):
-            with files.open_input_stream(info.path) as f:
-                for line in f.read().splitlines():
-                    if line.strip():
-                        yield json.loads(line)
-
-
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -182,7 +166,7 @@ class TailReader(DataSourceStreamReader):
 
     def _begin(self) -> dict:
         saved: dict[int, Spans] = {}
-        for row in _read_json_lines(self.saved) if self.saved else ():
+        for row in json_lines(self.saved, ".json") if self.saved else ():
             saved.setdefault(row["file_id"], []).append([row["start"], row["end"] + 1])
         files = {}
         for inode, (path, size, created) in _files(self.root, self.pattern).items():
@@ -195,14 +179,10 @@ class TailReader(DataSourceStreamReader):
     def _keep(self, offset: dict) -> None:
         if not self.state:
             return
-        files, root = _filesystem(self.state)
-        files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/planned.part") as f:
-            f.write(json.dumps(offset).encode())
-        files.move(f"{root}/planned.part", f"{root}/planned.json")
+        write_whole(self.state, "planned.json", json.dumps(offset).encode())
 
     def _kept(self) -> dict | None:
-        files, root = _filesystem(self.state)
+        files, root = filesystem(self.state)
         try:
             with files.open_input_stream(f"{root}/planned.json") as f:
                 return json.loads(f.read())
@@ -211,15 +191,13 @@ class TailReader(DataSourceStreamReader):
 
     def _requests(self, taken: list[str]) -> tuple[list[str], dict[str, list]]:
         """Requests that are due and weren't opened yet: their names, and inode to (start, end, tries)."""
-        from pyarrow import fs
-
         names, wanted = [], {}
         if not self.retries:
             return names, wanted
-        files, root = _filesystem(self.retries)
-        for info in sorted(files.get_file_info(fs.FileSelector(root, allow_not_found=True)), key=lambda i: i.base_name):
+        files, _ = filesystem(self.retries)
+        for info in files_in(self.retries, ".again"):
             due = info.base_name.partition("_")[0]
-            if not info.base_name.endswith(".again") or not due.isdigit() or int(due) > time.time() * 1000 or info.base_name in taken:
+            if not due.isdigit() or int(due) > time.time() * 1000 or info.base_name in taken:
                 continue
             names.append(info.base_name)
             with files.open_input_stream(info.path) as f:
@@ -296,14 +274,8 @@ class TailReader(DataSourceStreamReader):
 
     def _forget(self, names: list[str]) -> None:
         """Deletes requests whose lines were read by a micro-batch that is done."""
-        if not names:
-            return
-        files, root = _filesystem(self.retries)
         for name in names:
-            try:
-                files.delete_file(f"{root}/{name}")
-            except FileNotFoundError:
-                pass
+            remove(self.retries, name)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         with open(partition.path, "rb") as f:
@@ -362,7 +334,7 @@ def ask_again(lines: DataFrame, folder: str, delay_ms: int = 5000, most: int = 5
     wanted = lines.where(F.col("tries") < most).select(due.cast("long").alias("due"), "file_id", "start", "end", (F.col("tries") + 1).alias("tries"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(folder)
+        files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
         part, n = f"{root}/{uuid.uuid4().hex}.part", 0
         rows = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sluiceway.operators.rules import PathRules
 from sluiceway.sources import journal, retry, text
 from sluiceway.streaming.run import chain, supervise
-from sluiceway.streaming.sink import BatchSink, DeliveryError
+from sluiceway.streaming.sink import BatchSink, BatchWriter, DeliveryError, dropped_bodies, http_post, saved_offsets, send_due
 from sluiceway.streaming.stateful import exact_batches, high_water_stream, use_rocksdb
 from sluiceway.streaming.tail import TailReader, TailSource
 
@@ -35,20 +35,10 @@ def test_text_lines(spark, tmp_path):
     assert [r.line for r in text.split_lines(docs.where("k = 4"), whole_only=True).collect()] == []
 
 
-def test_retry_folder(spark, tmp_path):
-    folder = str(tmp_path / "retry")
-    assert retry.stored_bytes(spark, folder) == 0
-    rows = spark.createDataFrame([("s", 1, "{}", None, 1, 1000), ("s", 2, "x" * 500, None, 1, 9000)], retry.SCHEMA)
-    assert retry.store(rows, folder, 100) == 1
-    assert retry.stored_bytes(spark, folder) > 0
-    assert [r.batch_id for r in retry.due(retry.read(spark, folder), F.lit(5000), 3000).collect()] == [1]
-
-
-def test_retry_quota_counts_bodies_together(spark, tmp_path):
-    folder = str(tmp_path / "retry")
-    rows = spark.createDataFrame([("s", i, "x" * 40, None, 1, 1000) for i in range(10)] + [("s", 10, "y" * 15, None, 1, 1000)], retry.SCHEMA).repartition(3)
-    assert retry.store(rows, folder, 100) == 8
-    assert sorted(r.batch_id for r in retry.read(spark, folder).collect()) == [0, 1, 10]
+def test_retry_quota_counts_what_is_kept():
+    names = [(str(i), 40) for i in range(4)] + [("small", 15), ("rest", 5)]
+    assert retry.keep_within(names, 100, 0) == (["0", "1", "small", "rest"], ["2", "3"])
+    assert retry.keep_within(names, 100, 90) == (["rest"], ["0", "1", "2", "3", "small"]) and retry.keep_within(names, None, 9)[1] == []
 
 
 def test_retry_files_replay(spark, tmp_path):
@@ -205,20 +195,91 @@ def test_tail_follows_growth_rotation_and_partial_lines(spark, tmp_path):
     assert sorted(got) == sorted(["one", "two", "partial", "three", "new"])
 
 
-def test_sink_keeps_failures_and_commits(spark, tmp_path):
-    lines = spark.createDataFrame([("a", "f", 1, 0, 2), ("b", "f", 1, 2, 4), ("c", "g", 2, 0, 2)], "line string, file string, file_id bigint, start bigint, end bigint")
-    sink = BatchSink(lambda body: 503 if '"c"' in body else 200, str(tmp_path / "retry"), str(tmp_path / "state"))
-    sink(lines, 0)
-    assert [r.stream for r in retry.read(spark, str(tmp_path / "retry")).collect()] == ["2"]
-    assert sorted((r.file_id, r.start, r.end) for r in spark.read.json(str(tmp_path / "state")).collect()) == [(1, 0, 3), (2, 0, 1)]
-    from sluiceway.streaming.sink import saved_offsets
+def _rows(*lines):
+    from pyspark.sql import Row
+
+    return iter([Row(line=x, file=f"/f{f}", file_id=f, start=s, end=e, tries=0) for x, f, s, e in lines])
+
+
+def test_sink_stages_marks_and_commits(spark, tmp_path):
+    """A task that fails for good, and one that runs again: nothing is posted or stored twice."""
+    folder, state, posted = str(tmp_path / "retry"), str(tmp_path / "state"), []
+
+    def post(body, key):
+        posted.append(body)
+        return 503 if '"c"' in body else 404 if '"bad"' in body and len(posted) < 4 else 200
+
+    writer = BatchWriter({"retries": folder, "state": state, "capacity": "4"}, post)
+    rows = [("a", 1, 0, 2), ("b", 1, 2, 4), ("c", 2, 0, 2), ("bad", 1, 4, 8)]
+    for _ in range(2):  # the second run meets what the first one left; the receiver takes the body by then
+        try:
+            message = writer.write(_rows(*rows))
+        except DeliveryError as e:
+            assert str(e) == "status 404" and len(posted) == 3 and retry.stored_bytes(folder) == 0
+            writer.abort([None], 7)
+    assert len(posted) == 4 and len(message.delivered) == 2 and len(message.staged) == 1
+    for _ in range(2):  # a commit that runs again
+        writer.commit([message, None], 7)
+    assert sorted(map(tuple, saved_offsets(spark, state).select("file_id", "start", "end").collect())) == [(1, 0, 7), (2, 0, 1)]
+    assert not list((tmp_path / "state" / "delivered").iterdir()) and not list((tmp_path / "retry" / "staged").iterdir())
+    kept = retry.read_files(spark, folder, F.lit(4_000_000_000), 15).collect()
+    assert [(r.body, r.offsets) for r in kept] == [('{"lines":[{"line":"c","file":"/f2"}]}', '[{"file_id": 2, "start": 0, "end": 1}]')]
+    # what waits is sent again when due: refused once more, then taken, and then there is nothing left
+    assert send_due(spark, folder, lambda body, key: 200, int(time.time()), 1000) == {}
+    assert send_due(spark, folder, lambda body, key: None, 3_000_000_000, 15) == {"retry": 1}
+    assert send_due(spark, folder, lambda body, key: 200, 3_000_000_010, 15) == {}
+    assert send_due(spark, folder, lambda body, key: 200, 3_000_000_020, 15) == {"delivered": 1}
+    assert retry.stored_bytes(folder) == 0
+    # a quota: a body that doesn't fit is dropped and counted, a smaller one behind it is kept
+    small = BatchWriter({"retries": folder, "state": state, "limitBytes": "200"}, lambda body, key: 500)
+    import random
+
+    noise = "".join(random.Random(1).choices("abcdefghijklmnop", k=2000))
+    small.commit([small.write(_rows((noise, 3, 0, 2001), ("x", 4, 0, 2)))], 8)
+    assert 0 < retry.stored_bytes(folder) <= 200 and dropped_bodies(state) == 1
+
+
+def test_lines_flow_from_the_tail_to_a_receiver(spark, tmp_path):
+    """A receiver that fails at first: every line arrives once, and all offsets are committed."""
+    import gzip
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    got, keys = [], []
+
+    class Receiver(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            lines = json.loads(gzip.decompress(self.rfile.read(int(self.headers["Content-Length"]))))["lines"]
+            keys.append(self.headers["Idempotency-Key"])
+            late = len(keys) <= 2
+            self.send_response(503 if late else 200)
+            self.end_headers()
+            if not late:
+                got.extend(x["line"] for x in lines)
+
+        def log_message(self, *args):
+            pass
 
-    assert sorted(map(tuple, saved_offsets(spark, str(tmp_path / "state")).select("file_id", "start", "end").collect())) == [(1, 0, 3), (2, 0, 1)]
-    try:
-        BatchSink(lambda body: 404, str(tmp_path / "r2"), str(tmp_path / "s2"))(lines, 0)
-        raise AssertionError("a client error must stop the query")
-    except DeliveryError:
-        pass
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}/"
+    logs, folder, state = tmp_path / "logs", str(tmp_path / "retry"), str(tmp_path / "state")
+    logs.mkdir()
+    for name in "ab":
+        (logs / f"{name}.log").write_text("".join(f"{name}{i}\n" for i in range(40)))
+    spark.dataSource.register(TailSource)
+    spark.dataSource.register(BatchSink)
+    lines = spark.readStream.format("tail").options(path=str(logs), lookback="start", maxBytesPerTrigger="100", state=str(tmp_path / "reader")).load()
+    query = lines.writeStream.format("batches").options(url=url, retries=folder, state=state, capacity="50").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert len(got) < 80 and retry.stored_bytes(folder) > 0
+    assert send_due(spark, folder, http_post(url), int(time.time()) + 100, 15) == {"delivered": 2}
+    server.shutdown()
+    assert sorted(got) == sorted(f"{x}{i}" for x in "ab" for i in range(40)) and len(set(keys)) == len(keys) - 2
+    size = (logs / "a.log").stat().st_size
+    assert sorted((r.start, r.end) for r in saved_offsets(spark, state).collect()) == [(0, size - 1)] * 2
 
 
 def test_stateful(spark, tmp_path):
