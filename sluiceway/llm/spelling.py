@@ -101,15 +101,19 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class Shard:
-    """An automaton over segments: (kind, segment) to the words that hold it, by length. Kind 0 is a first half, 1 a second."""
+    """An automaton over segments, each with the words that hold it. Kind 0 is a first half, 1 a second.
+
+    Many words may share a half, so under it they are told apart by the halves of their rest: one edit leaves one of these as it was, too."""
 
     def __init__(self) -> None:
-        self.words: dict[str, dict[tuple[int, int], list[tuple[int, str]]]] = {}
+        self.words: dict[str, dict[tuple[int, int], tuple[dict, dict]]] = {}
         self.automaton = None
 
     def add(self, kind: int, word: str, n: int) -> None:
-        by = self.words.setdefault(halves(word)[kind], {})
-        by.setdefault((kind, len(word)), []).append((n, word))
+        parts = halves(word)
+        by = self.words.setdefault(parts[kind], {}).setdefault((kind, len(word)), ({}, {}))
+        for at, rest in zip(by, halves(parts[1 - kind]), strict=True):
+            at.setdefault(rest, []).append((n, word))
 
     def near(self, word: str, kind: int, length: int) -> Iterator[tuple[int, str]]:
         """Words of this length with this kind of half in the right place of ``word`` that are one edit away."""
@@ -120,15 +124,23 @@ class Shard:
             for segment, by in self.words.items():
                 self.automaton.add_word(segment, (len(segment), by))
             self.automaton.make_automaton()
-        last = len(word) - 1
+        last, first = len(word) - 1, length // 2
+        other = length - first if kind == 0 else first  # how long the rest of such a word is
         for end, (size, by) in self.automaton.iter(word):
             if (end != last) if kind else (end != size - 1):
                 continue
-            for n, other in by.get((kind, length), ()):
-                if kind and word.startswith(halves(other)[0]):
-                    continue  # counted by its first half
-                if one_edit(word, other):
-                    yield n, other
+            found = by.get((kind, length))
+            if found is None:
+                continue
+            rest = word[: last + 1 - size] if kind else word[size:]
+            start, tail = other // 2, other - other // 2
+            for n, w in found[0].get(rest[:start], ()):
+                if one_edit(word, w) and not (kind and word.startswith(w[:first])):  # those that share both halves count by the first
+                    yield n, w
+            for n, w in found[1].get(rest[len(rest) - tail :], ()) if len(rest) >= tail else ():
+                own = w[:start] if kind else w[first : first + start]
+                if not rest.startswith(own) and one_edit(word, w) and not (kind and word.startswith(w[:first])):
+                    yield n, w
 
 
 def near_words(counted: DataFrame) -> DataFrame:
