@@ -26,8 +26,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sluiceway.llm.common import small_batches
+from sluiceway.llm.common import slices
 
 #: What a mark holds: strings, which may hold the mark's end, and other characters.
 HELD = r"""((?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?)"""
@@ -445,12 +446,11 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: str = TEMPLATE) -> DataFrame:
     """Per conversation: conv id, formatted (the text) and loss_spans (code point ranges under the loss mask)."""
-    small_batches(rows.sparkSession)
     key_type = rows.schema[conv].dataType.simpleString()
     narrow = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     # null ids are spread by nothing and stay one conversation, as any other id
     dealt = narrow.repartition("conv").sortWithinPartitions("conv", F.col("turn").asc_nulls_last(), "role", "text")
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(key_type)
+    arrow_key = to_arrow_type(rows.schema[conv].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template, {"escape": escape, "role": escape_role})
@@ -461,7 +461,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
             return pa.RecordBatch.from_arrays([pa.array([key], arrow_key), pa.array([formatted], pa.string()), pa.array([[{"first": a, "last": b} for a, b in spans]], span)], ["conv", "formatted", "loss_spans"])
 
         key, turns, ready, size = None, [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for k, r, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if turns and k != key:
                     ready.append(done(key, turns))
@@ -488,7 +488,7 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns = read_turns(t)

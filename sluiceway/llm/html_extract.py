@@ -1,24 +1,24 @@
 """HTML extraction by nearest-URL page differencing.
 
-Each page becomes lines (the text of one block each), each in one of three places: inside an article, under
-markup that is known for menus, headers, footers, sidebars, notices, adverts, forms or comments, or open (neither). All
-lines outside articles are compared with those of the pages nearest by URL path on the same host (of pages that have open
-lines, too, or of pages that have none): the lines of both are
-aligned by longest common subsequence, and those of the page's lines that the alignment pairs are deleted. The markup
-is a help for what differs from page to page: its lines go too. What is left, articles and open lines that the
-neighbours don't have, is the text. Lines inside an article stay where another page has them too: articles repeat passages.
+Each page becomes lines, the text of one block each. All its lines, those of articles too, are aligned by longest common subsequence with those
+of the page that is nearest by URL path on the same host (of pages with an article for those that have one, and of the others for those that have none): what both have in the same order is what the site puts on every page, and is deleted.
+
+Markup helps where pages say too little or too much. A line under markup that surely is a menu, header, footer, sidebar, notice, advert, form or
+comment goes whether or not the neighbour has it (MARKED), since such lines differ from page to page, too. A paragraph, heading, list item or
+table cell of an article stays even if the neighbour has it (TEXT): articles repeat passages. Of all other lines (OPEN), on pages without an article,
+beside it, in its bare boxes, or under names of which only some are those of boilerplate, differencing decides.
 
 A neighbour that shares most of a page's text outside the marked places (SAME of its characters) is a copy of it and says
 nothing; the next nearest is taken then, NEIGHBOURS on either side at most, and where all are copies nothing is deleted by differencing.
 Pages of a host with the very same lines are one page to the search, so no number of copies hides the neighbours.
 
 What is exchanged between pages are hashes and sizes of lines, not texts. Neighbours come from a global order by host
-and path: rows get their places in it, and buckets of places overlap by NEIGHBOURS, so a host that holds a third of all pages
+and path: ranges of about RANGE_BYTES are numbered, and buckets of places overlap by NEIGHBOURS, so a host that holds a third of all pages
 is many buckets.
 
 Null html is empty text. Null urls are a host of their own. Rows of one url and html have one result each, the same. An
 empty table gives an empty result. Other columns are ignored. Broken markup is read as browsers read it: a quote counts in a
-tag only, behind an equals sign, and what never ends runs to the end of the page. Reading is linear in the page.
+tag only, behind an equals sign, and what never ends runs to the end of the page. Reading is linear in the page, whatever it closes or leaves open.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import batch_rows, cut, small_batches
+from sluiceway.llm.common import batch_rows, cut, slices
 
 NEIGHBOURS = 2
 SAME = 0.8
 BUCKET_PAGES = 500
+RANGE_BYTES = 64 << 20
 
 #: A tag whose attributes have no surprises; possessive, so that it never looks at a character twice.
 PLAIN = re.compile(r"""<(/?)([A-Za-z][^\s/><]*+)((?>\s++(?:[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=`]++))?+)?+)*+)\s*+/?+>""")
@@ -51,11 +52,14 @@ HOLDERS = CHROME | ARTICLE | {"html", "body", "header", "div", "section", "ul",
 #: These end a block; other elements are inline.
 BLOCKS = HOLDERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "br", "title", "caption", "figcaption", "address", "summary", "option", "thead", "tfoot", "fieldset", "legend", "center"}
 IN_HEAD = {"head", "base", "link", "meta", "title", "style", "script", "noscript", "template"}
-# Words in class, id or role that mark boilerplate wherever they stand, and those that do so outside articles only.
-STRONG = set("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent popup modal newsletter subscribe sidebar breadcrumb breadcrumbs pagination pager comment comments commentlist disqus replies related share sharing social navigation complementary".split())
-WEAK = set("banner notice notices alert signup login side nav navbar menu header masthead footer reply widget search contentinfo skip".split())
+#: Elements whose text is an article's own.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "td", "th", "caption", "figcaption"}
+# Words in class, id or role that name boilerplate, those of them that may name a part of an article, and words that say nothing.
+BOILERPLATE = set("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent popup modal newsletter subscribe sidebar breadcrumb breadcrumbs pagination pager comment comments commentlist disqus replies related share sharing social navigation complementary notice notices alert signup login nav navbar menu footer reply widget search contentinfo banner side header masthead skip".split())
+ARTICLE_PARTS = set("banner side header masthead skip".split())
+NEUTRAL = set("box block bar area section container wrapper wrap list links link buttons button btn icons icon top bottom left right inner outer item items module panel group row col content text title page site main post entry article story primary secondary global".split())
 
-INSIDE, OPEN, MARKED = 2, 1, 0
+TEXT, OPEN, MARKED = 2, 1, 0
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -94,38 +98,49 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             yield end, at, "", False, ""
 
 
-def marked(attributes: str, inside: bool, whole_only: bool) -> bool:
-    """Whether class, id or role say boilerplate; ``whole_only``: by whole words, not by parts of them."""
+def named(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether class, id or role name boilerplate and nothing else, and whether they do so among other names."""
+    some = other = False
     for m in SIGNS.finditer(attributes):
-        for word in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = {word} if whole_only else {word, *re.split(r"[-_]", word)}
-            if parts & STRONG or not inside and parts & WEAK:
-                return True
-    return False
+        for word in re.split(r"[-_\s]+", (m[1] or m[2] or m[3] or "").lower()):
+            if word in BOILERPLATE and not (inside and word in ARTICLE_PARTS):
+                some = True
+            elif word and word not in NEUTRAL and word not in BOILERPLATE and not word.isdigit():
+                other = True
+    return some and not other, some and other
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """The visible lines of a page: (text, INSIDE an article, MARKED as boilerplate or OPEN)."""
+    """The visible lines of a page: (text, TEXT of an article, MARKED as boilerplate or OPEN)."""
     page = page or ""
     out: list[tuple[str, int]] = []
     words: list[str] = []
-    holders: list[list] = []  # open holders: [name, whether it is boilerplate, whether it is an article]
-    hidden = article = 0
+    holders: list[list] = []  # open holders: [name, whether it is boilerplate, whether it is an article, whether it may be boilerplate]
+    counts: dict[str, int] = {}  # how many are open by name
+    chromes: list[list] = []  # those that are boilerplate
+    hidden = article = doubtful = others = 0  # others: those of chromes that aren't forms
+    textual = False
 
     def end() -> None:
         line = " ".join(html_lib.unescape("".join(words)).split())
         words.clear()
         if line:
-            out.append((line, MARKED if hidden else INSIDE if article else OPEN))
+            out.append((line, MARKED if hidden else TEXT if article and textual and not doubtful else OPEN))
 
     def close(name: str) -> None:
-        nonlocal hidden, article
-        for k in range(len(holders) - 1, -1, -1):
-            if holders[k][0] == name:
-                for _, chrome, holds in holders[k:]:
-                    hidden -= chrome
-                    article -= holds
-                del holders[k:]
+        nonlocal hidden, article, doubtful, others
+        if not counts.get(name):
+            return
+        while True:
+            holder = holders.pop()
+            counts[holder[0]] -= 1
+            if holder[1]:
+                chromes.pop()
+                hidden -= 1
+                others -= holder[0] != "form"
+            article -= holder[2]
+            doubtful -= holder[3]
+            if holder[0] == name:
                 return
 
     at = 0
@@ -138,6 +153,10 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                 words.append("")
             continue
         end()
+        if name in TEXTUAL:
+            textual = not closes
+        elif name in HOLDERS:
+            textual = False
         if holders and holders[-1][0] == "head" and name not in IN_HEAD:  # a head that was never closed ends here
             close("head")
         if name not in HOLDERS:
@@ -146,16 +165,23 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             close(name)
             continue
         holds = name in ARTICLE
-        if holds and hidden and all(x[0] == "form" for x in holders if x[1]):  # a form around the whole page hides no article
-            for x in holders:
+        if holds and chromes and not others:  # a form around the whole page hides no article
+            for x in chromes:
                 x[1] = False
+            chromes.clear()
             hidden = 0
-        chrome = name in CHROME or name == "header" and not article
+        chrome, doubt = name in CHROME or name == "header" and not article, False
         if not chrome and name not in ("html", "body"):
-            chrome = marked(attributes, article > 0, holds)
-        holders.append([name, chrome, holds and not chrome])
+            chrome, doubt = named(attributes, article > 0 or holds)
+        holder = [name, chrome, holds and not chrome, doubt]
+        holders.append(holder)
+        counts[name] = counts.get(name, 0) + 1
+        if chrome:
+            chromes.append(holder)
+            others += name != "form"
         hidden += chrome
-        article += holds and not chrome
+        article += holder[2]
+        doubtful += doubt
     words.append(page[at:])
     end()
     return [x for x in out if x[0]]
@@ -204,9 +230,9 @@ def shared_lines(a: list, b: list) -> list[int]:
     return sorted(out)
 
 
-def deleted(lines: list[int], sizes: list[int], inside: int, neighbours: list[list[int]]) -> list[int]:
-    """Places of the lines that the nearest neighbour which is no copy has too. ``sizes``: characters of open lines, 0 for marked ones; ``inside``: those of the page's articles."""
-    own = sum(sizes) + inside
+def deleted(lines: list[int], sizes: list[int], neighbours: list[list[int]]) -> list[int]:
+    """Places of the lines that the nearest neighbour which is no copy has too. ``sizes``: characters of lines, 0 for marked ones."""
+    own = sum(sizes)
     for other in neighbours:
         places = shared_lines(lines, other)
         same = sum(sizes[k] for k in places)
@@ -219,8 +245,9 @@ def _neighbours(pages: DataFrame) -> DataFrame:
     """Distinct pages (host, path, lines) with ``near``: the lines of up to NEIGHBOURS pages of the host on either side in
     order of path, those with the longest common start of the path first, then the nearer ones."""
     order = ["host", "path", "lines"]
-    count = pages.count()
-    ranged = cut(pages.repartitionByRange(max(1, -(-count // BUCKET_PAGES)), *order).withColumn("range", F.spark_partition_id()))
+    count, held = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines").cast("long") * 8 + 100), F.lit(0))).first()
+    least = min(-(-count // BUCKET_PAGES), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few pages are several tasks, too
+    ranged = cut(pages.repartitionByRange(max(1, least, -(-held // RANGE_BYTES)), *order).withColumn("range", F.spark_partition_id()))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     placed = ranged.join(starts, "range").withColumn("place", F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1)
@@ -249,9 +276,9 @@ def _url_parts() -> tuple[Column, Column]:
     return host, path
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", differencing: bool = True) -> DataFrame:
     """Per page: key, url, text (main text, blocks joined by one space; empty if none), n_lines (blocks of the page) and
-    n_shared (those that a neighbour has too and that differencing deleted)."""
+    n_shared (those that differencing deleted, which markup alone would keep). Without ``differencing`` markup decides alone, which is for comparison."""
     spark = pages.sparkSession
     key_type = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
@@ -260,53 +287,44 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         import xxhash
 
         for b in batches:
-            lines, sizes, inside = [], [], []
+            lines, sizes, articles = [], [], []
             for x in b.column(2):
                 found = lines_of(x.as_py())
-                lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, where in found if where != INSIDE])
-                sizes.append([len(t) if where == OPEN else 0 for t, where in found if where != INSIDE])
-                inside.append(sum(len(t) for t, where in found if where == INSIDE))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(inside, pa.int64())], ["digest", "url", "lines", "sizes", "inside"])
+                lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
+                sizes.append([0 if where == MARKED else len(t) for t, where in found])
+                articles.append(any(where == TEXT for _, where in found))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(articles, pa.bool_())], ["digest", "url", "lines", "sizes", "article"])
 
     host, path = _url_parts()
     # a page is known by its url and html: rows that share both have the same text
     digest = F.md5(F.coalesce("html", F.lit("")))
     with batch_rows(spark):
-        narrow = cut(rows.select(digest.alias("digest"), "url", "html").mapInArrow(hashed, "digest string, url string, lines array<bigint>, sizes array<int>, inside bigint").where("size(lines) > 0").withColumn("path", path))
-    # pages with open lines are compared with one another, and so are those that have none
-    narrow = narrow.withColumn("host", F.concat_ws(" ", host, F.exists("sizes", lambda n: n > 0).cast("string")))
+        narrow = cut(rows.where(F.lit(differencing)).select(digest.alias("digest"), "url", "html").mapInArrow(hashed, "digest string, url string, lines array<bigint>, sizes array<int>, article boolean").where("size(lines) > 0").withColumns({"path": path, "host": F.concat_ws(" ", host, F.col("article").cast("string"))}))
     # of the pages of a host with the same lines the first by path stands for all
     known = narrow.groupBy("host", "lines").agg(F.min("path").alias("path"))
     near = _neighbours(known).select("host", "lines", "near")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = [deleted(*x) for x in zip(*[b.column(k).to_pylist() for k in range(2, 6)], strict=True)]
+            places = [deleted(*x) for x in zip(*[b.column(k).to_pylist() for k in range(2, 5)], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], ["digest", "url", "gone"])
 
     once = narrow.dropDuplicates(["url", "digest"])
     with batch_rows(spark, 1000):
-        gone = cut(once.join(near, ["host", "lines"]).select("digest", "url", "lines", "sizes", "inside", "near").mapInArrow(compared, "digest string, url string, gone array<int>").where("size(gone) > 0"))
+        gone = cut(once.join(near, ["host", "lines"]).select("digest", "url", "lines", "sizes", "near").mapInArrow(compared, "digest string, url string, gone array<int>").where("size(gone) > 0"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out, all_, shared = [], [], []
             for x, places in zip(b.column(2), b.column(3).to_pylist(), strict=True):
-                found, drop, k, kept = lines_of(x.as_py()), set(places or ()), 0, []
-                for t, where in found:
-                    if where == INSIDE:
-                        kept.append(t)
-                        continue
-                    if where == OPEN and k not in drop:
-                        kept.append(t)
-                    k += 1
-                out.append(" ".join(kept))
+                found, shared_at = lines_of(x.as_py()), set(places or ())
+                gone = [where == OPEN and k in shared_at for k, (_, where) in enumerate(found)]
+                out.append(" ".join(t for (t, where), drop in zip(found, gone, strict=True) if where != MARKED and not drop))
                 all_.append(len(found))
-                shared.append(len(drop))
+                shared.append(sum(gone))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(all_, pa.int64()), pa.array(shared, pa.int64())], ["key", "url", "text", "n_lines", "n_shared"])
 
     named = gone.select(F.col("digest").alias("__digest"), F.col("url").alias("__url"), "gone")
     joined = rows.withColumn("digest", digest).join(named, (F.col("digest") == F.col("__digest")) & F.col("url").eqNullSafe(F.col("__url")), "left")
-    small_batches(spark)
     found = joined.select("key", "url", "html", "gone").mapInArrow(texts, f"key {key_type}, url string, text string, n_lines bigint, n_shared bigint")
     return found.withColumnsRenamed({"key": key, "url": url})

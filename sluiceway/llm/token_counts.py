@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.bpe import Encoder, default_tokenizer, encoder_for
-from sluiceway.llm.common import small_batches
+from sluiceway.llm.common import slices
 
 LEAF, MOST = 32, 128
 WINDOW = 64
@@ -203,14 +203,13 @@ def _arrow_leaves(rows: list[list[tuple]]) -> pa.Array:
 
 
 def build_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Per document: key, ``leaves`` (of its tree) and n_tokens. The caller may write them, and count edits of them later. Columns of ``keep`` pass."""
-    small_batches(docs.sparkSession)
+    """Per document: key, ``leaves`` (of its tree) and n_tokens. The caller may write them, and count edits of them later. Other columns pass."""
     path = tokenizer or default_tokenizer()
     others = [c for c in docs.columns if c not in (key, text, "leaves", "n_tokens")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [leaves_of(t, *encoder.pieces(t)) for t in ((x or "") for x in batch.column(1).to_pylist())]
             totals = pa.array([sum(sum(x[2]) for x in row) for row in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_leaves(rows), totals, *batch.columns[2:]], ["key", "leaves", "n_tokens", *others])
@@ -225,13 +224,12 @@ def apply_edits(trees: DataFrame, key: str = "doc_id", edits: str = "edits", tok
 
     ``edits`` is array<struct<at:int, drop:int, insert:string>> in code points of the text before all edits.
     """
-    small_batches(trees.sparkSession)
     path = tokenizer or default_tokenizer()
     names = ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-        for batch in batches:
+        for batch in slices(batches):
             out, rows = [], []
             for leaves, changes in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 own = leaves.values

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.bpe import default_tokenizer, encoder_for
-from sluiceway.llm.common import batch_rows, cut, shared_dir, small_batches
+from sluiceway.llm.common import batch_rows, cut, shared_dir
 
 DOCS_PER_SHARD = 8000
 END_ID = 2
@@ -204,7 +204,6 @@ def lookup(keys: DataFrame, path: str, manifest: DataFrame, key: str = "doc_id",
     lasts = np.array([r.last_key for r in keyed], np.int64)
     firsts = np.array([r.last_key if r.first_key is None and r.n_docs == 1 else -(1 << 63) if r.first_key is None else r.first_key for r in keyed], np.int64)
     numbers = [r.shard for r in keyed]
-    small_batches(keys.sparkSession)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

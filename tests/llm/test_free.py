@@ -299,7 +299,7 @@ def test_html(spark):
     table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     assert html_extract.extract(table.where("false")).count() == 0
     counts = {r.page_id: r.n_shared for r in html_extract.extract(table).collect()}
-    assert counts[2] == counts[3] == 8 and counts[1] == 0  # marked lines are shared, too; page 1 has no page of its kind
+    assert counts[2] == counts[3] == 2 and counts[1] == 0  # the two bare lines; the rest goes by its markup
 
 
 def test_differencing_deletes_places_of_the_alignment_only(spark):
@@ -334,13 +334,15 @@ def test_neighbours_by_brute_force(spark, monkeypatch):
         assert near == [pages[h, own[j]] for *_, j in able]
 
 
-def test_broken_markup_is_linear_and_loses_no_text():
+def test_reading_is_linear_and_loses_no_text():
     import time
 
-    began = time.perf_counter()
-    for piece in ("<a ", '<a x="', "<a b='", "<", "</", "<!--", "<div", "<p class=x ", "<script>", "<div>", "&"):
-        html_extract.lines_of(piece * 40_000)
-    assert time.perf_counter() - began < 20  # a quadratic reader takes minutes for one of them
+    n = 40_000
+    repeated = ("<a ", '<a x="', "<a b='", "<", "</", "<!--", "<div", "<p class=x ", "<script>", "<div>", "&", "<form><article>", "<nav></div>", "<article><form></main>")
+    for page in [x * n for x in repeated] + ["<div>" * n + "</section>" * n, "<section>" * n + "</section></div>" * n, "<form>" * n + "<article>" * n + "</form>" * n]:
+        began = time.perf_counter()
+        html_extract.lines_of(page)
+        assert time.perf_counter() - began < 5, page[:40]  # a quadratic reader takes minutes for one of them
     text = lambda page: [t for t, _ in html_extract.lines_of(page)]
     assert text("<p title=it's>Hello world</p><p>I don't know</p>") == ["Hello world", "I don't know"]
     assert text("<title>a<b></title>1 < 2 <3 & <p>x") == ["1 < 2 <3 & ", "x"] or text("<title>a<b></title>1 < 2 <3 & <p>x") == ["1 < 2 <3 &", "x"]
@@ -348,6 +350,39 @@ def test_broken_markup_is_linear_and_loses_no_text():
     assert kept("<article><div class='post-header'><h1>Head</h1></div><p>body</p><div class='ad-box'>buy</div></article>") == ["Head", "body"]
     assert kept("<form><div><article><p>in a form</article></div></form>") == ["in a form"]
     assert kept("<head><title>t</title><p>a head without end") == ["a head without end"]
+    named = "<article><p>one</p><div class='notice'>n</div><div class='widget'>w</div><ul id='menu-2'><li>m</ul><div class='share-price'>two</div><section class='social history'>three</section></article>"
+    assert kept(named) == ["one", "two", "three"]
+
+
+def site(pages=24, seed=5):
+    """A host whose pages say by no markup what is menu and what is text: (page_id, url, html) and the text of each page."""
+    rng = random.Random(seed)
+    menu = [prose(900 + i, 2) for i in range(6)]
+    rows, want = [], {}
+    for i in range(pages):
+        own = [prose(1000 * i + k, rng.randrange(8, 30)) for k in range(rng.randrange(3, 9))]
+        lines = menu[:3] + own[:2] + ["Read more"] + own[2:] + menu[3:]
+        html = "<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body></html>"
+        want[i] = " ".join(own)
+        if i % 3 == 0:  # an article with boxes that every page has, and a passage that articles share
+            passage = prose(77, 60)
+            html = f"<html><body><div>{menu[0]}</div><article><h1>{own[0]}</h1><p>{passage}</p><div>Read more</div><div class='social proof'>Tell others</div><p>{own[1]}</p></article><div>{menu[4]}</div></body></html>"
+            want[i] = f"{own[0]} {passage} {own[1]}"
+        rows.append((i, f"https://www.h.example/{'abc'[i % 3]}/page-{i:03d}.html", html))
+    return rows, want
+
+
+def test_the_registered_query_differences_pages(spark, tmp_path):
+    """On pages whose markup says little, the query's text is the pages' own, which markup alone doesn't give on any of them."""
+    from sluiceway.llm import queries
+
+    rows, want = site()
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    table.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in queries.op8_extract_html(spark, str(tmp_path)).collect()}
+    assert got == want
+    alone = {r.page_id: r.text for r in html_extract.extract(table, differencing=False).collect()}
+    assert sum(alone[i] != got[i] for i in got) == len(rows)
 
 
 def test_longest_common_subsequence():
@@ -358,7 +393,7 @@ def test_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        at = html_extract.shared_lines(a, b)
-        assert html_extract.deleted(a, [1] * len(a), 10**6, [b]) == at
+        at = html_extract.shared_lines([*a, 99], b)
+        assert html_extract.deleted([*a, 99], [1] * len(a) + [10**6], [b]) == at
         rest = iter(b)
         assert len(at) == best[-1][-1] and at == sorted(set(at)) and all(any(a[k] == y for y in rest) for k in at)
