@@ -6,6 +6,10 @@ document's size) moves from one to the other, in a random direction whose odds k
 until one of the two is integral. Each pair keeps its words in sum, so a source's words stay at
 its target but for the one fraction that is left at the end, which is rounded to the nearer side.
 
+The largest documents are settled first, each against all smaller ones together: the mass that it gains or loses comes from or goes to them by the same rule, so
+what is left for the pairs are documents of 1 / LARGE of the source at most, and the last fraction is one of the smallest.
+No source has more than LARGE documents that are larger, so one fold settles them, however many rows it has.
+
 Rows of one key, source and size are one unit of the rounding: of n such rows, floor(n p) are taken once more, and
 what is left of n p is the unit's fraction. So no key, null among them, is more than a few units, however many rows it has.
 
@@ -29,6 +33,7 @@ from sluiceway.llm.common import cut, identified, numbered, ranked, spread_join,
 FAN_IN = 64
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
+LARGE = 1000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -90,6 +95,61 @@ def _fold(units: Column, key_type: str, seed: int) -> Column:
     return F.aggregate(units, start, step)
 
 
+def _settle(units: Column, seed: int) -> Column:
+    """Folds units (key, n, size, p, mass and capacity of the source), largest first, to (done: the units with new p, scale and shift).
+
+    Each unit meets the pool of all smaller ones as a pair of one unit would: it becomes integral, and the pool's p become
+    scale * p + shift, smaller or nearer to 1 alike. If the pool has less to give than that, it becomes integral and the unit stays as it is.
+    """
+    start = F.struct(F.transform(units, lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"), x["size"].alias("size"), x["p"].alias("p"))).alias("done"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("room"))
+    none = F.struct(F.filter(start["done"], lambda x: F.lit(False)).alias("done"), start["scale"].alias("scale"), start["shift"].alias("shift"), F.get(units, F.lit(0))["mass"].alias("mass"), F.get(units, F.lit(0))["capacity"].alias("room"))
+
+    def clean(p: Column) -> Column:
+        return F.when(p <= 1e-9, 0.0).when(p >= 1 - 1e-9, 1.0).otherwise(p)
+
+    def met(acc: Column, a: Column) -> Column:
+        size = a["size"].cast("double")
+        p = F.least(F.greatest(acc["scale"] * a["p"] + acc["shift"], F.lit(0.0)), F.lit(1.0))
+        # the pool without this unit: its mass, and how much it could hold
+        return F.struct(a.alias("a"), size.alias("size"), p.alias("p"), F.greatest(acc["mass"] - p * size, F.lit(0.0)).alias("mass"), F.greatest(acc["room"] - size, F.lit(0.0)).alias("room"))
+
+    def moved(acc: Column, x: Column) -> Column:
+        up = F.least((1 - x["p"]) * x["size"], x["mass"])
+        down = F.least(x["p"] * x["size"], F.greatest(x["room"] - x["mass"], F.lit(0.0)))
+        rises = _uniform(x["a"]["key"], x["a"]["size"], F.lit(seed)) * (up + down) < down
+        amount = F.when(rises, up).otherwise(-down)
+        less = F.coalesce(F.try_divide(x["mass"] - up, x["mass"]), F.lit(1.0))
+        more = F.coalesce(F.try_divide(x["room"] - x["mass"] - down, x["room"] - x["mass"]), F.lit(1.0))
+        unit = F.struct(x["a"]["key"].alias("key"), x["a"]["n"].alias("n"), x["a"]["size"].alias("size"), clean(x["p"] + amount / x["size"]).alias("p"))
+        return F.struct(
+            F.concat(acc["done"], F.array(unit)).alias("done"),
+            F.when(rises, acc["scale"] * less).otherwise(acc["scale"] * more).alias("scale"),
+            F.when(rises, acc["shift"] * less).otherwise(acc["shift"] * more + 1 - more).alias("shift"),
+            (x["mass"] - amount).alias("mass"),
+            x["room"].alias("room"),
+        )
+
+    def step(acc: Column, a: Column) -> Column:
+        return F.get(F.transform(F.array(met(acc, a)), lambda x: moved(acc, x)), F.lit(0))
+
+    return F.aggregate(units, none, step)
+
+
+def settled(fractions: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Units (source, key, n, size, p) to those that are decided, p 0 or 1, and to those that are left, with new p between."""
+    per = fractions.groupBy("source").agg(F.sum("size").cast("double").alias("capacity"), F.sum(F.col("p") * F.col("size")).alias("mass")).withColumnRenamed("source", "s")
+    rows = cut(fractions.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("large", F.col("size") * LARGE >= F.col("capacity")))
+    unit = F.struct((-F.col("size")).alias("s"), F.xxhash64("key", "size").alias("h"), "key", "n", "size", "p", "mass", "capacity")
+    lists = rows.where("large").groupBy("source").agg(F.sort_array(F.collect_list(unit)).alias("o"))
+    folded = cut(lists.select("source", _settle(F.col("o"), seed).alias("f")))
+    done = folded.select("source", F.inline("f.done")).withColumn("p", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0))
+    state = folded.select(F.col("source").alias("s"), "f.scale", "f.shift")
+    p = F.coalesce("scale", F.lit(1.0)) * F.col("p") + F.coalesce("shift", F.lit(0.0))
+    left = rows.where("NOT large").join(state, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("p", F.when(p <= 1e-9, 0.0).when(p >= 1 - 1e-9, 1.0).otherwise(p)).select("source", "key", "n", "size", "p")
+    between = (F.col("p") > 0) & (F.col("p") < 1)
+    return done.unionByName(left.where(~between)), cut(left.where(between))
+
+
 def rounded(fractions: DataFrame, total_units: int, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
     """Units (source, key, n, size, p with 0 < p < 1; sizes above 0, key and size distinct in a source) to the same with p 0 or 1.
 
@@ -129,8 +189,8 @@ def _decided(sized: DataFrame, seed: int) -> DataFrame:
     units = units.withColumn("up", F.col("n") * F.greatest(F.col("want") - F.col("whole"), F.lit(0.0)))
     units = cut(units.withColumn("more", F.floor(F.col("up") + 1e-9)).withColumn("p", F.greatest(F.col("up") - F.col("more"), F.lit(0.0))).drop("want", "up"))
     loose = (F.col("p") > 1e-9) & (F.col("size") > 0)
-    fraction = units.where(loose)
-    done = rounded(fraction, fraction.count(), seed).withColumnsRenamed({"source": "s"})
+    first, fraction = settled(units.where(loose).select("source", "key", "n", "size", "p"), seed)
+    done = first.unionByName(rounded(fraction, fraction.count(), seed).select(first.columns)).withColumnsRenamed({"source": "s"})
     per = units.groupBy("source").agg(*[F.any_value(c).alias(c) for c in ("source_size", "target", "whole")])
     share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) - F.col("whole")
     done = done.join(per, F.col("s").eqNullSafe(F.col("source"))).withColumn("more", F.floor(F.col("n") * share + 1e-9) + F.col("p").cast("long"))

@@ -142,3 +142,16 @@ def test_hot_joins_lose_nothing(spark):
     per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
     found = common.spread_join(rows, per, "k", "n", 6000, "v")
     assert ordered(found.select("k", "v", "n", "s").collect()) == ordered(rows.join(per, "k").select("k", "v", "n", "s").collect())
+
+
+def test_a_large_document_does_not_spoil_the_mix(spark):
+    """One document of half a source's words, and sources of one size alone: the words taken differ by a small document from the target."""
+    from sluiceway.llm import mixing
+
+    rows = [(0, "a", 20_000)] + [(i, "a", 20 + i % 60) for i in range(1, 400)] + [(1000 + i, "b", 7) for i in range(300)] + [(2000 + i, "c", 1 + 40 * (i % 90)) for i in range(900)]
+    docs = spark.createDataFrame([(k, s, "w " * n) for k, s, n in rows], "doc_id bigint, source string, text string").repartition(4)
+    for seed in range(3):
+        got = mixing.copies(docs, seed=seed).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
+        assert {r.source: r.n for r in got} == {"a": 400, "b": 300, "c": 900}
+        assert all(abs(r.taken - r.target) <= {"a": 80, "b": 7, "c": 3561}[r.source] for r in got)
+        assert all(abs(r.taken - r.target) <= r.target / 100 for r in got)

@@ -92,6 +92,18 @@ def test_op2(spark, docs):
     assert ordered(map(tuple, llm.queries()["op2_mix_sources"](spark, DATA).collect())) == ordered(map(tuple, rows))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables here")
+def test_op2_is_near_its_targets(spark):
+    """Sources of some fifty documents, of which the largest hold a fifth of the words: within one in a hundred."""
+    d = "/root/testdata/sf0.01"
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source").collect()}
+    taken, target = Counter(), {}
+    for r in llm.queries()["op2_mix_sources"](spark, d).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert all(abs(taken[s] - t) <= t / 100 for s, t in target.items())
+
+
 def test_op3(spark):
     from sluiceway.llm import chat
 
