@@ -51,20 +51,27 @@ def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
 
 
 def identified(df: DataFrame) -> DataFrame:
-    """The rows with ``__f`` and ``__i``, an identity of each that holds where keys are null or repeated.
+    """Each row as one struct, ``row``, with ``__f`` and ``__i``, an identity that holds where keys are null or repeated.
 
-    Of rows that come straight from files it is the file and the place in it, which costs no copy; it is looked at whether
-    all are different, as rows that were joined or repeated share theirs. Other rows are written with numbers.
+    As the caller's columns stay inside the struct, none is taken for one of ours, whatever its name. Of rows that come straight from files the identity
+    is the file and the place in it, which costs no copy; it is looked at whether all are different, as rows that were joined or repeated share theirs. Other rows
+    are written with numbers.
     """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     try:
-        known = df.select("*", F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+        known = df.select(row, F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").cast("long").alias("__i"))
     except AnalysisException:  # no files, or none that number their rows
         known = None
-    if known is None or known.groupBy("__f", "__i").count().where("count > 1").limit(1).count():
-        return numbered(df, "__i").withColumn("__f", F.lit(0).cast("long"))
+    if known is None or known.groupBy("__f", "__i").count().where("count > 1 OR __i IS NULL").limit(1).count():
+        return numbered(df.select(row), "__i").withColumn("__f", F.lit(0).cast("long"))
     return known
 
 
+def of_row(name: str) -> Column:
+    """A column of the caller's, of rows that ``identified`` gives."""
+    return F.col("row").getField(name)
+
+
 #: Keys with more than this share of all rows are split. No more than 1 / HOT keys can have it, which bounds their broadcast.
 HOT = 1 / 1000
 

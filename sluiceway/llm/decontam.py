@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sluiceway.llm.common import batch_rows, cut
 
@@ -65,7 +66,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
     """
     segment_words = segment_words or SEGMENT_WORDS
     key_type = docs.schema[key].dataType.simpleString()
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
+    arrow_key = to_arrow_type(docs.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         origin, number = uuid.uuid4().hex, 0

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import cut, identified, numbered, ranked, spread_join, words
+from sluiceway.llm.common import cut, identified, numbered, of_row, ranked, spread_join, words
 
 FAN_IN = 64
 WEIGHTS = (1, 2, 3)
@@ -220,7 +220,7 @@ def _sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the caller's columns."""
     named = identified(docs)
-    unit = F.struct(F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"))
+    unit = F.struct(of_row(key).alias("key"), of_row(source).alias("source"), F.size(words(of_row(text))).cast("long").alias("size"))
     rows = numbered(named.select("__f", "__i", unit.alias("unit")))
     total = rows.count()
     units = _decided(rows.select("unit.*"), seed).select(F.struct("key", "source", "size").alias("unit"), "n", "whole", "more")
@@ -228,4 +228,4 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     alone = known.where("n = 1").withColumn("__rank", F.lit(0).cast("long"))
     several = ranked(cut(known.where("n > 1")), ["unit"], ["unit"], total)
     taken = alone.unionByName(several).select("__f", "__i", (F.col("whole") + F.when(F.col("__rank") < F.col("more"), 1).otherwise(0)).cast("int").alias("__copies")).where("__copies > 0")
-    return named.join(taken, ["__f", "__i"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    return named.join(taken, ["__f", "__i"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import batch_rows, cut, identified, numbered, spread_join
+from sluiceway.llm.common import batch_rows, cut, identified, numbered, of_row, spread_join
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 CHUNK, CHUNK_SHINGLES = 512, 1_000_000
@@ -169,10 +169,10 @@ def _blocks(reps: DataFrame) -> DataFrame:
     Columns: scope, i, j (the block), part (the group inside the scope), chunk, band (the band compared
     by, or -1 for all), rep, rows, bands.
     """
-    total = reps.count()
+    total, bands = reps.agg(F.count(F.lit(1)), F.max(F.size("bands"))).first()
     placed = reps.select("rep", "size", F.posexplode("bands").alias("band", "value")).select("rep", "size", F.struct("band", "value").alias("bucket"))
     buckets = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"), F.min("rep").alias("hub")).where("m > 1"))
-    member = cut(spread_join(placed.drop("size"), buckets, "bucket", "m", total * MOST_HASHES, "rep"))
+    member = cut(spread_join(placed.drop("size"), buckets, "bucket", "m", total * (bands or 0), "rep"))
     groups = cut(components(member.select(F.col("rep").alias("a"), F.col("hub").alias("b"))))
     per_root = groups.join(reps.select(F.col("rep").alias("node"), "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     by_bucket = buckets.join(groups.withColumnRenamed("node", "hub"), "hub").groupBy("root").agg(F.sum(F.col("m") * _chunks("m", "s")).alias("bucket_cost"))
@@ -269,7 +269,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """Per document: key, set_id, class_id (the smallest key of its group of linked documents), n_links
     (other documents whose similarity reaches the threshold, copies included), n_text_links (other shingle
     sets that do), n_copies (documents of the same set, itself included)."""
-    rows = identified(docs).select("__f", "__i", F.col(key).alias("key"), F.lit(None).cast("string").alias("own"), F.col(text).alias("text"))
+    rows = identified(docs).select("__f", "__i", of_row(key).alias("key"), F.lit(None).cast("string").alias("own"), of_row(text).alias("text"))
     return _groups(rows, n, threshold, recall).drop("__f", "__i", "own", "root").withColumnRenamed("key", key)
 
 
@@ -312,11 +312,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     Rows have identities of their own, so those of null or of repeated keys are told apart. Where several rows of a group
     have its smallest key, or all are null, the digest of the row's columns decides."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    digest = F.md5(F.concat(F.coalesce(F.col(text), F.lit("")), F.to_json(F.struct(*others)))) if others else F.md5(F.coalesce(F.col(text), F.lit("")))
+    others = [of_row(c).alias(c) for c in docs.columns if c != text]
+    digest = F.md5(F.concat(F.coalesce(of_row(text), F.lit("")), F.to_json(F.struct(*others)))) if others else F.md5(F.coalesce(of_row(text), F.lit("")))
     named = identified(docs)
-    groups = cut(_groups(named.select("__f", "__i", F.col(key).alias("key"), digest.alias("own"), F.col(text).alias("text")), n, threshold).select("__f", "__i", "key", "own", "set_id", "root"))
+    groups = cut(_groups(named.select("__f", "__i", of_row(key).alias("key"), digest.alias("own"), of_row(text).alias("text")), n, threshold).select("__f", "__i", "key", "own", "set_id", "root"))
     order = F.struct(F.col("key").isNull().alias("n"), "key", "own", "__f", "__i")
     chosen = groups.where("set_id IS NOT NULL").groupBy("root").agg(F.min(order).alias("w")).select("w.__f", "w.__i")
     stays = chosen.unionByName(groups.where("set_id IS NULL").select("__f", "__i"))
-    return named.join(stays, ["__f", "__i"], "left_semi").select(docs.columns)
+    return named.join(stays, ["__f", "__i"], "left_semi").select("row.*")

@@ -50,6 +50,42 @@ def test_quality_stage_keeps_the_callers_columns(spark):
     assert left.columns == docs.columns and found and set(found) <= set(rows)
 
 
+def test_stages_keep_columns_that_have_our_private_names(spark, tmp_path):
+    """Every name that an operator gives a column inside, as a column of the caller's: all come back as they were."""
+    names = "__f __i __row __copies __copy __rank __run __part __parts __hot __piece __start __at __n row key own unit n more whole size units set_id root rep bands digest at f p block copies".split()
+    test = prose(7, 30)
+    spark.createDataFrame([(1, test)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [prose(300 + i, 90) + "." for i in range(12)]
+    texts += [near(texts[0], "changed"), texts[1], f"{prose(400, 60)}. {test} end."]
+    rows = [(i, t, "en", ["web", "books"][i % 2], len(t), *[f"{c}-{i}" if c not in ("__i", "n", "size") else 7 for c in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names]).repartition(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for given in (docs, stored):  # rows with and without places in files
+        left = {}
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, given, str(tmp_path))
+            got = [tuple(r) for r in out.collect()]
+            assert out.columns == docs.columns and got and set(got) <= set(rows), name
+            left[name] = len(got)
+        assert left["n-gram Jaccard join"] == len(rows) - 2 and left["benchmark decontamination"] == len(rows) - 1
+        assert len(ngram_join.near_groups(given).collect()) == len(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_decontamination_of_keys_of_other_types(spark):
+    from pyspark.sql import functions as F
+
+    test = prose(7, 30)
+    rows = spark.createDataFrame([(1, f"{prose(8, 40)} {test}"), (2, prose(9, 60))], "k bigint, text string")
+    items = spark.createDataFrame([(1, test)], "item_id bigint, text string")
+    for key in (F.col("k").cast("double"), F.col("k").cast("decimal(10,2)"), F.timestamp_seconds("k"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("k").cast("int")), F.col("k").cast("string").cast("binary")):
+        docs = rows.select(key.alias("doc_id"), "text", "k")
+        found = decontam.contamination(docs, items).collect()
+        named = {bytes(r.doc_id) if isinstance(r.doc_id, bytearray) else r.doc_id: r.k for r in docs.collect()}
+        assert {named[bytes(r.doc_id) if isinstance(r.doc_id, bytearray) else r.doc_id]: r.contaminated for r in found} == {1: True, 2: False}
+
+
 def test_pipeline_of_null_and_repeated_keys(spark, tmp_path):
     """All stages over rows whose keys say nothing, against plain versions that know rows by their places."""
     from collections import Counter
