@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm import decontam, mixing, ngram_join, quality, sharding
-from sluiceway.llm.common import cut, identified, table
+from sluiceway.llm.common import cut, identified, of_row, table
 
 SHARDS = 40
 
@@ -29,10 +29,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows have identities of their own: keys may be null or repeated
     rows = identified(docs)
-    named = rows.select(F.concat_ws("/", "__f", "__i").alias("row"), "text")
-    found = decontam.contamination(named, table(spark, sf_dir, "benchmark"), key="row").where("contaminated")
-    gone = found.select(F.split("row", "/").alias("r")).select(F.col("r")[0].cast("bigint").alias("__f"), F.col("r")[1].cast("bigint").alias("__i"))
-    return rows.join(gone, ["__f", "__i"], "left_anti").select(docs.columns)
+    named = rows.select(F.concat_ws("/", "__f", "__i").alias("at"), of_row("text").alias("text"))
+    found = decontam.contamination(named, table(spark, sf_dir, "benchmark"), key="at").where("contaminated")
+    gone = found.select(F.split("at", "/").alias("r")).select(F.col("r")[0].cast("bigint").alias("__f"), F.col("r")[1].cast("bigint").alias("__i"))
+    return rows.join(gone, ["__f", "__i"], "left_anti").select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
