@@ -162,7 +162,8 @@ def near_words(counted: DataFrame) -> DataFrame:
     parts = F.coalesce("parts", F.lit(1))
     held = held.join(large, "key", "left").withColumn("part", F.pmod(F.xxhash64("word"), parts).cast("int")).withColumn("scan", F.lit(False))
     scanned = scanned.join(sizes.select("key"), "key", "left_semi").join(large, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("scan", F.lit(True))
-    columns = [F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int").alias("shard"), "scan", F.col("key.kind").alias("kind"), F.col("key.len").alias("len"), "word", "n"]
+    # the parts of a key lie in shards of their own: a word copied to several parts meets each segment once
+    columns = [F.pmod(F.pmod(F.xxhash64("key"), F.lit(shards)) + F.col("part"), F.lit(shards)).cast("int").alias("shard"), "scan", F.col("key.kind").alias("kind"), F.col("key.len").alias("len"), "word", "n"]
     dealt = held.select(columns).unionByName(scanned.select(columns))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "scan")
 

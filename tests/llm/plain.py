@@ -94,3 +94,89 @@ def said(turns):
 
 def crc(data):
     return zlib.crc32(data)
+
+
+def spellings(docs, shortest=6, rarest=5, factor=5):
+    """[(id, text)] to {(word, form, root, n, near words, the form's n)} by trying all edits of each word."""
+    counts = {}
+    for k, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] = counts.get(run, 0) + 1
+    known = {w: n for w, n in counts.items() if len(w) >= shortest and n >= rarest}
+    letters = sorted({c for w in known for c in w})
+    near, form = {}, {}
+    for w in known:
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        edits |= {w[:i] + c + w[i + d :] for i in range(len(w) + 1) for c in letters for d in (0, 1)}
+        near[w] = [x for x in edits - {w} if x in known]
+        best = min(near[w], key=lambda x: (-known[x], x), default=None)
+        form[w] = best if best is not None and known[best] >= factor * known[w] else None
+    out = set()
+    for w in known:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.add((w, form[w], root, known[w], len(near[w]), None if form[w] is None else known[form[w]]))
+    return out
+
+
+def fingerprint(text, n=3):
+    import xxhash
+
+    ws = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    said = [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)] if len(ws) >= n else [" ".join(ws)] if ws else []
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in said]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def fingerprint_components(docs, distance=3):
+    """[(id, text)] to [(id, fingerprint, smallest id reachable)], by comparing all pairs."""
+    fps = [fingerprint(t) for _, t in docs]
+    name = [None] * len(docs)
+    for i in range(len(docs)):
+        if name[i] is not None:
+            continue
+        name[i], front, mine = i, [i], [i]
+        while front:
+            at = front.pop()
+            for j in range(len(docs)):
+                if name[j] is None and (fps[at] ^ fps[j]).bit_count() <= distance:
+                    name[j] = i
+                    front.append(j)
+                    mine.append(j)
+        least = min((docs[j][0] for j in mine if docs[j][0] is not None), default=None)
+        for j in mine:
+            name[j] = (least,)
+    return [(k, f"{fp:016x}", c[0]) for (k, _), fp, c in zip(docs, fps, name, strict=True)]
+
+
+def audit(docs, labels):
+    """[(id, text, lang)] and {id: (quality, toxic)} to the rows of the audit, by applying all orders to all documents."""
+    from itertools import permutations
+
+    first = {}
+    for k, t, _ in docs:
+        if k is not None:
+            first[t or ""] = min(first.get(t or "", k), k)
+    fails = []
+    for k, t, _ in docs:
+        ws, t = words(t), t or ""
+        copy = k is not None and k > first[t]
+        fails.append({"A": len(ws) < 200, "B": 100 * len(set(ws)) < 50 * len(ws), "C": 100 * sum("A" <= c <= "Z" for c in t) > 3 * len(t), "D": any(c in "#$%&*|" for c in t), "E": copy})
+    rows, shapley = [], {}
+    for part in sorted({x or "" for *_, x in docs}):
+        own = [i for i, d in enumerate(docs) if (d[2] or "") == part]
+        for order in permutations("ABCDE"):
+            left = list(own)
+            for step, f in enumerate(order, 1):
+                gone = [i for i in left if fails[i][f]]
+                left = [i for i in left if not fails[i][f]]
+                shapley[part, f] = shapley.get((part, f), 0) + len(gone)
+                all_ = [i for i in own if fails[i][f]]
+                good, toxic = (sum(labels.get(docs[i][0], (0, 0))[x] == 1 for i in gone) for x in (0, 1))
+                rows.append((part, "".join(order), step, len(left), len(gone), len(all_) - len(gone), sum(sum(fails[i].values()) == 1 for i in all_), good, toxic, f))
+    return {(*r[:-1], shapley[r[0], r[-1]]) for r in rows}

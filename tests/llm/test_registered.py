@@ -33,7 +33,8 @@ def docs(spark):
 def test_sql(spark, name):
     df = llm.queries()[name](spark, DATA)
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     found = c.execute(llm.oracle_sql()[name])
     names = [x[0] for x in found.description]
     assert sorted(names) == sorted(df.columns)
