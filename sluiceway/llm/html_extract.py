@@ -231,13 +231,13 @@ def shared_lines(a: list, b: list) -> list[int]:
 
 
 def deleted(lines: list[int], sizes: list[int], neighbours: list[list[int]]) -> list[int]:
-    """Places of the lines that the nearest neighbour which is no copy has too. ``sizes``: characters of lines, 0 for marked ones."""
-    own = sum(sizes)
+    """Places of the open lines that the nearest neighbour which is no copy has too. ``sizes``: characters of lines, 0 for marked ones, below 0 for open ones."""
+    own = sum(map(abs, sizes))
     for other in neighbours:
         places = shared_lines(lines, other)
-        same = sum(sizes[k] for k in places)
+        same = sum(abs(sizes[k]) for k in places)
         if not own or same < SAME * own:
-            return places
+            return [k for k in places if sizes[k] < 0]
     return []
 
 
@@ -291,7 +291,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             for x in b.column(2):
                 found = lines_of(x.as_py())
                 lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
-                sizes.append([0 if where == MARKED else len(t) for t, where in found])
+                sizes.append([0 if where == MARKED else len(t) if where == TEXT else -len(t) for t, where in found])
                 articles.append(any(where == TEXT for _, where in found))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(articles, pa.bool_())], ["digest", "url", "lines", "sizes", "article"])
 
@@ -317,11 +317,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         for b in slices(batches):
             out, all_, shared = [], [], []
             for x, places in zip(b.column(2), b.column(3).to_pylist(), strict=True):
-                found, shared_at = lines_of(x.as_py()), set(places or ())
-                gone = [where == OPEN and k in shared_at for k, (_, where) in enumerate(found)]
-                out.append(" ".join(t for (t, where), drop in zip(found, gone, strict=True) if where != MARKED and not drop))
+                found, drop = lines_of(x.as_py()), set(places or ())
+                out.append(" ".join(t for k, (t, where) in enumerate(found) if where != MARKED and k not in drop))
                 all_.append(len(found))
-                shared.append(sum(gone))
+                shared.append(len(drop))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(all_, pa.int64()), pa.array(shared, pa.int64())], ["key", "url", "text", "n_lines", "n_shared"])
 
     named = gone.select(F.col("digest").alias("__digest"), F.col("url").alias("__url"), "gone")

@@ -394,6 +394,6 @@ def test_longest_common_subsequence():
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         at = html_extract.shared_lines([*a, 99], b)
-        assert html_extract.deleted([*a, 99], [1] * len(a) + [10**6], [b]) == at
+        assert html_extract.deleted([*a, 99], [-1] * len(a) + [10**6], [b]) == at
         rest = iter(b)
         assert len(at) == best[-1][-1] and at == sorted(set(at)) and all(any(a[k] == y for y in rest) for k in at)
