@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.operators import chains
 from sluiceway.operators.folds import fold
 
 CAPACITY = 2 * 1024 * 1024
@@ -34,6 +35,17 @@ def assign_batches(lines: DataFrame, stream: str, order: str, size: str, capacit
     return fold(lines, F.col(stream), [F.col(order), size_, when], [size_, when], (0, 0, None), step, "batch_id", "bigint")
 
 
+def assign_batches_in_parts(lines: DataFrame, stream: str, order: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+    """``assign_batches`` by size alone, for streams that hold too many lines for one task: a stream is many parts (see ``chains``).
+
+    A batch that begins at a line ends with the first one at which the sizes since reach the capacity. A null size adds nothing; no size is below 0, and no two lines of a stream have the same place."""
+    rows = chains.placed(lines, F.col(stream), [F.col(order)], F.coalesce(F.col(size), F.lit(0)))
+    pointers = chains.next_starts(rows, F.col("total"), F.col("total") - F.col("size") + capacity, strict=False, step=1)
+    last = rows.groupBy("k").agg(F.max("place").alias("last"))
+    pointers = pointers.join(last, "k").select("k", "place", F.when(F.col("next") <= F.col("last"), F.col("next")).alias("next"))
+    return chains.with_batches(rows, chains.chained(pointers), lines.columns, batch_id=F.col("batch"))
+
+
 def bodies(batched: DataFrame, stream: str, order: str) -> DataFrame:
     """One request body for each batch: {"lines": [...]} in order, without null fields."""
     own = [c for c in batched.columns if c not in (stream, "batch_id")]

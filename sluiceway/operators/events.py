@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.quantities import human_duration
+from sluiceway.operators import chains
 from sluiceway.operators.folds import fold
 
 
@@ -98,6 +99,16 @@ def rate_limited(calls: DataFrame, key: str, ts: str, limit: int, interval_secon
     return fold(calls.select(key, ts), F.col(key), [time], [time], (None, 0), step, "allowed", "boolean")
 
 
+def rate_limited_in_parts(calls: DataFrame, key: str, ts: str, limit: int, interval_seconds: float) -> DataFrame:
+    """``rate_limited`` for keys that hold too many calls for one task: a key is many parts (see ``chains``). Calls without a time have no verdict."""
+    time = F.unix_micros(ts)
+    known = calls.select(key, ts).where(time.isNotNull())
+    rows = chains.placed(known, F.col(key), [time], F.lit(0)).withColumn("t", F.unix_micros(F.col("row").getField(ts)))
+    pointers = chains.next_starts(rows, F.col("t"), F.col("t") + int(interval_seconds * 1e6), strict=True, step=0)
+    timed = chains.with_batches(rows, chains.chained(pointers), [key, ts], allowed=F.col("place") - F.col("start") < limit)
+    return timed.unionByName(calls.select(key, ts).where(time.isNull()).withColumn("allowed", F.lit(None).cast("boolean")))
+
+
 def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two listings (path, inode, size) to events: create, write, rename (same inode under another path), remove."""
     old = before.select(F.col("path").alias("old_path"), "inode", F.col("size").alias("old_size"))

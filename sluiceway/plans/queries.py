@@ -372,6 +372,15 @@ def batch_bodies(spark, d):
     return batching.bodies(batching.assign_batches(e, "user_id", "event_id", "bytes", 1000), "user_id", "event_id")
 
 
+@query("""WITH RECURSIVE x AS (SELECT event_id, event_id % 400 + 50 AS n, sum(event_id % 400 + 50) OVER w AS s, row_number() OVER w AS i FROM events WINDOW w AS (ORDER BY event_id)),
+b AS (SELECT 1::BIGINT AS i, 0::BIGINT AS batch_id UNION ALL SELECT min(y.i) + 1, b.batch_id + 1 FROM b JOIN x s ON s.i = b.i JOIN x y ON y.s >= s.s - s.n + 5000 GROUP BY b.batch_id)
+SELECT event_id, batch_id FROM x ASOF JOIN b ON x.i >= b.i""")
+def batch_hot_stream(spark, d):
+    """All events as the lines of one stream, batched by many tasks."""
+    e = table(spark, d, "events").select(F.lit("all").alias("stream"), "event_id", (F.col("event_id") % 400 + 50).alias("bytes"))
+    return batching.assign_batches_in_parts(e, "stream", "event_id", "bytes", 5000).select("event_id", "batch_id")
+
+
 @query("SELECT o_orderkey, o_orderkey % 4 <> 3 AND 1700000000 - (1700000000 - o_orderkey % 40) >= 15 AS due FROM orders")
 def retry_due(spark, d):
     k = F.col("o_orderkey")
@@ -527,6 +536,15 @@ def rate_limit(spark, d):
     return events.rate_limited(e, "user_id", "ts", 2, 36000).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("calls"))
 
 
+@query("""WITH RECURSIVE x AS (SELECT epoch_us(ts) AS t, row_number() OVER (ORDER BY ts) AS i FROM events),
+b AS (SELECT 1::BIGINT AS i UNION ALL SELECT min(y.i) FROM b JOIN x s ON s.i = b.i JOIN x y ON y.t > s.t + 21600000000 HAVING min(y.i) IS NOT NULL)
+SELECT make_timestamp(t) AS ts, count(*) FILTER (x.i - b.i < 3) AS allowed, count(*) AS calls FROM x ASOF JOIN b ON x.i >= b.i GROUP BY t""")
+def rate_limit_hot(spark, d):
+    """All events as the calls of one caller, by many tasks."""
+    e = table(spark, d, "events").select(F.lit("all").alias("who"), F.col("ts").cast("timestamp").alias("ts"))
+    return events.rate_limited_in_parts(e, "who", "ts", 3, 21600).groupBy("ts").agg(F.count_if("allowed").alias("allowed"), F.count(F.lit(1)).alias("calls"))
+
+
 @query("""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'create' WHEN b.path IS NULL THEN 'remove' WHEN a.path <> b.path THEN 'rename' ELSE 'write' END AS kind, CASE WHEN a.path <> b.path THEN b.path END AS to_path
 FROM (SELECT p_partkey AS inode, 'p' || p_partkey AS path, p_size AS size FROM part WHERE p_partkey % 5 <> 0) a FULL JOIN (SELECT p_partkey AS inode, CASE WHEN p_partkey % 7 = 0 THEN 'q' ELSE 'p' END || p_partkey AS path, p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS size FROM part WHERE p_partkey % 11 <> 0) b USING (inode)
 WHERE a.path IS NULL OR b.path IS NULL OR a.path <> b.path OR a.size <> b.size""")

@@ -59,6 +59,27 @@ def test_folds_of_one_large_group_and_of_null_keys(spark):
     assert {(r.k, r.calls, r.allowed) for r in calls} == {("hot", n, n // 2), (None, 4, 2)}
 
 
+def test_one_stream_in_many_parts_equals_the_fold(spark, monkeypatch):
+    """Streams of one row, hot ones, null keys and sizes, sizes of zero, batches longer than parts, and calls at the same time."""
+    import random
+
+    from sluiceway.operators import chains
+
+    monkeypatch.setattr(chains, "PART_ROWS", 60)
+    rng = random.Random(4)
+    rows = [("hot", i, rng.choice((0, 1, 5, 40, None)), i // 3 * rng.choice((7, 7, 7, 8))) for i in range(900)] + [(None, i, 30, i) for i in range(40)] + [("one", 1, 5, 5), ("long", 1, 500, 0), ("long", 2, 1, 9)] + [("tiny", i, 1, 10**6) for i in range(200)]
+    table = spark.createDataFrame(rows, "k string, seq int, n int, s bigint").withColumn("ts", F.timestamp_seconds("s")).repartition(3)
+    plain = {(r.k, r.seq): r.batch_id for r in batching.assign_batches(table, "k", "seq", "n", 100).collect()}
+    parts = batching.assign_batches_in_parts(table, "k", "seq", "n", 100)
+    got = parts.collect()
+    assert {(r.k, r.seq): r.batch_id for r in got} == plain and len(got) == len(rows) and parts.columns == [*table.columns, "batch_id"]
+    assert {r.batch_id for r in got if r.k == "tiny"} == {0, 1} and max(plain[k, i] for k, i in plain if k == "hot") > 50
+    calls = table.select("k", F.when(F.col("seq") != 7, F.col("ts")).alias("ts"))
+    count = lambda df: sorted(map(tuple, df.groupBy("k", "ts", "allowed").count().collect()), key=str)
+    assert count(events.rate_limited_in_parts(calls, "k", "ts", 4, 30)) == count(events.rate_limited(calls, "k", "ts", 4, 30))
+    assert batching.assign_batches_in_parts(table.where("false"), "k", "seq", "n", 100).count() == 0
+
+
 @tables
 def test_report_lines_say_what_the_reports_say(spark):
     """Each line is one report row: its entries are the row's values, null ones left out."""
