@@ -1,6 +1,6 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
-A text's canonical form has lower case, copyright lines and punctuation removed, white space joined and
+A text's canonical form has lower case, copyright lines (up to the licence's first words where lines were joined) and punctuation removed, white space joined and
 equivalent spellings made one; its SHA-256 is looked up by a hash join in a table of known licences'
 digests. The join holds one row of 64 hex digits per known licence, a table the caller states; texts
 that are copies of one another share a digest and need no shuffle when the known table is broadcast,
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 #: Lines that name owners and years only, and the words that reserve rights at the start of a line.
 COPYRIGHT_LINE = r"(?:\A|\n)[^\n\p{L}]*(?:(?:portions[ \t]+)?copyright(?:[ \t]*(?:\(c\)|©|:))*(?:[ \t]+(?:by|[0-9(©\[<]|all rights|holder: )[^\n]*|[ \t]+[^\n]*[0-9]{4}[^\n]*)|©[^\n]*|\(c\)[^\n]*|all rights reserved[.]?)"
 
+#: Where a copyright line and what follows it begin in texts whose lines were joined; a line break goes in front.
+BREAK = r"(copyright[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}|permission is hereby granted|permission to use, copy|redistribution and use in|everyone is permitted to|this software is provided|licensed under the )"
+
 #: Equivalent spellings lose what they differ in, as harbour and harbor do; that other words lose letters too does no harm, as known texts
 #: lose the same. In turn: -our; -ise, -yse, -ice and -ence with their forms; doubled l; -ogue; -dgement; and words with other ends,
 #: among them sub-, non- and per- with and without a space, https, and the owner or holder of a copyright.
@@ -32,7 +35,7 @@ SPELLING_KEPT = range(1, 10)
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+    t = F.regexp_replace(F.regexp_replace(t, BREAK, "\n$1"), COPYRIGHT_LINE, "\n")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
     return F.trim(F.regexp_replace(t, SPELLING, "".join(f"${n}" for n in SPELLING_KEPT)))
 

@@ -51,7 +51,8 @@ def quality_sql() -> str:
 
 def license_sql() -> str:
     def canonical(x: str) -> str:
-        t = f"regexp_replace(lower(coalesce({x}, '')), '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+        t = f"regexp_replace(lower(coalesce({x}, '')), '{licenses.BREAK}', chr(10) || '{chr(92)}1', 'g')"
+        t = f"regexp_replace({t}, '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
         t = rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
         return f"trim(regexp_replace({t}, '{licenses.SPELLING}', '{''.join(chr(92) + str(n) for n in licenses.SPELLING_KEPT)}', 'g'))"
 
