@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluiceway.functions.quantities import human_duration
 from sluiceway.operators import chains
 from sluiceway.operators.folds import fold
+from sluiceway.operators.fsgraph import ancestors
 
 
 def event_age(first: Column, last: Column) -> Column:
@@ -109,6 +110,32 @@ def rate_limited_in_parts(calls: DataFrame, key: str, ts: str, limit: int, inter
     return timed.unionByName(calls.select(key, ts).where(time.isNull()).withColumn("allowed", F.lit(None).cast("boolean")))
 
 
+def tree_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two listings of a tree (path, inode, size, kind: dir or file) to events: path, kind, to_path, inode.
+
+    A directory that stands elsewhere under its inode is one rename, and all that is below it, at any depth, is expected at its new path, so what
+    moved with it makes no event. An inode may have several paths: one more is a link, one less a remove; of an inode that lost some and gained others
+    they are renames, in order. Paths are those of the first listing, but for creates and links. Writes are changed sizes of files, at the paths of the second listing.
+    """
+    old = before.select("path", "inode", "size", "kind")
+    new = after.select(F.col("path").alias("at"), "inode", F.col("size").alias("to_size"), F.lit(True).alias("here"))
+    now = after.where("kind = 'dir'").select("inode", F.col("path").alias("moved_to"))
+    dirs = old.where("kind = 'dir'").select("inode", F.col("path").alias("moved")).join(now, "inode").where("moved <> moved_to").drop("inode")
+    # the moved directory that is nearest above each entry says where it is expected
+    above = old.select("path", F.explode(ancestors(F.col("path"))).alias("moved")).where("moved <> path").join(dirs, "moved")
+    nearest = above.groupBy("path").agg(F.max_by(F.struct("moved", "moved_to"), F.length("moved")).alias("m"))
+    expected = old.join(nearest, "path", "left").withColumn("at", F.when(F.col("m").isNull(), F.col("path")).otherwise(F.concat("m.moved_to", F.expr("substring(path, length(m.moved) + 1)"))))
+    both = expected.join(new, ["inode", "at"], "full_outer").withColumn("to_path", F.when(F.col("here"), F.col("at")))
+    writes = both.where("path IS NOT NULL AND to_path IS NOT NULL AND kind = 'file' AND size <> to_size").select(F.col("to_path").alias("path"), F.lit("write").alias("kind"), F.lit(None).cast("string").alias("to_path"), "inode")
+    lost, came = both.where("to_path IS NULL"), both.where("path IS NULL")
+    lost = lost.select("inode", F.col("path").alias("from"), F.row_number().over(Window.partitionBy("inode").orderBy("path")).alias("nth"))
+    came = came.select("inode", F.col("to_path").alias("to"), F.row_number().over(Window.partitionBy("inode").orderBy("to_path")).alias("nth"))
+    known = old.select("inode").distinct().withColumn("known", F.lit(True))
+    pairs = lost.join(came, ["inode", "nth"], "full_outer").join(known, "inode", "left")
+    kind = F.when(F.col("to").isNull(), "remove").when(F.col("from").isNotNull(), "rename").when(F.col("known"), "link").otherwise("create")
+    return writes.unionByName(pairs.select(F.coalesce("from", "to").alias("path"), kind.alias("kind"), F.when(F.col("from").isNotNull(), F.col("to")).alias("to_path"), "inode"))
+
+
 def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two listings (path, inode, size) to events: create, write, rename (same inode under another path), remove."""
     old = before.select(F.col("path").alias("old_path"), "inode", F.col("size").alias("old_size"))

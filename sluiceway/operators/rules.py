@@ -64,6 +64,11 @@ class PathRules:
     def passes(self, path: Column) -> Column:
         return self.included(path) & ~self.excluded(path)
 
+    def excludes_all(self, folder: Column) -> Column:
+        """Whether the exclusions surely hold for all paths below a directory: globs that end in ``*``, and regexes that can't depend on what follows."""
+        open_ended = tuple(r for r in self.exclude_regex if not re.search(r"[$]|\\[zZbB]|[(][?]", r))
+        return self._any(F.concat(folder, F.lit("/")), tuple(g for g in self.exclude if g.endswith("*")), open_ended)
+
     @classmethod
     def of_dirs(cls, dirs: list[str]) -> PathRules:
         """Rules for what lies in the given directories, themselves included."""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sluiceway.functions import bytes as edges
-from sluiceway.operators import enrich, fsgraph, meta, metrics, rules, spans
+from sluiceway.operators import enrich, events, fsgraph, meta, metrics, rules, spans
+from sluiceway.operators.lineage import shared_folder
 from sluiceway.plans import inputs
 from sluiceway.plans.inputs import CONTAINERS, table
 from sluiceway.plans.registry import query
-from sluiceway.sources import retry
+from sluiceway.sources import files, retry, walk
 
 
 @query(f"WITH {CONTAINERS} SELECT c_custkey, file LIKE '/var/log/containers/%' AND (file LIKE '%5.log' OR c_custkey % 3 = 0) AS passes FROM cl WHERE file IS NOT NULL")
@@ -53,6 +56,42 @@ def reachable_chains(spark, d):
     return fsgraph.reachable(files.unionByName(links).unionByName(watched)).select("path", "reachable")
 
 
+@query("""SELECT 'n' || c_nationkey || '/' || lower(c_mktsegment) || '/c' || c_custkey || '.log' AS path, strlen(c_name)::BIGINT AS size FROM customer WHERE c_nationkey NOT BETWEEN 10 AND 19 AND c_custkey % 4 <> 0""")
+def walk_pruned(spark, d):
+    """Customers as files of a tree that tasks write, listed again by tasks; directories of some nations aren't entered, and files of other endings are left out."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    ending = F.when(F.col("c_custkey") % 4 == 0, ".tmp").otherwise(".log")
+    name = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/"), F.lower("c_mktsegment"), F.lit("/c"), F.col("c_custkey").cast("string"), ending)
+    tree = table(spark, d, "customer").select(name.alias("path"), F.col("c_name").alias("text"))
+    files.write_tree(tree, root)
+    found = walk.walk(spark, [root], rules.PathRules(("*.log",), (f"{root}/n1?/*", "*/n1?/*")))
+    return found.where("kind = 'file'").select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "size")
+
+
+@query("""WITH e AS (SELECT p_partkey AS k, 100 + p_partkey AS inode, '/t/d' || (p_partkey % 10) AS dir, CASE p_partkey % 10 WHEN 3 THEN '/t/x3' WHEN 4 THEN '/t/y5/d4' WHEN 5 THEN '/t/y5' ELSE '/t/d' || (p_partkey % 10) END AS now FROM part)
+SELECT dir || '/p' || k AS path, CASE WHEN k % 11 = 0 THEN 'remove' ELSE 'rename' END AS kind, CASE WHEN k % 11 <> 0 THEN now || '/q' || k END AS to_path, inode FROM e WHERE k % 11 = 0 OR k % 7 = 0
+UNION ALL SELECT now || '/p' || k, 'write', NULL, inode FROM e WHERE k % 11 <> 0 AND k % 7 <> 0 AND k % 3 = 0
+UNION ALL SELECT '/t/links/l' || k, 'link', NULL, inode FROM e WHERE k % 13 = 0 AND k % 11 <> 0 AND k % 7 <> 0
+UNION ALL SELECT '/t/d' || (k % 10) || '/new' || k, 'create', NULL, 10000000 + k FROM e WHERE k % 17 = 0 AND k % 10 NOT IN (3, 4, 5)
+UNION ALL SELECT * FROM (VALUES ('/t/d3', 'rename', '/t/x3', 3), ('/t/d4', 'rename', '/t/y5/d4', 4), ('/t/d5', 'rename', '/t/y5', 5))""")
+def tree_moves(spark, d):
+    """Parts as files of ten directories, three of which move, one into another that moves itself: what moved with them is no event; some files are renamed, removed, written, linked or new."""
+    k = F.col("p_partkey")
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    part = table(spark, d, "part")
+    row = lambda rows, path, inode, size: rows.select(path.alias("path"), inode.cast("long").alias("inode"), size.cast("long").alias("size"), F.lit("file").alias("kind"))
+    digit = k % 10
+    now = F.when(digit == 3, "/t/x3").when(digit == 4, "/t/y5/d4").when(digit == 5, "/t/y5").otherwise(say("/t/d", digit))
+    folders = lambda names: spark.createDataFrame([(p, i, None, "dir") for i, p in names.items()], "path string, inode bigint, size bigint, kind string")
+    old = {i: f"/t/d{i}" for i in range(10)}
+    before = row(part, say("/t/d", digit, "/p", k), k + 100, F.col("p_size")).unionByName(folders(old))
+    left = part.where("p_partkey % 11 <> 0")
+    after = row(left, F.concat(now, F.when(k % 7 == 0, "/q").otherwise("/p"), k.cast("string")), k + 100, F.col("p_size") + F.when((k % 3 == 0) & (k % 7 != 0), 1).otherwise(0))
+    after = after.unionByName(row(left.where("p_partkey % 13 = 0 AND p_partkey % 7 <> 0"), say("/t/links/l", k), k + 100, F.col("p_size")))
+    after = after.unionByName(row(part.where("p_partkey % 17 = 0 AND p_partkey % 10 NOT IN (3, 4, 5)"), say("/t/d", digit, "/new", k), k + 10_000_000, F.lit(1)))
+    return events.tree_events(before, after.unionByName(folders({**old, 3: "/t/x3", 4: "/t/y5/d4", 5: "/t/y5"})))
+
+
 @query("SELECT '/var/log/o' || o_orderkey AS path, 'write' AS kind, l_shipdate AS ts, o_orderkey AS inode FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0")
 def resume_events(spark, d):
     files = table(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("inode"), F.concat(F.lit("/var/log/o"), F.col("o_orderkey").cast("string")).alias("path"))

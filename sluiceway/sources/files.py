@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 
 def filesystem(folder: str):
     """The file system and the path in it of a folder: a path of this machine, or a URI."""
@@ -58,3 +61,16 @@ def json_lines(folder: str, ending: str) -> Iterator[dict]:
             for line in f.read().splitlines():
                 if line.strip():
                     yield json.loads(line)
+
+
+def write_tree(rows: DataFrame, root: str) -> int:
+    """Writes each row's text as a file at its path below the root, from the tasks; returns how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                folder, _, name = f"{root}/{path}".rpartition("/")
+                write_whole(folder, name, (text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return sum(r.n for r in rows.select("path", "text").mapInArrow(run, "n bigint").collect())

@@ -1,3 +1,4 @@
+import os
 import struct
 import time
 
@@ -345,5 +346,49 @@ def test_a_directory_that_is_not_there_holds_nothing(spark, tmp_path):
     assert text.listing(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_walk_lists_a_tree_with_cycles_once(spark, tmp_path):
+    from sluiceway.sources.walk import walk
+
+    root, other = tmp_path / "root", tmp_path / "other"
+    for p in ("a/b/c", "a/skip/deep", "z"):
+        (root / p).mkdir(parents=True)
+    (other / "in").mkdir(parents=True)
+    for p in (root / "a/1.log", root / "a/b/2.log", root / "a/b/c/3.tmp", root / "a/skip/4.log", root / "a/skip/deep/5.log", other / "in/6.log"):
+        p.write_text(p.name)
+    (root / "z/up").symlink_to(root)  # a cycle
+    (root / "z/out").symlink_to(other)
+    (root / "a/out2").symlink_to(other / "in")  # the same directory by another way, and earlier
+    (root / "z/7.log").symlink_to(root / "a/1.log")
+    (root / "z/gone").symlink_to(root / "nothing")
+    os.link(root / "a/1.log", root / "z/hard.log")
+
+    def plain():
+        s = os.stat(root)
+        level, seen, out = [str(root)], {(s.st_dev, s.st_ino)}, []
+        while level:
+            found = [(os.path.join(d, n), os.stat(os.path.join(d, n))) for d in level for n in os.listdir(d) if os.path.exists(os.path.join(d, n))]
+            out += [(p, "dir" if os.path.isdir(p) else "file", os.path.realpath(p) if os.path.islink(p) else None, s.st_ino, None if os.path.isdir(p) else s.st_size) for p, s in found]
+            ways = {}
+            for p, s in sorted(found, key=lambda x: x[0]):
+                if os.path.isdir(p) and (s.st_dev, s.st_ino) not in seen:
+                    ways.setdefault((s.st_dev, s.st_ino), p)
+            seen |= set(ways)
+            level = list(ways.values())
+        return sorted(out, key=str)
+
+    rows = lambda df: sorted((tuple(r)[:5] for r in df.collect()), key=str)
+    assert rows(walk(spark, [str(root)])) == plain()
+    files = lambda df: sorted(r.path for r in df.where("kind = 'file'").collect())
+    kept = files(walk(spark, [str(root)], PathRules(("*.log",), ("*/skip/*",), (), (r"/z/out(/|$)",))))
+    assert kept == [str(root / p) for p in ("a/1.log", "a/b/2.log", "a/out2/6.log", "z/7.log", "z/hard.log")]
+    assert walk(spark, [str(tmp_path / "none")]).count() == 0
+    uri = {p.removeprefix("file://") for p in files(walk(spark, [f"file://{root}/a/b"]))}
+    assert uri == {str(root / "a/b/2.log"), str(root / "a/b/c/3.tmp")}
+    skips = PathRules((), ("/x/*", "*.gz", "/y"), (), ("/q/", "/r$", "(?=k)"))
+    dirs = ["/x", "/x/a", "/xx", "/y", "/q", "/r", "/k"]
+    got = spark.createDataFrame([(p,) for p in dirs], "p string").select(skips.excludes_all(F.col("p")).alias("e")).collect()
+    assert [r.e for r in got] == [True, True, False, False, True, False, False]
+
+
 def test_chain_skips_missing_stages(spark):
     assert chain(spark.range(3), None, lambda d: d.where("id > 0")).count() == 2
