@@ -60,6 +60,11 @@ def observed(lines: DataFrame, name: str, line: str = "line") -> tuple[DataFrame
     return lines.observe(seen, F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length(line)).alias("bytes")), seen
 
 
+def observed_stream(lines: DataFrame, name: str, line: str = "line") -> DataFrame:
+    """The same for a stream: each micro-batch's numbers reach the listeners of queries (see ``streaming.live``)."""
+    return lines.observe(name, F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length(line)), F.lit(0)).alias("bytes"))
+
+
 def drops(kept: DataFrame, by: str = "source_kind", test: str = "kept") -> DataFrame:
     """Lines in, out and dropped by kind of source; every dropped line counts."""
     return kept.groupBy(by).agg(F.count(F.lit(1)).alias("ingress"), F.count_if(F.col(test)).alias("egress"), F.count_if(~F.coalesce(F.col(test), F.lit(False))).alias("dropped"))

@@ -47,17 +47,28 @@ def cover(line: str, finders: list[regex.Pattern], mark: str) -> str:
     return "".join(out)
 
 
+#: A class of characters, said by them and by ranges alone, one of them or a run.
+CLASS = re.compile(r"(\[[^\]\[\\&^]+\])\+?")
+
+
+def union_of_classes(patterns: list[str]) -> str | None:
+    """The runs of all characters that the patterns match, if each matches characters of a class one by one: their matches touch or lie apart."""
+    found = [CLASS.fullmatch(p) for p in patterns]
+    return f"[{''.join(m[1] for m in found)}]+" if all(found) else None
+
+
 def redact(line: Column, patterns: list[str], mark: str = MARK) -> Column:
     """Each maximal run of matched text becomes one mark. All patterns see the text as it was; ranges that
     overlap or touch are one. Lines without any match skip the work, null stays null.
 
-    One pattern whose matches hold something is a replacement of its runs. Places of several patterns' matches, or of
+    One pattern whose matches hold something is a replacement of its runs, and so are several classes of characters. Places of several patterns' matches, or of
     matches of nothing, come from an Arrow function, linear in the text and sorted matches; Spark's search picks the lines that it sees.
     """
     if not patterns:
         return line
-    if len(patterns) == 1 and not may_be_empty(patterns[0]):
-        return F.regexp_replace(line, F.lit(f"(?:{java(patterns[0])})+"), F.lit(mark.replace("\\", "\\\\").replace("$", "\\$")))
+    runs = union_of_classes(patterns) or (f"(?:{java(patterns[0])})+" if len(patterns) == 1 and not may_be_empty(patterns[0]) else None)
+    if runs:
+        return F.regexp_replace(line, F.lit(runs), F.lit(mark.replace("\\", "\\\\").replace("$", "\\$")))
 
     @F.arrow_udf("string")
     def covered(lines: pa.Array) -> pa.Array:

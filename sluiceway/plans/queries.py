@@ -12,6 +12,7 @@ from sluiceway.plans import inputs
 from sluiceway.plans.inputs import CONTAINER_COUNTS, CONTAINERS, ISLANDS, LINES, NODE_ROWS, POD_COUNTS, PODS, SPANS, table
 from sluiceway.plans.registry import QUERIES, SQL, query
 from sluiceway.sources import text as text_source
+from sluiceway.streaming import run
 
 CLOCK = "2024-01-31 00:00:00"
 
@@ -41,6 +42,14 @@ def include_then_exclude(spark, d):
     return rules.LineRules(("and|und|et",), ("(?i:THAT)", "[0-9]")).apply(inputs.document_lines(spark, d)).select("doc_id", "n")
 
 
+@query(rf"""WITH {LINES} SELECT skipped_by, count(*) AS n FROM (SELECT CASE WHEN NOT regexp_matches(line, 'and|und|et') THEN 'include' WHEN regexp_matches(line, '[0-9]') THEN 'exclude' WHEN strlen(line) > 400 THEN 'size' END AS skipped_by FROM lines) GROUP BY skipped_by""")
+def skipped_stages(spark, d):
+    """Lines by the stage that let them go; null for those that pass."""
+    lines = inputs.document_lines(spark, d)
+    stages = {"include": rules.LineRules(include=("and|und|et",)).passes(F.col("line")), "none": rules.LineRules().passes(F.col("line")), "exclude": rules.LineRules(exclude=("[0-9]",)).passes(F.col("line")), "size": F.octet_length("line") <= 400}
+    return lines.select(run.skipped_by(stages).alias("skipped_by")).groupBy("skipped_by").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS line FROM documents) WHERE line IS NOT NULL AND NOT regexp_matches(line, 'QQQ')")
 def null_line_skip(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("line"))

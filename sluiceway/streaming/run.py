@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -19,6 +20,12 @@ def chain(lines: DataFrame, *stages: Stage | None) -> DataFrame:
     return lines
 
 
+def skipped_by(stages: dict[str, Column | None]) -> Column:
+    """The name of the first stage whose condition a line doesn't meet; null for lines that meet all. A condition that is null isn't met; None stands for a stage that has nothing to do."""
+    tests = [F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in stages.items() if c is not None]
+    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
+
+
 def supervise(start: Callable[[], StreamingQuery], restarts: int = 10, every_seconds: float | None = None, delay_seconds: float = 1.0, until: Callable[[], bool] | None = None) -> int:
     """Runs a query until it ends by itself or ``until`` says so; starts it anew from its checkpoint when it fails and, with
     ``every_seconds``, at intervals. Failures in a row are counted against ``restarts``, intervals are not. Returns how often it started anew."""

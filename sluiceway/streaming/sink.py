@@ -70,6 +70,11 @@ class DeliveryError(RuntimeError):
     """A body that will never be taken (a client error)."""
 
 
+def backoff(failures: int) -> float:
+    """Seconds to wait before the next request after so many failures in a row: 2^n times 10 ms, 10 s at most."""
+    return min(10.0, 0.01 * 2**failures) if failures else 0.0
+
+
 def verdict(status: int | None) -> str:
     """delivered, retry or fatal, as ``batching.outcome`` says."""
     if status is None or status in batching.RETRY_STATUSES:
@@ -103,6 +108,7 @@ class BatchWriter(DataSourceStreamWriter):
             raise ValueError("the options retries and state name folders that tasks and driver share")
         self.capacity, self.concurrent = int(get("capacity", batching.CAPACITY)), int(get("concurrent", CONCURRENT))
         self.limit = int(get("limitbytes")) if get("limitbytes") else None
+        self.failures = 0  # in a row, in this task
         self.post = post or http_post(get("url"), json.loads(get("headers", "{}")), float(get("timeout", 10)))
 
     # -- in the tasks
@@ -133,8 +139,10 @@ class BatchWriter(DataSourceStreamWriter):
             return "delivered", key, 0
         if (size := files.size_of(f"{self.retries}/staged", key)) is not None:
             return "retry", key, size
+        time.sleep(backoff(self.failures))
         status = self.post(body, key)
         said = verdict(status)
+        self.failures = self.failures + 1 if said == "retry" else 0
         if said == "delivered":
             files.write_whole(f"{self.state}/delivered", key, b"")
         elif said == "retry":
@@ -216,6 +224,13 @@ class Sent(WriterCommitMessage):
     offsets: str | None = None
 
 
+def admitted(lines: DataFrame, requests: int, concurrent: int = CONCURRENT) -> tuple[DataFrame, dict[str, str]]:
+    """Lines and options of the sink for which no more than ``requests`` are under way at a time, in all tasks together: a task has its share of the limit, and there are
+    no more tasks than shares. Tasks are coalesced, so the lines of a task stay in order."""
+    own = max(1, min(concurrent, requests))
+    return lines.coalesce(max(1, requests // own)), {"concurrent": str(own)}
+
+
 class BatchSink(DataSource):
     """Options: url, headers (JSON), timeout, retries and state (folders), capacity (bytes), concurrent, limitBytes (of the retry folder)."""
 

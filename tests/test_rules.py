@@ -167,3 +167,16 @@ log:
     more = overridden(base, from_env("AGENT", {"AGENT_TAGS": "b,c", "AGENT_LOOKBACK": "start", "AGENT_IP": ""}), from_arguments(["-d", "/y,/z", "--logdir", "/w", "--lookback", "none", "--ingest-buffer-size", "2000"]))
     assert (more.tags, more.log_dirs, more.lookback, more.body_size, more.ip) == (("a", "b", "c"), ("/srv/x", "/y", "/z", "/w"), "none", 2000, "")
     assert layered(from_yaml("")) == layered()
+
+
+def test_classes_of_characters_are_redacted_by_their_union(spark):
+    """The same text as by places of matches; patterns that aren't plain classes don't take this way."""
+    from sluiceway.operators.redact import cover, finder, redact, union_of_classes
+
+    assert [union_of_classes([p]) for p in ("[^a]", "[a-c", "[a][b]", r"[\\d]", "[[a]]", "[a&&b]", "a+", "[a]*")] == [None] * 8
+    lines = ["a1b2--x.@y", "", None, "zzz", "é-9.f", "a" * 50 + "!"]
+    for patterns in (["[0-9]+", "[a-f]+", "[.@]"], ["[-a]", "[z-]+"], ["[$.]+", "[é]"]):
+        assert union_of_classes(patterns)
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+        got = [r.y for r in rows.orderBy("i").select(redact(F.col("x"), patterns, "<$>").alias("y")).collect()]
+        assert got == [None if x is None else cover(x, [finder(p) for p in patterns], "<$>") for x in lines]

@@ -390,5 +390,42 @@ def test_walk_lists_a_tree_with_cycles_once(spark, tmp_path):
     assert [r.e for r in got] == [True, True, False, False, True, False, False]
 
 
+def test_metrics_of_a_running_query_are_served(spark, tmp_path):
+    from urllib.request import urlopen
+
+    from sluiceway.operators.metrics import observed_stream
+    from sluiceway.streaming.live import LiveMetrics, serve
+
+    live = LiveMetrics()
+    spark.streams.addListener(live)
+    server = serve(live, host="127.0.0.1")
+    try:
+        spark.createDataFrame([("one",), ("three",)], "line string").coalesce(1).write.parquet(str(tmp_path / "in"))
+        lines = observed_stream(spark.readStream.schema("line string").parquet(str(tmp_path / "in")), "ingress")
+        _drain(lines.writeStream.format("noop").queryName("watched").option("checkpointLocation", str(tmp_path / "cp")).start())
+        url = f"http://127.0.0.1:{server.server_address[1]}/metrics"
+        for _ in range(100):
+            with urlopen(url) as r:
+                said = dict(line.rsplit(" ", 1) for line in r.read().decode().splitlines())
+            if 'ingress_lines_total{query="watched"}' in said and "queries_stopped_total" in said:
+                break
+            time.sleep(0.1)
+        assert said['ingress_lines_total{query="watched"}'] == "2" and said['ingress_bytes_total{query="watched"}'] == "8" and said['rows_total{query="watched"}'] == "2"
+        assert int(said['process_bytes{kind="resident"}']) > 1_000_000
+    finally:
+        spark.streams.removeListener(live)
+        server.shutdown()
+
+
+def test_requests_of_all_tasks_have_one_limit(spark, tmp_path):
+    from sluiceway.streaming.sink import admitted, backoff
+
+    lines = spark.range(1000).repartition(16)
+    for requests, tasks, own in ((4, 1, 4), (16, 2, 8), (3, 1, 3), (20, 2, 8), (1, 1, 1)):
+        dealt, options = admitted(lines, requests)
+        assert (dealt.rdd.getNumPartitions(), options) == (tasks, {"concurrent": str(own)}) and tasks * own <= requests
+    assert [backoff(n) for n in (0, 1, 2, 5, 40)] == [0.0, 0.02, 0.04, 0.32, 10.0]
+
+
 def test_chain_skips_missing_stages(spark):
     assert chain(spark.range(3), None, lambda d: d.where("id > 0")).count() == 2
