@@ -427,5 +427,51 @@ def test_requests_of_all_tasks_have_one_limit(spark, tmp_path):
     assert [backoff(n) for n in (0, 1, 2, 5, 40)] == [0.0, 0.02, 0.04, 0.32, 10.0]
 
 
+def _until(name, spark, count):
+    for _ in range(200):
+        rows = spark.sql(f"SELECT * FROM {name}").collect()
+        if len(rows) >= count:
+            return rows
+        time.sleep(0.2)
+    return rows
+
+
+def test_events_are_debounced_and_delayed(spark, tmp_path):
+    """Runs of writes are one, resumed writes stand in front, an event with a longer delay holds those behind it, errors pass at once."""
+    from sluiceway.streaming.watch import debounced_stream, merged_events
+
+    use_rocksdb(spark)
+    schema = "path string, seq bigint, kind string, ts timestamp"
+    at = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, 0, s)
+    rows = [("a", 1, "create", at(5)), ("a", 2, "write", at(6)), ("a", 3, "write", at(4)), ("a", 4, "remove", at(7)), ("b", 5, "write", at(8)), ("c", 6, "error", at(9))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "watch"))
+    spark.createDataFrame([("a", 10, "write", at(1), True, None), ("b", 11, "write", at(2), True, None), ("d", 12, "write", at(3), False, 1200)], schema + ", front boolean, delay_ms bigint").coalesce(1).write.parquet(str(tmp_path / "resumed"))
+    watch = spark.readStream.schema(schema).parquet(str(tmp_path / "watch"))
+    resumed = spark.readStream.schema(schema + ", front boolean, delay_ms bigint").parquet(str(tmp_path / "resumed"))
+    query = debounced_stream(merged_events(watch, resumed), 300).writeStream.format("memory").queryName("calm").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    got = _until("calm", spark, 7)
+    query.stop()
+    by = {p: [(r.kind, r.seq, r.ts.second, r.n) for r in got if r.path == p] for p in "abcd"}
+    assert by == {"a": [("write", 10, 1, 1), ("create", 1, 5, 1), ("write", 2, 4, 2), ("remove", 4, 7, 1)], "b": [("write", 5, 2, 2)], "c": [("error", 6, 9, 1)], "d": [("write", 12, 3, 1)]}
+
+
+def test_lines_meet_what_a_watch_says_of_their_pods(spark, tmp_path):
+    from sluiceway.streaming.watch import with_watched_pods
+
+    use_rocksdb(spark)
+    said, written = "namespace string, pod string, version bigint, kind string, meta string", "namespace string, pod string, seq bigint, line string"
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    write([("n", "a", 2, "apply", "a2"), ("n", "a", 1, "apply", "a1"), ("n", "gone", 1, "apply", "g"), ("n", "gone", 2, "delete", None)], said, "watch")
+    write([("n", "a", 1, "one"), ("n", "late", 2, "two"), ("n", "never", 3, "three"), ("n", "gone", 4, "four")], written, "lines")
+    streams = [spark.readStream.schema(s).parquet(str(tmp_path / n)) for s, n in ((written, "lines"), (said, "watch"))]
+    query = with_watched_pods(*streams, patience_ms=15_000).writeStream.format("memory").queryName("met").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert {(r.line, r.meta) for r in _until("met", spark, 2)} == {("one", "a2"), ("four", "g")}
+    write([("n", "late", 1, "apply", "l")], said, "watch")
+    write([("n", "a", 5, "five")], written, "lines")
+    rows = _until("met", spark, 5)
+    query.stop()
+    assert sorted((r.seq, r.line, r.meta) for r in rows) == [(1, "one", "a2"), (2, "two", "l"), (3, "three", None), (4, "four", "g"), (5, "five", "a2")]
+
+
 def test_chain_skips_missing_stages(spark):
     assert chain(spark.range(3), None, lambda d: d.where("id > 0")).count() == 2
