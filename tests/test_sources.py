@@ -473,5 +473,32 @@ def test_lines_meet_what_a_watch_says_of_their_pods(spark, tmp_path):
     assert sorted((r.seq, r.line, r.meta) for r in rows) == [(1, "one", "a2"), (2, "two", "l"), (3, "three", None), (4, "four", "g"), (5, "five", "a2")]
 
 
+def test_journal_files_are_read_in_ranges(spark, tmp_path):
+    """Binary values full of empty lines and of what looks like records, values longer than ranges, spoilt records, ends without an empty line."""
+    import random
+
+    rng = random.Random(8)
+
+    def export(n):
+        out = b""
+        for i in range(n):
+            out += b"MESSAGE=line %d\n" % i if i % 7 else b""
+            if i % 3 == 0:
+                value = rng.choice([b"\n\nMESSAGE=fake\n\n" * 4, bytes(rng.choices(b"\n\nA=x", k=rng.choice((5, 400)))), b"\n" * 30])
+                out += b"BLOB\n" + struct.pack("<Q", len(value)) + value + b"\n"
+            out += b"not a field\n" if i % 11 == 5 else b""
+            out += b"_SYSTEMD_UNIT=u%d\n" % (i % 4) + b"\n" * rng.choice((1, 1, 2))
+        return out
+
+    (tmp_path / "x").mkdir()
+    data = {"a": export(60), "b": export(25).rstrip(b"\n"), "c": b"", "d": b"MESSAGE=one"}
+    for name, content in data.items():
+        (tmp_path / "x" / name).write_bytes(content)
+    want = sorted(r["MESSAGE"].decode("utf-8", "replace") for content in data.values() for r in journal.records(content) if "MESSAGE" in r)
+    assert len(want) > 60 and "fake" not in want
+    for size in (37, 200, 1 << 20):
+        assert sorted(r.line for r in journal.read_journal(spark, str(tmp_path / "x"), size).collect()) == want, size
+
+
 def test_chain_skips_missing_stages(spark):
     assert chain(spark.range(3), None, lambda d: d.where("id > 0")).count() == 2
