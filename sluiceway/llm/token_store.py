@@ -9,7 +9,7 @@ the key, its first record and its record count, for each record where its ids be
 hashes and one read. Keys that were not stored are known by their fingerprints, but for 1 in 2^32.
 
 Tasks write to a name of their own and rename when whole, so a task that runs again, or twice, leaves the same
-file. What reaches the driver is one row for each shard: its first and last key and its counts.
+file. What reaches the driver is one row for each shard, MOST_SHARDS at most: its first and last key and its counts.
 
 Null texts are empty: the end id alone. Repeated keys are records of one key. An empty table
 gives no shard and an empty result. Other columns are ignored.
@@ -151,6 +151,8 @@ class Writer:
         return len(self.keys), self.begins[-1], self.keys[0], self.keys[-1]
 
 
+#: The manifest has a row for each shard, and readers hold it: a corpus of more documents than this many shards take has larger shards.
+MOST_SHARDS = 65_536
 MANIFEST = "shard int, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint, start bigint"
 #: A task of a lookup hands on its records when they hold so many bytes.
 OUT_BYTES = 16 << 20
@@ -163,7 +165,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     """
     spark = docs.sparkSession
     name = tokenizer or default_tokenizer()
-    shards = max(1, -(-docs.count() // docs_per_shard))
+    shards = min(MOST_SHARDS, max(1, -(-docs.count() // docs_per_shard)))
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(name, width)
