@@ -42,9 +42,16 @@ def falling(samples: DataFrame, by: list[str], ts: str, value: str) -> DataFrame
     return samples.withColumn("before", F.lag(value).over(w)).where(F.col(value) < F.col("before"))
 
 
-def per_file(lines: DataFrame, file: str = "file", order: str = "timestamp") -> DataFrame:
-    """Lines of each file: how many, and the last one's level and meta."""
-    return lines.groupBy(file).agg(F.count(F.lit(1)).alias("n"), F.max_by("level", order).alias("last_level"), F.max_by("meta", order).alias("last_meta"))
+def received(lines: DataFrame, file: str = "file", line: str = "line") -> DataFrame:
+    """Lines as a receiver takes them, with ``value``, which ends with a line end: those of null are none, and those of no file are ``" unknown"``'s."""
+    value = F.when(F.endswith(F.col(line), F.lit("\n")), F.col(line)).otherwise(F.concat(F.col(line), F.lit("\n")))
+    return lines.where(F.col(line).isNotNull()).withColumns({file: F.coalesce(F.col(file), F.lit(" unknown")), "value": value})
+
+
+def per_file(lines: DataFrame, file: str = "file", order: str = "timestamp", last: tuple[str, ...] = ("level", "meta")) -> DataFrame:
+    """Lines of each file: how many, and what the last one has in the columns ``last``, null if it has nothing. Of lines that have a ``value`` (see ``received``), their bytes, too; a file's values stay rows."""
+    sizes = [F.sum(F.octet_length("value")).cast("long").alias("bytes")] if "value" in lines.columns else []
+    return lines.groupBy(file).agg(F.count(F.lit(1)).alias("n"), *sizes, *[F.max_by(c, order).alias(f"last_{c}") for c in last])
 
 
 def exposition(name: Column, labels: Column, value: Column) -> Column:

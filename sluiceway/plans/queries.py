@@ -464,6 +464,16 @@ def lines_per_file(spark, d):
     return metrics.per_file(docs)
 
 
+@query(f"""WITH {LINES} SELECT file, count(*) AS n, sum(strlen(line) + 1)::BIGINT AS bytes, arg_max(coalesce(label, 'none'), pos) AS last_label, arg_max(coalesce(annotation, 'none'), pos) AS last_annotation FROM
+(SELECT CASE WHEN doc_id % 9 = 0 THEN ' unknown' ELSE app END AS file, line, doc_id * 100000 + n AS pos, CASE WHEN n % 2 = 0 THEN env END AS label, CASE WHEN doc_id % 2 = 0 THEN 'a' || n END AS annotation FROM lines WHERE n % 5 <> 4) GROUP BY file""")
+def values_per_file(spark, d):
+    """Lines as a receiver counts them: some of null, some of no file, labels and annotations of the last."""
+    lines, k, n = inputs.document_lines(spark, d), F.col("doc_id"), F.col("n")
+    rows = lines.select(F.when(k % 9 != 0, F.col("app")).alias("file"), F.when(n % 5 != 4, F.col("line")).alias("line"), (k * 100000 + n).alias("pos"), F.when(n % 2 == 0, F.col("env")).alias("label"), F.when(k % 2 == 0, F.concat(F.lit("a"), n.cast("string"))).alias("annotation"))
+    found = metrics.per_file(metrics.received(rows), order="pos", last=("label", "annotation"))
+    return found.fillna("none", ["last_label", "last_annotation"])
+
+
 @query("SELECT event_type, sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END)::BIGINT AS value FROM events GROUP BY event_type")
 def gauge_open(spark, d):
     return metrics.gauge(table(spark, d, "events").withColumn("delta", F.when(F.col("event_id") % 3 == 0, -1).otherwise(1)), "event_type", "delta")
