@@ -23,7 +23,7 @@ LINES = """lines AS (SELECT doc_id, app, env, n - 1 AS n, l[n] AS line FROM (SEL
 
 def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as container lines; every tenth has an ordinary file, every fifteenth none; labels by segment."""
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     pod = F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))
     ns = F.lower(F.replace("n_name", F.lit("_"), F.lit("-")))
     path = F.concat(F.lit("/var/log/containers/"), pod, F.lit("_"), ns, F.lit("_"), F.lower("c_mktsegment"), F.lit("-"), F.sha2(F.col("c_custkey").cast("string"), 256), F.lit(".log"))
@@ -44,7 +44,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 def pod_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known pods: customers but every seventh."""
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 7 <> 0")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 7 <> 0")
     return c.select(F.lower(F.replace("n_name", F.lit("_"), F.lit("-"))).alias("namespace"), F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("pod"), F.concat(F.lit("registry/app:"), F.col("c_custkey").cast("string")).alias("image"))
 
 
