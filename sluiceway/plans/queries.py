@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from sluiceway.operators import batching, enrich, events, kube, meta, metrics, r
 from sluiceway.plans import inputs
 from sluiceway.plans.inputs import CONTAINER_COUNTS, CONTAINERS, ISLANDS, LINES, NODE_ROWS, POD_COUNTS, PODS, SPANS, table
 from sluiceway.plans.registry import QUERIES, SQL, query
+from sluiceway.operators.lineage import shared_folder
+from sluiceway.sources import snapshots
 from sluiceway.sources import text as text_source
 from sluiceway.streaming import run
 
@@ -226,6 +230,18 @@ def pods_by_node_phase(spark, d):
     return kube.pods_by_node(kube.valid_pods(inputs.cluster(spark, d)["pods"]))
 
 
+@query(f"WITH {PODS}, {POD_COUNTS}, {CONTAINER_COUNTS}, {NODE_ROWS} SELECT * FROM nr")
+def snapshot_files(spark, d):
+    """The report of nodes from snapshots that were written as files and read by their schemas."""
+    c = inputs.cluster(spark, d)
+    root = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    for name in ("pods", "nodes"):
+        c[name].write.json(f"{root}/{name}")
+    pods = kube.valid_pods(snapshots.read_pods(spark, f"{root}/pods"))
+    nodes = snapshots.read_nodes(spark, f"{root}/nodes")
+    return kube.node_report(nodes, c["node_usage"], pods, kube.container_rows(pods, c["usage"]), F.lit(CLOCK).cast("timestamp")).select(_NODE_COLUMNS)
+
+
 @query(f"WITH {PODS}, {CONTAINER_COUNTS} SELECT * FROM cc")
 def containers_by_node_state(spark, d):
     c = inputs.cluster(spark, d)
@@ -514,6 +530,26 @@ def event_format(spark, d):
     return events.event_lines(_cluster_events(spark, d)).select("event_id", "event_host", "app", "level", "age", "message_line")
 
 
+@query(SQL["event_format"])
+def event_files(spark, d):
+    """The same from events that were written as files and read by their schema."""
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    named = _cluster_events(spark, d).withColumns({"action": F.col("event_id").cast("string"), "host": F.col("user_id").cast("string")})
+    named.drop("event_id", "user_id").write.json(path)
+    read = snapshots.read_events(spark, path).withColumn("event_id", F.col("action").cast("bigint"))
+    return events.event_lines(read).select("event_id", "event_host", "app", "level", "age", "message_line")
+
+
+@query(rf"WITH {LINES} SELECT 'winevt_tailer' AS file, trim(replace(replace(line, chr(13), ''), chr(9), ' ')) AS line FROM lines WHERE trim(replace(replace(line, chr(13), ''), chr(9), ' ')) <> ''")
+def process_records(spark, d):
+    """Lines of documents as the output of a child process, with both line ends and blanks around."""
+    path = f"{shared_folder(spark)}/output-{uuid.uuid4().hex}"
+    lines = inputs.document_lines(spark, d).select("n", F.translate("line", "\t\r", " ").alias("line"))
+    lines.select(F.concat(F.lit("  "), "line", F.when(F.col("n") % 2 == 0, " \r").otherwise(" ")).alias("value")).write.text(path)
+    return snapshots.read_process_output(spark, path)
+
+
+
 @query("""WITH RECURSIVE x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 10 = 0 THEN NULL ELSE epoch_us(ts) - CASE WHEN event_id % 7 = 0 THEN 7200000000 ELSE 0 END END AS t FROM events),
 b AS (SELECT user_id, event_id, i, t // 1000000 - 2 AS mark, true AS ok FROM x WHERE i = 1
 UNION ALL SELECT x.user_id, x.event_id, x.i, CASE WHEN x.t IS NOT NULL AND (b.mark IS NULL OR x.t > b.mark * 1000000) THEN x.t // 1000000 - 2 ELSE b.mark END, b.mark IS NULL OR x.t IS NULL OR x.t > b.mark * 1000000 FROM b JOIN x ON x.user_id = b.user_id AND x.i = b.i + 1)
