@@ -8,6 +8,7 @@ driver counts; it lists nothing. Each level is written.
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
 
@@ -105,3 +106,43 @@ def walk(spark: SparkSession, roots: list[str], rules: PathRules | None = None)
     for more in levels[1:]:
         out = out.unionByName(more)
     return out.drop("id")
+
+
+#: Bytes of a file that one task reads at a time.
+RANGE_BYTES = 64 << 20
+LINES = "line string, file string, file_id bigint, start bigint, end bigint"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges (path, inode, a, b) of files to the lines that begin in them; a line that goes on behind its range is read whole."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    for batch in batches:
+        for path, inode, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            files, own = filesystem(path)
+            held, size = [], 0
+            with files.open_input_file(own) as raw:
+                source = io.BufferedReader(raw, 1 << 20)
+                source.seek(max(0, a - 1))
+                if a:  # the range before reads the line that stands across the border
+                    source.readline()
+                at = source.tell()
+                while at < b and (line := source.readline()):
+                    held.append((line.removesuffix(b"\n").decode("utf-8", "replace"), path, inode, at, at + len(line)))
+                    at, size = at + len(line), size + len(line)
+                    if size > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], ["line", "file", "file_id", "start", "end"])
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], ["line", "file", "file_id", "start", "end"])
+
+
+def read_tree(spark: SparkSession, roots: list[str], rules: PathRules | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lines of all files that ``walk`` finds: line (ended by \\n only; invalid UTF-8 becomes U+FFFD), file, file_id (its inode), and the bytes [start, end) where it stands.
+
+    A large file is many tasks. A file with several paths is read by each."""
+    found = walk(spark, roots, rules).where("kind = 'file' AND size > 0")
+    n = F.ceil(F.col("size") / range_bytes).cast("long")
+    ranges = found.select("path", F.col("inode").alias("inode"), "size", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.select("path", "inode", (F.col("i") * range_bytes).alias("a"), F.least((F.col("i") + 1) * range_bytes, F.col("size")).alias("b")).repartition(parts, "path", "a")
+    return dealt.mapInArrow(_read, LINES)

@@ -500,5 +500,26 @@ def test_journal_files_are_read_in_ranges(spark, tmp_path):
         assert sorted(r.line for r in journal.read_journal(spark, str(tmp_path / "x"), size).collect()) == want, size
 
 
+def test_trees_are_read_in_ranges(spark, tmp_path):
+    from sluiceway.sources.walk import read_tree
+
+    (tmp_path / "t/x").mkdir(parents=True)
+    texts = {"a.log": b"one\ntwo\r\n\nthree", "x/b.log": b"\xff\n" + b"long " * 40 + b"\nend\n", "c.log": b"", "d.txt": b"no\n", "e.log": b"\n\n\n"}
+    for name, content in texts.items():
+        (tmp_path / "t" / name).write_bytes(content)
+    want, places = [], []
+    for name, content in texts.items():
+        at = 0
+        for line in content.splitlines(keepends=True) if name != "a.log" else [b"one\n", b"two\r\n", b"\n", b"three"]:
+            if name.endswith(".log"):
+                want.append((line.removesuffix(b"\n").decode("utf-8", "replace"), name.rpartition("/")[2]))
+                places.append((at, at + len(line)))
+            at += len(line)
+    for size in (1, 7, 64, 1 << 20):
+        rows = read_tree(spark, [str(tmp_path / "t")], PathRules(("*.log",), ()), size).collect()
+        assert sorted((r.line, r.file.rpartition("/")[2]) for r in rows) == sorted(want)
+        assert sorted((r.start, r.end) for r in rows) == sorted(places)
+
+
 def test_chain_skips_missing_stages(spark):
     assert chain(spark.range(3), None, lambda d: d.where("id > 0")).count() == 2
