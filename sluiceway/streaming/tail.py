@@ -2,7 +2,8 @@
 
 What was read of a file is a set of byte ranges by inode, so a renamed file goes on where it was. A trigger reads gaps between these
 ranges, the first one of a file first, and what follows the last range up to a line end; a last line without an end waits. When a file ends
-before its first gap it was truncated and starts anew, as a file that is met for the first time does: small ones from 0, others at their end.
+before its first gap it was truncated and starts anew: small ones from 0, others at their end. A file that isn't listed is forgotten after ``forgetAfterSeconds``,
+as its inode may become another's.
 
 A new file starts as the lookback says, or with the ranges that a sink has saved for its inode (option ``saved``, the folder of
 ``BatchSink``). Lines that are to be read again come as requests in a folder (option ``retries``, see ``ask_again``): once one is due, its ranges are
@@ -146,6 +147,8 @@ class TailReader(DataSourceStreamReader):
         self.saved, self.state, self.retries = options.get("saved"), options.get("state"), options.get("retries")
         self.per_trigger = int(options.get("maxbytespertrigger", options.get("maxBytesPerTrigger", 1 << 30)))
         self.per_task = int(options.get("maxbytespertask", options.get("maxBytesPerTask", 64 << 20)))
+        self.forget_after = float(options.get("forgetafterseconds", options.get("forgetAfterSeconds", 60)))
+        self.gone: dict[str, float] = {}  # since when files aren't listed
         self.first: dict | None = None
         self.now: dict | None = None  # the offset that was given last; unknown after a restart
 
@@ -240,6 +243,11 @@ class TailReader(DataSourceStreamReader):
                 left, share = left - (end - a), share - (end - a)
                 if end < z:
                     break
+        clock = time.time()
+        for inode, spans in self.now["files"].items():  # a file that is being renamed may be missed for a moment
+            if inode not in files and clock - self.gone.setdefault(inode, clock) < self.forget_after:
+                files[inode] = spans
+        self.gone = {i: t for i, t in self.gone.items() if int(i) not in listed}
         reads = {i: r for i, r in reads.items() if r}
         files = {i: union(spans + [[s, e] for s, e, _ in reads.get(i, [])]) for i, spans in files.items()}
         if reads or names:

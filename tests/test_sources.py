@@ -106,6 +106,25 @@ def test_tail_reads_gaps_first_and_keeps_its_limit_after_a_restart(tmp_path):
     assert [(r.start, r.end) for r in reader.partitions(at, reader.latestOffset())] == [(0, 4)]
 
 
+def test_tail_remembers_a_file_that_is_missed_for_a_moment(tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.log").write_text("one\n")
+    for seconds, again in (("60", []), ("0", [(0, 4)])):
+        reader = TailReader({"path": str(logs), "lookback": "start", "forgetafterseconds": seconds})
+        start = reader.initialOffset()
+        at = reader.latestOffset()
+        assert [(r.start, r.end) for r in reader.partitions(start, at)] == [(0, 4)]
+        (logs / "a.log").rename(tmp_path / "elsewhere")
+        (logs / "b.log").write_text("two\n")
+        now = reader.latestOffset()
+        assert [(r.path[-5:], r.start, r.end) for r in reader.partitions(at, now)] == [("b.log", 0, 4)]
+        (tmp_path / "elsewhere").rename(logs / "a.log")
+        back = reader.latestOffset()
+        assert [(r.start, r.end) for r in reader.partitions(now, back)] == again
+        (logs / "b.log").unlink()
+
+
 def test_tail_deals_its_limit_over_files(tmp_path):
     for name, n in (("a", 100), ("b", 2), ("c", 100)):
         (tmp_path / f"{name}.log").write_text("0123\n" * n)
