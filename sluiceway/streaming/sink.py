@@ -10,8 +10,9 @@ sent as ``Idempotency-Key``, and what was done with a body is written under its
 - A body that may be sent again is staged; the commit gives it its final name in the retry folder, within the quota, and until
   then no replay sees it. A task that runs again finds it staged and leaves it.
 - A fatal answer fails the task once all its bodies had their answers. The micro-batch can be run again: what was delivered or staged stays so.
-- The ranges of delivered and of staged bodies are staged, too, and committed with the micro-batch below ``state``, from where
-  the tailing source and ``saved_offsets`` read them.
+- The ranges of delivered and of staged bodies are staged, too, and committed with the micro-batch below ``state/offsets``, from where
+  the tailing source (its option ``saved``) and ``saved_offsets`` read them.
+- Marks, which stored bodies get, too, stay until the next micro-batch commits: a micro-batch that was committed here but not by Spark runs again and finds all done.
 
 So a body is posted twice only if a task dies between an answer and its mark. What reaches the driver are names and sizes of
 files, a few for each task and one for each body that failed.
@@ -197,19 +198,25 @@ class BatchWriter(DataSourceStreamWriter):
         bodies = sorted(b for m in sent for b in m.staged if b[0] in waiting)
         kept, dropped = retry.keep_within(bodies, self.limit, retry.stored_bytes(self.retries))
         for name in kept:
+            files.write_whole(f"{self.state}/delivered", name, b"")
             fs.move(f"{root}/staged/{name}", f"{root}/{int(time.time())}_{name}{retry.ENDING}")
         for name in dropped:
             files.remove(f"{self.retries}/staged", name)
         fs, root = files.filesystem(self.state)
-        fs.create_dir(f"{root}/batch={batchId}", recursive=True)
+        fs.create_dir(f"{root}/offsets/batch={batchId}", recursive=True)
         for m in sent:
             if m.offsets and files.size_of(f"{self.state}/staged", m.offsets) is not None:
-                fs.move(f"{root}/staged/{m.offsets}", f"{root}/batch={batchId}/{m.offsets}")
+                fs.move(f"{root}/staged/{m.offsets}", f"{root}/offsets/batch={batchId}/{m.offsets}")
         if dropped:
             files.write_whole(f"{self.state}/dropped", f"{batchId}.json", json.dumps({"batch": batchId, "dropped": len(dropped)}).encode())
-        for m in sent:
-            for key in m.delivered:
+        done = {f"{batchId}.json": {key for m in sent for key in m.delivered} | set(kept)}
+        for info in files.files_in(f"{self.state}/done", ".json"):
+            done.setdefault(info.base_name, set()).update(row["key"] for row in files.json_lines(f"{self.state}/done", info.base_name))
+        files.write_whole(f"{self.state}/done", f"{batchId}.json", "".join(json.dumps({"key": k}) + "\n" for k in sorted(done.pop(f"{batchId}.json"))).encode())
+        for name, keys in done.items():
+            for key in keys:
                 files.remove(f"{self.state}/delivered", key)
+            files.remove(f"{self.state}/done", name)
 
     def abort(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
         """What tasks staged and marked stays for the run that comes; nothing of it was committed."""
@@ -243,8 +250,8 @@ class BatchSink(DataSource):
 
 
 def saved_offsets(spark: SparkSession, state: str) -> DataFrame:
-    """What the sink has committed below ``state``, all micro-batches and replays coalesced: rows (file_id, start, end), ends inclusive."""
-    return coalesce_spans(spark.read.schema("file_id bigint, start bigint, end bigint").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(state), "file_id")
+    """What the sink has committed below ``state``, all micro-batches coalesced: rows (file_id, start, end), ends inclusive."""
+    return coalesce_spans(spark.read.schema("file_id bigint, start bigint, end bigint").option("recursiveFileLookup", True).json(f"{state}/offsets"), "file_id")
 
 
 def dropped_bodies(state: str) -> int:

@@ -5,8 +5,8 @@ ranges, the first one of a file first, and what follows the last range up to a l
 before its first gap it was truncated and starts anew: small ones from 0, others at their end. A file that isn't listed is forgotten after ``forgetAfterSeconds``,
 as its inode may become another's.
 
-A new file starts as the lookback says, or with the ranges that a sink has saved for its inode (option ``saved``, the folder of
-``BatchSink``). Lines that are to be read again come as requests in a folder (option ``retries``, see ``ask_again``): once one is due, its ranges are
+A new file starts as the lookback says, or with the ranges that a sink has saved for its inode (option ``saved``, the folder
+``offsets`` in the sink's state). Lines that are to be read again come as requests in a folder (option ``retries``, see ``ask_again``): once one is due, its ranges are
 gaps again, and the lines come back with the number of their tries.
 
 A trigger takes ``maxBytesPerTrigger``, dealt evenly over the files that have something unread, or, where one line is longer, that

@@ -241,7 +241,13 @@ def test_sink_stages_marks_and_commits(spark, tmp_path):
     for _ in range(2):  # a commit that runs again
         writer.commit([message, None], 7)
     assert sorted(map(tuple, saved_offsets(spark, state).select("file_id", "start", "end").collect())) == [(1, 0, 7), (2, 0, 1)]
-    assert not list((tmp_path / "state" / "delivered").iterdir()) and not list((tmp_path / "retry" / "staged").iterdir())
+    assert not list((tmp_path / "retry" / "staged").iterdir())
+    # Spark didn't learn of the commit: all runs again, and all is done
+    writer.commit([writer.write(_rows(*rows))], 7)
+    assert len(posted) == 4 and len(list((tmp_path / "retry").glob("*.retry"))) == 1
+    writer.commit([writer.write(_rows(("d", 9, 0, 2)))], 8)
+    assert len(posted) == 5 and len(list((tmp_path / "state" / "delivered").iterdir())) == 1  # marks of the batch before are gone
+    assert TailReader({"path": str(tmp_path), "saved": f"{state}/offsets"})._begin()["files"] is not None
     kept = retry.read_files(spark, folder, F.lit(4_000_000_000), 15).collect()
     assert [(r.body, r.offsets) for r in kept] == [('{"lines":[{"line":"c","file":"/f2"}]}', '[{"file_id": 2, "start": 0, "end": 1}]')]
     # what waits is sent again when due: refused once more, then taken, and then there is nothing left
@@ -255,7 +261,7 @@ def test_sink_stages_marks_and_commits(spark, tmp_path):
     import random
 
     noise = "".join(random.Random(1).choices("abcdefghijklmnop", k=2000))
-    small.commit([small.write(_rows((noise, 3, 0, 2001), ("x", 4, 0, 2)))], 8)
+    small.commit([small.write(_rows((noise, 3, 0, 2001), ("x", 4, 0, 2)))], 9)
     assert 0 < retry.stored_bytes(folder) <= 200 and dropped_bodies(state) == 1
 
 
