@@ -146,3 +146,25 @@ def read_tree(spark: SparkSession, roots: list[str], rules: PathRules | None = N
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = ranges.select("path", "inode", (F.col("i") * range_bytes).alias("a"), F.least((F.col("i") + 1) * range_bytes, F.col("size")).alias("b")).repartition(parts, "path", "a")
     return dealt.mapInArrow(_read, LINES)
+
+
+def changes(spark: SparkSession, roots: list[str], state: str, rules: PathRules | None = None) -> DataFrame:
+    """Lists the roots and tells what is different from the last time: events as ``events.tree_events`` gives them; all are creates the first time.
+
+    Each listing is kept as a table below ``state``, numbered, and is the one before of the next call; one that wasn't written whole isn't taken. Symbolic links are
+    no paths of an inode here, so what they point to counts where it stands.
+    """
+    from pyarrow import fs
+
+    from sluiceway.operators.events import tree_events
+
+    files, root = filesystem(state)
+    found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    whole = sorted(i.base_name for i in found if i.base_name.startswith("listing-") and files.get_file_info(f"{i.path}/_SUCCESS").type == fs.FileType.File)
+    number = 1 + max((int(i.base_name.partition("-")[2]) for i in found if i.base_name.startswith("listing-")), default=0)
+    uri = state if ":/" in state else f"file://{os.path.abspath(state)}"
+    now = walk(spark, roots, rules).where("link_target IS NULL").select("path", "inode", "size", "kind")
+    now.write.parquet(f"{uri}/listing-{number:09d}")
+    now = spark.read.schema(now.schema).parquet(f"{uri}/listing-{number:09d}")
+    before = spark.read.schema(now.schema).parquet(f"{uri}/{whole[-1]}") if whole else now.where("false")
+    return tree_events(before, now)
