@@ -58,7 +58,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edit = lambda at, drop, insert: F.struct(at.cast("int").alias("at"), drop.cast("int").alias("drop"), insert.alias("insert"))
     middle = F.least(size - F.floor(size / 2), F.lit(5))
     edits = F.array(edit(F.lit(0), F.lit(0), F.lit("# ")), edit(F.floor(size / 2), middle, F.concat(F.lit(" ["), F.coalesce("lang", F.lit("")), F.lit("] "))), edit(size, F.lit(0), F.lit("\nEnd.")))
-    return token_counts.recount(docs.withColumn("edits", edits)).drop("leaves")
+    return token_counts.recount(docs.withColumn("edits", edits), keep=False)
 
 
 def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:

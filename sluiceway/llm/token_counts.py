@@ -15,7 +15,7 @@ pre-tokens can't be known one by one (see ``bpe``) has its whole texts encoded a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -219,36 +219,58 @@ def build_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, leaves {LEAVES}, n_tokens bigint{more}").withColumnRenamed("key", key)
 
 
-def apply_edits(trees: DataFrame, key: str = "doc_id", edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
-    """Trees with a column of edits to the trees after them: key, leaves, n_tokens (before), n_tokens_edited, n_chars_edited, n_pretokens, n_reencoded.
+#: What edits lead to.
+COUNTS = ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens", "n_reencoded"]
 
-    ``edits`` is array<struct<at:int, drop:int, insert:string>> in code points of the text before all edits.
-    """
+
+def _edited(tree: TokenTree, edits: list[dict] | None) -> tuple[int, ...]:
+    """Applies edits, and gives the COUNTS."""
+    before = tree.total
+    known = [e for e in edits or [] if e and e["at"] is not None]
+    for e in sorted(known, key=lambda e: (e["at"], e["drop"] or 0), reverse=True):  # from the end, so places stay
+        tree.edit(e["at"], e["drop"] or 0, e["insert"] or "")
+    return before, tree.total, tree.size, tree.pretokens, tree.reencoded
+
+
+def _edits_of(rows: DataFrame, own: str, edits: str, grown: Callable[[pa.Array, Encoder], Iterator[TokenTree]], key: str, tokenizer: str | None, keep: bool) -> DataFrame:
+    """Trees grown of a column, and edited: key, leaves (if they are kept) and COUNTS."""
     path = tokenizer or default_tokenizer()
-    names = ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         for batch in slices(batches):
-            out, rows = [], []
-            for leaves, changes in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                own = leaves.values
-                texts, lengths, counts = (own.field(f).to_pylist() for f in ("text", "lengths", "counts")) if own is not None else ([], [], [])
-                tree = TokenTree(list(zip(texts, lengths, counts, strict=True)), encoder)
-                before = tree.total
-                known = [e for e in changes or [] if e and e["at"] is not None]
-                for e in sorted(known, key=lambda e: (e["at"], e["drop"] or 0), reverse=True):  # from the end, so places stay
-                    tree.edit(e["at"], e["drop"] or 0, e["insert"] or "")
-                out.append((before, tree.total, tree.size, tree.pretokens, tree.reencoded))
-                rows.append([x for x in tree.leaves if x[1]])
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_leaves(rows), *[pa.array(list(c), pa.int64()) for c in columns]], ["key", "leaves", *names])
-
-    schema = f"key {trees.schema[key].dataType.simpleString()}, leaves {LEAVES}, " + ", ".join(f"{n} bigint" for n in names)
-    return trees.select(F.col(key).alias("key"), "leaves", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, schema).withColumnRenamed("key", key)
-
-
-def recount(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
-    """Trees of the documents, and the counts that their ``edits`` lead to: see ``apply_edits``."""
-    rows = docs.select(F.col(key).alias(key), F.col(text).alias(text), F.col(edits).alias(edits))
-    return apply_edits(build_trees(rows, key, text, tokenizer), key, edits, tokenizer)
+            out, leaves = [], []
+            for tree, changes in zip(grown(batch.column(1), encoder), batch.column(2).to_pylist(), strict=True):
+                out.append(_edited(tree, changes))
+                leaves.append([x for x in tree.leaves if x[1]] if keep else [])
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(COUNTS)
+            kept = [_arrow_leaves(leaves)] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, *[pa.array(list(c), pa.int64()) for c in columns]], ["key", *(["leaves"] if keep else []), *COUNTS])
+
+    schema = f"key {rows.schema[key].dataType.simpleString()}, {f'leaves {LEAVES}, ' if keep else ''}" + ", ".join(f"{n} bigint" for n in COUNTS)
+    return rows.select(F.col(key).alias("key"), F.col(own).alias("own"), F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def apply_edits(trees: DataFrame, key: str = "doc_id", edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """Trees (``leaves``) with a column of edits to the trees after them: key, leaves, n_tokens (before), n_tokens_edited, n_chars_edited, n_pretokens, n_reencoded.
+
+    ``edits`` is array<struct<at:int, drop:int, insert:string>> in code points of the text before all edits.
+    """
+
+    def grown(column: pa.Array, encoder: Encoder) -> Iterator[TokenTree]:
+        for leaves in column:
+            own = leaves.values
+            texts, lengths, counts = (own.field(f).to_pylist() for f in ("text", "lengths", "counts")) if own is not None else ([], [], [])
+            yield TokenTree(list(zip(texts, lengths, counts, strict=True)), encoder)
+
+    return _edits_of(trees, "leaves", edits, grown, key, tokenizer, True)
+
+
+def recount(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: str = "edits", tokenizer: str | None = None, keep: bool = True) -> DataFrame:
+    """Trees of the documents, and the counts that their ``edits`` lead to, in one pass: see ``apply_edits``. Without ``keep`` the trees aren't given."""
+
+    def grown(column: pa.Array, encoder: Encoder) -> Iterator[TokenTree]:
+        for t in column:
+            yield TokenTree.of_text(t.as_py() or "", encoder)
+
+    return _edits_of(docs, text, edits, grown, key, tokenizer, keep)
