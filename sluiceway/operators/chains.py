@@ -61,9 +61,9 @@ def next_starts(rows: DataFrame, value: Column, wanted: Column, strict: bool, st
     both = values.unionByName(questions)
     ranged = _ranged(both, _parts(both), "k", "v", "kind", "place")
     place = F.when(~F.col("asks"), F.col("place"))
-    # places rise with values, so the least place behind is the first
-    behind = Window.partitionBy("k", "part").orderBy("v", "kind", "place").rowsBetween(0, Window.unboundedFollowing)
-    later = Window.partitionBy("k").orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # one row for each part of a stream
+    # places rise with values, so the least place behind is the first; from the end on, as Spark looks at all rows behind each anew where a frame ends with the last
+    behind = Window.partitionBy("k", "part").orderBy(F.desc("v"), F.desc("kind"), F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("k").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each part of a stream
     carried = ranged.groupBy("k", "part").agg(F.min(place).alias("p")).select("k", "part", F.min("p").over(later).alias("carried"))
     found = ranged.withColumn("found", F.min(place).over(behind)).where("asks").join(carried, ["k", "part"])
     return found.select("k", "place", (F.coalesce("found", "carried") + step).alias("next"))

@@ -154,3 +154,17 @@ def test_event_messages(spark):
     ).withColumn("component", F.lit("kubelet"))
     got = [(r.event_host, r.app, r.level, r.message_line) for r in events.event_lines(rows).orderBy("i").collect()]
     assert got == [("web", "app", "Normal", "R  (x3 over 1m 15s)  m"), ("Node/n1", "kubelet", "Warning", "R  m"), ("w", "kubelet", "Normal", "R  (x2 just now)  m"), ("w", "kubelet", "Normal", None)]
+
+
+def asked_from_the_end(spark, strict, step):
+    """The next starts of 2000 rows with values 0, 3, 6, ..., and whether a frame runs to the last row, which Spark sums up anew for each row."""
+    from sluiceway.operators import chains
+
+    rows = spark.range(2000).select(F.lit("a").alias("k"), (F.col("id") + 1).alias("place"), (F.col("id") * 3).alias("v"))
+    found = chains.next_starts(rows, F.col("v"), F.col("v") + 30, strict=strict, step=step)
+    return {r.place: r.next for r in found.collect()}, "unboundedfollowing" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_next_batches_are_found_in_one_pass_over_a_part(spark):
+    got, looks_ahead = asked_from_the_end(spark, strict=False, step=1)
+    assert got == {i: i + 11 if i + 10 <= 2000 else None for i in range(1, 2001)} and not looks_ahead
