@@ -168,3 +168,8 @@ def asked_from_the_end(spark, strict, step):
 def test_next_batches_are_found_in_one_pass_over_a_part(spark):
     got, looks_ahead = asked_from_the_end(spark, strict=False, step=1)
     assert got == {i: i + 11 if i + 10 <= 2000 else None for i in range(1, 2001)} and not looks_ahead
+
+
+def test_next_windows_are_found_in_one_pass_over_a_part(spark):
+    got, looks_ahead = asked_from_the_end(spark, strict=True, step=0)
+    assert got == {i: i + 11 if i + 11 <= 2000 else None for i in range(1, 2001)} and not looks_ahead
