@@ -10,23 +10,28 @@ EMPTY = "array<struct<start:bigint,end:bigint>>"
 
 #: Spans of one key that start in the same stretch of this many places are joined first.
 STRETCH = 1 << 20
+#: About as many spans as a task sorts; it takes some 250 MB for them.
+TASK_ROWS = 500_000
 
 
 def coalesce_spans(spans: DataFrame, key: str) -> DataFrame:
     """Rows to the fewest rows that cover the same ranges: a span starts an island if all earlier ends are more than one before it.
 
     Islands are made in each stretch of a key, then of these in the whole key: a key that holds most rows is many tasks until its rows are few.
+    The rows are counted first, so that there are as many tasks as they need.
     """
-    kept = spans.where("start <= end").withColumn("__stretch", F.floor(F.col("start") / STRETCH))
-    near = _islands(kept, [key, "__stretch"]).drop("__stretch")
-    return _islands(near, [key])
+    session = spans.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, -(-spans.count() // TASK_ROWS))
+    kept = spans.select(key, "start", "end").where("start <= end").withColumn("__stretch", F.floor(F.col("start") / STRETCH))
+    near = _islands(kept, [key, "__stretch"], tasks).drop("__stretch")
+    return _islands(near, [key], tasks)
 
 
-def _islands(spans: DataFrame, keys: list[str]) -> DataFrame:
+def _islands(spans: DataFrame, keys: list[str], tasks: int) -> DataFrame:
     ordered = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(reach.isNull() | (F.col("start") > F.col("reach") + 1), 1).otherwise(0)).over(ordered)
-    marked = spans.withColumn("reach", reach).withColumn("island", island)
+    marked = spans.repartition(tasks, *keys).withColumn("reach", reach).withColumn("island", island)
     return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 

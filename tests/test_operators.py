@@ -173,3 +173,12 @@ def test_next_batches_are_found_in_one_pass_over_a_part(spark):
 def test_next_windows_are_found_in_one_pass_over_a_part(spark):
     got, looks_ahead = asked_from_the_end(spark, strict=True, step=0)
     assert got == {i: i + 11 if i + 11 <= 2000 else None for i in range(1, 2001)} and not looks_ahead
+
+
+def test_tasks_that_join_spans_grow_in_number(spark, monkeypatch):
+    """Spans of 3000 files at 100 a task: no task gets a quarter of them, as with the session's four partitions."""
+    monkeypatch.setattr(spans, "TASK_ROWS", 100, raising=False)
+    rows = spark.range(3000).select(F.col("id").alias("file_id"), (F.col("id") % 2).alias("batch_id"), F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"))
+    for df in (spans.coalesce_spans(rows, "file_id"), spans.merge_offsets(rows)):
+        dealt = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in dealt) == 3000 and max(r["count"] for r in dealt) < 300
