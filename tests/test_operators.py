@@ -182,3 +182,54 @@ def test_tasks_that_join_spans_grow_in_number(spark, monkeypatch):
     for df in (spans.coalesce_spans(rows, "file_id"), spans.merge_offsets(rows)):
         dealt = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
         assert sum(r["count"] for r in dealt) == 3000 and max(r["count"] for r in dealt) < 300
+
+
+def test_starts_of_many_parts_equal_a_walk(spark, monkeypatch):
+    """Keys of one row, of parts of parts and of many parts, null, steps within parts and over several, gaps, and rows that stand evenly."""
+    from itertools import groupby
+
+    from sluiceway.operators import chains
+
+    monkeypatch.setattr(chains, "PART_ROWS", 40)
+    rng = random.Random(7)
+    spread = {"hot": rng.sample(range(9000), 900), None: rng.sample(range(400), 70), "even": range(0, 2100, 7), "one": [5], "gap": [*range(90), *range(5000, 5090)], **{f"t{i}": range(i, i + 3) for i in range(60)}}
+    rows = [(k, v - 50, rng.randrange(1, 5)) for k, values in spread.items() for v in values]
+    table = spark.createDataFrame(rows, "k string, v bigint, size bigint").repartition(3)
+    for step in (1, 35, 700, 3000):
+        want = []
+        for k, own in groupby(sorted(rows, key=lambda r: (r[0] or "", r[1])), key=lambda r: r[0]):
+            number, start, since = -1, None, 0
+            for _, v, size in own:
+                if start is None or v >= start + step:
+                    number, start, since = number + 1, v, 0
+                want.append((k, v, size, number, since))
+                since += size
+        assert sorted(map(tuple, chains.stepped(table, step).collect()), key=str) == sorted(want, key=str), step
+    assert chains.stepped(table.where("false"), 5).count() == 0
+
+
+def test_windows_of_calls_are_found_in_few_rows(spark, monkeypatch):
+    """Calls of one time are a row, and the steps together write no more than three rows for each time."""
+    from sluiceway.operators import chains
+
+    monkeypatch.setattr(chains, "PART_ROWS", 500)
+    written, cut = [], chains.cut
+
+    def counting(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    for module in (chains, events):
+        monkeypatch.setattr(module, "cut", counting, raising=False)
+    calls = spark.range(8000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") % 4000).alias("ts"))
+    got = events.rate_limited_in_parts(calls, "k", "ts", 3, 9).groupBy("allowed").count().collect()
+    assert {(r.allowed, r["count"]) for r in got} == {(True, 1200), (False, 6800)} and sum(written) <= 3 * 4000
+
+
+def test_rate_limit_counts(spark):
+    """Calls at one time share what is left of a window, calls without a time have none, and a limit of nothing allows nothing."""
+    calls = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1), ("a", 1), ("a", 5), ("a", 6), (None, 1), ("b", None), ("b", None)], "k string, s bigint").select("k", F.timestamp_seconds("s").alias("ts"))
+    counted = lambda limit: {(r.k, r.s, r.allowed, r.calls) for r in events.rate_limit_counts(calls, "k", "ts", limit, 5).select("k", F.unix_seconds("ts").alias("s"), "allowed", "calls").collect()}
+    assert counted(3) == {("a", 0, 1, 1), ("a", 1, 2, 3), ("a", 5, 0, 1), ("a", 6, 1, 1), (None, 1, 1, 1), ("b", None, 0, 2)}
+    assert {x[2] for x in counted(0)} == {0}
