@@ -233,3 +233,9 @@ def test_rate_limit_counts(spark):
     counted = lambda limit: {(r.k, r.s, r.allowed, r.calls) for r in events.rate_limit_counts(calls, "k", "ts", limit, 5).select("k", F.unix_seconds("ts").alias("s"), "allowed", "calls").collect()}
     assert counted(3) == {("a", 0, 1, 1), ("a", 1, 2, 3), ("a", 5, 0, 1), ("a", 6, 1, 1), (None, 1, 1, 1), ("b", None, 0, 2)}
     assert {x[2] for x in counted(0)} == {0}
+
+
+def test_many_calls_at_one_time_have_their_verdicts(spark):
+    calls = spark.range(25_001).select(F.lit("a").alias("k"), F.timestamp_seconds(F.lit(3)).alias("ts"))
+    got = events.rate_limited_in_parts(calls, "k", "ts", 20_003, 5).groupBy("k", "ts", "allowed").count().collect()
+    assert {(r.allowed, r["count"]) for r in got} == {(True, 20_003), (False, 4_998)}
