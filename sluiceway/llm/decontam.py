@@ -31,8 +31,10 @@ from sluiceway.llm.common import batch_rows, cut
 
 WINDOW = 10
 SEGMENT_WORDS = 200_000
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 CANDIDATES = 2_000_000
+#: Segments, of some 1.5 MB each, that a task holds at a time as it writes, reads and searches them.
+HELD = 4
 
 #: Bytes of words stay (A-Z in lower case, digits, all of non-ASCII characters), others become spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -276,10 +278,10 @@ def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text:
     """Per document: key, n_words, n_hit, items (ids as strings, sorted), spans, contaminated."""
     spark = docs.sparkSession
     with batch_rows(spark):
-        index = cut(build_index(docs, key, text, overlap=(distance or window) - 1))
+        index = cut(build_index(docs, key, text, overlap=(distance or window) - 1), HELD)
     found = None
     for block in _blocks(tests, item, test_text):
-        with batch_rows(spark, 4):  # a row is a segment
+        with batch_rows(spark, HELD):  # a row is a segment
             more = cut(search(index, block, window, distance))
         found = more if found is None else found.unionByName(more)
     per = found.groupBy("origin", "number").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))

@@ -5,11 +5,12 @@ import struct
 
 import numpy as np
 import plain
+import pyarrow.parquet as pq
 import pytest
 from prose import prose
 from tokenizers import Tokenizer
 
-from sluiceway.llm import bpe, chat, decontam, html_extract, ngram_join, token_counts, token_store
+from sluiceway.llm import bpe, chat, common, decontam, html_extract, ngram_join, token_counts, token_store
 
 
 def ordered(rows):
@@ -102,6 +103,20 @@ def test_small_segments_and_proximity(spark):
     assert found.count() == sum(i % 4 <= 1 for i in range(40))
 
 
+def test_few_segments_are_held_at_a_time(spark, tmp_path, monkeypatch):
+    """Readers of Parquet hold a row group, whatever a file's size: in the index, which has a few large rows, one is a few segments."""
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 40)
+    rows = [(i, prose(200 + i, 60)) for i in range(50)]
+    items = [(1, " ".join(rows[17][1].split()[20:32]))]
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs, tests = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.contamination(docs, tests).select("doc_id", "n_words", "n_hit", "items").collect()
+    assert ordered(got) == ordered((k, *plain.hits(t, items)) for k, t in rows)
+    index = [m for m in map(pq.read_metadata, tmp_path.glob("cut-*/*.parquet")) if "postings" in str(m.schema)]
+    assert sum(m.num_rows for m in index) >= 50
+    assert max(m.row_group(k).num_rows for m in index for k in range(m.num_row_groups)) <= decontam.HELD
+
+
 # -- n-gram join -------------------------------------------------------------------------------------------
 
 
